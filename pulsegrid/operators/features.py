@@ -132,39 +132,51 @@ def window_features(
             combos.append((a, b, values, np.where(gate, 0, lag), np.where(gate, 0, residual)))
         return out, whole, stats, combos
 
-    def none_or(v):
-        return float(v) if np.isfinite(v) else None
+    def structs(fields: T.StructType, parts: list[dict], keep: np.ndarray) -> pa.Array:
+        """One list per kept window, holding one struct per part."""
+        kind = to_arrow_schema(fields)
+        count = int(keep.sum())
+        made = []
+        for f in kind:
+            cols = [np.broadcast_to(np.asarray(p[f.name], dtype=object if f.type == pa.string() else None), len(keep))[keep] for p in parts]
+            flat = np.stack(cols, axis=1).ravel() if count else np.zeros(0)
+            if f.type == pa.float64():
+                flat = flat.astype(float)
+                made.append(pa.array(flat, mask=~np.isfinite(flat)))
+            else:
+                made.append(pa.array(flat.tolist(), f.type))
+        offsets = np.arange(count + 1, dtype=np.int32) * len(parts)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(made, fields=list(kind)))
+
+    def batch_table(key, ids, out, whole, stats, combos) -> pa.Table:
+        count = int(whole.sum())
+        cols = [pa.array([v] * count, arrow_schema.field(c).type) for c, v in zip(keys, key)]
+        cols.append(pa.array(ids[whole], pa.int64()))
+        for c in BASE:
+            v = out[c][whole]
+            cols.append(pa.array(v, mask=~np.isfinite(v)))
+        cols.append(pa.array((out["motion_frac"][whole] > 0.5).astype(np.int32)))
+        cols.append(structs(CHANNEL, [{"channel": c, "sqi": s[1], "skewness": s[2], "kurtosis": s[3]} for c, s in stats.items()], whole))
+        cols.append(structs(PAIR, [
+            {"combo_ord": o, "a": a, "b": b, **dict(zip(("r", "ac_a", "dc_a", "ac_b", "dc_b"), values)), "lag_applied": lag, "lag_residual": res}
+            for o, (a, b, values, lag, res) in enumerate(combos)
+        ], whole))
+        return pa.table(cols, names=arrow_schema.names).cast(arrow_schema)
 
     def group(table: pa.Table) -> pa.Table:
         ready = sorted_segment(table, idx, size, width - 1)
-        rows = {f.name: [] for f in schema}
+        parts = [arrow_schema.empty_table()]
         if ready is not None:
             sorted_table, seg = ready
             cols = {c: to_float(sorted_table.column(c)) for c in needed}
             own = seg.idx[seg.core]
-            base = int(seg.idx[0])
             k = np.arange(-(-int(own[0]) // step), int(own[-1]) // step + 1)
             k = k[k * step + width - 1 <= int(seg.idx[-1])]
             key = [table.column(c)[0].as_py() for c in keys]
             for at in range(0, len(k), BATCH):
-                part = k[at : at + BATCH]
-                out, whole, stats, combos = batch_rows(cols, part * step - base)
-                for j in np.flatnonzero(whole):
-                    for c, v in zip(keys, key):
-                        rows[c].append(v)
-                    rows["window_id"].append(int(part[j]))
-                    for c in BASE:
-                        rows[c].append(none_or(out[c][j]))
-                    rows["high_motion_window"].append(int(out["motion_frac"][j] > 0.5))
-                    rows["channels"].append(
-                        [{"channel": c, "sqi": none_or(s[1][j]), "skewness": none_or(s[2][j]), "kurtosis": none_or(s[3][j])} for c, s in stats.items()]
-                    )
-                    rows["combos"].append([
-                        {"combo_ord": o, "a": a, "b": b, **{n: none_or(v[j]) for n, v in zip(("r", "ac_a", "dc_a", "ac_b", "dc_b"), values)},
-                         "lag_applied": int(lag[j]), "lag_residual": int(res[j])}
-                        for o, (a, b, values, lag, res) in enumerate(combos)
-                    ])
-        return pa.table(rows, schema=arrow_schema)
+                ids = k[at : at + BATCH]
+                parts.append(batch_table(key, ids, *batch_rows(cols, ids * step - int(seg.idx[0]))))
+        return pa.concat_tables(parts)
 
     slim = df.select(*keys, idx, *needed)
     return with_halo(slim, idx, size, 0, width - 1).groupBy(*keys, SEG).applyInArrow(group, schema)
