@@ -38,6 +38,11 @@ def epoch_or_seconds(c: Column) -> Column:
     return F.when(c > 1e10, c / 1000.0).otherwise(c)
 
 
+def wall_micros(c: Column) -> Column:
+    """Microseconds since 1970 of a wall-clock timestamp, whatever the session zone."""
+    return F.unix_micros(F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
+
+
 def parse_time(c: Column) -> Column:
     """Text time to seconds: clock notations, timestamps, plain numbers.
 
@@ -49,8 +54,7 @@ def parse_time(c: Column) -> Column:
     parts = F.split(s, ":")
     a, b, d = (F.get(parts, F.lit(i)).try_cast("double") for i in range(3))
     clock3 = F.when((a >= 1) & (b < 60) & (d < 60), a * 3600 + b * 60 + d).otherwise(a * 60 + b + d / 1000.0)
-    stamp = F.try_to_timestamp(s)
-    seconds = F.unix_micros(stamp) / 1e6
+    seconds = wall_micros(s.try_cast("timestamp_ntz")) / 1e6
     return (
         F.when(s == "", None)
         .when((F.size(parts) == 3) & a.isNotNull() & b.isNotNull() & d.isNotNull(), clock3)
