@@ -104,13 +104,15 @@ def svr(x, y, w, kernel: str, tol: float = 1e-3, rounds: int = 1_000_000):
         up = np.where(sign > 0, alpha < top, alpha > 0)
         down = np.where(sign > 0, alpha > 0, alpha < top)
         i = int(np.argmax(np.where(up, score, -np.inf)))
-        j = int(np.argmin(np.where(down, score, np.inf)))
-        gap = score[i] - score[j]
-        if gap < tol:
+        lag = np.where(down, score[i] - score, 0.0)
+        if lag.max() < tol:
             break
-        ki, kj = column(i % n), column(j % n)
-        curve = max(diag[i % n] + diag[j % n] - 2 * ki[j % n], 1e-12)
-        step = gap / curve
+        # partner by the largest guaranteed decrease of the objective
+        ki = column(i % n)
+        bend = np.maximum(diag[i % n] + diag - 2 * ki, 1e-12)
+        j = int(np.argmax(np.where(lag > 0, lag * lag / np.concatenate([bend, bend]), -1.0)))
+        kj = column(j % n)
+        step = (score[i] - score[j]) / bend[j % n]
         step = min(step, top[i] - alpha[i] if sign[i] > 0 else alpha[i])
         step = min(step, alpha[j] if sign[j] > 0 else top[j] - alpha[j])
         alpha[i] += sign[i] * step
@@ -130,13 +132,62 @@ def svr(x, y, w, kernel: str, tol: float = 1e-3, rounds: int = 1_000_000):
     return mean, sd, bias, z[used], beta[used], gamma
 
 
-def svr_line(x, y, w) -> tuple[float, float]:
-    """``(intercept, slope)`` of the linear support vector fit; zeros without rows."""
+def svr_line(x, y) -> tuple[float, float]:
+    """``(intercept, slope)`` of the linear support vector fit; zeros without rows.
+
+    On one feature the dual is not needed.  The margin loss is half the absolute
+    deviation from each margin edge, so for a given slope the best intercept is
+    the median of the edge residuals; the remaining convex problem in the slope
+    is solved by bisection of its derivative.
+    """
     if len(x) == 0:
         return 0.0, 0.0
-    mean, sd, bias, z, beta, _ = svr(x, y, w, "linear")
-    slope = float(beta @ z)
-    return bias - slope * mean / sd, slope / sd
+    mean, sd = scaling(x)
+    centre = float(y.mean())
+    z = np.concatenate([x - mean, x - mean]) / sd
+    edge = np.concatenate([y - centre + SVR_EPS, y - centre - SVR_EPS])
+
+    def look(slope):
+        r = edge - slope * z
+        cept = float(np.median(r))
+        d = r - cept
+        tied = np.abs(d) <= 1e-12 * (1 + abs(cept))
+        sign = np.where(tied, 0.0, np.sign(d))
+        if tied.any():  # points on the line balance the signs of the others
+            sign[tied] = np.clip(-sign.sum() / tied.sum(), -1, 1)
+        return cept, slope - SVR_C / 2 * float(sign @ z)
+
+    high = SVR_C / 2 * float(np.abs(z).sum()) + 1.0
+    low = -high
+    for _ in range(120):
+        mid = (low + high) / 2
+        if look(mid)[1] > 0:
+            high = mid
+        else:
+            low = mid
+    slope = (low + high) / 2
+    return centre + look(slope)[0] - slope * mean / sd, slope / sd
+
+
+def margin_sums(z, t, slope, cept, width) -> np.ndarray:
+    """Weighted sums of one majorising step of the margin loss: w, wz, wzz, wt, wzt."""
+    out = np.zeros(5)
+    for edge in (SVR_EPS, -SVR_EPS):
+        e = t + edge
+        w = SVR_C / 2 / np.sqrt((e - slope * z - cept) ** 2 + width * width)
+        out += np.array([w.sum(), (w * z).sum(), (w * z * z).sum(), (w * e).sum(), (w * e * z).sum()])
+    return out
+
+
+def margin_step(sums: np.ndarray) -> tuple[float, float]:
+    """Minimiser of the quadratic that touches the margin loss from above."""
+    s, sz, szz, st, szt = sums
+    det = (1.0 + szz) * s - sz * sz
+    return (szt * s - sz * st) / det, ((1.0 + szz) * st - sz * szt) / det
+
+
+# Smoothing widths of the rounds for large groups.
+WIDTHS = tuple(max(10.0 ** (-k / 15), 1e-5) for k in range(100))
 
 
 def svr_predict(fit, x) -> np.ndarray:
@@ -159,31 +210,34 @@ def boost(x, y, w):
     point, at = np.unique(x, return_inverse=True)
     weight = np.bincount(at, w)
     target = np.bincount(at, w * y) / weight
+    total = np.cumsum(np.concatenate([[0.0], weight]))
     base = float(np.average(target, weights=weight))
     fitted = np.full(len(point), base)
     for _ in range(TREES):
-        resid = target - fitted
-        parts = [(0, len(point))]
+        run = np.cumsum(np.concatenate([[0.0], weight * (target - fitted)]))
+        edges = [0, len(point)]
         for _ in range(DEPTH):
-            parts = [p for a, b in parts for p in _split(resid, weight, a, b)]
-        for a, b in parts:
-            fitted[a:b] += RATE * np.average(resid[a:b], weights=weight[a:b])
-    change = np.flatnonzero(np.diff(fitted))
+            edges = _cut_all(run, total, edges)
+        e = np.array(edges)
+        leaf = (run[e[1:]] - run[e[:-1]]) / (total[e[1:]] - total[e[:-1]])
+        fitted += RATE * np.repeat(leaf, np.diff(e))
+    change = np.flatnonzero(np.abs(np.diff(fitted)) > 1e-12)
     return (point[change] + point[change + 1]) / 2, fitted[np.concatenate([change, [len(point) - 1]])]
 
 
-def _split(resid, weight, a, b):
-    if b - a < 2:
-        return [(a, b)]
-    w, s = np.cumsum(weight[a:b]), np.cumsum(weight[a:b] * resid[a:b])
-    wl, sl = w[:-1], s[:-1]
-    wr, sr = w[-1] - wl, s[-1] - sl
-    gain = (wr * sl - wl * sr) ** 2 / (wl * wr)
-    spread = np.average(resid[a:b] ** 2, weights=weight[a:b]) - (s[-1] / w[-1]) ** 2
-    if not spread > 2.3e-16:
-        return [(a, b)]
-    k = a + int(np.argmax(gain)) + 1
-    return [(a, k), (k, b)]
+def _cut_all(run, total, edges) -> list[int]:
+    """Cut every part at its best place: largest weighted gap of the two means.
+
+    ``run`` and ``total`` are running sums of residual and weight."""
+    out = [edges[0]]
+    for a, b in zip(edges, edges[1:]):
+        if b - a >= 2:
+            wl, sl = total[a + 1 : b] - total[a], run[a + 1 : b] - run[a]
+            wr, sr = total[b] - total[a] - wl, run[b] - run[a] - sl
+            gap = wr * sl - wl * sr
+            out.append(a + 1 + int(np.argmax(gap * gap / (wl * wr))))
+        out.append(b)
+    return out
 
 
 def step_predict(fit, x) -> np.ndarray:
@@ -223,3 +277,4 @@ def consensus(x, y, w, seed: int = 42, trials: int = 100) -> tuple[float, float]
     if best is None:
         return None
     return line(x[best], y[best], w[best])
+

@@ -209,6 +209,72 @@ def fit_ransac(rows: DataFrame, keys: Sequence[str], order: str = "row", seed: i
     return fit_closed(inliers, keys, ["linear"]).withColumn("model", F.lit("ransac"))
 
 
+def fit_svr_line(rows: DataFrame, keys: Sequence[str], local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Linear support vector calibration ``spo2 = a - b r`` per group: ``(keys, a, b)``.
+
+    Groups up to ``local_rows`` rows are solved in one task each, larger ones by
+    rounds of aggregation.
+    """
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    sized = rows.select(*keys, "x", "y").join(size, list(keys))
+    large = sized.where(F.col("_c") > local_rows).drop("_c")
+    small = sized.where(F.col("_c") <= local_rows).drop("_c")
+    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["x", "y"])
+        a, b = fits.svr_line(g.x.to_numpy(float), g.y.to_numpy(float))
+        return g.iloc[:1][list(keys)].assign(a=a, b=-b)
+
+    out = spread_groups(small, keys).groupBy(*keys).applyInPandas(run, f"{fields}, a double, b double")
+    if not size.where(F.col("_c") > local_rows).limit(1).isEmpty():
+        out = out.unionByName(_svr_line_rounds(large, keys))
+    return out
+
+
+def _svr_line_rounds(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Linear support vector fits by aggregation rounds.
+
+    Each round replaces the margin loss by the weighted square that touches it
+    from above at the current line (five sums per group), which never raises the
+    loss; the touching gets sharper from round to round.
+    """
+    rows = materialise(rows, "svr")
+    stats = rows.groupBy(*keys).agg(F.avg("x").alias("mx"), F.stddev_pop("x").alias("sd"), F.avg("y").alias("my"))
+    state = materialise(stats.select(
+        *keys, "mx", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd"), "my",
+        F.lit(0.0).alias("slope"), F.lit(0.0).alias("cept"),
+    ), "svr-state")
+    columns = list(state.columns)
+    z, t = (F.col("x") - F.col("mx")) / F.col("sd"), F.col("y") - F.col("my")
+
+    def update(batches):
+        for b in batches:
+            new = np.array([fits.margin_step(np.asarray(s)) for s in b.sums]).reshape(len(b), 2)
+            b[["slope", "cept"]] = new
+            yield b[columns]
+
+    for width in fits.WIDTHS:
+        terms = []
+        for edge in (fits.SVR_EPS, -fits.SVR_EPS):
+            e = t + edge
+            r = e - F.col("slope") * z - F.col("cept")
+            w = fits.SVR_C / 2 / F.sqrt(r * r + width * width)
+            terms.append([w, w * z, w * z * z, w * e, w * e * z])
+        sums = rows.join(state, list(keys)).groupBy(*columns).agg(F.array(*[F.sum(a + b) for a, b in zip(*terms)]).alias("sums"))
+        state = materialise(sums.mapInPandas(update, state.schema), "svr-state")
+    slope = F.col("slope") / F.col("sd")
+    return state.select(*keys, (F.col("my") + F.col("cept") - slope * F.col("mx")).alias("a"), (-slope).alias("b"))
+
+
+def spread_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash groups over all cores: small inputs of heavy fits must not be merged
+    into one partition because of their few bytes."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 # ---- expanding-window validation ----------------------------------------------
 
 def add_blocks(rows: DataFrame, folds: int = 5) -> DataFrame:
@@ -284,7 +350,8 @@ def cv_local(rows: DataFrame, keys: Sequence[str], folds: int, models: Sequence[
             out.append(p)
         return pd.concat(out)[[*by, "model", "fold", "row", "time_center", "motion", "y_true", "y_pred"]]
 
-    made = spread.select(*by, "fold", "block", *[c for c in FOLD_ROWS if c != "n"]).groupBy(*by, "fold").applyInPandas(run, schema)
+    slim = spread.select(*by, "fold", "block", *[c for c in FOLD_ROWS if c != "n"])
+    made = spread_groups(slim, [*by, "fold"]).groupBy(*by, "fold").applyInPandas(run, schema)
     return made.withColumn("y_pred", F.when(~F.isnan("y_pred"), F.col("y_pred")))
 
 

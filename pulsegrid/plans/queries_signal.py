@@ -262,7 +262,7 @@ def relative_time(spark, sf):
     return scalars.relative_time(sig, K, "t").select("session_id", "sample_idx", r6("time", "time"))
 
 
-@query("rebase_millis", f"""WITH {SIG}, e AS (SELECT *, CASE WHEN session_id % 2 = 0 THEN epoch_ms(ts)::DOUBLE ELSE clock END AS t FROM sig),
+@query("rebase_millis", f"""WITH {SIG}, e AS (SELECT *, CASE WHEN session_id % 2 = 0 THEN (epoch_us(ts) // 1000)::DOUBLE ELSE clock END AS t FROM sig),
 z AS (SELECT session_id, min(t) AS zero, CASE WHEN median(abs(t)) > 1e6 THEN 1000 ELSE 1 END AS scale FROM e GROUP BY 1)
 SELECT session_id, i AS sample_idx, {sq('t / scale - zero / scale', 'time')} FROM e JOIN z USING (session_id)""")
 def rebase_millis(spark, sf):
@@ -294,7 +294,7 @@ def time_parse(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(scalars.parse_time(text), "seconds"))
 
 
-@query("epoch_seconds", f"SELECT event_id, {sq('CASE WHEN event_id % 2 = 0 THEN epoch_ms(ts) / 1e3 ELSE event_id END', 'seconds')} FROM events")
+@query("epoch_seconds", f"SELECT event_id, {sq('CASE WHEN event_id % 2 = 0 THEN (epoch_us(ts) // 1000) / 1e3 ELSE event_id END', 'seconds')} FROM events")
 def epoch_seconds(spark, sf):
     t = F.when(F.col("event_id") % 2 == 0, F.floor(scalars.wall_micros(F.col("ts")) / 1000).cast("double")).otherwise(F.col("event_id").cast("double"))
     return table(spark, sf, "events").select("event_id", r6(scalars.epoch_or_seconds(t), "seconds"))

@@ -50,7 +50,7 @@ CHANNELS = {
     "accx": "((event_id * 37) % 101) - 50e0",
     "accy": "((event_id * 53) % 103) - 51e0",
     "accz": "100e0 + ((event_id * 71) % 107) / 10e0",
-    "spo2": "98e0 - value / 37e0 + ((event_id * 13) % 29) / 10e0",
+    "spo2": "98e0 - value * 2.718281e-2 + ((event_id * 13) % 29) / 10e0",
 }
 
 

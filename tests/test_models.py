@@ -142,9 +142,35 @@ def test_svr_meets_its_optimality_conditions():
         assert np.allclose(np.abs(err[free]), 0.5, atol=2e-3)
         assert (np.abs(err[full == 0]) <= 0.5 + 2e-3).all()
         assert (np.abs(full) <= 10 * w + 1e-9).all()
-    a, b = fits.svr_line(x, y, np.ones(150))
-    assert abs(b + 25) < 1.5 and abs(a - 110) < 2
-    assert fits.svr_line(x[:0], y[:0], w[:0]) == (0.0, 0.0)
+
+
+def margin_loss(a, b, x, y):
+    sd = x.std() or 1.0
+    return 0.5 * (b * sd) ** 2 + 10 * np.maximum(np.abs(y - a - b * x) - 0.5, 0).sum()
+
+
+@pytest.mark.parametrize("n", [3, 10, 60, 400])
+def test_svr_line_is_as_good_as_the_dual(n):
+    for seed in range(8):
+        x, y, _ = draw(n, seed, 0.1)
+        y = (y, np.round(y), 97 + 0.1 * y, y)[seed % 4]
+        x = np.exp(3 * x) if seed % 4 == 3 else x
+        mean, sd, bias, z, beta, _ = fits.svr(x, y, np.ones(n), "linear", tol=1e-6)
+        slope = float(beta @ z)
+        dual = margin_loss(bias - slope * mean / sd, slope / sd, x, y)
+        assert margin_loss(*fits.svr_line(x, y), x, y) <= dual * (1 + 1e-7) + 1e-7
+    assert fits.svr_line(x[:0], y[:0]) == (0.0, 0.0)
+
+
+def test_svr_line_routes_agree(table):
+    pdf, df = table
+    local = {(r.session_id, r.combo): r for r in models.fit_svr_line(df, ["session_id", "combo"]).collect()}
+    rounds = {(r.session_id, r.combo): r for r in models.fit_svr_line(df, ["session_id", "combo"], local_rows=100).collect()}
+    assert local.keys() == rounds.keys() and len(local) == 4
+    for k, g in pdf.groupby(["session_id", "combo"]):
+        x, y = g.x.to_numpy(), g.y.to_numpy()
+        best, other = (margin_loss(r[k].a, -r[k].b, x, y) for r in (local, rounds))
+        assert best <= other + 1e-9 and other <= best * (1 + 1e-5)
 
 
 def test_boost_first_tree_and_fit():
