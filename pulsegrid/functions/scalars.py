@@ -135,10 +135,10 @@ def site_of(devices: Sequence[Column]) -> Column:
 
 
 def seconds_of_day(text: Column) -> Column:
-    """Seconds since midnight of ``HH:MM:SS.cc`` text."""
+    """Seconds since midnight of ``HH:MM:SS`` text, with optional hundredths."""
     return (
         F.substring(text, 1, 2).try_cast("double") * 3600
         + F.substring(text, 4, 2).try_cast("double") * 60
         + F.substring(text, 7, 2).try_cast("double")
-        + F.substring(text, 10, 2).try_cast("double") / 100.0
+        + F.coalesce(F.substring(text, 10, 2).try_cast("double"), F.lit(0.0)) / 100.0
     )

@@ -32,9 +32,9 @@ def jump_filter(
     ranged = df.withColumn("_r", in_range(F.col(col), low, high))
     stepped = shift_one(ranged, keys, {"_p": x}, idx=idx, size=size)
     jump = F.coalesce(F.abs(x - F.col("_p")) > max_jump, F.lit(False))
-    runs = carry_fill(
-        stepped.withColumn("_j", jump), keys, {"_s": F.when(~F.col("_j"), F.col(idx))}, idx=idx, size=size
-    )
+    # the carry reads its input twice, so the shuffled step is staged
+    staged = materialise(stepped.withColumn("_j", jump), "jumps")
+    runs = carry_fill(staged, keys, {"_s": F.when(~F.col("_j"), F.col(idx))}, idx=idx, size=size)
     odd = F.col("_j") & ((F.col(idx) - F.col("_s")) % 2 == 1)
     return runs.withColumn(out, F.when(~odd, x)).drop("_r", "_p", "_j", "_s")
 
@@ -95,7 +95,7 @@ def sanitize(
 ) -> DataFrame:
     """Reference saturation: range, jumps, gaps, five-point median."""
     out = jump_filter(df, keys, col, low, high, max_jump, idx=idx, size=size)
-    out = interpolate(out, keys, [col], idx, size)
+    out = interpolate(materialise(out, "jumped"), keys, [col], idx, size)
     return moving_median(out, keys, col, 2, idx=idx, size=size)
 
 

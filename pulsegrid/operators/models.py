@@ -525,7 +525,9 @@ def train(
     elif model == "huber":
         fitted = fit_huber(grouped, ["_g"])
     elif model == "ransac":
-        fitted = fit_ransac(dense_index(grouped.drop("row"), ["_g"], "time_center", "row"), ["_g"])
+        # positions for drawing pairs: any order does, a hash spreads the numbering
+        hashed = grouped.drop("row").withColumn("_h", F.xxhash64("time_center", "x", "y"))
+        fitted = fit_ransac(dense_index(hashed, ["_g"], "_h", "row", bucket=F.shiftright("_h", 48)), ["_g"])
     else:
         if count > local_rows:
             raise RuntimeError(f"{model} takes at most {local_rows} windows, got {count}")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .filtering import zero_phase
 from .quantiles import exact_quantiles
 from .segments import SEGMENT_ROWS, carry_fill, shift_one
@@ -52,7 +53,7 @@ def motion_intervals(
     """``(t_start, t_end)`` of every flagged run; an open run ends at the last time."""
     f = F.col(flag)
     slim = df.select(*keys, idx, F.col(time).alias("_t"), f.alias("_f"))
-    stepped = shift_one(slim, keys, {"_before": F.col("_f")}, idx=idx, size=size)
+    stepped = materialise(shift_one(slim, keys, {"_before": F.col("_f")}, idx=idx, size=size), "flags")
     closed = carry_fill(stepped, keys, next={"_close": F.when(F.col("_f") == 0, F.col("_t"))}, idx=idx, size=size)
     last = df.groupBy(*keys).agg(F.max_by(time, idx).alias("_end"))
     starts = closed.where((F.col("_f") == 1) & (F.coalesce("_before", F.lit(0)) == 0))

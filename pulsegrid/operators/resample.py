@@ -27,6 +27,16 @@ def time_grid(spans: Sequence[DataFrame], keys: Sequence[str], fs: float) -> Dat
     return out.select(*keys, F.col("_a").alias("t0"), count.cast("bigint").alias("n_grid"))
 
 
+def grid_points(df: DataFrame, keys: Sequence[str], low: str, high: str, spread: bool = False, run: int = SEGMENT_ROWS) -> DataFrame:
+    """One row per ``grid_idx`` in ``[low, high]``, made in runs so that no row
+    holds a long array; ``spread`` deals the runs of a long grid over tasks."""
+    runs = df.withColumn("_run", F.explode(F.expr(f"sequence({low} div {run}, {high} div {run})")))
+    if spread:
+        runs = runs.repartition(*keys, "_run")
+    inside = f"sequence(greatest({low}, _run * {run}), least({high}, _run * {run} + {run - 1}))"
+    return runs.withColumn("grid_idx", F.explode(F.expr(inside))).drop("_run")
+
+
 def time_span(df: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
     return df.groupBy(*keys).agg(F.min(time).alias("t_min"), F.max(time).alias("t_max"))
 
@@ -61,7 +71,9 @@ def resample_linear(
     spread = (
         placed.withColumn("_lo", low.cast("bigint")).withColumn("_hi", high.cast("bigint"))
         .where("_lo <= _hi")
-        .withColumn("grid_idx", F.explode(F.sequence("_lo", "_hi")))
+    )
+    spread = (
+        grid_points(spread, keys, "_lo", "_hi")
         .withColumn("_g", grid_time(fs))
         .where((is_first | (F.col("_g") > t)) & (is_last | (F.col("_g") <= t2)))
     )
@@ -90,7 +102,7 @@ def resample_sparse(
     values = done.groupBy(*keys, "grid_idx").agg(
         *[F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in cols]
     )
-    points = grid.where("n_grid > 0").withColumn("grid_idx", F.explode(F.expr("sequence(0L, n_grid - 1)")))
+    points = grid_points(grid.where("n_grid > 0"), keys, "0L", "(n_grid - 1)", spread=True)
     return points.select(*keys, "grid_idx", grid_time(fs).alias("time")).join(values, [*keys, "grid_idx"], "left")
 
 

@@ -115,7 +115,8 @@ def carry_fill(
 ) -> DataFrame:
     """Nearest non-null value at or before (``prev``) / at or after (``next``) a row.
 
-    The reach is unbounded: each segment hands on one summary row.
+    The reach is unbounded: each segment hands on one summary row.  ``df`` is read
+    twice (summary and fill), so stage it first where it is costly to compute.
     """
     prev, next = dict(prev or {}), dict(next or {})
     tagged = with_segment(df, idx, size)

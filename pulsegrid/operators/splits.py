@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .segments import dense_index
+
 
 def with_length(df: DataFrame, keys: Sequence[str], idx: str, out: str = "_n") -> DataFrame:
     return df.join(df.groupBy(*keys).agg((F.max(idx) + 1).alias(out)), list(keys))
@@ -48,17 +50,19 @@ def block_shuffle(
 ) -> DataFrame:
     """Permute whole blocks of rows; an incomplete last block is dropped.
 
-    ``rank`` orders the blocks and may use ``_block``.  Only block numbers are
-    ranked (one row per block), rows are moved by a join.
+    ``rank`` is an integer that orders the blocks and may use ``_block``; a 64-bit
+    hash gives a random order.  Only block numbers are ranked (one row per block,
+    in buckets of the rank's high bits), rows are moved by a join.
     """
     tagged = (
         with_length(df, keys, idx)
         .withColumn("_block", F.expr(f"`{idx}` div {block}"))
         .where(F.col("_block") < F.expr(f"_n div {block}"))
     )
-    blocks = tagged.select(*keys, "_block").distinct().withColumn(
-        "_to", F.row_number().over(Window.partitionBy(*keys).orderBy(rank, "_block")) - 1
-    )
+    blocks = dense_index(
+        tagged.select(*keys, "_block").distinct().withColumn("_r", rank.cast("bigint")).withColumn("_o", F.struct("_r", "_block")),
+        keys, "_o", "_to", bucket=F.shiftright("_r", 48),
+    ).select(*keys, "_block", "_to")
     return (
         tagged.join(blocks, [*keys, "_block"])
         .withColumn(out, F.col("_to") * block + F.col(idx) % block)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..config import ModelConfig, SignalConfig
 from ..functions import filters
 from ..functions.scalars import pair_label
 from ..operators import features, filtering, models, motion, spectra, splits
-from . import views
+from . import calibration, dataset, views
 from .registry import K, SIG, query, r6, recording, rounded, sq, sql_windows, table
 
 # ---- recursive filters --------------------------------------------------------------
@@ -544,3 +545,56 @@ for _name, _model in (("svr_rbf_cv", "svr_rbf"), ("gbr_cv", "gbr")):
 def cv_all_models(spark, sf):
     pred = models.cross_validate(_samples(spark, sf, "red_ir"), K, 2)
     return rounded(models.fold_metrics(pred, K, by_motion=False), *models.METRICS)
+
+
+# ---- whole jobs -----------------------------------------------------------------------------------
+
+JOB = SignalConfig(
+    fs_reference=50.0, fs_prototype=50.0, fs_common=50.0, window_sec=0.64, overlap_sec=0.48, spo2_min=85.0, spo2_jump=4.0,
+    warmup_sec=0.1, anc=False, pair_shift=4, min_sqi=0.0, max_lag_sec=0.1, motion_quantile=0.8, band_order=2, dc_sec=0.2, wander_sec=0.1,
+)
+
+
+def _recordings(spark, sf):
+    sig = recording(spark, sf, "red", "ir", "green", "spo2", "time", "accx", "accy", "accz")
+    ref = sig.select(*K, "sample_idx", "time", "red", "ir", "spo2")
+    proto = sig.select(*K, "sample_idx", "time", *[(F.col(c) + 500.0).alias(c) for c in ("red", "ir", "green")], "accx", "accy", "accz")
+    return ref, proto
+
+
+@query("merged_grid")
+def merged_grid(spark, sf):
+    out = calibration.merge_recordings(*_recordings(spark, sf), JOB)
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+
+
+@query("merged_grid_anc")
+def merged_grid_anc(spark, sf):
+    out = calibration.merge_recordings(*_recordings(spark, sf), JOB.with_(anc=True, anc_taps=4, anc_mu=0.001))
+    return rounded(out, *[c for c, t in out.dtypes if t == "double"])
+
+
+@query("calibration_run")
+def calibration_run(spark, sf):
+    merged = calibration.merge_recordings(*_recordings(spark, sf), JOB)
+    feat = calibration.extract_features(merged, JOB.with_(drop_motion=False), PAIRS)
+    pred, metrics, summary = calibration.calibrate_long_enough(feat, ModelConfig(pairs=tuple(PAIRS), folds=2, models=models.CLOSED))
+    return rounded(summary.select("session_id", "combo", "model", "RMSE_mean", "MAE_mean", "Bias_mean"), "RMSE_mean", "MAE_mean", "Bias_mean")
+
+
+@query("legacy_ratios")
+def legacy_ratios(spark, sf):
+    sig = recording(spark, sf, "red", "ir", "green")
+    out = dataset.legacy_ratios(sig.select(*K, "sample_idx", "red", "ir", "green"), K, [("red", "ir"), ("green", "ir")], 20, 5, 50.0)
+    return rounded(out, "r_red_ir", "r_green_ir")
+
+
+@query("dataset_errors")
+def dataset_errors(spark, sf):
+    sig = recording(spark, sf, "red", "ir", "spo2")
+    clocks = sig.select(*K).distinct().select(*K, F.lit("10:00:00").alias("wave_clock"), F.lit("10:00:02.50").alias("spo2_clock"))
+    pairs = dataset.paired_samples(sig, sig.select(*K, "sample_idx", "spo2"), clocks, 4, 8, 2)
+    line = dataset.fit_dataset(pairs.where("session_id % 2 = 0"), 3)
+    records = sig.select(*K).distinct().withColumn("patient_id", F.col("session_id") % 10)
+    errors, _ = dataset.validate_dataset(pairs, line, records, records.where("patient_id % 2 = 0"))
+    return rounded(errors, "error")

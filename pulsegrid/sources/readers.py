@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,11 +90,14 @@ def reference_from_matrix(matrix: DataFrame, fs: float = 100.0) -> DataFrame:
     )
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_delimited(
+    spark: SparkSession, path: str, sep: str | None = None, session: Callable[[Column], Column] = session_of
+) -> DataFrame:
     """A headed table as text columns plus ``session_id`` and ``sample_idx``.
 
     ``sep`` None means commas for ``.csv`` and any whitespace otherwise.  Rows
-    are numbered in file order.
+    are numbered in file order; ``session`` names a recording from its path.
+    All files of a path share the header.
     """
     if sep is None and infer_format(path) == "csv":
         sep = ","
@@ -109,7 +112,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     names = [n.strip().strip('"') for n in re.split(pattern, head.value.strip() if sep is None else head.value)]
     cells = F.split(clean(F.col("value")), pattern)
     rows = lines.where("line_no > 0").select(
-        session_of(F.col("path")).alias("session_id"), (F.col("line_no") - 1).alias("sample_idx"),
+        session(F.col("path")).alias("session_id"), (F.col("line_no") - 1).alias("sample_idx"),
         *[F.trim(F.get(cells, F.lit(i))).alias(n) for i, n in enumerate(names)],
     )
     return rows
@@ -204,20 +207,19 @@ def first_match(dim: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return best.select(*keys, "_d.*")
 
 
-def read_side_table(spark: SparkSession, path: str, column: str = "ScalcO2") -> tuple[DataFrame, DataFrame]:
+def stem(suffix: str) -> Callable[[Column], Column]:
+    """Session id from a file name without its ``suffix``."""
+    tail = suffix.replace(".", r"\.") + "$"
+    return lambda path: F.regexp_replace(F.element_at(F.split(path, "/"), -1), tail, "")
+
+
+def read_side_table(
+    spark: SparkSession, path: str, column: str = "ScalcO2", session: Callable[[Column], Column] = stem("_2hz.csv")
+) -> tuple[DataFrame, DataFrame]:
     """2 Hz saturation table: samples ``(session_id, sample_idx, spo2)`` and the
     clock text of the first row ``(session_id, clock)``."""
-    raw = read_delimited(spark, path, ",")
+    raw = read_delimited(spark, path, ",", session)
     samples = raw.select("session_id", "sample_idx", to_number(F.col(column)).alias("spo2"))
     stamp = raw.where("sample_idx = 0").select("session_id", F.expr("substring(Timestamp, 12, length(Timestamp) - 12)").alias("clock"))
     return samples, stamp
 
-
-def alias_channels(raw: DataFrame) -> DataFrame:
-    """Red and infrared under either of their two known names."""
-    names = {"red": ("Red Signal", "RED"), "ir": ("IR Signal", "IR")}
-    picked = {c: next((a for a in alts if a in raw.columns), None) for c, alts in names.items()}
-    if None in picked.values():
-        raise KeyError(f"no red/infrared signal among {raw.columns}")
-    rest = [c for c in raw.columns if c not in picked.values()]
-    return raw.select(*rest, *[F.col(f"`{a}`").cast("double").alias(c) for c, a in picked.items()])

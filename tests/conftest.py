@@ -12,7 +12,7 @@ from pulsegrid.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "pulsegrid-tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-        spark__driver__memory="6g",
+        spark__driver__memory="6g", spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
