@@ -72,9 +72,9 @@ def znorm(df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix: str =
     stats = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols]
     )
-    out = df.join(stats, list(keys))
-    for c in cols:
-        out = out.withColumn(f"{c}{suffix}", (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-12))
+    out = df.join(stats, list(keys)).withColumns(
+        {f"{c}{suffix}": (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-12) for c in cols}
+    )
     return out.drop(*[f"_{p}_{c}" for c in cols for p in "ms"])
 
 

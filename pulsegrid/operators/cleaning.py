@@ -64,8 +64,7 @@ def interpolate(
     filled = carry_fill(
         df, keys, {f"_p_{n}": k for n, k in known.items()}, {f"_n_{n}": k for n, k in known.items()}, idx, size
     )
-    for n in exprs:
-        filled = filled.withColumn(n, between(F.col(f"_p_{n}"), F.col(f"_n_{n}"), F.col(idx)))
+    filled = filled.withColumns({n: between(F.col(f"_p_{n}"), F.col(f"_n_{n}"), F.col(idx)) for n in exprs})
     return filled.drop(*[f"_{s}_{n}" for n in exprs for s in "pn"])
 
 
@@ -150,12 +149,13 @@ def mark_spikes(
     spread = exact_quantiles(with_medians, keys, second)
     length = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     scored = with_medians.join(spread.join(length, list(keys)), list(keys))
+    marks = {}
     for c in cols:
         far = F.abs(0.6745 * resid[c] / (F.col(f"_ar_{c}") + 1e-12)) > z
         fast = F.abs(0.6745 * F.col(f"_d_{c}") / (F.col(f"_ad_{c}") + 1e-12)) > z
         clipped = (F.col(c) >= F.col(f"_x_{c}_1")) | (F.col(c) <= F.col(f"_x_{c}_0"))
-        scored = scored.withColumn(f"_m_{c}", far | fast | clipped)
-    kept = scored.select(*df.columns, "_n", *[f"{c}_base" for c in cols], *[f"_m_{c}" for c in cols])
+        marks[f"_m_{c}"] = far | fast | clipped
+    kept = scored.select(*df.columns, "_n", *[f"{c}_base" for c in cols], *[e.alias(m) for m, e in marks.items()])
 
     def widen(c):
         m = f"_m_{c}"
@@ -183,8 +183,8 @@ def fill_spikes(
     exprs = {f"{c}{suffix}": F.when(~F.col(f"{c}_spike"), F.col(c)) for c in cols}
     filled = interpolate(marked, keys, exprs, idx, size).join(good, list(keys))
     floor = F.greatest(F.lit(3), F.expr("_n div 10"))
-    for c in cols:
-        filled = filled.withColumn(
-            f"{c}{suffix}", F.when(F.col(f"_g_{c}") < floor, F.col(f"{c}_base")).otherwise(F.col(f"{c}{suffix}"))
-        )
-    return filled.select(*df.columns, *exprs)
+    rest = [c for c in df.columns if c not in exprs]
+    chosen = {
+        f"{c}{suffix}": F.when(F.col(f"_g_{c}") < floor, F.col(f"{c}_base")).otherwise(F.col(f"{c}{suffix}")) for c in cols
+    }
+    return filled.select(*rest, *[e.alias(n) for n, e in chosen.items()])

@@ -94,15 +94,10 @@ def over_halo(
     right: int = 0,
     size: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Add columns computed by ``fn(window)`` on segments with a halo.
-
-    Columns are added in order, so a later one may use an earlier one.
-    """
+    """Add columns computed by ``fn(window)`` on segments with a halo."""
     w = segment_window(keys, idx)
     out = with_halo(df, idx, size, left, right)
-    for name, fn in columns.items():
-        out = out.withColumn(name, fn(w))
-    return drop_halo(out)
+    return drop_halo(out.withColumns({name: fn(w) for name, fn in columns.items()}))
 
 
 def carry_fill(
@@ -120,8 +115,7 @@ def carry_fill(
     """
     prev, next = dict(prev or {}), dict(next or {})
     tagged = with_segment(df, idx, size)
-    for name, expr in {**prev, **next}.items():
-        tagged = tagged.withColumn(f"_v_{name}", expr)
+    tagged = tagged.withColumns({f"_v_{name}": expr for name, expr in {**prev, **next}.items()})
     pos = F.col(idx)
     aggs = [
         F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), pos)).alias(f"_e_{n}") for n in prev
@@ -139,12 +133,10 @@ def carry_fill(
     # that ends at UNBOUNDED FOLLOWING would restart for every row.
     here = Window.partitionBy(*keys, SEG).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy(*keys, SEG).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged
-    for n in prev:
-        out = out.withColumn(f"_l_{n}", F.last(f"_v_{n}", ignorenulls=True).over(here))
-    for n in next:
-        out = out.withColumn(f"_l_{n}", F.last(f"_v_{n}", ignorenulls=True).over(back))
-    out = out.join(carried, [*keys, SEG])
+    out = tagged.withColumns({
+        **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(here) for n in prev},
+        **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(back) for n in next},
+    }).join(carried, [*keys, SEG])
     names = [*prev, *next]
     return out.select(
         *[c for c in df.columns if c not in names],
