@@ -1,0 +1,105 @@
+"""Boosted trees on one feature for groups too large for one task.
+
+The same trees as ``functions.fits.boost``, found by aggregation.  Rows are cut
+into segments of the sorted feature; a node's best split needs only running sums
+of weight and residual, which are carried over segments as in a two-level scan.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import fits
+from ..session import materialise
+
+SEGMENTS = 256
+
+
+def _cuts(active: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best cut of every node that has two feature values: ``(keys, node, cut)``."""
+    resid = F.col("t") - F.col("f")
+    node = [*keys, "node"]
+    part = active.groupBy(*node, "seg").agg(
+        F.sum("w").alias("_w"), F.sum(F.col("w") * resid).alias("_s"), F.min("x").alias("_first")
+    )
+    # one row per segment and node: at most SEGMENTS rows in a window
+    order = Window.partitionBy(*node).orderBy("seg")
+    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*node)
+    zero = F.lit(0.0)
+    carry = part.select(
+        *node, "seg", F.coalesce(F.sum("_w").over(before), zero).alias("_w0"), F.coalesce(F.sum("_s").over(before), zero).alias("_s0"),
+        F.sum("_w").over(every).alias("_wt"), F.sum("_s").over(every).alias("_st"), F.lead("_first").over(order).alias("_x1"),
+    )
+    inside = Window.partitionBy(*node, "seg").orderBy("x")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    scan = active.join(carry, [*node, "seg"]).select(
+        *node, "x", F.coalesce(F.lead("x").over(inside), F.col("_x1")).alias("_next"), "_wt", "_st",
+        (F.col("_w0") + F.sum("w").over(upto)).alias("_wl"), (F.col("_s0") + F.sum(F.col("w") * resid).over(upto)).alias("_sl"),
+    ).where(F.col("_next").isNotNull())
+    wr, sr = F.col("_wt") - F.col("_wl"), F.col("_st") - F.col("_sl")
+    gap = wr * F.col("_sl") - F.col("_wl") * sr
+    rank = F.struct(F.try_divide(gap * gap, F.col("_wl") * wr).alias("g"), (-F.col("x")).alias("x"))
+    return scan.groupBy(*node).agg(F.max_by((F.col("x") + F.col("_next")) / 2, rank).alias("cut"))
+
+
+def boost_rounds(
+    train: DataFrame, test: DataFrame, keys: Sequence[str], trees: int | None = None, shapes: list | None = None
+) -> DataFrame:
+    """``test`` rows with their prediction ``f``.
+
+    ``train`` holds ``(keys, x, y, w)``, ``test`` ``(keys, x, ...)``.  Test rows
+    ride along without weight.  ``shapes`` collects ``(cuts, leaves)`` of every
+    tree (at most 15 numbers each) where a single group is fitted.
+    """
+    trees = fits.TREES if trees is None else trees
+    extra = [c for c in test.columns if c not in (*keys, "x")]
+    points = train.groupBy(*keys, "x").agg(
+        F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("t")
+    )
+    marks = [float((i + 1) / SEGMENTS) for i in range(SEGMENTS - 1)]
+    head = points.groupBy(*keys).agg(
+        (F.sum(F.col("w") * F.col("t")) / F.sum("w")).alias("f"), F.percentile_approx("x", marks, 10_000).alias("_m")
+    )
+    riders = test.select(*keys, "x", F.lit(0.0).alias("w"), F.lit(0.0).alias("t"), F.struct(*(extra or [F.lit(1).alias("one")])).alias("rest"))
+    empty = F.lit(None).cast(riders.schema["rest"].dataType).alias("rest")
+    rows = points.select(*keys, "x", "w", "t", empty).unionByName(riders).join(head, list(keys))
+    seg = F.size(F.filter("_m", lambda m: m < F.col("x")))
+    rows = materialise(rows.withColumn("seg", seg).drop("_m"), "boost")
+    columns = rows.columns
+    for _ in range(trees):
+        nodes, levels = rows.withColumn("node", F.lit(0)), []
+        for _ in range(fits.DEPTH):
+            cuts = materialise(_cuts(nodes.where("w > 0"), keys), "cuts")
+            levels.append(cuts)
+            side = F.coalesce((F.col("x") > F.col("cut")).cast("int"), F.lit(0))
+            nodes = nodes.join(cuts, [*keys, "node"], "left").withColumn("node", 2 * F.col("node") + side).drop("cut")
+        leaf = nodes.where("w > 0").groupBy(*keys, "node").agg(
+            (fits.RATE * F.sum(F.col("w") * (F.col("t") - F.col("f"))) / F.sum("w")).alias("_step")
+        )
+        if shapes is not None:
+            leaf = materialise(leaf, "leaves")
+            shapes.append(([{r.node: r.cut for r in c.collect()} for c in levels], {r.node: r._step for r in leaf.collect()}))
+        rows = materialise(
+            nodes.join(leaf, [*keys, "node"]).withColumn("f", F.col("f") + F.col("_step")).select(*columns), "boost"
+        )
+    out = rows.where(F.col("rest").isNotNull())
+    return out.select(*keys, "x", *[F.col(f"rest.{c}").alias(c) for c in extra], "f")
+
+
+def step_function(base: float, shapes: list) -> tuple[list[float], list[float]]:
+    """``(breaks, values)`` of the sum of all trees of one group."""
+    import numpy as np
+
+    breaks = sorted({c for levels, _ in shapes for level in levels for c in level.values()})
+    probe = np.array([b - 1e-300 if b == 0 else np.nextafter(b, -np.inf) for b in breaks] + [np.inf])
+    total = np.full(len(probe), base)
+    for levels, leaves in shapes:
+        node = np.zeros(len(probe), int)
+        for level in levels:
+            cut = np.array([level.get(int(k), np.inf) for k in node])
+            node = 2 * node + (probe > cut)
+        total += [leaves[int(k)] for k in node]
+    return [float(b) for b in breaks], [float(v) for v in total]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fits
 from ..functions.scalars import clip, pair_label, safe_ratio
 from ..session import materialise
+from .boosting import boost_rounds, step_function
 from .features import per_pair
 from .quantiles import exact_quantiles
 from .segments import dense_index
@@ -373,16 +374,30 @@ def cv_large_robust(rows: DataFrame, keys: Sequence[str], folds: int, models: Se
     )
 
 
+def cv_large_boost(rows: DataFrame, keys: Sequence[str], folds: int) -> DataFrame:
+    """Out-of-fold predictions of boosted trees for fits too large for one task."""
+    by = [*keys, "combo", "fold"]
+    blocked = materialise(add_blocks(rows, folds), "trees")
+    train = blocked.withColumn("fold", F.explode_outer(F.sequence(F.col("block") + 1, F.lit(folds)))).where(
+        F.col("block") < F.col("fold")
+    )
+    test = blocked.where("block > 0").withColumnRenamed("block", "fold")
+    pred = boost_rounds(train.select(*by, "x", "y", "w"), test.select(*by, "x", "row", "time_center", "motion", "y"), by)
+    return pred.select(
+        *keys, "combo", F.lit("gbr").alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred")
+    )
+
+
 def cross_validate(
     rows: DataFrame, keys: Sequence[str], folds: int = 5,
     models: Sequence[str] = (*CLOSED, *ROBUST, *KERNEL), local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """Out-of-fold predictions of all models, one row per window, pair and model.
 
-    Closed forms aggregate.  Robust lines run in one task per fit up to
-    ``local_rows`` rows and by rounds of aggregation beyond.  Kernel and tree
-    fits have no exact distributed form here and refuse larger fits, with an
-    error rather than a partial answer.
+    Closed forms aggregate.  Robust lines and trees run in one task per fit up
+    to ``local_rows`` rows and by rounds of aggregation beyond.  The radial
+    support-vector fit has no exact distributed form here and refuses larger
+    fits, with an error rather than a partial answer.
     """
     parts = []
     closed = [m for m in models if m in CLOSED]
@@ -391,15 +406,16 @@ def cross_validate(
     together = [m for m in models if m not in CLOSED]
     if together:
         large = rows.where(F.col("n") > local_rows)
-        kernel = [m for m in together if m in KERNEL]
         robust = [m for m in together if m in ROBUST]
         small = rows.where(F.col("n") <= local_rows)
         has_large = not large.select(F.lit(1)).limit(1).isEmpty()
-        if has_large and kernel:
-            raise RuntimeError(f"{kernel} take at most {local_rows} windows per session; leave them out or raise local_rows")
+        if has_large and "svr_rbf" in together:
+            raise RuntimeError(f"svr_rbf takes at most {local_rows} windows per session; leave it out or raise local_rows")
         parts.append(cv_local(small, keys, folds, together))
         if has_large and robust:
             parts.append(cv_large_robust(large, keys, folds, robust))
+        if has_large and "gbr" in together:
+            parts.append(cv_large_boost(large, keys, folds))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -510,7 +526,8 @@ def train(
     """Fit one model on all rows of one pair.
 
     The final fit ignores the quality weights unless ``weighted``.  Kernel and
-    tree fits gather their rows in one task, up to ``local_rows``.
+    tree fits gather their rows in one task up to ``local_rows``; larger trees
+    are grown by aggregation.
     """
     mine = rows.where((F.col("combo") == combo) & F.col("x").isNotNull() & F.col("y").isNotNull())
     if not weighted:
@@ -528,6 +545,12 @@ def train(
         # positions for drawing pairs: any order does, a hash spreads the numbering
         hashed = grouped.drop("row").withColumn("_h", F.xxhash64("time_center", "x", "y"))
         fitted = fit_ransac(dense_index(hashed, ["_g"], "_h", "row", bucket=F.shiftright("_h", 48)), ["_g"])
+    elif model == "gbr" and count > local_rows:
+        shapes: list = []
+        boost_rounds(grouped, grouped.select("_g", "x").limit(0), ["_g"], shapes=shapes)
+        base = grouped.agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
+        breaks, values = step_function(base, shapes)
+        params, fitted = (*breaks, *values), None
     else:
         if count > local_rows:
             raise RuntimeError(f"{model} takes at most {local_rows} windows, got {count}")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import fits
-from pulsegrid.operators import models, splits
+from pulsegrid.operators import boosting, models, splits
 
 K = ["session_id"]
 
@@ -102,7 +102,26 @@ def test_large_robust_route(table):
         r = pred[(pred.session_id == "hot") & (pred.combo == "red_ir") & (pred.fold == f) & (pred.model == "ransac")]
         assert np.abs(r.y_pred - r.y_true).median() < 1.5
     with pytest.raises(RuntimeError):
-        models.cross_validate(df, K, 5, ("gbr",), local_rows=100)
+        models.cross_validate(df, K, 5, ("svr_rbf",), local_rows=100)
+
+
+def test_large_trees_route(table, monkeypatch):
+    pdf, df = table
+    monkeypatch.setattr(fits, "TREES", 3)
+    monkeypatch.setattr(boosting, "SEGMENTS", 7)
+    rows = df.where("combo = 'red_ir'")
+    large = models.cross_validate(rows, K, 2, ("gbr",), local_rows=100).toPandas()
+    g = pdf[(pdf.session_id == "hot") & (pdf.combo == "red_ir")]
+    x, y, w = g.x.to_numpy(), g.y.to_numpy(), g.w.to_numpy()
+    for f in (1, 2):
+        tr, te = fold_split(400, f, 2)
+        want = fits.step_predict(fits.boost(x[tr], y[tr], w[tr]), x[te])
+        mine = large[(large.session_id == "hot") & (large.fold == f)].sort_values("row")
+        assert mine.row.tolist() == te.tolist() and np.allclose(mine.y_pred, want, atol=1e-9)
+    trained = models.train(rows.where("session_id = 'hot'"), "red_ir", "gbr", 1.0, local_rows=100)
+    want = fits.step_predict(fits.boost(x, y, np.ones(400)), x)
+    got = models.apply_model(trained, rows.where("session_id = 'hot'"), K).toPandas().sort_values("time_center")
+    assert np.allclose(got.spo2_estimated, want, atol=1e-9)
 
 
 def huber_loss(p, z, y, w):
