@@ -278,3 +278,36 @@ def consensus(x, y, w, seed: int = 42, trials: int = 100) -> tuple[float, float]
         return None
     return line(x[best], y[best], w[best])
 
+
+
+CELL = 0.3  # spacing of kernel centres on the scaled feature: finer adds no digits
+
+
+def kernel_basis(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres around the occupied cells and the map from kernel values at them to
+    orthonormal features; a Gaussian kernel on a line needs no more of them than
+    its spectrum holds."""
+    wide = np.unique((np.asarray(cells)[:, None] + np.arange(-3, 4)[None, :]).ravel())
+    centres = (wide + 0.5) * CELL
+    size, vectors = np.linalg.eigh(np.exp(-((centres[:, None] - centres[None, :]) ** 2)))
+    keep = size > 1e-9 * size[-1]
+    return centres, vectors[:, keep] / np.sqrt(size[keep])
+
+
+def kernel_sums(z, t, c, centres, basis, weights, width) -> np.ndarray:
+    """Normal-equation sums of one majorising step of the margin loss: the matrix
+    of the features and the constant, bordered by the target column."""
+    phi = np.concatenate([np.exp(-((z[:, None] - centres[None, :]) ** 2)) @ basis, np.ones((len(z), 1))], axis=1)
+    fit = phi @ weights
+    total = np.zeros((phi.shape[1], phi.shape[1] + 1))
+    for edge in (SVR_EPS, -SVR_EPS):
+        e = t + edge
+        v = SVR_C / 2 * c / np.sqrt((e - fit) ** 2 + width * width)
+        total += (phi * v[:, None]).T @ np.concatenate([phi, e[:, None]], axis=1)
+    return total
+
+
+def kernel_step(total: np.ndarray) -> np.ndarray:
+    ridge = np.eye(len(total))
+    ridge[-1, -1] = 0.0
+    return np.linalg.solve(total[:, :-1] + ridge, total[:, -1])

@@ -39,16 +39,6 @@ def jump_filter(
     return runs.withColumn(out, F.when(~odd, x)).drop("_r", "_p", "_j", "_s")
 
 
-def between(prev: Column, nxt: Column, pos: Column) -> Column:
-    """Straight line between two ``(i, v)`` structs at ``pos``; edges are held."""
-    slope = (nxt["v"] - prev["v"]) / (nxt["i"] - prev["i"])
-    return (
-        F.when(prev.isNull(), nxt["v"])
-        .when(nxt.isNull() | (nxt["i"] == prev["i"]), prev["v"])
-        .otherwise(prev["v"] + slope * (pos - prev["i"]))
-    )
-
-
 def interpolate(
     df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column] | Sequence[str],
     idx: str = "sample_idx", size: int = SEGMENT_ROWS,
@@ -58,14 +48,16 @@ def interpolate(
     ``cols`` names columns, or maps an output name to the expression to fill.
     """
     exprs = dict(cols) if isinstance(cols, Mapping) else {c: F.col(c) for c in cols}
-    known = {
-        n: F.when(e.isNotNull(), F.struct(F.col(idx).alias("i"), e.alias("v"))) for n, e in exprs.items()
-    }
     filled = carry_fill(
-        df, keys, {f"_p_{n}": k for n, k in known.items()}, {f"_n_{n}": k for n, k in known.items()}, idx, size
+        df, keys, {f"_p_{n}": e for n, e in exprs.items()}, {f"_n_{n}": e for n, e in exprs.items()}, idx, size, positions=True
     )
-    filled = filled.withColumns({n: between(F.col(f"_p_{n}"), F.col(f"_n_{n}"), F.col(idx)) for n in exprs})
-    return filled.drop(*[f"_{s}_{n}" for n in exprs for s in "pn"])
+
+    def line(n: str) -> Column:
+        p, q, i, j = (F.col(c) for c in (f"_p_{n}", f"_n_{n}", f"_p_{n}_at", f"_n_{n}_at"))
+        return F.when(p.isNull(), q).when(q.isNull() | (i == j), p).otherwise(p + (q - p) / (j - i) * (F.col(idx) - i))
+
+    rest = [c for c in df.columns if c not in exprs]
+    return filled.select(*rest, *[line(n).alias(n) for n in exprs])
 
 
 def middle(values: Column) -> Column:

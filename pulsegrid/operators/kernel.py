@@ -1,0 +1,114 @@
+"""Radial support-vector regression for groups too large for one task.
+
+On one feature the Gaussian kernel has a small exact basis, so the fit is a
+linear problem in some dozens of unknowns.  It is solved by rounds: every salted
+part of a group adds up its normal equations, the sums are small.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fits
+from ..session import materialise
+from .segments import SEGMENT_ROWS
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def _salted(df: DataFrame, sizes: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return df.join(sizes, list(keys)).withColumn("salt", F.pmod(F.xxhash64(*by), F.col("_parts"))).drop("_parts")
+
+
+def fit_kernel(train: DataFrame, keys: Sequence[str], part_rows: int = SEGMENT_ROWS, widths: Sequence[float] = fits.WIDTHS) -> DataFrame:
+    """``(keys, params)`` with the fit in the layout of ``models.TrainedModel``."""
+    keys = list(keys)
+    stats = train.groupBy(*keys).agg(
+        F.avg("x").alias("mx"), F.stddev_pop("x").alias("sd"), F.avg("y").alias("my"), F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts")
+    ).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    z = (F.col("x") - F.col("mx")) / F.col("sd")
+    rows = train.join(stats, keys).select(
+        *keys, z.alias("z"), (F.col("y") - F.col("my")).alias("t"), F.col("w").alias("c"),
+        F.pmod(F.xxhash64("x", "y", "w"), F.col("_parts")).alias("salt"),
+    )
+    rows = materialise(rows, "kernel")
+    # the cells, not the rows, of a group are gathered
+    cells = rows.select(*keys, F.floor(F.col("z") / fits.CELL).alias("cell")).distinct()
+    parts = materialise(rows.select(*keys, "salt").distinct(), "kernel-parts")
+    heads = stats.drop("_parts").join(cells.groupBy(*keys).agg(F.sort_array(F.collect_list("cell")).alias("cells")), keys)
+    state = materialise(heads.withColumn("weights", F.lit(None).cast("array<double>")), "kernel-state")
+    columns = state.columns
+
+    def adder(width: float):
+        def add_up(key, g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+            centres, basis = fits.kernel_basis(s.cells.iloc[0])
+            old = s.weights.iloc[0]
+            old = np.zeros(basis.shape[1] + 1) if old is None else np.asarray(old)
+            total = fits.kernel_sums(g.z.to_numpy(), g.t.to_numpy(), g.c.to_numpy(), centres, basis, old, width)
+            out = pd.DataFrame({"pos": np.arange(total.size), "v": total.ravel()})
+            for name, value in zip(keys, key):
+                out[name] = value
+            return out[[*keys, "pos", "v"]]
+
+        return add_up
+
+    def solve(batches):
+        for b in batches:
+            new = []
+            for s in b["s"]:
+                v = np.array([e["v"] for e in s])
+                size = int((-1 + np.sqrt(1 + 4 * len(v))) / 2)
+                new.append(fits.kernel_step(v.reshape(size, size + 1)).tolist())
+            b["weights"] = new
+            yield b[columns]
+
+    for width in widths:
+        spread = parts.join(state.select(*keys, "cells", "weights"), keys)
+        sums = rows.groupBy(*keys, "salt").cogroup(spread.groupBy(*keys, "salt")).applyInPandas(
+            adder(width), f"{_fields(train, keys)}, pos int, v double"
+        )
+        total = sums.groupBy(*keys, "pos").agg(F.sum("v").alias("v")).groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s")
+        )
+        state = materialise(state.drop("weights").join(total, keys).mapInPandas(solve, state.schema), "kernel-state")
+
+    def pack(batches):
+        for b in batches:
+            out = []
+            for mean, sd, my, cells, w in zip(b.mx, b.sd, b.my, b.cells, b.weights):
+                centres, basis = fits.kernel_basis(cells)
+                w = np.asarray(w)
+                out.append([mean, sd, my + w[-1], 1.0, *centres, *(basis @ w[:-1])])
+            b["params"] = out
+            yield b[[*keys, "params"]]
+
+    return materialise(state.mapInPandas(pack, f"{_fields(train, keys)}, params array<double>"), "kernel-fit")
+
+
+def predict_kernel(test: DataFrame, params: DataFrame, keys: Sequence[str], part_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """``test`` rows with their prediction ``f``; parts of a group go separately."""
+    keys = list(keys)
+    sizes = test.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
+    rows = _salted(test, sizes, keys, [c for c in test.columns if c not in keys])
+    spread = materialise(
+        sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts").join(params, keys),
+        "kernel-spread",
+    )
+    names = test.columns
+
+    def run(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if len(g) == 0 or len(s) == 0:
+            return g[names].assign(f=pd.Series(dtype=float))
+        p = np.asarray(s.params.iloc[0])
+        half = (len(p) - 4) // 2
+        fit = (p[0], p[1], p[2], p[4 : 4 + half], p[4 + half :], p[3])
+        return g[names].assign(f=fits.svr_predict(fit, g.x.to_numpy()))
+
+    return rows.groupBy(*keys, "salt").cogroup(spread.groupBy(*keys, "salt")).applyInPandas(run, f"{_fields(test, names)}, f double")

@@ -19,6 +19,7 @@ from ..functions.scalars import clip, pair_label, safe_ratio
 from ..session import materialise
 from .boosting import boost_rounds, step_function
 from .features import per_pair
+from .kernel import fit_kernel, predict_kernel
 from .quantiles import exact_quantiles
 from .segments import dense_index
 
@@ -388,16 +389,29 @@ def cv_large_boost(rows: DataFrame, keys: Sequence[str], folds: int) -> DataFram
     )
 
 
+def cv_large_kernel(rows: DataFrame, keys: Sequence[str], folds: int) -> DataFrame:
+    """Out-of-fold predictions of radial support-vector fits too large for one task."""
+    by = [*keys, "combo", "fold"]
+    blocked = materialise(add_blocks(rows, folds), "kernel-rows")
+    train = blocked.withColumn("fold", F.explode_outer(F.sequence(F.col("block") + 1, F.lit(folds)))).where(
+        F.col("block") < F.col("fold")
+    )
+    test = blocked.where("block > 0").withColumnRenamed("block", "fold")
+    params = fit_kernel(train.select(*by, "x", "y", "w"), by)
+    pred = predict_kernel(test.select(*by, "x", "row", "time_center", "motion", "y"), params, by)
+    return pred.select(
+        *keys, "combo", F.lit("svr_rbf").alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred")
+    )
+
+
 def cross_validate(
     rows: DataFrame, keys: Sequence[str], folds: int = 5,
     models: Sequence[str] = (*CLOSED, *ROBUST, *KERNEL), local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """Out-of-fold predictions of all models, one row per window, pair and model.
 
-    Closed forms aggregate.  Robust lines and trees run in one task per fit up
-    to ``local_rows`` rows and by rounds of aggregation beyond.  The radial
-    support-vector fit has no exact distributed form here and refuses larger
-    fits, with an error rather than a partial answer.
+    Closed forms aggregate.  The others run in one task per fit up to
+    ``local_rows`` rows and by rounds of aggregation beyond.
     """
     parts = []
     closed = [m for m in models if m in CLOSED]
@@ -409,13 +423,13 @@ def cross_validate(
         robust = [m for m in together if m in ROBUST]
         small = rows.where(F.col("n") <= local_rows)
         has_large = not large.select(F.lit(1)).limit(1).isEmpty()
-        if has_large and "svr_rbf" in together:
-            raise RuntimeError(f"svr_rbf takes at most {local_rows} windows per session; leave it out or raise local_rows")
         parts.append(cv_local(small, keys, folds, together))
         if has_large and robust:
             parts.append(cv_large_robust(large, keys, folds, robust))
         if has_large and "gbr" in together:
             parts.append(cv_large_boost(large, keys, folds))
+        if has_large and "svr_rbf" in together:
+            parts.append(cv_large_kernel(large, keys, folds))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -526,8 +540,8 @@ def train(
     """Fit one model on all rows of one pair.
 
     The final fit ignores the quality weights unless ``weighted``.  Kernel and
-    tree fits gather their rows in one task up to ``local_rows``; larger trees
-    are grown by aggregation.
+    tree fits gather their rows in one task up to ``local_rows`` and aggregate
+    beyond.
     """
     mine = rows.where((F.col("combo") == combo) & F.col("x").isNotNull() & F.col("y").isNotNull())
     if not weighted:
@@ -551,9 +565,9 @@ def train(
         base = grouped.agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
         breaks, values = step_function(base, shapes)
         params, fitted = (*breaks, *values), None
+    elif model == "svr_rbf" and count > local_rows:
+        params, fitted = tuple(fit_kernel(grouped, ["_g"]).first().params), None
     else:
-        if count > local_rows:
-            raise RuntimeError(f"{model} takes at most {local_rows} windows, got {count}")
 
         def run(g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values("time_center")

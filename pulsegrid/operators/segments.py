@@ -39,7 +39,7 @@ def dense_index(
     counts is the offset of the bucket, and ``row_number`` runs inside a bucket.
     ``bucket`` must not decrease along ``order``; the default suits integers.
     """
-    b = F.floor(F.col(order) / F.lit(bucket_span)) if bucket is None else bucket
+    b = F.expr(f"`{order}` div {bucket_span}") if bucket is None else bucket
     tagged = df.withColumn("_bucket", b)
     part = [*keys, "_bucket"]
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,41 +107,45 @@ def carry_fill(
     next: Mapping[str, Column] | None = None,
     idx: str = "sample_idx",
     size: int = SEGMENT_ROWS,
+    positions: bool = False,
 ) -> DataFrame:
     """Nearest non-null value at or before (``prev``) / at or after (``next``) a row.
 
     The reach is unbounded: each segment hands on one summary row.  ``df`` is read
     twice (summary and fill), so stage it first where it is costly to compute.
+    With ``positions`` the index of each value comes along as ``{name}_at``.
+    Values should be plain numbers or text: structs would force a sort before
+    the summary's aggregation.
     """
-    prev, next = dict(prev or {}), dict(next or {})
-    tagged = with_segment(df, idx, size)
-    tagged = tagged.withColumns({f"_v_{name}": expr for name, expr in {**prev, **next}.items()})
+    sides = [(n, e, True) for n, e in (prev or {}).items()] + [(n, e, False) for n, e in (next or {}).items()]
     pos = F.col(idx)
-    aggs = [
-        F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), pos)).alias(f"_e_{n}") for n in prev
-    ] + [F.min_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), pos)).alias(f"_e_{n}") for n in next]
+    tagged = with_segment(df, idx, size).withColumns({f"_v_{n}": e for n, e, _ in sides})
+    at = {n: F.when(F.col(f"_v_{n}").isNotNull(), pos) for n, _, _ in sides}
+    aggs = []
+    for n, _, back in sides:
+        aggs.append((F.max_by if back else F.min_by)(F.col(f"_v_{n}"), at[n]).alias(f"_e_{n}"))
+        if positions:
+            aggs.append((F.max if back else F.min)(at[n]).alias(f"_a_{n}"))
     edges = tagged.groupBy(*keys, SEG).agg(*aggs)
     up = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*keys).orderBy(F.desc(SEG)).rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(
-        *keys,
-        SEG,
-        *[F.last(f"_e_{n}", ignorenulls=True).over(up).alias(f"_c_{n}") for n in prev],
-        *[F.last(f"_e_{n}", ignorenulls=True).over(down).alias(f"_c_{n}") for n in next],
-    )
     # The "next" side runs as a running window over descending order: a frame
     # that ends at UNBOUNDED FOLLOWING would restart for every row.
     here = Window.partitionBy(*keys, SEG).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys, SEG).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.withColumns({
-        **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(here) for n in prev},
-        **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(back) for n in next},
-    }).join(carried, [*keys, SEG])
-    names = [*prev, *next]
-    return out.select(
-        *[c for c in df.columns if c not in names],
-        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in names],
-    )
+    back_w = Window.partitionBy(*keys, SEG).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0)
+    carried, local, result = [], {}, []
+    for n, _, back in sides:
+        over, within = (up, here) if back else (down, back_w)
+        carried.append(F.last(f"_e_{n}", ignorenulls=True).over(over).alias(f"_c_{n}"))
+        local[f"_l_{n}"] = F.last(f"_v_{n}", ignorenulls=True).over(within)
+        result.append(F.coalesce(f"_l_{n}", f"_c_{n}").alias(n))
+        if positions:
+            carried.append(F.last(f"_a_{n}", ignorenulls=True).over(over).alias(f"_ca_{n}"))
+            local[f"_la_{n}"] = F.last(at[n], ignorenulls=True).over(within)
+            result.append(F.coalesce(f"_la_{n}", f"_ca_{n}").alias(f"{n}_at"))
+    names = {n for n, _, _ in sides}
+    out = tagged.withColumns(local).join(edges.select(*keys, SEG, *carried), [*keys, SEG])
+    return out.select(*[c for c in df.columns if c not in names], *result)
 
 
 def shift_one(

@@ -281,6 +281,23 @@ def ratio_windows(spark, sf):
     return rounded(spectra.ratio_windows(sig, K, "red", "ir", 8, 4, 0.5, 3.0, 4), "r")
 
 
+_WIN_FLT = filters.butterworth(2, 0.5, 3.0, 8.0)
+_WIN = f"""{SIG.replace('sig AS (', 'sig0 AS (', 1).replace('cnt AS (SELECT session_id, count(*) AS n FROM sig ', 'cnt0 AS (SELECT session_id, count(*) AS n FROM sig0 ')},
+wk AS (SELECT session_id, unnest(range(0, n // 8 - 5)) AS k FROM cnt0 WHERE n // 8 > 5),
+sig AS (SELECT s.session_id * 1000 + k AS session_id, s.i - k * 8 AS i, red, ir FROM wk JOIN sig0 s ON s.session_id = wk.session_id AND s.i >= k * 8 AND s.i < k * 8 + 32),
+cnt AS (SELECT session_id, count(*) AS n FROM sig GROUP BY 1),
+{sql_zero_phase('red', _WIN_FLT, '0e0')},
+{sql_zero_phase('ir', _WIN_FLT, '0e0').replace('ext', 'exu').replace('fw', 'fx').replace('zp', 'zq')},
+dcs AS (SELECT session_id, avg(red) AS dr, avg(ir) AS di FROM sig GROUP BY 1),
+acs AS (SELECT session_id, stddev_pop(zp.x) AS ar, stddev_pop(zq.x) AS ai FROM zp JOIN zq USING (session_id, p) WHERE p >= 0 AND p < 32 GROUP BY 1)"""
+
+
+@query("ratio_windows_order2", f"WITH RECURSIVE {_WIN} SELECT session_id // 1000 AS session_id, session_id % 1000 AS sec_idx, {sq('(ar / dr) / (ai / di)', 'r')} FROM dcs JOIN acs USING (session_id)")
+def ratio_windows_order2(spark, sf):
+    sig = recording(spark, sf, "red", "ir")
+    return rounded(spectra.ratio_windows(sig, K, "red", "ir", 8, 4, 0.5, 3.0, 2), "r")
+
+
 # ---- calibration samples ------------------------------------------------------------------
 
 SMP = """smp AS (SELECT session_id, combo, i AS row, n, time AS time_center, CAST(event_id % 5 = 0 AS INTEGER) AS motion, x, spo2 AS y, greatest(0.05, ((event_id * 11) % 100) / 100e0) AS w FROM (

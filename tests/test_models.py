@@ -101,8 +101,19 @@ def test_large_robust_route(table):
         assert np.allclose(mine.y_pred, a + b * g.x.to_numpy()[te], atol=1e-6)
         r = pred[(pred.session_id == "hot") & (pred.combo == "red_ir") & (pred.fold == f) & (pred.model == "ransac")]
         assert np.abs(r.y_pred - r.y_true).median() < 1.5
-    with pytest.raises(RuntimeError):
-        models.cross_validate(df, K, 5, ("svr_rbf",), local_rows=100)
+
+def test_large_kernel_route(table, monkeypatch):
+    pdf, df = table
+    rows = df.where("combo = 'red_ir'")
+    large = models.cross_validate(rows, K, 2, ("svr_rbf",), local_rows=100).toPandas()
+    small = models.cross_validate(rows, K, 2, ("svr_rbf",)).toPandas()
+    both = large.merge(small, on=["session_id", "fold", "row"], suffixes=("", "_s"))
+    assert len(both) == len(small) == len(large)
+    # the dual stops at a tolerance of 1e-3 of its own
+    assert (both.y_pred - both.y_pred_s).abs().max() < 0.05
+    whole, parts = (models.fit_kernel(rows, K, n, (1.0, 0.1, 0.01)).collect() for n in (10_000, 60))
+    for a, b in zip(sorted(whole), sorted(parts)):
+        assert a.session_id == b.session_id and np.allclose(a.params, b.params, rtol=1e-5, atol=1e-5)
 
 
 def test_large_trees_route(table, monkeypatch):
