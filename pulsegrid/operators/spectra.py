@@ -153,3 +153,62 @@ def ratio_windows(
         return pa.table({**data, "sec_idx": pa.array(k, pa.int64()), "r": pa.array(r, mask=~np.isfinite(r))})
 
     return with_halo(df.select(*keys, idx, red, ir), idx, size, 0, reach).groupBy(*keys, SEG).applyInArrow(group, schema)
+
+
+def cancelled_ratio_windows(
+    df: DataFrame, keys, red: str, ir: str, acc, fs: float, width: int, step: int, mu: float = 0.001, taps: int = 5,
+    low: float = 0.5, high: float = 5.0, cutoff: float = 0.5, order: int = 5, idx: str = "sample_idx", size: int | None = None,
+) -> DataFrame:
+    """Trailing ratios of windows that are filtered and motion-cancelled one by one.
+
+    Each window of ``width`` rows (every ``step`` rows, with one row after it)
+    starts its causal band and low pass and its canceller from rest; references
+    are the axes and their magnitude within the window.  AC is the deviation of
+    the cancelled band, DC the mean of the cancelled low pass.  Windows of a
+    segment run side by side, so only the samples of one window are sequential.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ..functions import filters
+    from .segments import SEG, SEGMENT_ROWS, sorted_segment, to_float, with_halo
+
+    size = size or SEGMENT_ROWS
+    band = filters.butterworth(order, low, high, float(fs))
+    slow = filters.butterworth(order, None, cutoff, float(fs))
+    acc = list(acc)
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("window_id", T.LongType()), T.StructField("r", T.DoubleType())])
+
+    def cancel(signals: np.ndarray, refs: np.ndarray) -> np.ndarray:
+        """(windows, signals, n) against (windows, refs, n), current sample included."""
+        count, kinds, n = signals.shape
+        padded = np.concatenate([np.zeros((count, refs.shape[1], taps - 1)), refs], axis=2)
+        w = np.zeros((count, kinds, refs.shape[1] * taps))
+        out = np.empty_like(signals)
+        for i in range(n):
+            x = padded[:, :, i : i + taps][:, :, ::-1].reshape(count, 1, refs.shape[1] * taps)
+            out[:, :, i] = signals[:, :, i] - (w * x).sum(axis=2)
+            w += 2 * mu * out[:, :, i, None] * x
+        return out
+
+    def group(table: pa.Table) -> pa.Table:
+        ready = sorted_segment(table, idx, size, width)
+        k, r = np.zeros(0, np.int64), np.zeros(0)
+        if ready is not None:
+            sorted_table, seg = ready
+            cols = {c: to_float(sorted_table.column(c)) for c in (red, ir, *acc)}
+            own, base = seg.idx[seg.core], int(seg.idx[0])
+            k = np.arange(-(-int(own[0]) // step), int(own[-1]) // step + 1)
+            k = k[k * step + width <= int(seg.idx[-1])]
+            at = (k * step - base)[:, None] + np.arange(width)[None, :]
+            win = {c: v[at] for c, v in cols.items()}
+            refs = np.stack([*(win[c] for c in acc), np.sqrt(sum(win[c] ** 2 for c in acc))], axis=1)
+            parts = np.stack([filters.run_filter(f, win[c]) for c in (red, ir) for f in (band, slow)], axis=1)
+            clean = cancel(parts, refs)
+            with np.errstate(all="ignore"):
+                r = (clean[:, 0].std(axis=1) / clean[:, 1].mean(axis=1)) / (clean[:, 2].std(axis=1) / clean[:, 3].mean(axis=1))
+        data = {c: pa.array([table.column(c)[0].as_py()] * len(k), table.schema.field(c).type) for c in keys}
+        return pa.table({**data, "window_id": pa.array(k, pa.int64()), "r": pa.array(r, mask=~np.isfinite(r))})
+
+    slim = df.select(*keys, idx, red, ir, *acc)
+    return with_halo(slim, idx, size, 0, width).groupBy(*keys, SEG).applyInArrow(group, schema)

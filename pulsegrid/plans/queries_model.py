@@ -298,6 +298,14 @@ def ratio_windows_order2(spark, sf):
     return rounded(spectra.ratio_windows(sig, K, "red", "ir", 8, 4, 0.5, 3.0, 2), "r")
 
 
+@query("cancelled_ratio_windows")
+def cancelled_ratio_windows(spark, sf):
+    sig = recording(spark, sf, "red", "ir", "accx", "accy", "accz")
+    scaled = sig.select(*K, "sample_idx", "red", "ir", *[(F.col(c) / 50.0).alias(c) for c in ("accx", "accy", "accz")])
+    out = spectra.cancelled_ratio_windows(scaled, K, "red", "ir", ["accx", "accy", "accz"], 50.0, 20, 5)
+    return rounded(out, "r")
+
+
 # ---- calibration samples ------------------------------------------------------------------
 
 SMP = """smp AS (SELECT session_id, combo, i AS row, n, time AS time_center, CAST(event_id % 5 = 0 AS INTEGER) AS motion, x, spo2 AS y, greatest(0.05, ((event_id * 11) % 100) / 100e0) AS w FROM (

@@ -118,3 +118,22 @@ def test_quality_vector_and_gate(spark):
     good, flat = sorted(rows, key=lambda r: r.heart_rate is None)
     assert good.open and good.strict and abs(good.heart_rate - 71.6) < 2 and good.relative_power > 0.9
     assert flat.open and not flat.strict and flat.heart_rate is None and flat.skewness is None
+
+
+@pytest.mark.parametrize("size", [150, 9000])
+def test_cancelled_ratio_windows(merged, size):
+    pdf, df = merged
+    acc = ["acc_mag", "motion_energy"]
+    got = spectra.cancelled_ratio_windows(df, K, "red_raw", "ir_raw", acc, 50.0, 60, 25, 0.01, 3, size=size).toPandas()
+    band, slow = filters.butterworth(5, 0.5, 5.0, 50.0), filters.butterworth(5, None, 0.5, 50.0)
+    for s, g in pdf.groupby("session_id"):
+        want = []
+        for x in range(60, len(g), 25):
+            v = g.iloc[x - 60 : x]
+            refs = [v[c].to_numpy() for c in acc]
+            refs.append(np.sqrt(refs[0] ** 2 + refs[1] ** 2))
+            taps = np.concatenate([filters.tap_rows(r, 3, True) for r in refs], axis=1)
+            p = np.stack([filters.run_filter(f, v[c].to_numpy())[0] for c in ("red_raw", "ir_raw") for f in (band, slow)])
+            e, _ = filters.adaptive(p, taps, np.full(60, 0.02))
+            want.append((e[0].std() / e[1].mean()) / (e[2].std() / e[3].mean()))
+        assert np.allclose(got[got.session_id == s].sort_values("window_id").r, want)
