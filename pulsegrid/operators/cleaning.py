@@ -133,7 +133,8 @@ def mark_spikes(
         first[f"_x_{c}"] = (F.col(c), [1.0 - saturation, saturation])
         first[f"_mr_{c}"] = (resid[c], [0.5])
         first[f"_md_{c}"] = (F.col(f"_d_{c}"), [0.5])
-    with_medians = staged.join(exact_quantiles(staged, keys, first), list(keys))
+    # one row per session, read by three later branches
+    with_medians = staged.join(materialise(exact_quantiles(staged, keys, first), "medians"), list(keys))
     second = {}
     for c in cols:
         second[f"_ar_{c}"] = (F.abs(resid[c] - F.col(f"_mr_{c}")), [0.5])
