@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .segments import SEG, SEGMENT_ROWS, sorted_segment, to_float, with_halo
+from .segments import SEG, SEGMENT_ROWS, join_stats, sorted_segment, to_float, with_halo
 
 
 def cross_correlation(
@@ -26,7 +26,7 @@ def cross_correlation(
     stats = df.groupBy(*keys).agg(
         F.avg(a).alias("_ma"), F.stddev_pop(a).alias("_sa"), F.avg(b).alias("_mb"), F.stddev_pop(b).alias("_sb")
     )
-    z = df.join(stats, list(keys)).select(
+    z = join_stats(df, stats, keys).select(
         *keys, idx,
         ((F.col(a) - F.col("_ma")) / (F.col("_sa") + 1e-12)).alias("_a"),
         ((F.col(b) - F.col("_mb")) / (F.col("_sb") + 1e-12)).alias("_b"),
@@ -80,7 +80,7 @@ def trim_heads(
     """
     def cut(df, rows):
         return (
-            df.join(offset.select(*keys, rows.cast("bigint").alias("_cut")), list(keys))
+            join_stats(df, offset.select(*keys, rows.cast("bigint").alias("_cut")), keys)
             .where(F.col(idx) >= F.col("_cut"))
             .withColumn(idx, F.col(idx) - F.col("_cut"))
             .drop("_cut")
@@ -111,7 +111,7 @@ def sync_by_second(
     )
 
     def moved(df, cut):
-        j = df.join(info, list(keys)).withColumn(idx, F.col(idx) - F.col(cut)).where(F.col(idx) >= 0)
+        j = join_stats(df, info, keys).withColumn(idx, F.col(idx) - F.col(cut)).where(F.col(idx) >= 0)
         return j.drop("_cut_s", "_cut_r")
 
     both = moved(ratios, "_cut_r").join(moved(spo2, "_cut_s"), [*keys, idx])

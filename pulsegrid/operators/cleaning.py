@@ -3,13 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .quantiles import exact_quantiles
-from .segments import SEGMENT_ROWS, carry_fill, over_halo, shift_one
+from .segments import SEGMENT_ROWS, carry_fill, join_stats, over_halo, shift_one
+
+
+@dataclass(frozen=True)
+class Plausible:
+    """Which saturations (percent) can be true, and how far neighbours may differ."""
+
+    low: float = 90.0
+    high: float = 100.0
+    jump: float = 5.0
+
+    def __post_init__(self):
+        if not self.low < self.high or self.jump <= 0:
+            raise ValueError("a range needs low < high and a positive jump")
+
+
+@dataclass(frozen=True)
+class Spikes:
+    """Length of the median window (samples), robust z limit, share of values taken as saturated."""
+
+    window: int = 11
+    limit: float = 6.0
+    saturated: float = 0.999
+
+    def __post_init__(self):
+        if self.window % 2 == 0:
+            raise ValueError("a median window has an odd length")
 
 
 def in_range(x: Column, low: float, high: float) -> Column:
@@ -134,14 +161,14 @@ def mark_spikes(
         first[f"_mr_{c}"] = (resid[c], [0.5])
         first[f"_md_{c}"] = (F.col(f"_d_{c}"), [0.5])
     # one row per session, read by three later branches
-    with_medians = staged.join(materialise(exact_quantiles(staged, keys, first), "medians"), list(keys))
+    with_medians = join_stats(staged, materialise(exact_quantiles(staged, keys, first), "medians"), keys)
     second = {}
     for c in cols:
         second[f"_ar_{c}"] = (F.abs(resid[c] - F.col(f"_mr_{c}")), [0.5])
         second[f"_ad_{c}"] = (F.abs(F.col(f"_d_{c}") - F.col(f"_md_{c}")), [0.5])
     spread = exact_quantiles(with_medians, keys, second)
     length = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    scored = with_medians.join(spread.join(length, list(keys)), list(keys))
+    scored = join_stats(with_medians, spread.join(length, list(keys)), keys)
     marks = {}
     for c in cols:
         far = F.abs(0.6745 * resid[c] / (F.col(f"_ar_{c}") + 1e-12)) > z
@@ -174,7 +201,7 @@ def fill_spikes(
     marked = materialise(mark_spikes(df, keys, cols, kernel, z, saturation, idx, size), "marked")
     good = marked.groupBy(*keys).agg(*[F.count_if(~F.col(f"{c}_spike")).alias(f"_g_{c}") for c in cols])
     exprs = {f"{c}{suffix}": F.when(~F.col(f"{c}_spike"), F.col(c)) for c in cols}
-    filled = interpolate(marked, keys, exprs, idx, size).join(good, list(keys))
+    filled = join_stats(interpolate(marked, keys, exprs, idx, size), good, keys)
     floor = F.greatest(F.lit(3), F.expr("_n div 10"))
     rest = [c for c in df.columns if c not in exprs]
     chosen = {

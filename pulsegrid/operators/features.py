@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,14 @@ EPS = 1e-12
 BATCH = 512
 
 
+@dataclass(frozen=True)
+class Pairing:
+    """Samples by which a pair's channels may be shifted (None: not at all), and the least quality of both."""
+
+    shift: int | None = 8
+    quality: float = 0.15
+
+
 def shape_stats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Population skewness and excess kurtosis of each row."""
     d = x - x.mean(axis=1, keepdims=True)

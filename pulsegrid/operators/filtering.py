@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import filters
-from .segments import SEG, SEGMENT_ROWS, map_segments, sorted_segment, to_float, with_halo
+from .segments import SEG, SEGMENT_ROWS, join_stats, map_segments, sorted_segment, to_float, with_halo
 from .smoothing import box_rows, box_size
 
 
+@dataclass(frozen=True)
+class Band:
+    """Pass band in Hz and the order of the filter on each side."""
+
+    low: float
+    high: float
+    order: int = 4
+
+    def __post_init__(self):
+        if not 0 < self.low < self.high:
+            raise ValueError("a pass band needs 0 < low < high")
+
+
+@dataclass(frozen=True)
+class Canceller:
+    """Adaptive noise cancelling: length of the weight vector and its step."""
+
+    taps: int = 32
+    step: float = 0.005
+
+
 def zero_phase(
     df: DataFrame, keys: Sequence[str], cols: Mapping[str, str], fs: float, low: float | None, high: float | None,
     order: int, idx: str = "sample_idx", size: int = SEGMENT_ROWS,
@@ -115,8 +137,8 @@ def adaptive_cancel(
         return np.stack(arrays[: len(names)]), x, gain
 
     inputs = names + refs
-    inner = df.join(
-        df.groupBy(*keys).agg(F.max(idx).alias("_last")), list(keys)
+    inner = join_stats(
+        df, df.groupBy(*keys).agg(F.max(idx).alias("_last")), keys
     ).where(F.expr(f"`{idx}` div {size} < _last div {size}")).select(*keys, idx, *dict.fromkeys(inputs))
     key_fields = [df.schema[k] for k in keys]
     array = T.ArrayType(T.DoubleType())

@@ -17,19 +17,14 @@ from pyspark.sql import functions as F
 from ..functions import fits
 from ..functions.scalars import clip, pair_label, safe_ratio
 from ..session import materialise
-from .boosting import boost_rounds, step_function
 from .features import per_pair
-from .kernel import fit_kernel, predict_kernel
+from .points import fields, fit_steps, huber, margin_line, predict_parts, radial, solve_cells
 from .quantiles import exact_quantiles
-from .segments import dense_index
+from .segments import SEG, dense_index, join_stats, with_segment
 
 CLOSED = ("linear", "quadratic", "elasticnet")
 ROBUST = ("huber", "ransac")
 KERNEL = ("svr_rbf", "gbr")
-# Fits with at most this many rows are solved inside one task each.  Larger
-# robust fits are solved by rounds of aggregation instead.
-LOCAL_ROWS = 20_000
-FOLD_ROWS = ("row", "n", "time_center", "motion", "x", "y", "w")
 
 
 def channel_quality(channels: Column, name: Column) -> Column:
@@ -47,7 +42,7 @@ def samples(features: DataFrame, keys: Sequence[str], weighted: bool = True) ->
     numbered = dense_index(features, keys, "window_id", "row")
     counts = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     long = per_pair(
-        numbered.join(counts, list(keys)), keys, "row", "n", "time_center", "spo2", "high_motion_window", "channels"
+        join_stats(numbered, counts, keys), keys, "row", "n", "time_center", "spo2", "high_motion_window", "channels"
     )
     weight = quality_weight(channel_quality(F.col("channels"), F.col("a")), channel_quality(F.col("channels"), F.col("b")))
     return long.select(
@@ -71,7 +66,7 @@ def moments(rows: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFram
     u, v, w = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("w")
     terms = [w, w * u, w * v, w * u * u, w * u * v, w * u * u * u, w * u * u * u * u, w * u * u * v, F.lit(1.0), u, u * u]
     return (
-        rows.join(centre, list(keys))
+        join_stats(rows, centre, keys)
         .groupBy(*dict.fromkeys([*keys, *by]), "x0", "y0")
         .agg(*[F.sum(t).alias(m) for m, t in zip(MOMENTS, terms)])
     )
@@ -121,162 +116,77 @@ def poly_value(x: Column) -> Column:
     return F.col("p0") + F.col("p1") * x + F.col("p2") * x * x
 
 
-# ---- robust lines on groups of any size ---------------------------------------
+# ---- robust and margin lines ---------------------------------------------------
 
-def fit_huber(rows: DataFrame, keys: Sequence[str], rounds: int = 60) -> DataFrame:
-    """Robust lines of all groups at once: ``(keys, p0, p1)``.
+def fit_huber(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Robust lines of all groups at once: ``(keys, model, p0, p1, p2, converged)``."""
+    got = solve_cells(rows, keys, "p0 double, p1 double, p2 double, converged boolean", huber)
+    return got.select(*keys, F.lit("huber").alias("model"), "p0", "p1", "p2", "converged")
 
-    Each round is one aggregation: rows are split by the current line and scale
-    of their group, ten sums per group come back, the update is solved on the
-    sums.  Rows never meet in a task.
-    """
-    rows = materialise(rows.select(*keys, "x", "y", "w"), "huber")
-    stats = rows.groupBy(*keys).agg(
-        F.avg("x").alias("mx"), F.stddev_pop("x").alias("sd"), F.avg("y").alias("my"), F.stddev_pop("y").alias("sy")
-    ).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
-    state = materialise(
-        stats.select(*keys, "mx", "sd", "my", F.lit(0.0).alias("slope"), F.lit(0.0).alias("cept"), F.greatest(F.col("sy") * 10, F.lit(1e-6)).alias("sigma"), F.lit(1.0).alias("move")),
-        "huber-state",
-    )
-    z, t, w = (F.col("x") - F.col("mx")) / F.col("sd"), F.col("y") - F.col("my"), F.col("w")
-    resid = t - F.col("slope") * z - F.col("cept")
-    near = F.abs(resid) <= fits.EPSILON * F.col("sigma")
-    sign = F.signum(resid)
-    terms = [F.sum(F.when(near, e).otherwise(0.0)) for e in (w, w * z, w * t, w * z * z, w * z * t, w * t * t)]
-    terms += [F.sum(F.when(~near, e).otherwise(0.0)) for e in (w, w * sign * z, w * sign)] + [F.sum(w)]
-    for k in range(rounds):
-        sums = rows.join(state, list(keys)).groupBy(*state.columns).agg(F.array(*terms).alias("sums"))
-        blend = 1.0 if k < 30 else 0.5
-
-        def update(batches, blend=blend):
-            for b in batches:
-                new = [fits.robust_step(np.asarray(s), g) for s, g in zip(b.sums, b.sigma)]
-                old = b[["slope", "cept", "sigma"]].to_numpy()
-                moved = old + blend * (np.array(new).reshape(len(b), 3) - old)
-                b[["slope", "cept", "sigma"]] = moved
-                b["move"] = np.abs(moved - old).max(axis=1) if len(b) else []
-                yield b[state_columns]
-
-        state_columns = list(state.columns)
-        state = materialise(sums.mapInPandas(update, state.schema), "huber-state")
-        if (state.agg(F.max("move")).first()[0] or 0.0) < 1e-10:
-            break
-    slope = F.col("slope") / F.col("sd")
-    return state.select(
-        *keys, F.lit("huber").alias("model"), (F.col("my") + F.col("cept") - slope * F.col("mx")).alias("p0"),
-        slope.alias("p1"), F.lit(0.0).alias("p2"),
-    )
+
+def fit_svr_line(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Linear support vector calibrations ``spo2 = a - b r`` of all groups at once: ``(keys, a, b, converged)``."""
+    return solve_cells(rows.select(*keys, "x", "y", F.lit(1.0).alias("w")), keys, "a double, b double, converged boolean", margin_line)
 
 
 def fit_ransac(rows: DataFrame, keys: Sequence[str], order: str = "row", seed: int = 42, trials: int = 100) -> DataFrame:
     """Consensus lines of all groups at once.
 
-    ``trials`` random pairs per group are drawn by position (a join on the drawn
-    positions, no sort of the group); every row then scores all candidate lines
-    of its group in one aggregation; the best line's agreeing rows are refitted
-    in closed form.  ``order`` numbers the rows of a group from 0.
+    The rows of a group are numbered by ``order``; ``trials`` pairs are drawn by
+    number (a join on the drawn numbers).  Each segment of a group counts which of
+    its rows agree with each of the drawn lines, the counts add up, and the best
+    line's agreeing rows are refitted in closed form.  A group with fewer than two
+    rows has no line.
     """
-    rows = materialise(rows.select(*keys, order, "x", "y", "w"), "ransac")
-    limit = exact_quantiles(rows, keys, {"_med": (F.col("y"), [0.5])})
-    with_med = rows.join(limit, list(keys))
-    limit = exact_quantiles(with_med, keys, {"limit": (F.abs(F.col("y") - F.col("_med")), [0.5])})
-    size = rows.groupBy(*keys).agg((F.max(order) + 1).alias("_n")).where("_n >= 2")
-    spark = rows.sparkSession
-    draws = size.join(F.broadcast(spark.range(trials).withColumnRenamed("id", "trial")))
+    keys = list(keys)
+    numbered = dense_index(rows.select(*keys, order, "x", "y", "w"), keys, order, "_row").drop(order)
+    numbered = materialise(with_segment(numbered, "_row"), "ransac")
+    limit = exact_quantiles(numbered, keys, {"_med": (F.col("y"), [0.5])})
+    limit = exact_quantiles(join_stats(numbered, limit, keys), keys, {"limit": (F.abs(F.col("y") - F.col("_med")), [0.5])})
+    size = numbered.groupBy(*keys).agg((F.max("_row") + 1).alias("_n")).where("_n >= 2")
+    draws = size.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     h = [F.xxhash64(*keys, "trial", F.lit(seed * 10 + s)) for s in (0, 1)]
     first = F.pmod(h[0], F.col("_n"))
     second = F.pmod(first + 1 + F.pmod(h[1], F.col("_n") - 1), F.col("_n"))
     ends = draws.select(*keys, "trial", F.inline(F.array(
-        F.struct(F.lit("i").alias("end"), first.alias(order)), F.struct(F.lit("j").alias("end"), second.alias(order))
+        F.struct(F.lit("i").alias("end"), first.alias("_row")), F.struct(F.lit("j").alias("end"), second.alias("_row"))
     )))
     pick = lambda e, c: F.max(F.when(F.col("end") == e, F.col(c)))
-    drawn = ends.join(rows, [*keys, order]).groupBy(*keys, "trial").agg(
+    drawn = ends.join(numbered, [*keys, "_row"]).groupBy(*keys, "trial").agg(
         pick("i", "x").alias("xi"), pick("i", "y").alias("yi"), pick("j", "x").alias("xj"), pick("j", "y").alias("yj"),
         F.avg("y").alias("ym"),
     )
     slope = F.coalesce(F.try_divide(F.col("yj") - F.col("yi"), F.col("xj") - F.col("xi")), F.lit(0.0))
     lines = drawn.select(*keys, "trial", slope.alias("b"), F.when(F.col("xi") == F.col("xj"), F.col("ym")).otherwise(F.col("yi") - slope * F.col("xi")).alias("a"))
-    table = lines.groupBy(*keys).agg(F.collect_list(F.struct("trial", "a", "b")).alias("lines")).join(limit, list(keys))
-    judged = (
-        rows.join(table, list(keys))
-        .select(*keys, "x", "y", "limit", F.inline("lines"))
-        .withColumn("e", F.col("y") - F.col("a") - F.col("b") * F.col("x"))
-        .where(F.abs("e") <= F.col("limit"))
-        .groupBy(*keys, "trial", "a", "b", "limit")
-        .agg(F.count(F.lit(1)).alias("agree"), (1 - F.try_divide(F.sum(F.col("e") * F.col("e")), F.var_pop("y") * F.count(F.lit(1)))).alias("score"))
-    )
-    rank = F.struct("agree", F.coalesce("score", F.lit(float("-inf"))).alias("s"), (-F.col("trial")).alias("t"))
-    best = judged.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "limit"), rank).alias("l"))
-    inliers = rows.join(best, list(keys)).where(F.abs(F.col("y") - F.col("l.a") - F.col("l.b") * F.col("x")) <= F.col("l.limit")).drop("l")
+    table = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("trial", "a", "b"))).alias("lines")).join(limit, keys)
+    spread = materialise(numbered.select(*keys, SEG).distinct().join(table, keys), "lines")
+
+    def score(g: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        names = ["trial", "a", "b", "limit", "agree", "sse", "sy", "syy"]
+        if not len(g) or not len(t):
+            return pd.DataFrame(columns=[*keys, *names])
+        drawn = [(r["trial"], r["a"], r["b"]) for r in t.lines.iloc[0]]
+        x, y, most = g.x.to_numpy(float), g.y.to_numpy(float), float(t.limit.iloc[0])
+        out = []
+        for trial, a, b in drawn:
+            e = y - a - b * x
+            ok = np.abs(e) <= most
+            out.append((trial, a, b, most, int(ok.sum()), float((e[ok] ** 2).sum()), float(y[ok].sum()), float((y[ok] ** 2).sum())))
+        got = pd.DataFrame(out, columns=names)
+        for k in keys:
+            got[k] = t[k].iloc[0]
+        return got[[*keys, *names]]
+
+    kinds = f"{fields(numbered, keys)}, trial int, a double, b double, limit double, agree long, sse double, sy double, syy double"
+    sums = numbered.groupBy(*keys, SEG).cogroup(spread.groupBy(*keys, SEG)).applyInPandas(score, kinds)
+    judged = sums.groupBy(*keys, "trial", "a", "b", "limit").agg(*[F.sum(c).alias(c) for c in ("agree", "sse", "sy", "syy")]).where("agree > 0")
+    spread_y = F.col("syy") - F.col("sy") * F.col("sy") / F.col("agree")
+    fit = F.when(spread_y > 0, 1 - F.col("sse") / spread_y).otherwise(F.lit(float("-inf")))
+    best = judged.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "limit"), F.struct("agree", fit.alias("s"), (-F.col("trial")).alias("t"))).alias("l"))
+    inliers = join_stats(numbered, best, keys).where(F.abs(F.col("y") - F.col("l.a") - F.col("l.b") * F.col("x")) <= F.col("l.limit")).select(*keys, "x", "y", "w")
     return fit_closed(inliers, keys, ["linear"]).withColumn("model", F.lit("ransac"))
 
 
-def fit_svr_line(rows: DataFrame, keys: Sequence[str], local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Linear support vector calibration ``spo2 = a - b r`` per group: ``(keys, a, b)``.
-
-    Groups up to ``local_rows`` rows are solved in one task each, larger ones by
-    rounds of aggregation.
-    """
-    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    sized = rows.select(*keys, "x", "y").join(size, list(keys))
-    large = sized.where(F.col("_c") > local_rows).drop("_c")
-    small = sized.where(F.col("_c") <= local_rows).drop("_c")
-    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["x", "y"])
-        a, b = fits.svr_line(g.x.to_numpy(float), g.y.to_numpy(float))
-        return g.iloc[:1][list(keys)].assign(a=a, b=-b)
-
-    out = spread_groups(small, keys).groupBy(*keys).applyInPandas(run, f"{fields}, a double, b double")
-    if not size.where(F.col("_c") > local_rows).limit(1).isEmpty():
-        out = out.unionByName(_svr_line_rounds(large, keys))
-    return out
-
-
-def _svr_line_rounds(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Linear support vector fits by aggregation rounds.
-
-    Each round replaces the margin loss by the weighted square that touches it
-    from above at the current line (five sums per group), which never raises the
-    loss; the touching gets sharper from round to round.
-    """
-    rows = materialise(rows, "svr")
-    stats = rows.groupBy(*keys).agg(F.avg("x").alias("mx"), F.stddev_pop("x").alias("sd"), F.avg("y").alias("my"))
-    state = materialise(stats.select(
-        *keys, "mx", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd"), "my",
-        F.lit(0.0).alias("slope"), F.lit(0.0).alias("cept"),
-    ), "svr-state")
-    columns = list(state.columns)
-    z, t = (F.col("x") - F.col("mx")) / F.col("sd"), F.col("y") - F.col("my")
-
-    def update(batches):
-        for b in batches:
-            new = np.array([fits.margin_step(np.asarray(s)) for s in b.sums]).reshape(len(b), 2)
-            b[["slope", "cept"]] = new
-            yield b[columns]
-
-    for width in fits.WIDTHS:
-        terms = []
-        for edge in (fits.SVR_EPS, -fits.SVR_EPS):
-            e = t + edge
-            r = e - F.col("slope") * z - F.col("cept")
-            w = fits.SVR_C / 2 / F.sqrt(r * r + width * width)
-            terms.append([w, w * z, w * z * z, w * e, w * e * z])
-        sums = rows.join(state, list(keys)).groupBy(*columns).agg(F.array(*[F.sum(a + b) for a, b in zip(*terms)]).alias("sums"))
-        state = materialise(sums.mapInPandas(update, state.schema), "svr-state")
-    slope = F.col("slope") / F.col("sd")
-    return state.select(*keys, (F.col("my") + F.col("cept") - slope * F.col("mx")).alias("a"), (-slope).alias("b"))
-
-
-def spread_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hash groups over all cores: small inputs of heavy fits must not be merged
-    into one partition because of their few bytes."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
-
-
 # ---- expanding-window validation ----------------------------------------------
 
 def add_blocks(rows: DataFrame, folds: int = 5) -> DataFrame:
@@ -310,126 +220,60 @@ def cv_closed(rows: DataFrame, keys: Sequence[str], folds: int = 5, models: Sequ
     )
 
 
-def _fit_one(model: str, x, y, w):
-    """``predict(x)`` of a model that needs its rows together; None if it fails."""
-    if model == "huber":
-        a, b = fits.huber(x, y, w)
-        return lambda t: a + b * t
-    if model == "ransac":
-        got = fits.consensus(x, y, w)
-        return None if got is None else lambda t: got[0] + got[1] * t
-    if model == "svr_rbf":
-        fit = fits.svr(x, y, w, "rbf")
-        return lambda t: fits.svr_predict(fit, t)
-    if model == "gbr":
-        fit = fits.boost(x, y, w)
-        return lambda t: fits.step_predict(fit, t)
-    raise ValueError(f"unknown model '{model}'")
-
+def fold_rows(rows: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of all folds; a block trains every later fold, so it is there at most ``folds`` times."""
+    blocked = materialise(add_blocks(rows, folds), "blocks")
+    train = blocked.where(F.col("block") < folds).withColumn("fold", F.explode(F.sequence(F.col("block") + 1, F.lit(folds))))
+    return train, blocked.where("block > 0").withColumnRenamed("block", "fold")
 
-def cv_local(rows: DataFrame, keys: Sequence[str], folds: int, models: Sequence[str]) -> DataFrame:
-    """Out-of-fold predictions of models that need a fit's rows together.
 
-    One task per (session, pair, fold); callers bound the fit size.
-    """
-    by = [*keys, "combo"]
-    blocked = add_blocks(rows, folds)
-    spread = blocked.withColumn("fold", F.explode(F.sequence(F.greatest(F.lit(1), F.col("block")), F.lit(folds))))
-    fields = [rows.schema[c] for c in by]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += ", model string, fold int, row long, time_center double, motion int, y_true double, y_pred double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("row")
-        fold = int(g.fold.iloc[0])
-        train, test = g[g.block < fold], g[g.block == fold]
-        out = []
-        for m in models:
-            fn = _fit_one(m, train.x.to_numpy(float), train.y.to_numpy(float), train.w.to_numpy(float))
-            p = test[[*by, "fold", "row", "time_center", "motion"]].assign(
-                model=m, y_true=test.y, y_pred=np.nan if fn is None else fn(test.x.to_numpy(float))
-            )
-            out.append(p)
-        return pd.concat(out)[[*by, "model", "fold", "row", "time_center", "motion", "y_true", "y_pred"]]
-
-    slim = spread.select(*by, "fold", "block", *[c for c in FOLD_ROWS if c != "n"])
-    made = spread_groups(slim, [*by, "fold"]).groupBy(*by, "fold").applyInPandas(run, schema)
-    return made.withColumn("y_pred", F.when(~F.isnan("y_pred"), F.col("y_pred")))
-
-
-def cv_large_robust(rows: DataFrame, keys: Sequence[str], folds: int, models: Sequence[str]) -> DataFrame:
-    """Out-of-fold predictions of robust lines for fits too large for one task."""
+def cv_lines(train: DataFrame, test: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """Out-of-fold predictions of the robust lines."""
     by = [*keys, "combo", "fold"]
-    blocked = materialise(add_blocks(rows, folds), "robust")
-    train = blocked.withColumn("fold", F.explode_outer(F.sequence(F.col("block") + 1, F.lit(folds)))).where(
-        F.col("block") < F.col("fold")
-    )
-    made = [{"huber": fit_huber, "ransac": fit_ransac}[m](train, by) for m in models]
-    params = made[0]
-    for p in made[1:]:
-        params = params.unionByName(p.select(*params.columns))
-    test = blocked.where("block > 0").withColumnRenamed("block", "fold")
-    return test.join(params, by).select(
-        *keys, "combo", "model", "fold", "row", "time_center", "motion", F.col("y").alias("y_true"),
-        poly_value(F.col("x")).alias("y_pred"),
+    params = None
+    for m in models:
+        one = {"huber": fit_huber, "ransac": fit_ransac}[m](train, by).select(*by, "model", "p0", "p1", "p2")
+        params = one if params is None else params.unionByName(one)
+    every = test.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    return every.join(params, [*by, "model"], "left").select(
+        *keys, "combo", "model", "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), poly_value(F.col("x")).alias("y_pred")
     )
 
 
-def cv_large_boost(rows: DataFrame, keys: Sequence[str], folds: int) -> DataFrame:
-    """Out-of-fold predictions of boosted trees for fits too large for one task."""
-    by = [*keys, "combo", "fold"]
-    blocked = materialise(add_blocks(rows, folds), "trees")
-    train = blocked.withColumn("fold", F.explode_outer(F.sequence(F.col("block") + 1, F.lit(folds)))).where(
-        F.col("block") < F.col("fold")
-    )
-    test = blocked.where("block > 0").withColumnRenamed("block", "fold")
-    pred = boost_rounds(train.select(*by, "x", "y", "w"), test.select(*by, "x", "row", "time_center", "motion", "y"), by)
-    return pred.select(
-        *keys, "combo", F.lit("gbr").alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred")
-    )
+def fit_shape(rows: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
+    """``(keys, params)`` of a model that is not a polynomial."""
+    if model == "gbr":
+        return fit_steps(rows, keys)
+    return solve_cells(rows, keys, "params array<double>", radial)
 
 
-def cv_large_kernel(rows: DataFrame, keys: Sequence[str], folds: int) -> DataFrame:
-    """Out-of-fold predictions of radial support-vector fits too large for one task."""
+def cv_shapes(train: DataFrame, test: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
+    """Out-of-fold predictions of radial fits or boosted trees."""
     by = [*keys, "combo", "fold"]
-    blocked = materialise(add_blocks(rows, folds), "kernel-rows")
-    train = blocked.withColumn("fold", F.explode_outer(F.sequence(F.col("block") + 1, F.lit(folds)))).where(
-        F.col("block") < F.col("fold")
-    )
-    test = blocked.where("block > 0").withColumnRenamed("block", "fold")
-    params = fit_kernel(train.select(*by, "x", "y", "w"), by)
-    pred = predict_kernel(test.select(*by, "x", "row", "time_center", "motion", "y"), params, by)
-    return pred.select(
-        *keys, "combo", F.lit("svr_rbf").alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred")
-    )
+    params = fit_shape(train.select(*by, "x", "y", "w"), by, model)
+    pred = predict_parts(test.select(*by, "x", "row", "time_center", "motion", "y"), params, by, lambda p, x: _unpack_predict(model, p, x))
+    return pred.select(*keys, "combo", F.lit(model).alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred"))
 
 
-def cross_validate(
-    rows: DataFrame, keys: Sequence[str], folds: int = 5,
-    models: Sequence[str] = (*CLOSED, *ROBUST, *KERNEL), local_rows: int = LOCAL_ROWS,
-) -> DataFrame:
+def cross_validate(rows: DataFrame, keys: Sequence[str], folds: int = 5, models: Sequence[str] = (*CLOSED, *ROBUST, *KERNEL)) -> DataFrame:
     """Out-of-fold predictions of all models, one row per window, pair and model.
 
-    Closed forms aggregate.  The others run in one task per fit up to
-    ``local_rows`` rows and by rounds of aggregation beyond.
+    Every model has one algorithm, an aggregation over the training rows, for
+    groups of every size.  Sessions with fewer windows than ``folds + 1`` have no
+    test rows; ``plans.calibration.outcomes`` names them.
     """
+    unknown = set(models) - {*CLOSED, *ROBUST, *KERNEL}
+    if unknown:
+        raise ValueError(f"unknown models: {sorted(unknown)}")
+    rows = rows.where(F.col("n") > folds)
     parts = []
-    closed = [m for m in models if m in CLOSED]
-    if closed:
+    if closed := [m for m in models if m in CLOSED]:
         parts.append(cv_closed(rows, keys, folds, closed))
-    together = [m for m in models if m not in CLOSED]
-    if together:
-        large = rows.where(F.col("n") > local_rows)
-        robust = [m for m in together if m in ROBUST]
-        small = rows.where(F.col("n") <= local_rows)
-        has_large = not large.select(F.lit(1)).limit(1).isEmpty()
-        parts.append(cv_local(small, keys, folds, together))
-        if has_large and robust:
-            parts.append(cv_large_robust(large, keys, folds, robust))
-        if has_large and "gbr" in together:
-            parts.append(cv_large_boost(large, keys, folds))
-        if has_large and "svr_rbf" in together:
-            parts.append(cv_large_kernel(large, keys, folds))
+    if any(m not in CLOSED for m in models):
+        train, test = fold_rows(rows, folds)
+        if robust := [m for m in models if m in ROBUST]:
+            parts.append(cv_lines(train, test, keys, robust))
+        parts += [cv_shapes(train, test, keys, m) for m in models if m in KERNEL]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -518,14 +362,6 @@ class TrainedModel:
 MODEL_SCHEMA = "combo string, model string, params array<double>, train_rmse double, cv_rmse double"
 
 
-def _pack(kind: str, x, y, w) -> list[float]:
-    if kind == "svr_rbf":
-        mean, sd, bias, centres, beta, gamma = fits.svr(x, y, w, "rbf")
-        return [mean, sd, bias, gamma, *centres, *beta]
-    breaks, values = fits.boost(x, y, w)
-    return [*breaks, *values]
-
-
 def _unpack_predict(kind: str, p: np.ndarray, x: np.ndarray) -> np.ndarray:
     if kind == "svr_rbf":
         half = (len(p) - 4) // 2
@@ -534,14 +370,10 @@ def _unpack_predict(kind: str, p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return fits.step_predict((p[:half], p[half:]), x)
 
 
-def train(
-    rows: DataFrame, combo: str, model: str, cv_rmse: float, weighted: bool = False, local_rows: int = LOCAL_ROWS
-) -> TrainedModel:
-    """Fit one model on all rows of one pair.
+def train(rows: DataFrame, combo: str, model: str, cv_rmse: float, weighted: bool = False) -> TrainedModel:
+    """Fit one model on all rows of one pair, by the algorithm that validation uses.
 
-    The final fit ignores the quality weights unless ``weighted``.  Kernel and
-    tree fits gather their rows in one task up to ``local_rows`` and aggregate
-    beyond.
+    The final fit ignores the quality weights unless ``weighted``.
     """
     mine = rows.where((F.col("combo") == combo) & F.col("x").isNotNull() & F.col("y").isNotNull())
     if not weighted:
@@ -549,34 +381,17 @@ def train(
     count = mine.count()
     if count < 5:
         raise RuntimeError(f"only {count} valid windows for '{combo}'")
-    one = [F.lit("all").alias("_g")]
-    grouped = mine.select("*", *one)
-    if model in CLOSED:
-        fitted = fit_closed(grouped, ["_g"], [model])
-    elif model == "huber":
-        fitted = fit_huber(grouped, ["_g"])
-    elif model == "ransac":
-        # positions for drawing pairs: any order does, a hash spreads the numbering
-        hashed = grouped.drop("row").withColumn("_h", F.xxhash64("time_center", "x", "y"))
-        fitted = fit_ransac(dense_index(hashed, ["_g"], "_h", "row", bucket=F.shiftright("_h", 48)), ["_g"])
-    elif model == "gbr" and count > local_rows:
-        shapes: list = []
-        boost_rounds(grouped, grouped.select("_g", "x").limit(0), ["_g"], shapes=shapes)
-        base = grouped.agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
-        breaks, values = step_function(base, shapes)
-        params, fitted = (*breaks, *values), None
-    elif model == "svr_rbf" and count > local_rows:
-        params, fitted = tuple(fit_kernel(grouped, ["_g"]).first().params), None
+    grouped = mine.withColumn("_g", F.lit("all"))
+    if model in KERNEL:
+        params = tuple(fit_shape(grouped, ["_g"], model).first().params)
     else:
-
-        def run(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values("time_center")
-            return pd.DataFrame({"params": [_pack(model, g.x.to_numpy(float), g.y.to_numpy(float), g.w.to_numpy(float))]})
-
-        params = tuple(grouped.groupBy("_g").applyInPandas(run, "params array<double>").first().params)
-        fitted = None
-    if fitted is not None:
-        r = fitted.first()
+        if model == "ransac":
+            # numbers for drawing pairs: any order does, a hash spreads the numbering
+            hashed = grouped.drop("row").withColumn("_h", F.xxhash64("time_center", "x", "y"))
+            numbered = dense_index(hashed, ["_g"], "_h", "row", bucket=F.shiftright("_h", 48))
+            r = fit_ransac(numbered, ["_g"]).first()
+        else:
+            r = (fit_huber(grouped, ["_g"]) if model == "huber" else fit_closed(grouped, ["_g"], [model])).first()
         params = (r.p0, r.p1, r.p2)
     trained = TrainedModel(combo, model, params, 0.0, float(cv_rmse))
     err = F.col("y") - trained.predict(F.col("x"))

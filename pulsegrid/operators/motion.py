@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .filtering import zero_phase
+from .filtering import Band, zero_phase
 from .quantiles import exact_quantiles
-from .segments import SEGMENT_ROWS, carry_fill, shift_one
+from .segments import SEGMENT_ROWS, carry_fill, join_stats, shift_one
+
+
+@dataclass(frozen=True)
+class Movement:
+    """Band of the acceleration's energy, quantile above which it is motion, and whether such windows go."""
+
+    band: Band = Band(0.5, 10.0)
+    quantile: float = 0.97
+    drop: bool = True
 
 
 def magnitude(*axes: Column) -> Column:
@@ -40,7 +50,7 @@ def flag_motion(
     limits = exact_quantiles(df, keys, {"_limit": (F.col(col), [share])})
     # left join: a session without any energy keeps its rows, unflagged
     return (
-        df.join(limits, list(keys), "left")
+        join_stats(df, limits, keys, "left")
         .withColumn(out, F.coalesce(F.abs(col) > F.col("_limit"), F.lit(False)).cast("int"))
         .drop("_limit")
     )
@@ -57,6 +67,6 @@ def motion_intervals(
     closed = carry_fill(stepped, keys, next={"_close": F.when(F.col("_f") == 0, F.col("_t"))}, idx=idx, size=size)
     last = df.groupBy(*keys).agg(F.max_by(time, idx).alias("_end"))
     starts = closed.where((F.col("_f") == 1) & (F.coalesce("_before", F.lit(0)) == 0))
-    return starts.join(last, list(keys)).select(
+    return join_stats(starts, last, keys).select(
         *keys, F.col("_t").alias("t_start"), F.coalesce("_close", "_end").alias("t_end")
     )

@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups up to this many rows are ranked directly; larger ones are first cut
-# down to a bracket around the wanted rank.
-DIRECT_ROWS = 100_000
+from .segments import join_stats
+
 ACCURACY = 10_000
 
 
@@ -17,7 +16,6 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     values: Mapping[str, tuple[Column, Sequence[float]]],
-    direct_rows: int = DIRECT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per key.
@@ -47,6 +45,7 @@ def exact_quantiles(
     group = [*keys, "_m"]
 
     # one bracket table: a row per (key, measure) with an array of wanted ranks
+    # (a bracket that would be narrower than the two ranks of an interpolation is open)
     edges = sorted({e for _, _, p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))})
     at = {e: k for k, e in enumerate(edges)}
     summary = stacked.groupBy(*group).agg(
@@ -63,8 +62,8 @@ def exact_quantiles(
         return F.struct(
             F.lit(pid).alias("pid"),
             F.lit(names.index(name)).alias("m"),
-            F.when((n <= direct_rows) | F.lit(low <= 0.0), open_low).otherwise(F.col("_b")[at[low]]).alias("lo"),
-            F.when((n <= direct_rows) | F.lit(high >= 1.0), open_high).otherwise(F.col("_b")[at[high]]).alias("hi"),
+            F.when(F.lit(low <= 0.0) | (n * margin < 3), open_low).otherwise(F.col("_b")[at[low]]).alias("lo"),
+            F.when(F.lit(high >= 1.0) | (n * margin < 3), open_high).otherwise(F.col("_b")[at[high]]).alias("hi"),
             F.floor(h).alias("k"),
             (h - F.floor(h)).alias("frac"),
         )
@@ -77,7 +76,7 @@ def exact_quantiles(
             lambda s: s["m"] == F.col("_m"),
         ).alias("_w"),
     )
-    tagged = stacked.join(wanted, group)
+    tagged = join_stats(stacked, wanted, group)
     # One pass: values inside a bracket keep their value, values below collapse
     # to one counter row (value null) per bracket.
     hits = (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .segments import SEGMENT_ROWS, dense_index, shift_one
+from .segments import SEGMENT_ROWS, dense_index, join_stats, shift_one
 
 
 def time_grid(spans: Sequence[DataFrame], keys: Sequence[str], fs: float) -> DataFrame:
@@ -54,15 +54,19 @@ def resample_linear(
     Every pair of neighbouring samples emits the grid points between them, so
     there is no range join; the first and last pair also serve the points beyond
     the ends (linear extrapolation).  ``cols`` must not hold nulls - see
-    ``resample_sparse``.
+    ``resample_sparse``.  Samples are taken in the order of their time, whatever
+    their ``idx``; of equal times the one with the least ``idx`` counts.
     """
     t, t2 = F.col("_t"), F.col("_t2")
-    slim = df.select(*keys, idx, F.col(time).alias("_t"), *[F.col(c).cast("double").alias(c) for c in cols])
+    slim = df.select(*keys, idx, F.col(time).cast("double").alias("_t"), *[F.col(c).cast("double").alias(c) for c in cols])
+    slim = slim.where(t.isNotNull()).groupBy(*keys, "_t").agg(F.min_by(F.struct(*cols), idx).alias("_s")).select(*keys, "_t", "_s.*")
+    # Buckets of about a segment at the rate of the grid.
+    slim = dense_index(slim, keys, "_t", "_at", bucket=F.floor(t * F.lit(fs / size)))
     pairs = shift_one(
-        slim, keys, {"_t2": t, **{f"_n_{c}": F.col(c) for c in cols}}, back=False, idx=idx, size=size
+        slim, keys, {"_t2": t, **{f"_n_{c}": F.col(c) for c in cols}}, back=False, idx="_at", size=size
     ).where(t2 > t)
     info = time_span(slim, keys, "_t").join(grid, list(keys)).where("n_grid > 0")
-    placed = pairs.join(info, list(keys))
+    placed = join_stats(pairs, info, keys)
     is_first, is_last = t == F.col("t_min"), t2 == F.col("t_max")
     top = F.col("n_grid") - 1
     low = F.when(is_first, F.lit(0)).otherwise(F.floor((t - F.col("t0")) * fs) - 1)
@@ -96,9 +100,8 @@ def resample_sparse(
         .select(*keys, idx, "_t", "_e.channel", "_e.v")
         .where(F.col("v").isNotNull() & F.col("_t").isNotNull())
     )
-    numbered = dense_index(long, [*keys, "channel"], idx, "_k", bucket_span=size)
     wide_grid = grid.join(F.broadcast(df.sparkSession.createDataFrame([(c,) for c in cols], "channel string")))
-    done = resample_linear(numbered, [*keys, "channel"], ["v"], wide_grid, fs, "_t", "_k", size)
+    done = resample_linear(long, [*keys, "channel"], ["v"], wide_grid, fs, "_t", idx, size)
     values = done.groupBy(*keys, "grid_idx").agg(
         *[F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in cols]
     )
@@ -115,7 +118,7 @@ def shift_grid(
     the gap that opens at one end is filled by extending the end pair's line.
     """
     info = grid.join(lags.select(*keys, F.coalesce("lag", F.lit(0)).cast("bigint").alias("lag")), list(keys))
-    moved = df.join(info, list(keys)).withColumn("grid_idx", F.col("grid_idx") + F.col("lag"))
+    moved = join_stats(df, info, keys).withColumn("grid_idx", F.col("grid_idx") + F.col("lag"))
     inside = moved.where("grid_idx >= 0 and grid_idx < n_grid").select(*keys, "grid_idx", *cols)
 
     def at(k: str, c: str) -> Column:
@@ -123,7 +126,7 @@ def shift_grid(
 
     # the two rows at each end decide the extension: four rows per session
     ends = (
-        df.join(info, list(keys)).where("grid_idx in (0, 1, n_grid - 2, n_grid - 1)")
+        join_stats(df, info, keys).where("grid_idx in (0, 1, n_grid - 2, n_grid - 1)")
         .groupBy(*keys, "lag", "n_grid")
         .agg(*[F.struct(at("0", c).alias("a"), at("1", c).alias("b"), at("n_grid - 2", c).alias("y"), at("n_grid - 1", c).alias("z")).alias(c) for c in cols])
         .where("lag <> 0 and n_grid > 1")
@@ -139,7 +142,6 @@ def shift_grid(
         *keys, "grid_idx", *[F.when(F.col("lag") > 0, head(F.col(c))).otherwise(tail(F.col(c))).alias(c) for c in cols]
     )
     return (
-        inside.unionByName(filled)
-        .join(grid, list(keys))
+        join_stats(inside.unionByName(filled), grid, keys)
         .select(*keys, "grid_idx", grid_time(fs).alias("time"), *cols)
     )

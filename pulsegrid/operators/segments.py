@@ -58,6 +58,23 @@ def dense_index(
     )
 
 
+#: Parts over which the rows of one key are dealt when they meet its statistics.
+STAT_PARTS = 16
+
+
+def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner", parts: int = STAT_PARTS) -> DataFrame:
+    """``df`` with the columns of ``stats``, which has one row per key.
+
+    The statistics are spread to one row per (key, part) and both take part in the
+    join, so that a key with a large share of all rows is not one task, and what
+    is grouped by the key afterwards is dealt anew.
+    """
+    plain = [f.name for f in df.schema.fields if f.name not in keys and isinstance(f.dataType, T.AtomicType)]
+    spread = stats.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(parts)).cast("int"))
+    return dealt.join(spread, [*keys, "_part"], how).drop("_part")
+
+
 def with_segment(df: DataFrame, idx: str = "sample_idx", size: int = SEGMENT_ROWS) -> DataFrame:
     return df.withColumn(SEG, F.expr(f"cast(`{idx}` div {size} as bigint)"))
 

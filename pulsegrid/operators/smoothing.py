@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segments import SEGMENT_ROWS, SEG, segment_window, with_halo, CORE
+from .segments import SEGMENT_ROWS, SEG, join_stats, segment_window, with_halo, CORE
+
+
+@dataclass(frozen=True)
+class Baseline:
+    """Seconds of the rolling level, and of the wander that is removed (None: none is)."""
+
+    level: float = 2.0
+    wander: float | None = 0.6
 
 
 def box_size(seconds: float, fs: float) -> int:
@@ -39,7 +48,7 @@ def box_filter(
         )
     )
     wide = (
-        df.join(length, list(keys))
+        join_stats(df, length, keys)
         .withColumn("_i", F.explode(copies))
         .where((F.col("_i") >= -reach) & (F.col("_i") < F.col("_n") + reach))
     )

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .segments import dense_index
+from .segments import dense_index, join_stats
 
 
 def with_length(df: DataFrame, keys: Sequence[str], idx: str, out: str = "_n") -> DataFrame:
-    return df.join(df.groupBy(*keys).agg((F.max(idx) + 1).alias(out)), list(keys))
+    return join_stats(df, df.groupBy(*keys).agg((F.max(idx) + 1).alias(out)), keys)
 
 
 def seeded_int(keys: Sequence[str], seed: int, below: Column) -> Column:

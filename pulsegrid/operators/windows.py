@@ -7,11 +7,30 @@ Windows count rows, not seconds: window ``k`` covers rows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
+from .segments import join_stats
+
+
+@dataclass(frozen=True)
+class Span:
+    """Seconds of a window and of what it shares with the next one."""
+
+    seconds: float = 10.0
+    shared: float = 7.5
+
+    def rows(self, fs: float) -> int:
+        return int(self.seconds * fs)
+
+    def step(self, fs: float) -> int:
+        step = int((self.seconds - self.shared) * fs)
+        if step <= 0:
+            raise ValueError("windows must share less than their length")
+        return step
 
 
 def sliding(
@@ -34,7 +53,7 @@ def sliding(
     hi = F.expr(f"cast(least({i} div {step}, {last}) as bigint)")
     room = F.expr(f"_n - {start} - {drop_tail} >= {1 if partial else width}")
     return (
-        df.join(length, list(keys))
+        join_stats(df, length, keys)
         .where(room & (F.col(idx) >= start))
         .withColumn("_lo", lo).withColumn("_hi", hi)
         .where("_lo <= _hi")
@@ -109,7 +128,7 @@ def pair_mean(df, keys, cols: Sequence[str], idx: str = "sample_idx") -> DataFra
     """Halve the rate by averaging pairs; the last pair of an even length is left out."""
     length = df.groupBy(*keys).agg((F.max(idx) + 1).alias("_n"))
     return (
-        df.join(length, list(keys)).where(F.expr(f"`{idx}` < 2 * ((_n - 1) div 2)"))
+        join_stats(df, length, keys).where(F.expr(f"`{idx}` < 2 * ((_n - 1) div 2)"))
         .groupBy(*keys, F.expr(f"`{idx}` div 2").alias("pair_idx"))
         .agg(*[F.avg(c).alias(c) for c in cols])
     )
@@ -147,9 +166,9 @@ def acc_band(
 def discard_warmup(df: DataFrame, keys: Sequence[str], seconds: float, time: str = "time") -> DataFrame:
     """Rows from ``seconds`` after the session's first row on."""
     first = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
-    return df.join(first, list(keys)).where(F.col(time) >= F.col("_t0") + seconds).drop("_t0")
+    return join_stats(df, first, keys).where(F.col(time) >= F.col("_t0") + seconds).drop("_t0")
 
 
 def head_seconds(df: DataFrame, keys: Sequence[str], seconds: float = 60.0, time: str = "time") -> DataFrame:
     first = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
-    return df.join(first, list(keys)).where(F.col(time) <= F.col("_t0") + seconds).drop("_t0")
+    return join_stats(df, first, keys).where(F.col(time) <= F.col("_t0") + seconds).drop("_t0")

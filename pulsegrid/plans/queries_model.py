@@ -5,10 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..config import ModelConfig, SignalConfig
+from ..operators.cleaning import Plausible
+from ..operators.features import Pairing
+from ..operators.filtering import Band, Canceller
+from ..operators.motion import Movement
+from ..operators.smoothing import Baseline
+from ..operators.windows import Span
 from ..functions import filters
 from ..functions.scalars import pair_label
 from ..operators import features, filtering, models, motion, spectra, splits
+from ..operators.segments import join_stats
 from . import calibration, dataset, views
 from .registry import K, SIG, query, r6, recording, rounded, sq, sql_windows, table
 
@@ -317,7 +323,7 @@ def _samples(spark, sf, *combos):
     n = sig.groupBy(*K).agg(F.count("*").alias("n"))
     pairs = [p for p in (("red", "ir"), ("green", "blue")) if not combos or "_".join(p) in combos]
     long = F.array(*[F.struct(pair_label(F.lit(a), F.lit(b)).alias("combo"), (F.col(a) / F.col(b)).alias("x")) for a, b in pairs])
-    return sig.join(n, K).select(
+    return join_stats(sig, n, K).select(
         *K, F.col("sample_idx").alias("row"), "n", F.col("time").alias("time_center"), (F.col("event_id") % 5 == 0).cast("int").alias("motion"),
         F.inline(long), F.col("spo2").alias("y"), F.greatest(F.lit(0.05), (F.col("event_id") * 11 % 100) / 100).alias("w"),
     )
@@ -349,7 +355,7 @@ for _name, _model, _w in (("ols_fit", "linear", False), ("weighted_ols", "linear
 def standard_scaler(spark, sf):
     rows = _samples(spark, sf)
     st = rows.groupBy(*K, "combo").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    return rows.join(st, [*K, "combo"]).select(*K, "combo", "row", r6((F.col("x") - F.col("m")) / F.col("s"), "z"))
+    return join_stats(rows, st, [*K, "combo"]).select(*K, "combo", "row", r6((F.col("x") - F.col("m")) / F.col("s"), "z"))
 
 
 @query("sqi_weights", f"WITH {SIG}, {FEATS} SELECT pr.o AS combo_ord, qa.session_id, qa.k AS window_id, {sq('greatest(0.05, least(1, (qa.sqi + qb.sqi) / 2))', 'w')} FROM pr JOIN q qa ON qa.c = a JOIN q qb ON qb.c = b AND qb.session_id = qa.session_id AND qb.k = qa.k")
@@ -574,9 +580,9 @@ def cv_all_models(spark, sf):
 
 # ---- whole jobs -----------------------------------------------------------------------------------
 
-JOB = SignalConfig(
-    fs_reference=50.0, fs_prototype=50.0, fs_common=50.0, window_sec=0.64, overlap_sec=0.48, spo2_min=85.0, spo2_jump=4.0,
-    warmup_sec=0.1, anc=False, pair_shift=4, min_sqi=0.0, max_lag_sec=0.1, motion_quantile=0.8, band_order=2, dc_sec=0.2, wander_sec=0.1,
+JOB = calibration.Job(
+    reference_rate=100.0, windows=Span(0.64, 0.48), saturation=Plausible(85.0, 100.0, 4.0), warmup=0.1, cancel=None, lag=0.1,
+    pairing=Pairing(4, 0.0), movement=Movement(quantile=0.8), pulse=Band(0.5, 5.0, 2), baseline=Baseline(0.2, 0.1),
 )
 
 
@@ -595,15 +601,15 @@ def merged_grid(spark, sf):
 
 @query("merged_grid_anc")
 def merged_grid_anc(spark, sf):
-    out = calibration.merge_recordings(*_recordings(spark, sf), JOB.with_(anc=True, anc_taps=4, anc_mu=0.001))
+    out = calibration.merge_recordings(*_recordings(spark, sf), JOB.but(cancel=Canceller(4, 0.001)))
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
 @query("calibration_run")
 def calibration_run(spark, sf):
     merged = calibration.merge_recordings(*_recordings(spark, sf), JOB)
-    feat = calibration.extract_features(merged, JOB.with_(drop_motion=False), PAIRS)
-    pred, metrics, summary = calibration.calibrate_long_enough(feat, ModelConfig(pairs=tuple(PAIRS), folds=2, models=models.CLOSED))
+    feat = calibration.extract_features(merged, JOB.but(movement=Movement(quantile=0.8, drop=False)), PAIRS)
+    _, _, summary = calibration.calibrate(feat, calibration.Validation(pairs=tuple(PAIRS)))
     return rounded(summary.select("session_id", "combo", "model", "RMSE_mean", "MAE_mean", "Bias_mean"), "RMSE_mean", "MAE_mean", "Bias_mean")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import alignment, cleaning, motion, resample, smoothing, windows
 from ..operators.quantiles import exact_quantiles
-from ..operators.segments import dense_index
+from ..operators.segments import dense_index, join_stats
 from ..session import materialise
 from ..sources.readers import first_match, header_start, path_epoch
 from .registry import K, SIG, query, r6, recording, rounded, sq, sql_windows, table
@@ -231,7 +231,7 @@ SELECT session_id, {sq('quantile_cont(red, 0.05)', 'p05')}, {sq('any_value(med)'
 def signal_quantiles(spark, sf):
     sig = recording(spark, sf, "red")
     q = materialise(exact_quantiles(sig, K, {"p": (F.col("red"), [0.05, 0.5, 0.95])}), "quantiles")
-    mad = exact_quantiles(sig.join(q, K), K, {"mad": (F.abs(F.col("red") - F.col("p_1")), [0.5])})
+    mad = exact_quantiles(join_stats(sig, q, K), K, {"mad": (F.abs(F.col("red") - F.col("p_1")), [0.5])})
     return q.join(mad, K).select("session_id", r6("p_0", "p05"), r6("p_1", "p50"), r6("p_2", "p95"), r6("mad", "mad"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import pair_label, znorm
 from ..operators.models import metric_columns
+from ..operators.segments import join_stats
 from ..operators.windows import head_seconds
 
 
@@ -22,7 +23,7 @@ def motion_view(merged: DataFrame, keys: Sequence[str], seconds: float = 60.0) -
     """Acceleration columns of the head with the lowest flagged energy as ``threshold``."""
     head = head_seconds(merged, keys, seconds)
     line = head.groupBy(*keys).agg(F.min(F.when(F.col("high_motion") == 1, F.col("motion_energy"))).alias("threshold"))
-    return head.join(line, list(keys))
+    return join_stats(head, line, keys)
 
 
 def summary_view(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,14 +49,14 @@ def scatter_view(pred: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataF
     span = rows.groupBy(*keys).agg(
         F.least(F.min("y_true"), F.min("y_pred")).alias("low"), F.greatest(F.max("y_true"), F.max("y_pred")).alias("high")
     )
-    return rows.join(span, list(keys)).select(*keys, "fold", "row", "motion", "y_true", "y_pred", "low", "high")
+    return join_stats(rows, span, keys).select(*keys, "fold", "row", "motion", "y_true", "y_pred", "low", "high")
 
 
 def bland_altman(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean and difference of every pair with bias and limits of agreement."""
     d = F.col("spo2_estimated") - F.col("spo2_reference")
     stats = pred.groupBy(*keys).agg(F.avg(d).alias("bias"), F.stddev_samp(d).alias("_sd"))
-    return pred.join(stats, list(keys)).select(
+    return join_stats(pred, stats, keys).select(
         *keys, "time_center", ((F.col("spo2_estimated") + F.col("spo2_reference")) / 2).alias("mean"), d.alias("diff"),
         "bias", (F.col("bias") + 1.96 * F.col("_sd")).alias("loa_high"), (F.col("bias") - 1.96 * F.col("_sd")).alias("loa_low"),
     )
@@ -85,6 +86,6 @@ def error_histogram(errors: DataFrame, keys: Sequence[str], error: Column, bins:
     width = (F.col("_z") - F.col("_a")) / bins
     at = F.least(F.coalesce(F.floor(F.try_divide(F.col("_e") - F.col("_a"), width)), F.lit(0)), F.lit(bins - 1)).cast("int")
     return (
-        e.join(span, list(keys)).groupBy(*keys, at.alias("bin"), "_a", "_z", "spread").agg(F.count(F.lit(1)).alias("count"))
+        join_stats(e, span, keys).groupBy(*keys, at.alias("bin"), "_a", "_z", "spread").agg(F.count(F.lit(1)).alias("count"))
         .select(*keys, "bin", (F.col("_a") + F.col("bin") * width).alias("low"), "count", "spread")
     )

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ACC, OPTICAL, FileConfig
+from ..config import ACC, OPTICAL
 from ..functions.scalars import rebase_millis, to_number
 from ..operators.segments import dense_index
 
@@ -171,11 +172,30 @@ def read_prototype(spark: SparkSession, path: str, mapping: Mapping[str, str], f
     raise ValueError(f"unsupported prototype format: '{fmt}'")
 
 
-def load_data(spark: SparkSession, files: FileConfig, fs_reference: float = 100.0, fs_prototype: float = 50.0) -> tuple[DataFrame, DataFrame]:
-    """Both recordings of a file configuration."""
+@dataclass(frozen=True)
+class Source:
+    """A recording's file, its format (by suffix unless given) and the file's names of our channels."""
+
+    path: str
+    columns: Mapping[str, str]
+    format: str = "auto"
+
+
+def reference_source(path: str, format: str = "auto", **columns: str) -> Source:
+    return Source(path, {c: c for c in ("time", "red", "ir", "spo2")} | columns, format)
+
+
+def prototype_source(path: str, format: str = "auto", **columns: str) -> Source:
+    # The prototype's files write the axes with a capital prefix.
+    named = {c: c for c in ("timestamp", *OPTICAL)} | {c: c.replace("acc", "ACC") for c in ACC}
+    return Source(path, named | columns, format)
+
+
+def load_data(spark: SparkSession, reference: Source, prototype: Source, reference_rate: float = 100.0, prototype_rate: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """Both recordings of a session, or of as many as the paths hold."""
     return (
-        read_reference(spark, files.reference_path, files.reference_keys, fs_reference, files.reference_format),
-        read_prototype(spark, files.prototype_path, files.prototype_keys, fs_prototype, files.prototype_format),
+        read_reference(spark, reference.path, reference.columns, reference_rate, reference.format),
+        read_prototype(spark, prototype.path, prototype.columns, prototype_rate, prototype.format),
     )
 
 

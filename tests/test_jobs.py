@@ -6,13 +6,17 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.config import PAIRS_MAIN, ModelConfig, SignalConfig
-from pulsegrid.functions import fits
+from pulsegrid.config import PAIRS_MAIN
 from pulsegrid.operators import filtering, models, smoothing
+from pulsegrid.operators.filtering import Canceller
+from pulsegrid.operators.motion import Movement
+from pulsegrid.operators.windows import Span
 from pulsegrid.plans import calibration, dataset
 from pulsegrid.sources import readers, sinks, wfdb
 from pulsegrid.streaming.live import score_stream
 
+from . import reference_fits as ref
+
 K = ["session_id"]
 
 
@@ -44,12 +48,12 @@ def recordings(spark):
     return ref, proto.withColumn("ir", holes).withColumn("time", F.col("time") / 1000)
 
 
-CFG = SignalConfig(warmup_sec=10.0, window_sec=5.0, overlap_sec=4.0, anc=False, motion_quantile=0.95)
+CFG = calibration.Job(warmup=10.0, windows=Span(5.0, 4.0), cancel=None, movement=Movement(quantile=0.95))
 
 
 def test_merge_and_calibrate(spark, recordings, tmp_path):
     ref, proto = recordings
-    model = ModelConfig(pairs=PAIRS_MAIN[:4], models=("linear", "quadratic", "huber", "elasticnet"))
+    model = calibration.Validation(pairs=PAIRS_MAIN[:4], models=("linear", "quadratic", "huber", "elasticnet"))
     only = lambda d, s: d.where(F.col("session_id") == s)
     feat, summary, trained = calibration.run(only(ref, "s5"), only(proto, "s5"), CFG, model, str(tmp_path / "out"), size=3000)
     merged = spark.read.parquet(str(tmp_path / "out/merged_signals")).toPandas()
@@ -75,17 +79,23 @@ def test_merge_and_calibrate(spark, recordings, tmp_path):
 
 def test_two_sessions_and_noise_cancelling(recordings):
     ref, proto = recordings
-    cfg = CFG.with_(anc=True, anc_taps=8, anc_mu=0.0005)
+    cfg = CFG.but(cancel=Canceller(8, 0.0005))
     both = calibration.merge_recordings(ref, proto, cfg, size=4000)
     counts = {r.session_id: r["count"] for r in both.groupBy("session_id").count().collect()}
     assert counts["s5"] > 50 * 130 and counts["s6"] > 50 * 110
 
 
-def test_too_few_windows(recordings):
+def test_every_session_has_an_outcome(recordings):
     ref, proto = recordings
+    plan = calibration.Validation(pairs=PAIRS_MAIN[:1], models=("linear",))
+    merged = calibration.merge_recordings(ref, proto, CFG)
+    feat = calibration.extract_features(merged, CFG, PAIRS_MAIN[:1])
+    few = feat.where("session_id = 's5' or window_id < 7")
+    pred, _, _ = calibration.calibrate(few, plan)
+    got = {r.session_id: r.status for r in calibration.outcomes(ref.unionByName(ref.withColumn("session_id", F.lit("lost"))), few, pred, plan).collect()}
+    assert got == {"s5": "validated", "s6": "too short", "lost": "no windows"}
     with pytest.raises(RuntimeError):
-        one = calibration.merge_recordings(ref, proto, CFG.with_(warmup_sec=118.0))
-        calibration.calibrate(calibration.extract_features(one, CFG, PAIRS_MAIN[:1]), ModelConfig(pairs=PAIRS_MAIN[:1], models=("linear",)))
+        calibration.train_best(few, models.cv_summary(models.fold_metrics(pred.limit(0), K), K))
 
 
 def test_condition_equals_its_parts(spark, recordings):
@@ -175,7 +185,7 @@ def test_waveform_dataset(spark, tmp_path):
     assert {(r.session_id, r.patient_id, r.site) for r in rec.collect()} == {("e1", "p1", "fingers"), ("e2", "p2", "fingers"), ("e3", "p1", "fingers")}
     line = dataset.fit_dataset(pairs.where("session_id = 'e1'"), block=1)
     r, mine = line.first(), pairs.where("session_id = 'e1'").toPandas()
-    a, slope = fits.svr_line(mine.r.to_numpy(), mine.spo2.to_numpy())
+    a, slope = ref.svr_line(mine.r.to_numpy(), mine.spo2.to_numpy())
     assert np.isclose(r.a, a, atol=1e-6) and np.isclose(r.b, -slope, atol=1e-6)
     # the fit prefers the flattest line inside its half-percent margin
     assert 15 < r.b < 26 and (mine.spo2 - r.a + r.b * mine.r).abs().max() < 1

@@ -51,18 +51,15 @@ def test_halo_window_sees_across_segments(rows, size):
         assert np.array_equal(g["lag"], x.shift(1), equal_nan=True)
 
 
-@pytest.mark.parametrize("direct", [0, 100_000])
-def test_exact_quantiles(spark, direct):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(5)
     pdf = pd.concat([
         pd.DataFrame({"k": "hot", "x": rng.normal(size=30_000), "y": rng.integers(0, 3, 30_000) * 1.0}),
         pd.DataFrame({"k": "b", "x": rng.normal(size=7), "y": 5.0}),
     ])
     df = spark.createDataFrame(pdf)
-    # the bracket route needs more rows than a few; small keys take the direct one
-    big = df.where("k = 'hot'") if direct == 0 else df
     got = quantiles.exact_quantiles(
-        big, ["k"], {"x": (F.col("x"), [0.001, 0.5, 0.999]), "y": (F.col("y"), [0.5])}, direct_rows=direct
+        df, ["k"], {"x": (F.col("x"), [0.001, 0.5, 0.999]), "y": (F.col("y"), [0.5])}
     ).toPandas().set_index("k")
     for k in got.index:
         g = pdf[pdf.k == k]
@@ -78,3 +75,12 @@ def test_map_segments_drops_halo_and_keeps_columns(rows):
 
     got = segments.map_segments(df, ["session_id"], ["x"], ["d"], kernel, left=5, right=9, size=20).toPandas()
     assert len(got) == len(pdf) and (got.d == got.sample_idx * 2).all()
+
+
+def test_join_stats_deals_a_key_over_parts(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS k", "id", "id * 0.5 AS v")
+    stats = df.groupBy("k").agg(F.avg("v").alias("m"))
+    out = segments.join_stats(df, stats, ["k"])
+    assert out.count() == 1000 and out.columns == ["k", "id", "v", "m"]
+    assert out.where("k = 0").select("m").distinct().count() == 1
+    assert segments.join_stats(df, stats.where("k = 1"), ["k"], "left").where("m is null").count() == 500
