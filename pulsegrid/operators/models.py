@@ -52,6 +52,12 @@ def samples(features: DataFrame, keys: Sequence[str], weighted: bool = True) ->
     ).where(F.col("x").isNotNull())
 
 
+def standardise(rows: DataFrame, keys: Sequence[str], col: str = "x", out: str = "z") -> DataFrame:
+    """``out``: the column over its group's mean and population deviation (a constant one: null)."""
+    stats = rows.groupBy(*keys).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
+    return join_stats(rows, stats, keys).withColumn(out, safe_ratio(F.col(col) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+
+
 # ---- closed forms -------------------------------------------------------------
 
 MOMENTS = ("s0", "sx", "sy", "sxx", "sxy", "sxxx", "sxxxx", "sxxy", "c", "cx", "cxx")

@@ -70,3 +70,8 @@ def motion_intervals(
     return join_stats(starts, last, keys).select(
         *keys, F.col("_t").alias("t_start"), F.coalesce("_close", "_end").alias("t_end")
     )
+
+
+def motion_counts(df: DataFrame, keys: Sequence[str], flag: str = "high_motion") -> DataFrame:
+    """Samples, flagged samples and their percentage per key."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.sum(flag).alias("flagged"), (100 * F.avg(flag)).alias("share_pct"))

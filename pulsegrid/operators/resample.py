@@ -145,3 +145,9 @@ def shift_grid(
         join_stats(inside.unionByName(filled), grid, keys)
         .select(*keys, "grid_idx", grid_time(fs).alias("time"), *cols)
     )
+
+
+def shift_time(df: DataFrame, keys: Sequence[str], lags: DataFrame, fs: float, time: str = "time") -> DataFrame:
+    """Times moved by each key's ``lag`` in samples at ``fs`` (none: not moved)."""
+    moved = join_stats(df, lags.select(*keys, "lag"), keys, "left")
+    return moved.withColumn(time, F.col(time) + F.coalesce("lag", F.lit(0)) / F.lit(fs)).drop("lag")

@@ -172,3 +172,14 @@ def discard_warmup(df: DataFrame, keys: Sequence[str], seconds: float, time: str
 def head_seconds(df: DataFrame, keys: Sequence[str], seconds: float = 60.0, time: str = "time") -> DataFrame:
     first = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
     return join_stats(df, first, keys).where(F.col(time) <= F.col("_t0") + seconds).drop("_t0")
+
+
+def robust_amplitude(col: str) -> Column:
+    """Half the distance between the 95th and the 5th percentile of a group."""
+    p = F.percentile(col, F.array(F.lit(0.95), F.lit(0.05)))
+    return (p[0] - p[1]) / 2
+
+
+def perfusion(ac: str, dc: str) -> Column:
+    """Deviation of one channel over the level of another; null for no level."""
+    return safe_ratio(F.stddev_pop(ac), F.avg(dc))

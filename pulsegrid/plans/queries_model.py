@@ -14,7 +14,8 @@ from ..operators.windows import Span
 from ..functions import filters
 from ..functions.scalars import pair_label
 from ..operators import features, filtering, models, motion, spectra, splits
-from ..operators.segments import join_stats
+from ..operators.segments import dense_index, join_stats
+from ..session import materialise
 from . import calibration, dataset, views
 from .registry import K, SIG, query, r6, recording, rounded, sq, sql_windows, table
 
@@ -353,9 +354,7 @@ for _name, _model, _w in (("ols_fit", "linear", False), ("weighted_ols", "linear
 
 @query("standard_scaler", f"WITH {SIG}, {SMP} SELECT session_id, combo, row, {sq('(x - avg(x) OVER v) / stddev_pop(x) OVER v', 'z')} FROM smp WINDOW v AS (PARTITION BY session_id, combo)")
 def standard_scaler(spark, sf):
-    rows = _samples(spark, sf)
-    st = rows.groupBy(*K, "combo").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    return join_stats(rows, st, [*K, "combo"]).select(*K, "combo", "row", r6((F.col("x") - F.col("m")) / F.col("s"), "z"))
+    return models.standardise(_samples(spark, sf), [*K, "combo"]).select(*K, "combo", "row", r6("z", "z"))
 
 
 @query("sqi_weights", f"WITH {SIG}, {FEATS} SELECT pr.o AS combo_ord, qa.session_id, qa.k AS window_id, {sq('greatest(0.05, least(1, (qa.sqi + qb.sqi) / 2))', 'w')} FROM pr JOIN q qa ON qa.c = a JOIN q qb ON qb.c = b AND qb.session_id = qa.session_id AND qb.k = qa.k")
@@ -435,7 +434,7 @@ def metrics_view(spark, sf):
 
 @query("fold_detail_view", f"{_CV}, {METRICS}, {SUMMARY}, {BEST} SELECT session_id, combo, model, row, {sq('y_true', 'y_true')}, {sq('y_pred', 'y_pred')} FROM pred JOIN best USING (session_id, combo, model) WHERE fold = 5")
 def fold_detail_view(spark, sf):
-    pred = _pred(spark, sf)
+    pred = materialise(_pred(spark, sf), "pred")
     best = models.best_models(models.cv_summary(models.fold_metrics(pred, K, by_motion=False), K), K)
     return views.best_folds(pred, best, K, 5).select("session_id", "combo", "model", "row", r6("y_true", "y_true"), r6("y_pred", "y_pred"))
 
@@ -443,7 +442,7 @@ def fold_detail_view(spark, sf):
 @query("scatter_view", f"""{_CV}, {METRICS}, {SUMMARY}, {BEST} SELECT session_id, CAST(fold AS INTEGER) AS fold, row, motion, {sq('y_true', 'y_true')}, {sq('y_pred', 'y_pred')},
 {sq('least(min(y_true) OVER v, min(y_pred) OVER v)', 'low')}, {sq('greatest(max(y_true) OVER v, max(y_pred) OVER v)', 'high')} FROM pred JOIN best USING (session_id, combo, model) WINDOW v AS (PARTITION BY session_id)""")
 def scatter_view(spark, sf):
-    pred = _pred(spark, sf)
+    pred = materialise(_pred(spark, sf), "pred")
     best = models.best_models(models.cv_summary(models.fold_metrics(pred, K, by_motion=False), K), K)
     return rounded(views.scatter_view(pred, best, K), "y_true", "y_pred", "low", "high")
 
@@ -567,14 +566,14 @@ def svr_line_fit(spark, sf):
 for _name, _model in (("svr_rbf_cv", "svr_rbf"), ("gbr_cv", "gbr")):
 
     def _kernel(spark, sf, m=_model):
-        return rounded(models.cross_validate(_samples(spark, sf, "red_ir"), K, 2, (m,)), "time_center", "y_true", "y_pred")
+        return rounded(models.cross_validate(_samples(spark, sf), K, models=(m,)), "time_center", "y_true", "y_pred")
 
     query(_name)(_kernel)
 
 
 @query("cv_all_models")
 def cv_all_models(spark, sf):
-    pred = models.cross_validate(_samples(spark, sf, "red_ir"), K, 2)
+    pred = materialise(models.cross_validate(_samples(spark, sf), K), "all-models")
     return rounded(models.fold_metrics(pred, K, by_motion=False), *models.METRICS)
 
 
@@ -587,8 +586,11 @@ JOB = calibration.Job(
 
 
 def _recordings(spark, sf):
-    sig = recording(spark, sf, "red", "ir", "green", "spo2", "time", "accx", "accy", "accz")
-    ref = sig.select(*K, "sample_idx", "time", "red", "ir", "spo2")
+    # Users share recordings here, so that each is long enough for windows and folds.
+    sig = recording(spark, sf, "red", "ir", "green", "spo2", "accx", "accy", "accz").drop("sample_idx")
+    sig = dense_index(sig.withColumn("session_id", F.col("session_id") % 3), K, "event_id").withColumn("time", F.col("sample_idx") / F.lit(50.0))
+    # The reference runs at twice the rate, over half the time.
+    ref = sig.select(*K, "sample_idx", (F.col("sample_idx") / F.lit(100.0)).alias("time"), "red", "ir", "spo2")
     proto = sig.select(*K, "sample_idx", "time", *[(F.col(c) + 500.0).alias(c) for c in ("red", "ir", "green")], "accx", "accy", "accz")
     return ref, proto
 
@@ -605,6 +607,17 @@ def merged_grid_anc(spark, sf):
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
+# Every third session is cut to its first rows, every seventh has none.
+@query("calibration_status", f"""WITH {SIG}, f AS (SELECT session_id, count(*) FILTER (WHERE session_id % 7 <> 1 AND (session_id % 3 <> 0 OR i < 6)) AS windows FROM sig GROUP BY 1)
+SELECT session_id, windows, CASE WHEN windows = 0 THEN 'no windows' WHEN windows < 10 THEN 'too short' ELSE 'validated' END AS status FROM f""")
+def calibration_status(spark, sf):
+    every = _samples(spark, sf, "red_ir")
+    rows = every.where("session_id % 7 <> 1 and (session_id % 3 <> 0 or row < 6)").drop("n")
+    rows = join_stats(rows, rows.groupBy(*K).agg(F.count("*").alias("n")), K)
+    pred = models.cross_validate(rows, K, models=models.CLOSED)
+    return calibration.outcomes(every, rows, pred, calibration.Validation(models=models.CLOSED))
+
+
 @query("calibration_run")
 def calibration_run(spark, sf):
     merged = calibration.merge_recordings(*_recordings(spark, sf), JOB)

@@ -80,17 +80,16 @@ def stride_sample(spark, sf):
 SELECT session_id, k AS window_id, {sq('(quantile_cont(red, 0.95) - quantile_cont(red, 0.05)) / 2', 'ac')}
 FROM win GROUP BY session_id, k""")
 def robust_ac(spark, sf):
-    p = F.percentile("red", F.array(F.lit(0.95), F.lit(0.05)))
-    out = windows.sliding(recording(spark, sf, "red"), K, 20, 10).groupBy(*K, "window_id").agg(((p[0] - p[1]) / 2).alias("ac"))
+    win = windows.sliding(recording(spark, sf, "red"), K, 20, 10)
+    out = win.groupBy(*K, "window_id").agg(windows.robust_amplitude("red").alias("ac"))
     return rounded(out, "ac")
 
 
 @query("perfusion_index", f"""WITH {SIG}, {sql_windows(20, 10)}
 SELECT session_id, k AS window_id, {sq('stddev_pop(red) / nullif(avg(ir), 0)', 'perfusion')} FROM win GROUP BY session_id, k""")
 def perfusion_index(spark, sf):
-    out = windows.sliding(recording(spark, sf, "red", "ir"), K, 20, 10).groupBy(*K, "window_id").agg(
-        scalars.safe_ratio(F.stddev_pop("red"), F.avg("ir")).alias("perfusion")
-    )
+    win = windows.sliding(recording(spark, sf, "red", "ir"), K, 20, 10)
+    out = win.groupBy(*K, "window_id").agg(windows.perfusion("red", "ir").alias("perfusion"))
     return rounded(out, "perfusion")
 
 
@@ -375,9 +374,7 @@ def motion_intervals(spark, sf):
 @query("motion_share", f"""WITH {SIG}, {_FLAG} SELECT session_id, count(*) AS samples, CAST(sum(high_motion) AS BIGINT) AS flagged, {sq('100 * avg(high_motion)', 'share_pct')} FROM f GROUP BY 1""")
 def motion_share(spark, sf):
     flagged = motion.flag_motion(recording(spark, sf, "accx"), K, "accx", 0.7)
-    return flagged.groupBy("session_id").agg(
-        F.count("*").alias("samples"), F.sum("high_motion").alias("flagged"), r6(100 * F.avg("high_motion"), "share_pct")
-    )
+    return rounded(motion.motion_counts(flagged, K), "share_pct")
 
 
 _REQ = "CASE WHEN red < 200 THEN red END"
@@ -435,6 +432,17 @@ def resample_linear(spark, sf):
     return rounded(resample.resample_linear(sig, K, ["red", "ir"], _grid(sig), 2.0, "clock"), "time", "red", "ir")
 
 
+# Neighbours swap their times (and values go with them), so row order is not time order.
+@query("resample_unordered", f"""WITH {SIG}, {GRID}
+SELECT p.session_id, p.grid_idx, {sq('p.t', 'time')}, {sq(sql_lerp('red'), 'red')}
+FROM pos p JOIN sig a ON a.session_id = p.session_id AND a.i = p.k - 1 JOIN sig b ON b.session_id = p.session_id AND b.i = p.k""")
+def resample_unordered(spark, sf):
+    sig = recording(spark, sf, "ts", "clock", "red")
+    grid = _grid(sig)
+    mixed = sig.withColumn("sample_idx", F.expr("sample_idx div 8 * 8 + (7 - sample_idx % 8)"))
+    return rounded(resample.resample_linear(mixed, K, ["red"], grid, 2.0, "clock"), "time", "red")
+
+
 @query("positional_merge", f"""WITH {SIG}, {GRID},
 g2 AS (SELECT session_id, grid_idx, t FROM grid)
 SELECT p.session_id, p.grid_idx, {sq(sql_lerp('spo2'), 'spo2')}, {sq(sql_lerp('green'), 'green')}
@@ -486,7 +494,8 @@ def shift_resample(spark, sf):
 @query("time_shift", f"WITH {SIG} SELECT session_id, i AS sample_idx, {sq('time + (session_id % 9 - 4) / 50e0', 'time')} FROM sig")
 def time_shift(spark, sf):
     sig = recording(spark, sf, "time")
-    return sig.select("session_id", "sample_idx", r6(F.col("time") + (F.col("session_id") % 9 - 4) / F.lit(50.0), "time"))
+    lags = sig.select(*K).distinct().withColumn("lag", F.col("session_id") % 9 - 4)
+    return rounded(resample.shift_time(sig, K, lags, 50.0).select("session_id", "sample_idx", "time"), "time")
 
 
 @query("time_sync_join", f"""WITH {SIG}, d AS (SELECT session_id, (session_id % 7 - 3) * 1400000 AS us FROM cnt)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -91,32 +92,55 @@ def reference_from_matrix(matrix: DataFrame, fs: float = 100.0) -> DataFrame:
     )
 
 
+#: Different header lines that the files of one read may have.
+HEADERS = 256
+
+
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, session: Callable[[Column], Column] = session_of
+    spark: SparkSession, path: str, sep: str | None = None, session: Callable[[Column], Column] = session_of,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """A headed table as text columns plus ``session_id`` and ``sample_idx``.
 
-    ``sep`` None means commas for ``.csv`` and any whitespace otherwise.  Rows
-    are numbered in file order; ``session`` names a recording from its path.
-    All files of a path share the header.
+    ``sep`` None means commas for ``.csv`` and any whitespace otherwise.  Cells of
+    a separator are read as CSV, so quotes may hold it; a quoted line break is
+    not supported.  Each file has its own header; ``columns`` picks from them, a
+    column that a file lacks is null.  Rows are numbered in file order;
+    ``session`` names a recording from its path, and no two files may share a name.
     """
     if sep is None and infer_format(path) == "csv":
         sep = ","
-    lines = numbered_lines(spark, path).where(F.trim("value") != "")
-    head = lines.where("line_no = 0").select("value").limit(1).first()
-    if head is None:
-        raise ValueError(f"no header line in {path}")
-    pattern = r"\s+" if sep is None else "".join("\\" + c if not c.isalnum() else c for c in sep)
-    clean = (lambda c: F.trim(c)) if sep is None else (lambda c: c)
-    import re
-
-    names = [n.strip().strip('"') for n in re.split(pattern, head.value.strip() if sep is None else head.value)]
-    cells = F.split(clean(F.col("value")), pattern)
-    rows = lines.where("line_no > 0").select(
-        session(F.col("path")).alias("session_id"), (F.col("line_no") - 1).alias("sample_idx"),
-        *[F.trim(F.get(cells, F.lit(i))).alias(n) for i, n in enumerate(names)],
-    )
-    return rows
+    lines = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("session_id", session(F.col("path")))
+    heads = lines.where("line_no = 0")
+    doubled = heads.groupBy("session_id").agg(F.count(F.lit(1)).alias("files")).where("files > 1").limit(3).collect()
+    if doubled:
+        raise ValueError(f"several files share a session: {[r.session_id for r in doubled]}")
+    # Bounded: the different headers, not the files.
+    found = [r.value for r in heads.select("value").distinct().limit(HEADERS + 1).collect()]
+    if not found or len(found) > HEADERS:
+        raise ValueError(f"{len(found) or 'no'} header lines in {path}")
+    rows = lines.where("line_no > 0").join(heads.select("path", F.col("value").alias("_head")), "path")
+    names = {h: _split_header(h, sep) for h in found}
+    wanted = list(columns) if columns is not None else list(dict.fromkeys(n for h in sorted(names) for n in names[h]))
+    cells = {n: F.lit(None).cast("string") for n in wanted}
+    for head, own in names.items():
+        if sep is None:
+            part = F.split(F.trim("value"), r"\s+")
+            at = {n: F.trim(F.get(part, F.lit(i))) for i, n in enumerate(own)}
+        else:
+            schema = ", ".join(f"`c{i}` string" for i in range(len(own)))
+            part = F.from_csv("value", F.lit(schema), {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+            at = {n: part[f"c{i}"] for i, n in enumerate(own)}
+        for n in wanted:
+            if n in at:
+                cells[n] = F.when(F.col("_head") == head, at[n]).otherwise(cells[n])
+    return rows.select("session_id", (F.col("line_no") - 1).alias("sample_idx"), *[c.alias(n) for n, c in cells.items()])
+
+
+def _split_header(line: str, sep: str | None) -> list[str]:
+    if sep is None:
+        return [n.strip('"') for n in line.split()]
+    return [n.strip() for n in next(csv.reader([line], delimiter=sep, skipinitialspace=True))]
 
 
 def prototype_table(
@@ -238,7 +262,7 @@ def read_side_table(
 ) -> tuple[DataFrame, DataFrame]:
     """2 Hz saturation table: samples ``(session_id, sample_idx, spo2)`` and the
     clock text of the first row ``(session_id, clock)``."""
-    raw = read_delimited(spark, path, ",", session)
+    raw = read_delimited(spark, path, ",", session, [column, "Timestamp"])
     samples = raw.select("session_id", "sample_idx", to_number(F.col(column)).alias("spo2"))
     stamp = raw.where("sample_idx = 0").select("session_id", F.expr("substring(Timestamp, 12, length(Timestamp) - 12)").alias("clock"))
     return samples, stamp
