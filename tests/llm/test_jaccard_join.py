@@ -34,7 +34,7 @@ def linked(spark, rows, **how):
     return sorted(map(tuple, J.link(df, **how).collect()))
 
 
-@pytest.mark.parametrize("how", [{}, {"light": 2, "bucket": 2000}, {"light": 3, "hot": 4}])
+@pytest.mark.parametrize("how", [{}, {"light": 2, "bucket": 2000}, {"light": 30, "hot": 4}])
 def test_equals_brute_force(spark, how):
     rows = corpus(1, 260)
     assert linked(spark, rows, **how) == brute(rows)
