@@ -23,25 +23,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import LOWER, mix, scan, slices, table
+from .common import LOWER, mix, slices, table
 
 WIDTH, PERCENT = 5, 75
 #: Segments beyond the H + 1 that must be spent, as a share and a number.
 SLACK, EXTRA = 0.12, 2
-#: Members up to which all pairs of different components of a subset's group are taken.
-LIGHT = 64
+#: Pairs of different components up to which all of them are compared in a subset's group.
+LIGHT = 1 << 19
+#: A set whose missing units exceed this share of its free segments looks up shared subsets as they are, the smallest first.
+DENSE = 0.25
+#: Members of a group that meet the lookups in one block.
+BLOCK = 4096
 #: Members in one step from which a subset goes on as a star.
 HOT = 48
 #: Index entries of a bucket and of a step; members in a row.
-BUCKET, STEP, ROW = 3_000_000, 3_000_000, 1024
-#: Bytes of the sketch that rules out most pairs: each shingle flips one of its bits.
+BUCKET, STEP, ROW = 800_000, 500_000, 1024
+#: Least bytes of the sketch that rules out most pairs.
 SKETCH = 128
-#: Words whose hashes a worker remembers.
-CACHE = 1_000_000
+#: Words whose hashes a worker remembers, and bytes of text that it takes apart at a time.
+CACHE, TEXTS = 150_000, 1 << 19
 
 U64 = np.uint64
 _TURNS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -51,8 +55,6 @@ class Words(dict):
     """64-bit hashes of words, kept as met."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
 
@@ -62,22 +64,59 @@ def words_cache() -> Words:
     return Words()
 
 
+def sets_of(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """``(shingles, bounds)``: the sets of hashed shingles of all texts end to end, each sorted.
+
+    Words are runs without ASCII white space, A-Z in lower case; a text with fewer words than ``width`` is one shingle.
+    """
+    known = words_cache()
+    if len(known) > CACHE:
+        known.clear()
+    words: list[bytes] = []
+    ends = []
+    for t in texts:
+        words += t.encode().translate(LOWER).split()
+        ends.append(len(words))
+    h = np.fromiter(map(known.__getitem__, words), U64, len(words))
+    end = np.array(ends, np.int64)
+    size = np.diff(end, prepend=0)
+    text_of = np.repeat(np.arange(len(texts)), size)
+    left = end[text_of] - np.arange(len(h))  # words from here to the text's end
+    out = np.minimum(size, width).astype(U64)[text_of]
+    for k in range(width):
+        step = np.zeros(len(h), U64)
+        if k < len(h):
+            step[: len(h) - k] = h[k:]
+        # Beyond the end of a short text there is nothing to add.
+        inside = left > k
+        out = np.where(inside, mix(out * _TURNS[k % len(_TURNS)] + step), out)
+    starts = np.flatnonzero((left >= width) | ((left == size[text_of]) & (size[text_of] < width)))
+    out, owner = out[starts], text_of[starts]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out[a:b].sort()
+    once = np.ones(len(out), bool)
+    once[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[once], np.r_[0, np.cumsum(np.bincount(owner[once], minlength=len(texts)))]
+
+
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
-    """The set of hashed shingles of a text, sorted; with fewer words the whole sequence is one."""
-    words = text.encode().translate(LOWER).split()
-    if not words:
-        return np.zeros(0, U64)
-    h = np.fromiter(map(words_cache().__getitem__, words), U64, len(words))
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(len(h), width), U64)
-    for k in range(min(width, len(h))):
-        out = mix(out * _TURNS[0] + h[k : k + n])
-    return np.unique(out)
+    """The set of one text, sorted."""
+    return sets_of([text], width)[0]
 
 
-def class_of(s: np.ndarray) -> int:
-    """Signed 64-bit digest of a set; sets of the same digest are one class."""
-    return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], U64).view(np.int64)[0])
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums, modulo 2**64, of the values between bounds."""
+    out = np.zeros(len(bounds) - 1, U64)
+    filled = bounds[1:] > bounds[:-1]
+    if filled.any():
+        out[filled] = np.add.reduceat(values, bounds[:-1][filled])
+    return out
+
+
+def classes_of(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Signed 64-bit digests of sets; sets of the same digest are one class."""
+    return mix(sums(mix(flat + U64(0x2545F491)), bounds) + np.diff(bounds).astype(U64)).view(np.int64)
 
 
 def most_different(n, percent: int = PERCENT):
@@ -97,24 +136,49 @@ class Bands:
             self.edges.append(max(e + 1, 100 * e // self.percent + 1))
         return bisect.bisect_right(self.edges, n) - 1
 
-    def segments(self, band: int) -> int:
+    def edge(self, band: int) -> int:
+        """The least size of a band."""
         while len(self.edges) < band + 2:
             self.of(self.edges[-1])
+        return self.edges[max(0, band)]
+
+    @functools.cache  # noqa: B019  a few numbers for each band, as long as a task's bands live
+    def segments(self, band: int) -> int:
+        self.edge(band + 1)
         need = most_different(self.edges[band + 1] - 1, self.percent) + 1
         return need + int(np.ceil(SLACK * need)) + EXTRA
 
 
+def spread_of(flat: np.ndarray) -> np.ndarray:
+    """The value of each shingle in the sums of its segments; also decides the segment."""
+    return mix(flat + U64(0x51ED2705))
+
+
+def segment_sums(spread: np.ndarray, owner: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(owner, segment, size, sum)`` of the filled segments of all sets; set ``k`` has ``m[k]`` segments."""
+    first = np.cumsum(m) - m
+    own = m[owner]
+    at = first[owner] + (((spread >> U64(32)) * own.astype(U64)) >> U64(32)).astype(np.int64)
+    total = np.zeros(int(m.sum()), U64)
+    np.add.at(total, at, spread)
+    size = np.bincount(at, minlength=len(total))
+    filled = np.flatnonzero(size)
+    who = np.searchsorted(first, filled, side="right") - 1
+    return who, filled - first[who], size[filled], total[filled]
+
+
 def subsets(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(segment of each shingle, value of each shingle, size and sum of values of each segment)``."""
-    spread = mix(s + U64(0x51ED2705))
+    spread = spread_of(s)
     segment = (((spread >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
     sums = np.zeros(m, U64)
     np.add.at(sums, segment, spread)
     return segment, spread, np.bincount(segment, minlength=m), sums
 
 
-def keys_of(sums: np.ndarray, band: int, segment: np.ndarray) -> np.ndarray:
-    return mix(sums + mix((segment.astype(U64) << U64(16)) + U64(band + 1)))
+def keys_of(total: np.ndarray, band, segment: np.ndarray) -> np.ndarray:
+    """Keys of subsets; the lower 16 bits are left for their owners."""
+    return mix(total + mix((segment.astype(U64) << U64(16)) + np.asarray(band + 1).astype(U64))) & ~U64(0xFFFF)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -124,7 +188,12 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def named(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The name of a key: its bucket over the 40 bits that travel."""
-    return (bucket_of(keys, buckets) << 40) | (keys & U64((1 << 40) - 1)).astype(np.int64)
+    return (bucket_of(keys, buckets) << 40) | low_bits(keys).astype(np.int64)
+
+
+def low_bits(keys: np.ndarray) -> np.ndarray:
+    """The 40 bits of a key that travel; the bucket stands for most of the others."""
+    return (keys >> U64(16)) & U64((1 << 40) - 1)
 
 
 def digest(members: np.ndarray) -> int:
@@ -132,40 +201,72 @@ def digest(members: np.ndarray) -> int:
     return int(mix(members.astype(U64)).sum(dtype=U64).view(np.int64))
 
 
-def sketch(s: np.ndarray) -> bytes:
-    bits = np.bincount((s >> U64(7)).astype(np.int64) % (8 * SKETCH), minlength=8 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
-# --- scans over texts -----------------------------------------------------------------------------
+def sketches(flat: np.ndarray, bounds: np.ndarray, at_once: int = 1 << 23) -> list[bytes]:
+    """A bit string for each set, with a bit or more for each shingle: every shingle flips one bit.
 
+    Lengths are powers of two, so that a longer one folds onto a shorter one.
+    """
+    n = np.diff(bounds)
+    bits = 8 * SKETCH << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (8 * SKETCH)))).astype(np.int64)
+    out: list[bytes] = [b""] * len(n)
+    for width in np.unique(bits).tolist():
+        same = np.flatnonzero(bits == width)
+        for k in range(0, len(same), max(1, at_once // width)):
+            own = same[k : k + max(1, at_once // width)]
+            part = np.concatenate([flat[bounds[d] : bounds[d + 1]] for d in own.tolist()])
+            at = np.repeat(np.arange(len(own)), n[own]) * width + ((part >> U64(7)) % U64(width)).astype(np.int64)
+            odd = (np.bincount(at, minlength=len(own) * width) & 1).astype(np.uint8)
+            for d, x in zip(own.tolist(), np.packbits(odd.reshape(len(own), -1), axis=1), strict=True):
+                out[d] = x.tobytes()
+    return out
+
+
+def folded(raw: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of ``width`` bytes, the longer ones folded."""
+    rows = []
+    for x in raw:
+        while len(x) > width:
+            half = len(x) // 2
+            x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+        rows.append(x)
+    return np.frombuffer(b"".join(rows), U64).reshape(len(raw), -1)
+
+
+class Filter:
+    """A bitmap of hashed ids, of bounded size: who is asked for may pass, few others do.
+
+    Built by Spark's bitmap aggregates; it saves shuffling texts to find the few that are wanted.  For
+    more ids than the bitmap can part, more others pass, and a join drops them later.
+    """
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """``(id, n, class, filled, sketch)``: set size, class, and segments of the own band that aren't empty."""
+    MOST = 1 << 26  # bits: 8 MB
 
-    def start():
-        bands = Bands(percent)
+    def __init__(self, ids: DataFrame):
+        count = ids.count()
+        self.bits = max(1 << 15, min(self.MOST, 1 << (16 * max(1, count) - 1).bit_length()))
+        at = ids.select((F.pmod(F.xxhash64("id"), F.lit(self.bits)) + 1).alias("v"))
+        rows = at.groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
+        self.map = np.zeros(self.bits // 8, np.uint8)
+        for r in rows:
+            part = np.frombuffer(bytes(r["bits"]), np.uint8)
+            self.map[(r["b"] - 1) * len(part) : r["b"] * len(part)] = part
 
-        def one(part, texts):
-            n, cls, filled, sk = [], [], [], []
-            for t in texts:
-                s = shingles(t, width)
-                n.append(len(s))
-                cls.append(class_of(s) if len(s) else None)
-                if len(s):
-                    b = bands.of(len(s))
-                    filled.append(int((subsets(s, b, bands.segments(b))[2] > 0).sum()))
-                else:
-                    filled.append(0)
-                sk.append(sketch(s))
-            return table(id=part.column(id_col), n=pa.array(n, pa.int64()), **{"class": pa.array(cls, pa.int64())}, filled=pa.array(filled, pa.int64()), sketch=pa.array(sk, pa.binary()))
+    def scan(self, docs: DataFrame, schema: str, fn) -> DataFrame:
+        """``fn(ids, texts)`` over the rows ``(id, text)`` that pass; ``fn`` makes a batch."""
+        bitmap = self.map
 
-        return one
+        def run(batches):
+            for batch in batches:
+                at = batch.column("at").to_numpy()
+                own = batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                for part, texts in slices(own, "text", TEXTS):
+                    yield fn(part.column("id"), texts)
 
-    return scan(docs, [id_col, text_col], text_col, f"id {dict(docs.dtypes)[id_col]}, n long, class long, filled long, sketch binary", start)
+        return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(self.bits)).alias("at")).mapInArrow(run, schema)
 
 
-ENTRIES = "bucket int, keys binary, owners binary, classes binary, sizes binary, hot binary, stars binary, sets binary"
+# A row of the scan carries packed entries of a bucket, stars and members of subsets met often in one step, or the sets' own rows.
+ENTRIES = "bucket int, keys binary, owners binary, classes binary, sizes binary, hot binary, stars binary, sets binary, docs binary"
 
 
 class Packer:
@@ -176,26 +277,28 @@ class Packer:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.owners, self.classes, self.sizes, self.count, self.seen = [], [], [], [], 0, set()
-
-    def add(self, cls: int, n: int, keys: np.ndarray, marks: np.ndarray) -> None:
-        """``marks``: one bit, kept beside each key."""
-        if len(keys):
-            self.keys.append(keys)
-            self.owners.append(np.uint32(2 * len(self.classes)) + marks.astype(np.uint32))
-            self.classes.append(cls)
-            self.sizes.append(n)
-            self.count += len(keys)
-
-    def rows(self, hot: int = 0) -> pa.RecordBatch | None:
+        self.entries, self.classes, self.sizes, self.count, self.held = [], [], [], 0, 0
+
+    def full(self, more: int = 0) -> bool:
+        return self.count >= STEP or self.held + more >= 1 << 15
+
+    def add(self, classes: np.ndarray, sizes: np.ndarray, keys: np.ndarray, owner: np.ndarray, marks: np.ndarray) -> None:
+        """``owner`` numbers ``classes``, fewer than 2**15 until ``rows``; ``marks`` is one bit of each entry."""
+        self.entries.append(keys | (2 * (owner + self.held) + marks).astype(U64))
+        self.classes.append(classes)
+        self.sizes.append(sizes)
+        self.count += len(keys)
+        self.held += len(classes)
+
+    def rows(self, hot: int = 0) -> list[tuple]:
+        """Rows of the step, which ends."""
         if not self.count:
             self.clear()
-            return None
-        keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
-        classes, sizes = np.array(self.classes, np.int64), np.array(self.sizes, np.uint32)
+            return []
+        both = np.sort(np.concatenate(self.entries))
+        keys, owners = both & ~U64(0xFFFF), (both & U64(0xFFFF)).astype(np.int64)
+        classes, sizes = np.concatenate(self.classes), np.concatenate(self.sizes).astype(np.uint32)
         self.clear()
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
         hot_keys, stars, groups = np.zeros(0, U64), [], []
         if hot:
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -208,30 +311,36 @@ class Packer:
                 keep[lead] = True
                 rest = own[np.arange(a, a + w) != lead]
                 stars.append(star(classes, sizes, owners[lead], rest))
-                groups.append((int(keys[a]), np.c_[classes[rest >> 1], (rest & 1).astype(np.int64)]))
+                groups.append((int(keys[a]), np.c_[classes[rest >> 1], rest & 1]))
             hot_keys = keys[first[width > hot]]
             keys, owners = keys[keep], owners[keep]
         bucket = bucket_of(keys, self.buckets)
         edge = np.searchsorted(bucket, np.arange(self.buckets + 1))
         hot_bucket = bucket_of(hot_keys, self.buckets)
         out: list[tuple] = []
-        for b in np.unique(bucket).tolist():
-            k, o = keys[edge[b] : edge[b + 1]], owners[edge[b] : edge[b + 1]]
-            used, at = np.unique(o >> 1, return_inverse=True)
-            low = k & U64((1 << 40) - 1)
-            packed = (low & U64(0xFFFFFFFF)).astype("<u4").tobytes() + (low >> U64(32)).astype(np.uint8).tobytes()
-            mine = (2 * at + (o & 1)).astype("<u2" if len(used) < 32768 else "<u4").tobytes()
-            here = (hot_keys[hot_bucket == b] & U64((1 << 40) - 1)).astype("<u8").tobytes()
-            out.append((b, packed, mine, classes[used].astype("<i8").tobytes(), sizes[used].astype("<u4").tobytes(), here, b"", b""))
+        low = low_bits(keys)
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            k, o = low[edge[b] : edge[b + 1]], owners[edge[b] : edge[b + 1]]
+            seen = np.zeros(len(classes), bool)
+            seen[o >> 1] = True
+            used = np.flatnonzero(seen)
+            at = (np.cumsum(seen) - 1)[o >> 1]
+            packed = (k & U64(0xFFFFFFFF)).astype("<u4").tobytes() + (k >> U64(32)).astype(np.uint8).tobytes()
+            here = low_bits(hot_keys[hot_bucket == b]).astype("<u8").tobytes()
+            out.append((b, packed, (2 * at + (o & 1)).astype("<u2").tobytes(), classes[used].astype("<i8").tobytes(), sizes[used].astype("<u4").tobytes(), here, b"", b"", b""))
         if stars:
-            out.append((int(hot_keys[0] % U64(self.buckets)), *[b""] * 5, np.concatenate(stars).astype("<i8").tobytes(), b""))
+            out.append((int(hot_keys[0] % U64(self.buckets)), *[b""] * 5, np.concatenate(stars).astype("<i8").tobytes(), b"", b""))
         for key, members in groups:
             name = int(named(np.array([key], U64), self.buckets)[0])
             for at in range(0, len(members), ROW):
                 cut = np.r_[[[name, 0]], members[at : at + ROW]]
-                out.append(((key + at) % self.buckets, *[b""] * 6, cut.astype("<i8").tobytes()))
-        kinds = [pa.int32()] + [pa.binary()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ENTRIES.split(", ")])
+                out.append(((key + at) % self.buckets, *[b""] * 6, cut.astype("<i8").tobytes(), b""))
+        return out
+
+
+def entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32()] + [pa.binary()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ENTRIES.split(", ")])
 
 
 def leader(classes: np.ndarray, own: np.ndarray) -> int:
@@ -253,81 +362,130 @@ def star(classes: np.ndarray, sizes: np.ndarray, lead: int, rest: np.ndarray) ->
 PERCENT_FLOOR = 50
 
 
-def entry_rows(docs: DataFrame, text_col: str, width: int, percent: int, buckets: int, hot: int = HOT) -> DataFrame:
-    """Packed entries ``(key, class)`` of every set's non-empty segments, in its own band (marked) and the next one."""
+_DOC = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("filled", pa.int64()), ("sketch", pa.binary())])
+
+
+def entry_rows(docs: DataFrame, width: int, percent: int, buckets: int, hot: int = HOT) -> DataFrame:
+    """One pass over the texts: packed entries ``(key, class)`` of every set's filled segments, in its own band (marked) and the next one; and the sets' rows.
+
+    Sets that a step has met before are not entered again.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        bands, pack = Bands(percent), Packer(buckets)
+        bands, pack, met, no = Bands(percent), Packer(buckets), set(), 0
         for batch in batches:
-            for _, texts in slices(batch, text_col):
-                for t in texts:
-                    s = shingles(t, width)
-                    if not len(s) or (cls := class_of(s)) in pack.seen:
-                        continue
-                    pack.seen.add(cls)
-                    keys, marks = [], []
-                    b = bands.of(len(s))
-                    for band in (b, b + 1):
-                        _, _, size, sums = subsets(s, band, bands.segments(band))
-                        at = np.flatnonzero(size)
-                        keys.append(keys_of(sums[at], band, at))
-                        marks.append(np.full(len(at), band == b))
-                    pack.add(cls, len(s), np.concatenate(keys), np.concatenate(marks))
-                    if pack.count >= STEP and (out := pack.rows(hot)) is not None:
-                        yield out
-        if (out := pack.rows(hot)) is not None:
-            yield out
-
-    return docs.select(text_col).mapInArrow(run, ENTRIES)
-
-
-def unpack(rows: pa.Table, by_mark: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(keys, classes, sizes, marks, hot keys)`` of a bucket, sorted by key, then class."""
-    keys, classes, sizes, marks, hot = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, U64)]
-    for r in range(rows.num_rows):
-        k, o, c, n, h = (rows[x][r].as_py() for x in ("keys", "owners", "classes", "sizes", "hot"))
+            for part, texts in slices(batch, "text", TEXTS):
+                flat, bounds = sets_of(texts, width)
+                n, cls = np.diff(bounds), classes_of(flat, bounds)
+                owner = np.repeat(np.arange(len(texts)), n)
+                spread = spread_of(flat)
+                band = np.array([bands.of(x) if x else 0 for x in n.tolist()], np.int64)
+                fresh = np.zeros(len(texts), bool)
+                for k, (c, x) in enumerate(zip(cls.tolist(), n.tolist(), strict=True)):
+                    if x and c not in met:
+                        met.add(c)
+                        fresh[k] = True
+                if pack.full(len(texts)):
+                    if out := pack.rows(hot):
+                        yield entry_batch(out)
+                    met = set(cls[fresh].tolist())
+                filled = np.zeros(len(texts), np.int64)
+                keys, owners, marks = [], [], []
+                for up in (0, 1):
+                    m = np.array([bands.segments(b) for b in (band + up).tolist()], np.int64) * (n > 0)
+                    who, segment, _, total = segment_sums(spread, owner, m)
+                    if not up:
+                        filled = np.bincount(who, minlength=len(texts))
+                    k = keys_of(total, band[who] + up, segment)
+                    keys.append(k[fresh[who]])
+                    owners.append(who[fresh[who]])
+                    marks.append(np.full(len(owners[-1]), 1 - up))
+                place = np.cumsum(fresh) - 1
+                pack.add(cls[fresh], n[fresh], np.concatenate(keys), place[np.concatenate(owners)], np.concatenate(marks))
+                sk = sketches(flat, bounds)
+                rows = pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(np.where(n > 0, cls, 0)), pa.array(filled, pa.int64()), pa.array(sk, pa.binary())], schema=_DOC)
+                no += 1
+                yield entry_batch([((int(cls[0]) + no) % buckets, *[b""] * 7, packed_rows(rows))])
+        if out := pack.rows(hot):
+            yield entry_batch(out)
+
+    return docs.select("id", "text").mapInArrow(run, ENTRIES)
+
+
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(rows: pa.Table, probes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(keys, classes, sizes, marks, hot keys)`` of the keys that more than one entry of a bucket has, or that are hot; by key, then class.
+
+    A class that several steps met counts once; with ``probes`` its marked entries count apart.
+    """
+    keys, classes, sizes, marks, hot = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for k, o, c, n, h in zip(*(rows[x].to_pylist() for x in ("keys", "owners", "classes", "sizes", "hot")), strict=True):
         if not k:
             continue
         count = len(k) // 5
         keys.append(np.frombuffer(k, "<u4", count).astype(U64) | (np.frombuffer(k, np.uint8, count, 4 * count).astype(U64) << U64(32)))
-        owner = np.frombuffer(o, "<u2" if len(o) == 2 * count else "<u4").astype(np.int64)
+        owner = np.frombuffer(o, "<u2").astype(np.int64)
         classes.append(np.frombuffer(c, "<i8")[owner >> 1])
         sizes.append(np.frombuffer(n, "<u4").astype(np.int64)[owner >> 1])
-        marks.append((owner & 1).astype(bool))
+        marks.append(owner & 1)
         hot.append(np.frombuffer(h, "<u8"))
     keys, classes, sizes, marks = map(np.concatenate, (keys, classes, sizes, marks))
+    hot = np.unique(np.concatenate(hot))
+    if len(keys) < 1 << 24:
+        both = np.sort((keys << U64(24)) | np.arange(len(keys), dtype=U64))
+        order = (both & U64((1 << 24) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(keys)
+    k = keys[order]
+    same = k[1:] == k[:-1]
+    wanted = np.r_[False, same] | np.r_[same, False]
+    if len(hot):
+        wanted |= hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k
+    order = order[wanted[: len(order)]]
+    keys, classes, sizes, marks = keys[order], classes[order], sizes[order], marks[order]
     order = np.lexsort((marks, classes, keys))
     keys, classes, sizes, marks = keys[order], classes[order], sizes[order], marks[order]
-    # A class that several steps met counts once (probes apart from the index, if asked).
-    other = (marks[1:] != marks[:-1]) & by_mark
-    once = np.r_[True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]) | other] if len(keys) else np.zeros(0, bool)
-    return keys[once], classes[once], sizes[once], marks[once], np.unique(np.concatenate(hot))
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]) | ((marks[1:] != marks[:-1]) & probes)
+    return keys[once], classes[once], sizes[once], marks[once] == 1, hot
 
 
-FOUND = "kind int, a long, b long, chunk long, members binary"
+FOUND = "kind int, a long, b long, chunk long, filled long, members binary"
 
 
 def meet(rows: pa.Table) -> pa.Table:
-    """What a bucket finds.  Kind 1: star pairs ``a < b``.  Kind 2: a group of three or more: set ``a``, key ``b``, members (class, own)."""
+    """What a bucket finds.  Kind 0: a set's row (id ``a``, class ``b``, size ``chunk``, ``filled``, sketch).  Kind 1: star pairs ``a < b``.  Kind 2: a group of three or more: name ``a``, key ``b``, members (class, own)."""
     bucket = rows["bucket"][0].as_py()
+    names = [c.split()[0] for c in FOUND.split(", ")]
     keys, classes, sizes, marks, hot = unpack(rows)
     pairs = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in rows["stars"].to_pylist() if x]
     out: list[tuple] = []
     for x in rows["sets"].to_pylist():
         if x:
             own = np.frombuffer(x, "<i8").reshape(-1, 2)
-            out.append((2, digest(own[:1, 0]), int(own[0, 0]), digest(own[1:, 0]), own[1:].tobytes()))
+            out.append((2, digest(own[:1, 0]), int(own[0, 0]), digest(own[1:, 0]), 0, own[1:].tobytes()))
+    got = []
+    for x in rows["docs"].to_pylist():
+        if x:
+            d = pa.ipc.open_stream(x).read_all()
+            got.append(pa.Table.from_arrays([pa.array(np.zeros(len(d), np.int32)), d["id"], d["class"], d["n"], d["filled"], d["sketch"]], names=names))
     if len(keys):
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        first = np.flatnonzero(new)
         width = np.diff(np.r_[first, len(keys)])
         is_hot = np.isin(keys[first], hot)
         own = np.add.reduceat(marks.astype(np.int64), first) > 0
-        for a, w, h in zip(*(x[own & ((width > 1) | is_hot)].tolist() for x in (first, width, is_hot)), strict=True):
+        two = first[own & (width == 2) & ~is_hot]
+        two = two[100 * np.minimum(sizes[two], sizes[two + 1]) >= PERCENT_FLOOR * np.maximum(sizes[two], sizes[two + 1])]
+        pairs.append(np.c_[classes[two], classes[two + 1]])
+        for a, w, h in zip(*(x[own & ((width > 2) | is_hot)].tolist() for x in (first, width, is_hot)), strict=True):
             c, n, m = classes[a : a + w], sizes[a : a + w], marks[a : a + w]
-            if w == 2 and not h:
-                if 100 * min(n) >= PERCENT_FLOOR * max(n):
-                    pairs.append(c[None, :])
-                continue
             lead = leader(c, m)
             ok = (c != c[lead]) & (100 * np.minimum(n, n[lead]) >= PERCENT_FLOOR * np.maximum(n, n[lead]))
             pairs.append(np.c_[np.minimum(c[lead], c[ok]), np.maximum(c[lead], c[ok])])
@@ -337,12 +495,12 @@ def meet(rows: pa.Table) -> pa.Table:
             name = digest(np.array([key])) if h else digest(members[:, 0] * 2 + members[:, 1])
             for at in range(0, w, ROW):
                 cut = members[at : at + ROW]
-                out.append((2, name, key, digest(cut[:, 0]), cut.tobytes()))
-    kinds = [pa.int32()] + [pa.int64()] * 3 + [pa.binary()]
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    got = [pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)] if out else []
+                out.append((2, name, key, digest(cut[:, 0]), 0, cut.tobytes()))
+    kinds = [pa.int32()] + [pa.int64()] * 4 + [pa.binary()]
+    if out:
+        got.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names))
     if pairs and len(p := np.unique(np.concatenate(pairs), axis=0)):
-        got.append(pa.Table.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.binary())], names=names))
+        got.append(pa.Table.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.binary())], names=names))
     return pa.concat_tables(got) if got else pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
 
 
@@ -364,22 +522,63 @@ def members(found: DataFrame) -> DataFrame:
     return groups.select("a", "keys", "members").mapInArrow(run, "set long, class long, own boolean, keys long")
 
 
-def cross_pairs(groups: DataFrame) -> DataFrame:
-    """Pairs of different components in groups of at most LIGHT members ``(class, comp, own)``, one of them in its own band."""
+PAIRS = "a long, b long, margin long"
+
+
+def close_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that sizes and sketches allow, one of them in its own band, from groups ``(set, class, comp, own, n, sketch)``.
+
+    ``margin`` says by how many shingles the sketches differ less than they may.
+    """
+
+    def pairs_of(c, k, o, n, x):
+        # Members of the largest component meet only the others.
+        kinds, of, size = np.unique(k, return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(of != np.argmax(size))
+        order = np.full(len(c), len(c))
+        order[rest] = np.arange(len(rest))
+        block = max(1, (1 << 20) // (len(c) * x.shape[1]))
+        for at in range(0, len(rest), block):
+            own = rest[at : at + block]
+            a, b = np.nonzero((order[own][:, None] < order[None, :]) & (k[own][:, None] != k[None, :]))
+            a = own[a]
+            ok = (o[a] | o[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            margin = allowed(n[a] + n[b], percent) - np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64)
+            a, b, margin = a[margin >= 0], b[margin >= 0], margin[margin >= 0]
+            yield np.c_[np.minimum(c[a], c[b]), np.maximum(c[a], c[b]), margin]
 
     def run(batches):
+        rest = None
+
+        def cut(rows, last):
+            name = rows.column("set").to_numpy()
+            edge = np.r_[0, np.flatnonzero(name[1:] != name[:-1]) + 1, len(name)]
+            if not last:
+                edge = edge[:-1]  # the last group may go on
+            c, k, n = (rows.column(f).to_numpy() for f in ("class", "comp", "n"))
+            o = rows.column("own").to_numpy(zero_copy_only=False)
+            x, out = rows.column("sketch").to_pylist(), []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                out += pairs_of(c[a:b], k[a:b], o[a:b], n[a:b], folded(x[a:b], min(map(len, x[a:b]))))
+            p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            return table(a=p[:, 0], b=p[:, 1], margin=p[:, 2]), rows.slice(int(edge[-1]))
+
         for batch in batches:
-            out = []
-            for g in batch.column("g").to_pylist():
-                c, k, o = (np.array([x[f] for x in g]) for f in ("class", "comp", "own"))
-                a, b = np.triu_indices(len(g), 1)
-                ok = (k[a] != k[b]) & (o[a] | o[b])
-                out.append(np.c_[np.minimum(c[a], c[b]), np.maximum(c[a], c[b])][ok])
-            if out:
-                p = np.unique(np.concatenate(out), axis=0)
-                yield table(a=p[:, 0], b=p[:, 1])
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+                got, rest = cut(rows.to_batches()[0], False)
+                rest = pa.Table.from_batches([rest])
+                yield got
+        if rest is not None and rest.num_rows:
+            yield cut(rest.combine_chunks().to_batches()[0], True)[0]
 
-    return groups.mapInArrow(run, "a long, b long")
+    return groups.repartition("set").sortWithinPartitions("set").select("set", "class", "comp", "own", "n", "sketch").mapInArrow(run, PAIRS)
+
+
+def allowed(total: np.ndarray, percent: int) -> np.ndarray:
+    """In how many shingles similar sets of the sizes' total differ at most."""
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -403,7 +602,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs, with sizes, that sizes and sketches do not rule out (no similar pair is lost)."""
+    """Distinct pairs ``(a, b, margin)`` that sizes and sketches do not rule out (no similar pair is lost)."""
     side = lambda x: reps.select(F.col("class").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
     sized = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
@@ -411,37 +610,39 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            most = total - 2 * -(-percent * total // (100 + percent))
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
+            x, y = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            width = np.array([min(len(u), len(v)) for u, v in zip(x, y, strict=True)])
+            margin = allowed(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), percent)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w).tolist()
+                margin[at] -= np.bitwise_count(folded([x[i] for i in at], w) ^ folded([y[i] for i in at], w)).sum(1, dtype=np.int64)
+            keep = pa.array(margin >= 0)
+            yield table(a=batch.column("a").filter(keep), b=batch.column("b").filter(keep), margin=margin[margin >= 0])
 
-    return sized.mapInArrow(run, "a long, b long, na long, nb long")
+    return sized.mapInArrow(run, PAIRS)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that are similar, found on the sets of one document of each class."""
-    pairs = materialise(plausible(pairs, reps, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(reps.select("class", "rep"), "class")
-    texts = docs.join(wanted.select(F.col("rep").alias("id"), F.col("class").alias("of")), "id").select("of", "text")
-
-    def start():
-        def one(part, texts):
-            sets = [shingles(t, width) for t in texts]
-            # An id that several texts share stands for the one of the wanted class.
-            good = pa.array([class_of(s) == c for s, c in zip(sets, part.column("of").to_pylist(), strict=True)], pa.bool_())
-            return table(**{"class": part.column("of")}, shingles=pa.array([s.tobytes() for s in sets], pa.binary())).filter(good)
-
-        return one
-
-    sets = materialise(scan(texts, ["of", "text"], "text", "class long, shingles binary", start).dropDuplicates(["class"]), "sets")
+    """Those of the plausible pairs ``(a, b)`` that are similar, found on the sets of one document of each class."""
+    pairs = materialise(pairs.select("a", "b"), "pairs")
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = materialise(wanted.join(reps.select("class", F.col("rep").alias("id")), "class"), "wanted")
+
+    def sets(ids, texts):
+        flat, bounds = sets_of(texts, width)
+        raw = [flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return table(id=ids, **{"class": classes_of(flat, bounds)}, shingles=pa.array(raw, pa.binary()))
+
+    # An id that several texts share stands for the one of the wanted class.
+    sets = Filter(wanted).scan(docs, "id long, class long, shingles binary", sets).join(wanted, ["id", "class"]).dropDuplicates(["class"])
+    sets = materialise(sets.select("class", "shingles"), "sets")
     side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias("s" + x))
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                u, v = np.frombuffer(x, U64), np.frombuffer(y, U64)
                 if len(u) > len(v):
                     u, v = v, u
                 both = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
@@ -457,70 +658,72 @@ _SAME, _LESS = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
 def own_segments(docs: DataFrame, short: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """``(class, segment, size, key)``: the filled segments of the sets ``short`` (class, rep) in their own band."""
-
-    def start():
-        bands = Bands(percent)
+    """``(class, band, segment, size, b)``: the filled segments, with the names of their keys, of the sets ``short`` (class, rep) in their own band."""
+    bands = Bands(percent)
 
-        def one(part, texts):
-            out: list[list] = [[], [], [], [], []]
-            for t, c in zip(texts, part.column("of").to_pylist(), strict=True):
-                s = shingles(t, width)
-                if not len(s) or class_of(s) != c:
-                    continue
-                band = bands.of(len(s))
-                _, _, size, sums = subsets(s, band, bands.segments(band))
-                at = np.flatnonzero(size)
-                for o, v in zip(out, (np.full(len(at), c), np.full(len(at), band), at, size[at], named(keys_of(sums[at], band, at), buckets)), strict=True):
-                    o.append(v)
-            return table(**{k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(("class", "band", "segment", "size", "b"), out, strict=True)})
+    def own(ids, texts):
+        flat, bounds = sets_of(texts, width)
+        n, cls = np.diff(bounds), classes_of(flat, bounds)
+        band = np.array([bands.of(x) if x else 0 for x in n.tolist()], np.int64)
+        m = np.array([bands.segments(b) for b in band.tolist()], np.int64) * (n > 0)
+        who, segment, size, total = segment_sums(spread_of(flat), np.repeat(np.arange(len(texts)), n), m)
+        return table(**{"class": cls[who]}, band=band[who], segment=segment, size=size, b=named(keys_of(total, band[who], segment), buckets))
 
-        return one
+    found = Filter(short.select(F.col("rep").alias("id"))).scan(docs, "class long, band long, segment long, size long, b long", own)
+    return found.dropDuplicates(["class", "segment"])
 
-    texts = docs.join(short.select(F.col("rep").alias("id"), F.col("class").alias("of")), "id").select("of", "text")
-    return scan(texts, ["of", "text"], "text", "class long, band long, segment long, size long, b long", start)
 
+def deletion_rows(docs: DataFrame, lists: DataFrame, near: DataFrame, width: int, percent: int, buckets: int, used: dict[int, dict[int, bool]]) -> DataFrame:
+    """Packed entries for the segments that are spent twice, of probes (marked) and of the index.
 
-def deletion_rows(docs: DataFrame, width: int, percent: int, buckets: int, used: dict[int, dict[int, bool]], probe: bool) -> DataFrame:
-    """Packed entries for the segments that are spent twice.
-
-    Probes (a set's ``segments``): its subset, to meet those with one shingle more, and its deletions, to meet those
-    with one less.  The index holds both of every set for the ``used`` segments; empty subsets where a probe has one shingle.
+    Probes ``lists`` (id, class, segments): a set's subset, to meet those with one shingle more, and its deletions,
+    to meet those with one less.  The index holds both, for the ``used`` segments, of every set whose id is in
+    ``near``; empty subsets only where a probe has one shingle.
     """
 
-    def run(batches):
-        bands, pack = Bands(percent), Packer(buckets)
+    def packed(rows, probe: bool):
+        bands, pack, out = Bands(percent), Packer(buckets), []
+        for t, cls, own in rows:
+            s = shingles(t, width)
+            if not len(s) or (cls is not None and int(classes_of(s, np.array([0, len(s)]))[0]) != cls):
+                continue
+            b, keys = bands.of(len(s)), []
+            for band in (b,) if probe else (b, b + 1):
+                if band not in used:
+                    continue
+                segment, spread, size, total = subsets(s, band, bands.segments(band))
+                pick = np.array(own if probe else sorted(used[band]), np.int64)
+                whole = pick if probe else pick[(size[pick] > 0) | np.array([used[band][x] for x in pick.tolist()], bool)]
+                at = np.flatnonzero(np.isin(segment, pick))
+                keys.append(keys_of(total[whole] ^ (_LESS if probe else _SAME), band, whole))
+                keys.append(keys_of((total[segment[at]] - spread[at]) ^ (_SAME if probe else _LESS), band, segment[at]))
+            if keys:
+                flat = np.concatenate(keys)
+                one = classes_of(s, np.array([0, len(s)]))
+                pack.add(one, np.array([len(s)]), flat, np.zeros(len(flat), np.int64), np.full(len(flat), int(probe)))
+            if pack.full():
+                out += pack.rows()
+        return out + pack.rows()
+
+    def index(ids, texts):
+        rows = packed(((t, None, None) for t in texts), False)
+        return entry_batch(rows) if rows else pa.RecordBatch.from_pylist([], entry_batch([(0, *[b""] * 8)]).schema)
+
+    def probes(batches):
         for batch in batches:
-            for part, texts in slices(batch, "text"):
-                lists = part.column("segments").to_pylist() if probe else [None] * len(texts)
-                for t, own in zip(texts, lists, strict=True):
-                    s = shingles(t, width)
-                    if not len(s):
-                        continue
-                    b, keys = bands.of(len(s)), []
-                    for band in (b,) if probe else (b, b + 1):
-                        if band not in used:
-                            continue
-                        segment, spread, size, sums = subsets(s, band, bands.segments(band))
-                        pick = np.array(own if probe else sorted(used[band]), np.int64)
-                        whole = pick if probe else pick[(size[pick] > 0) | np.array([used[band][x] for x in pick.tolist()], bool)]
-                        at = np.flatnonzero(np.isin(segment, pick))
-                        keys.append(mix(keys_of(sums[whole], band, whole) ^ (_LESS if probe else _SAME)))
-                        keys.append(mix(keys_of(sums[segment[at]] - spread[at], band, segment[at]) ^ (_SAME if probe else _LESS)))
-                    if keys:
-                        flat = np.concatenate(keys)
-                        pack.add(class_of(s), len(s), flat, np.full(len(flat), probe))
-                    if pack.count >= STEP and (out := pack.rows()) is not None:
-                        yield out
-        if (out := pack.rows()) is not None:
-            yield out
-
-    return docs.select("text", *(["segments"] if probe else [])).mapInArrow(run, ENTRIES)
+            for part, texts in slices(batch, "text", TEXTS):
+                rows = packed(zip(texts, part.column("class").to_pylist(), part.column("segments").to_pylist(), strict=True), True)
+                if rows:
+                    yield entry_batch(rows)
+
+    mine = Filter(lists.select("id")).scan(docs, "id long, text string", lambda ids, texts: table(id=ids, text=pa.array(texts, pa.string())))
+    mine = mine.join(lists, "id").select("text", "class", "segments").mapInArrow(probes, ENTRIES)
+    return mine.unionByName(Filter(near).scan(docs, ENTRIES, index))
 
 
 def meet_probes(rows: pa.Table) -> pa.Table:
     """Pairs of a probe and an index entry with the same key."""
-    keys, classes, sizes, marks, _ = unpack(rows, by_mark=True)
+    keys, classes, sizes, marks, _ = unpack(rows, probes=True)
     pk, pc, pn = keys[marks], classes[marks], sizes[marks]
     ik, ic, im = keys[~marks], classes[~marks], sizes[~marks]
     low, high = np.searchsorted(ik, pk), np.searchsorted(ik, pk, side="right")
@@ -549,52 +752,105 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """
     if not PERCENT_FLOOR <= percent < 100:
         raise ValueError(f"percent must be from {PERCENT_FLOOR} to 99")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(set_rows(docs, "id", "text", width, percent), "sets")
+    kind = dict(docs.dtypes)[id_col]
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # Words are rarely shorter than five characters with their space; the estimate only sizes the buckets.
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-chars // (5 * bucket)))
+    packed = entry_rows(docs, width, percent, buckets, hot)
+    found = materialise(packed.groupBy("bucket").applyInArrow(meet, FOUND), "groups")
+    rows = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("class"), F.col("chunk").alias("n"), "filled", F.col("members").alias("sketch"))
     real = rows.where("id is not null and n > 0")
-    reps = materialise(real.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("filled").alias("filled"), F.first("sketch").alias("sketch")), "classes")
-    buckets = max(1, -(-int(reps.agg(F.sum("n")).first()[0] or 0) // bucket))
+    reps = real.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("filled").alias("filled"), F.first("sketch").alias("sketch"))
+    reps = materialise(reps, "classes")
     docs = docs.where("id is not null")
-
-    packed = entry_rows(docs, "text", width, percent, buckets, hot)
-    found = materialise(packed.groupBy("bucket").applyInArrow(meet, FOUND), "groups")
-    links = verified(found.where("kind = 1"), reps, docs, width, percent)
+    links = verified(plausible(found.where("kind = 1"), reps, percent), reps, docs, width, percent)
     roots = components(links)
 
     own = members(found).join(roots, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
     own = materialise(own, "members")
-    mixed = own.groupBy("set").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("set", "size")
-    own = materialise(own.join(mixed, "set"), "mixed")
-    few = own.where(F.col("size") <= light).groupBy("set").agg(F.collect_list(F.struct("class", "comp", "own")).alias("g")).select("g")
-    candidates = cross_pairs(few)
-
-    heavy = own.where(F.col("size") > light)
-    shared = heavy.where("own").groupBy("class").agg(F.sum("keys").alias("shared"))
-    need = F.expr(f"(2 * n * {100 - percent}) div {100 + percent} + 1")
-    short = reps.join(shared, "class", "left").withColumn("free", F.col("filled") - F.coalesce("shared", F.lit(0)))
-    short = materialise(short.withColumn("missing", need - F.col("free")).where("missing > 0").select("class", "rep", "free", "missing"), "short")
-    if short.head(1):
-        candidates = candidates.unionByName(spent_twice(docs, short, found, heavy, width, percent, buckets))
-        last = heavy.join(short.where("missing > free").select("class"), "class").where("own").select("set", F.col("class").alias("x"), F.col("comp").alias("own_comp"))
-        last = last.join(heavy.select("set", "class", "comp"), (last["set"] == heavy["set"]) & (F.col("own_comp") != F.col("comp")))
-        candidates = candidates.unionByName(last.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")))
-
-    links = links.unionByName(verified(candidates, reps, docs, width, percent))
+    parts = own.groupBy("set", "comp").agg(F.count("*").alias("c")).groupBy("set").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inner"))
+    mixed = parts.withColumn("load", (F.col("size") * F.col("size") - F.col("inner")) / 2).where("load > 0").select("set", "size", "load")
+    own = materialise(join_by_set(own, mixed), "mixed")
+    few = own.where(F.col("load") <= light).join(reps.select("class", "n", "sketch"), "class")
+    near = close_pairs(few, percent)
+    extra = shared_lookups(docs, reps, own.where(F.col("load") > light), found, width, percent, buckets)
+    if extra is not None:
+        near = near.unionByName(extra)
+    near = materialise(near.groupBy("a", "b").agg(F.first("margin").alias("margin")), "near")
+
+    # One pair for each two components first, the most likely; then those that are still apart.
+    apart = between(near, roots)
+    first = apart.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "margin").alias("p")).select("p.a", "p.b")
+    first = materialise(first, "first")
+    links = links.unionByName(verified(first, reps, docs, width, percent))
+    roots = components(links)
+    later = between(near, roots).select("a", "b").join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(later, reps, docs, width, percent))
     roots = components(links)
     named_by = reps.select("class", "rep").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named_by.groupBy("root").agg(F.min("rep").alias("component"))
     of = named_by.join(least, "root").select("class", "component")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
-    return rows.select("id", "n", "class").join(of, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of, "class", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
+
+
+def join_by_set(own: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Members of the sets of ``mixed``; a large set is dealt over parts."""
+    part = F.pmod(F.col("class"), F.lit(16)).cast("int")
+    return own.withColumn("part", part).join(mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["set", "part"]).drop("part")
 
 
-def spent_twice(docs: DataFrame, short: DataFrame, found: DataFrame, heavy: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose components ``ca < cb`` differ."""
+    of = lambda x: roots.select(F.col("class").alias(x), F.col("root").alias("r" + x))
+    out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ra, rb = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+    return out.where(ra != rb).select("a", "b", "margin", F.least(ra, rb).alias("ca"), F.greatest(ra, rb).alias("cb"))
+
+
+def shared_lookups(docs: DataFrame, reps: DataFrame, heavy: DataFrame, found: DataFrame, width: int, percent: int, buckets: int) -> DataFrame | None:
+    """Plausible pairs of the sets whose free segments (filled, and not shared by too many) are fewer than the units to spend.
+
+    Where few are missing, free segments are spent twice; where many are, the set belongs to a dense family, and
+    its smallest shared subsets are looked up as they are.  None if no set misses a unit.
+    """
+    shared = heavy.where("own").groupBy("class").agg(F.sum("keys").alias("shared"))
+    need = F.expr(f"(2 * n * {100 - percent}) div {100 + percent} + 1")
+    short = reps.join(shared, "class", "left").withColumn("free", F.col("filled") - F.coalesce("shared", F.lit(0)))
+    short = short.withColumn("missing", need - F.col("free")).where("missing > 0").withColumn("lacking", F.greatest(need - F.col("filled"), F.lit(0)))
+    sparse = (F.col("missing") <= DENSE * F.col("free")) | (F.col("missing") == F.col("lacking"))
+    short = short.withColumn("twice", F.when(sparse, F.col("missing")).otherwise(F.col("lacking"))).withColumn("once", F.col("missing") - F.col("twice"))
+    short = materialise(short.select("class", "rep", "twice", "once"), "short")
+    if not short.head(1):
+        return None
+    order = Window.partitionBy("class").orderBy("size", "set")
+    mine = heavy.where("own").join(short.where("once > 0").select("class", "once"), "class")
+    # A group of several keys is worth as many units.
+    mine = mine.withColumn("before", F.sum("keys").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("keys")).where("before < once")
+    mine = materialise(mine.select("set", "class", "comp"), "lookups")
+    # Lookups and members of a large group meet in blocks.
+    blocks = mine.groupBy("set").agg(F.ceil(F.count("*") / BLOCK).alias("i")).join(heavy.groupBy("set").agg(F.ceil(F.count("*") / BLOCK).alias("j")), "set")
+    blocks = materialise(blocks, "lookup-blocks")
+
+    def dealt(rows: DataFrame, own: str, other: str, probe: bool) -> DataFrame:
+        at = rows.join(blocks, "set").withColumn("at", F.pmod(F.xxhash64("class"), F.col(own))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        first, second = ("at", "to") if probe else ("to", "at")
+        return at.select(F.xxhash64("set", first, second).alias("set"), "class", "comp", F.lit(probe).alias("own"))
+
+    met = dealt(mine, "i", "j", True).unionByName(dealt(heavy.select("set", "class", "comp"), "j", "i", False))
+    near = close_pairs(met.join(reps.select("class", "n", "sketch"), "class"), percent)
+    twice = short.where("twice > 0").select("class", "rep", F.col("twice").alias("missing"))
+    if twice.head(1):
+        near = near.unionByName(plausible(spent_twice(docs, reps, twice, found, heavy, width, percent, buckets), reps, percent))
+    return near
+
+
+def spent_twice(docs: DataFrame, reps: DataFrame, short: DataFrame, found: DataFrame, heavy: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     """Candidates of the sets that miss units: as many of their free segments as units are missing are spent twice.
 
     Cheapest first: segments of two or more shingles, then the lowest numbers, as the index pays for a segment once.
     """
-    from pyspark.sql import Window
-
     keys = found.where("kind = 2").select(F.col("a").alias("set"), "b").join(heavy.select("set").distinct(), "set").select("b").distinct()
     free = own_segments(docs, short, width, percent, buckets).join(keys, "b", "left_anti").join(short, "class")
     order = Window.partitionBy("class").orderBy(F.col("size") < 2, "segment")
@@ -603,7 +859,10 @@ def spent_twice(docs: DataFrame, short: DataFrame, found: DataFrame, heavy: Data
     used: dict[int, dict[int, bool]] = {}
     for r in chosen.groupBy("band", "segment").agg(F.min("size").alias("least")).collect():
         used.setdefault(r["band"], {})[r["segment"]] = r["least"] < 2
-    lists = chosen.groupBy("class", "rep").agg(F.collect_list("segment").alias("segments"))
-    probes = docs.join(lists.select(F.col("rep").alias("id"), "segments", F.col("class").alias("of")), "id")
-    entries = deletion_rows(probes, width, percent, buckets, used, True).unionByName(deletion_rows(docs, width, percent, buckets, used, False))
+    lists = materialise(chosen.groupBy("class", F.col("rep").alias("id")).agg(F.collect_list("segment").alias("segments")), "lists")
+    # Only sets in a used band, or in the one below it, can be partners.
+    bands = Bands(percent)
+    spans = [(bands.edge(b - 1), bands.edge(b + 1)) for b in sorted(used)]
+    near = reps.where(functools.reduce(lambda x, y: x | y, [(F.col("n") >= a) & (F.col("n") < b) for a, b in spans])) if spans else reps.limit(0)
+    entries = deletion_rows(docs, lists, near.select(F.col("rep").alias("id")), width, percent, buckets, used)
     return entries.groupBy("bucket").applyInArrow(meet_probes, "a long, b long")
