@@ -1,15 +1,17 @@
 """License notices: ordered signature rules behind a keyword gate.
 
 Every license below takes part in each signature template, which makes several hundred regular
-expressions.  A rule carries a literal without which it can't match; one automaton pass finds the
-literals, and only the rules of a literal that occurs are tried, in a window around it.  Detections
-are taken by priority, then length; one that lies inside an accepted detection is suppressed.
+expressions; the sentences of license bodies have rules of their own.  A rule carries literals of which
+each match holds at least one; one automaton pass finds the literals, and only the rules of a literal
+that occurs are tried, in a window around it.  Detections are taken by priority, then length; one that
+lies inside an accepted detection is suppressed.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import ahocorasick
@@ -22,7 +24,7 @@ from .common import LOWER, scan, table
 # Base phrases and their labels.
 BASE = (("mit", "license", "mit"), ("apache", "license", "apache"), ("general", "public", "license", "gpl"))
 
-# Label; literal that each of its rules needs; pattern of the name; the reference page, if it has one.
+# Label; literals (by |) of which each match of its rules holds one; pattern of the name; the reference page, if it has one.
 LICENSES = (
     ("mit", "mit", r"mit", r"opensource\.org/licenses?/mit"),
     ("mit-0", "mit", r"mit no attribution", ""),
@@ -56,8 +58,8 @@ LICENSES = (
     ("ofl-1.1", "open font", r"(?:sil )?open font license", r"scripts\.sil\.org/ofl"),
     ("odbl-1.0", "open database", r"open (?:data commons )?(?:open )?database license", ""),
     ("cc0-1.0", "cc0", r"cc0(?:[- ]1\.0)?", r"creativecommons\.org/publicdomain/zero/1\.0"),
-    ("cc-by-4.0", "by", r"(?:cc|creative commons)[- ](?:by|attribution)[- ]4\.0", r"creativecommons\.org/licenses/by/4\.0"),
-    ("cc-by-3.0", "by", r"(?:cc|creative commons)[- ](?:by|attribution)[- ]3\.0", r"creativecommons\.org/licenses/by/3\.0"),
+    ("cc-by-4.0", "by|attribution", r"(?:cc|creative commons)[- ](?:by|attribution)[- ]4\.0", r"creativecommons\.org/licenses/by/4\.0"),
+    ("cc-by-3.0", "by|attribution", r"(?:cc|creative commons)[- ](?:by|attribution)[- ]3\.0", r"creativecommons\.org/licenses/by/3\.0"),
     ("cc-by-sa-4.0", "by-sa", r"(?:cc|creative commons)[- ]by-sa[- ]4\.0", r"creativecommons\.org/licenses/by-sa/4\.0"),
     ("cc-by-sa-3.0", "by-sa", r"(?:cc|creative commons)[- ]by-sa[- ]3\.0", r"creativecommons\.org/licenses/by-sa/3\.0"),
     ("cc-by-nc-4.0", "by-nc", r"(?:cc|creative commons)[- ]by-nc[- ]4\.0", r"creativecommons\.org/licenses/by-nc/4\.0"),
@@ -80,68 +82,131 @@ TEMPLATES = (
 )
 #: Titles that name a license without the word around them.
 TITLES = 60
-#: Code points on each side of a literal in which its rules may match.
-WINDOW = 240
+#: Sentences of license bodies.
+BODY = 88
+# Label, literal and pattern of a sentence that only this license's body or notice has.
+BODIES = (
+    ("mit", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("isc", "permission", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("0bsd", "permission", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\."),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-3-clause", "endorse", r"neither the names? of [^.]{1,80}? nor the names of (?:its|other|any|the) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following"),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license"),
+    ("gpl-3.0", "general", r"gnu general public license as published by the free software foundation[,;] (?:either )?version 3"),
+    ("gpl-2.0", "general", r"gnu general public license as published by the free software foundation[,;] (?:either )?version 2"),
+    ("lgpl-3.0", "lesser", r"gnu lesser general public license as published by the free software foundation[,;] (?:either )?version 3"),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public license as published by the free software foundation[,;] (?:either )?version 2\.1"),
+    ("agpl-3.0", "affero", r"gnu affero general public license as published by the free software foundation[,;] (?:either )?version 3"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+    ("bsl-1.0", "machine-executable", r"machine-executable object code generated by a source language processor"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to"),
+    ("epl-2.0", "eclipse", r"accompanying materials are made available under the terms of the eclipse public license,? (?:v|version) ?2\.0"),
+    ("epl-1.0", "eclipse", r"accompanying materials are made available under the terms of the eclipse public license,? (?:v|version) ?1\.0"),
+    ("ofl-1.1", "font", r"the font software may be modified, altered, or added to"),
+)
+#: Code points on each side of a literal in which its rules may match; the part of a white-space run beyond GAP counts nothing.
+WINDOW, GAP = 480, 8
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     priority: int
-    literal: str
+    literals: tuple[str, ...]
     pattern: re.Pattern
 
 
+def _spaced(body: str) -> re.Pattern:
+    """Each blank outside of brackets takes any white space."""
+    return re.compile(body.replace(" ", r"\s+").replace(r"\s+*", r"\s*").replace(r"\s+?", r"\s*"))
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All signature rules, highest priority first."""
-    out = []
+    out = [Rule(label, BODY, tuple(literal.split("|")), _spaced(body)) for label, literal, body in BODIES]
     for label, literal, name, page in LICENSES:
         titled = "public license" in name or any(x in name for x in ("development and", "software license", "creative", "font", "database", "rights", "unlicense", "cc0", "wtfpl"))
+        # White space inside a literal varies, so its first word stands for it.
+        named = tuple(x.partition(" ")[0] for x in literal.split("|"))
         for priority, template in TEMPLATES:
             if "{u}" in template and not page:
                 continue
             body = template.replace("{n}", f"(?:{name})").replace("{u}", page).replace("{i}", re.escape(label))
-            own = label if "{i}" in template else page.replace("\\", "").partition("/")[0] if "{u}" in template else literal
-            out.append(Rule(label, priority, own, re.compile(body.replace(" ", r"\s+").replace(r"\s+*", r"\s*"))))
+            own = (label,) if "{i}" in template else (page.replace("\\", "").partition("/")[0],) if "{u}" in template else named
+            out.append(Rule(label, priority, own, _spaced(body)))
         if titled:
-            out.append(Rule(label, TITLES, literal, re.compile(rf"\b(?:{name})\b".replace(" ", r"\s+").replace(r"\s+*", r"\s*"))))
+            out.append(Rule(label, TITLES, named, _spaced(rf"\b(?:{name})\b")))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
 @functools.cache
-def gate() -> tuple[ahocorasick.Automaton, dict[str, list[Rule]]]:
-    by: dict[str, list[Rule]] = {}
+def gate() -> tuple[ahocorasick.Automaton, dict[tuple[str, ...], list[Rule]]]:
+    """The automaton gives, for each literal, the sets that hold it; the rules of a set are tried together."""
+    by: dict[tuple[str, ...], list[Rule]] = {}
     for r in rules():
-        # Pages and labels with optional parts are gated by their first fixed word.
-        by.setdefault(re.split(r"[ ?(]", r.literal)[0] if r.priority >= 90 else r.literal.partition(" ")[0], []).append(r)
+        by.setdefault(r.literals, []).append(r)
+    sets: dict[str, list[tuple[str, ...]]] = {}
+    for key in by:
+        for literal in key:
+            sets.setdefault(literal, []).append(key)
     a = ahocorasick.Automaton()
-    for literal in by:
-        a.add_word(literal, literal)
+    for literal, keys in sets.items():
+        a.add_word(literal, keys)
     a.make_automaton()
     return a, by
 
 
-#: A document without any of these words holds no notice: every template has one of them.
-CUES = ("licen", "spdx", "http", "rights reserved", "subject to", "governed by", "accordance with", "compliance with", "released", "distributed", "published", "available", "provided", "covered", "under", "public", "open", "unlicense", "cc0", "cc-", "creative commons", "wtfpl", "common development")
+_RUNS = re.compile(rf"\s{{{GAP + 1},}}")
+
+
+def _reach(low: str):
+    """``at -> (start, stop)`` of the window around a place; long runs of white space don't use it up."""
+    runs = [m.span() for m in _RUNS.finditer(low)]
+    if not runs:
+        return lambda at: (max(0, at - WINDOW), min(len(low), at + WINDOW))
+    # Places once each run is shortened to GAP: where its shortened form ends, and what was cut up to there.
+    ends, cuts, cut = [], [0], 0
+    for a, b in runs:
+        cut += b - a - GAP
+        ends.append(b - cut)
+        cuts.append(cut)
+    real = [b for _, b in runs]
+
+    def window(at: int) -> tuple[int, int]:
+        short = at - cuts[bisect_right(real, at)]
+        start, stop = short - WINDOW, short + WINDOW
+        return max(0, start + cuts[bisect_right(ends, start)]), min(len(low), stop + cuts[bisect_right(ends, stop)])
+
+    return window
 
 
 def detect(low: str) -> list[tuple[int, int, int, str]]:
     """``(start, end, priority, label)`` that survive suppression, in a lower-cased text."""
     a, by = gate()
-    windows: dict[str, list[list[int]]] = {}
-    for end, literal in a.iter(low):
-        runs = windows.setdefault(literal, [])
-        start, stop = max(0, end - WINDOW), min(len(low), end + WINDOW)
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = stop
-        else:
-            runs.append([start, stop])
+    windows: dict[tuple[str, ...], list[list[int]]] = {}
+    reach = None
+    for end, keys in a.iter(low):
+        reach = reach or _reach(low)
+        start, stop = reach(end)
+        for key in keys:
+            runs = windows.setdefault(key, [])
+            if runs and start <= runs[-1][1]:
+                runs[-1][1] = stop
+            else:
+                runs.append([start, stop])
     found = set()
-    for literal, runs in windows.items():
+    for key, runs in windows.items():
         for start, stop in runs:
-            for r in by[literal]:
+            for r in by[key]:
                 found.update((m.start(), m.end(), r.priority, r.label) for m in r.pattern.finditer(low, start, stop))
+    return suppress(found)
+
+
+def suppress(found: set[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Detections that don't lie inside one of higher priority, or of the same and longer."""
     kept: list[tuple[int, int, int, str]] = []
     for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
         if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
@@ -184,7 +249,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 words = raw.translate(_WORDS).split()
                 base = base_places(words) if b"license" in raw else []
                 low = raw.decode()
-                found = detect(low) if any(c in low for c in CUES) else []
+                found = detect(low)
                 own = {label for _, label in base}
                 sure = [d[2] / 100 for d in found] + [0.65] * bool(base)
                 row = (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)), ",".join(sorted(own | {d[3] for d in found})))

@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser as parser
 
 import pytest
 
@@ -63,6 +64,68 @@ def test_every_license_is_met_by_a_rule():
         assert {d[3] for d in L.detect(f"spdx-license-identifier: {label} ")} >= {label}
 
 
+def samples(tree):
+    """Texts of a parsed pattern: the first choice everywhere, then each other choice once."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            own = [chr(arg)]
+        elif op == "NOT_LITERAL":
+            own = ["x"]
+        elif op == "IN":
+            own = []
+            for kind, x in arg:
+                own += [chr(x)] if str(kind) == "LITERAL" else ["\n"] if str(x) == "CATEGORY_SPACE" else ["x"]
+            own = ["x"] if str(arg[0][0]) == "NEGATE" else own
+        elif op == "SUBPATTERN":
+            own = samples(arg[3])
+        elif op == "BRANCH":
+            own = [x for b in arg[1] for x in samples(b)]
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, body = arg
+            own = [x * max(low, 1) for x in samples(body)]
+            own += [x * 2 for x in own[:1] if high > 1 and x.isspace()] + ([""] if low == 0 else [])
+        else:
+            own = [""]
+        out = [out[0] + x for x in own] + [x + own[0] for x in out[1:]]
+    return out
+
+
+def ungated(low):
+    return L.suppress({(m.start(), m.end(), r.priority, r.label) for r in L.rules() for m in r.pattern.finditer(low)})
+
+
+def test_gate_loses_no_sentence_of_any_pattern():
+    n = 0
+    for text in sorted({x for r in L.rules() for x in samples(parser.parse(r.pattern.pattern))}):
+        low = f"zq {text} zq"
+        want = ungated(low)
+        n += bool(want)
+        assert L.detect(low) == want, low
+    assert n > 2000
+
+
+def test_gate_takes_any_white_space():
+    cases = ["this work is released under the creative commons attribution 4.0 international license.", "all rights\nreserved", "all  rights\t reserved", "cc by 4.0", "licensed under the mit license, see mit license"]
+    for text in cases:
+        for blank in (" ", "\n", " " * 9, "\n" * 700):
+            low = f"zq{blank}zq{blank}" + text.replace(" ", blank) + f"{blank}zq"
+            assert L.detect(low) == ungated(low)
+    assert {d[3] for d in L.detect(cases[0])} == {"cc-by-4.0"} and {d[3] for d in L.detect(cases[1])} == {"all-rights-reserved"}
+
+
+@pytest.mark.parametrize("text,label", [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the ", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided", "bsd"),
+    ("Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived", "bsd-3-clause"),
+    ("under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License", "gpl-3.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and", "isc"),
+])
+def test_license_bodies(text, label):
+    assert label in {d[3] for d in L.detect(text.lower())}
+
+
 def test_license_base(spark):
     rows = [(1, "MIT  License, the APACHE-license and General Public\nLicense"), (2, "mitlicense"), (3, None), (4, "mit licensé")]
     got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
