@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +29,21 @@ BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": Tr
 GROUP = 8192
 
 
+#: A longer run of white space overflows the stack of tiktoken's regular expression (at about a million).
+BLANKS = 50_000
+_BLANK_RUN = regex.compile(rf"(?<![{pretokens.SPACE}])[{pretokens.SPACE}]{{{BLANKS},}}+")
+
+
 class Encoder:
     """Little-endian 32-bit ids of texts, special strings included, as a byte-level tokenizer file gives them.
 
     Where the file's ids are in the order of its merges, as in rank files, the same vocabulary runs in
-    tiktoken, several times as fast as tokenizers; any other file goes through tokenizers itself.
+    tiktoken, several times as fast as tokenizers; any other file goes through tokenizers itself, and so
+    does each very long run of white space.
     """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"].get("vocab", {})
@@ -49,12 +57,38 @@ class Encoder:
             ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if all(c in byte for c in t) and i not in {x["id"] for x in spec["added_tokens"]}}
             special = {t["content"]: t["id"] for t in spec["added_tokens"]}
             engine = tiktoken.Encoding("of file", pat_str=pretokens.PIECES.pattern, mergeable_ranks=ranks, special_tokens=special)
-            self.one = lambda t: engine.encode(t, allowed_special="all") if any(x in t for x in special) else engine.encode_ordinary(t)
+            self.short = lambda t: engine.encode(t, allowed_special="all") if any(x in t for x in special) else engine.encode_ordinary(t)
+            self.special = tuple(special)
+            # A special string with white space inside might reach over the edge of a run.
+            self.one = self._whole if any(regex.search(rf"[{pretokens.SPACE}]", x) for x in special) else self._apart
         else:
-            from tokenizers import Tokenizer
-
-            engine = Tokenizer.from_file(path)
-            self.one = lambda t: engine.encode(t, add_special_tokens=False).ids
+            self.one = self._whole
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _apart(self, text: str) -> list[int]:
+        """Ids with each very long run of white space on its own.
+
+        Before other characters a run is one piece up to its last character, which starts what follows
+        (before a special string or the end: all of it);
+        a piece never reaches into a run from the left, so the parts' ids are those of the text.
+        """
+        if len(text) < BLANKS:
+            return self.short(text)
+        out, at = [], 0
+        for m in _BLANK_RUN.finditer(text):
+            end = m.end() if m.end() == len(text) or text.startswith(self.special, m.end()) else m.end() - 1
+            out += self.short(text[at : m.start()]) if m.start() > at else []
+            out += self._whole(text[m.start() : end])
+            at = end
+        return out + self.short(text[at:])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         of = {t: np.array(self.one(t), "<u4").tobytes() for t in set(texts)}

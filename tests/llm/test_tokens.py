@@ -34,6 +34,15 @@ def test_ids_equal_the_library(texts, ids):
     assert packing.Encoder(PATH)(texts) == [np.array(i, "<u4").tobytes() for i in ids]
 
 
+@pytest.mark.parametrize("text", [
+    " " * 2_000_000 + "x", "a" + "\n" * 2_000_000 + "x", "one " + " \t\n" * 700_000 + "\xa0two" + " " * 2_000_000, "<|endoftext|>" + " " * 1_200_000 + "<|endoftext|>'s", "é" + "\u3000" * 60_000 + " the",
+    " " * 1_200_000 + "1" + "\n" * 49_999 + "x" + "\x1c" * 60_000 + " " * 50_000 + "!",
+])
+def test_long_white_space(text):
+    want = tokenizers.Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert packing.Encoder(PATH)([text]) == [np.array(want, "<u4").tobytes()]
+
+
 def test_count_rows(spark):
     got = token_counts.count_tokens(awkward(spark), PATH).collect()
     assert len(got) == 9 and {(r.doc_id, r.n_bytes, r.n_tokens) for r in got} >= {(1, 0, 0), (2, 0, 0)}
