@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents, improved by swap-based local search.
 
-Pieces are dealt by hash into groups of bounded size, so each group is packed in one
-small task; a group starts from best fit in falling order, then empties its least
+A full piece is a sequence of its own.  The others are dealt by hash into groups of bounded size, by
+their lengths alone, so each group is packed in one small task; a group starts from best fit in falling order, then empties its least
 filled bins: documents move out, or are exchanged one for one or two for one against
 shorter ones of other underfull bins.  Every step raises the sum of squared fills.
 """
@@ -25,8 +25,10 @@ from .common import scan, table
 
 # Fixed value: a file whose texts are split by the public byte-level pattern alone.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-#: Pieces of one group: bounds a task's memory; each group wastes at most part of one sequence.
+#: Short pieces of one group, without their ids: bounds a task's memory; each group wastes at most part of one sequence.
 GROUP = 8192
+#: Sequences of full pieces are numbered from here, above those of all groups.
+FULL = 1 << 62
 
 
 #: A longer run of white space overflows the stack of tiktoken's regular expression (at about a million).
@@ -235,16 +237,20 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Null texts are empty documents; repeated rows are packed as often as they occur; null ids stay
     null; an empty table gives no rows.  Other columns are not read.
     """
-    cut = materialise(pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids), "pieces")
-    groups = max(1, -(-cut.filter(F.col("length") < capacity).count() // group))
-    dealt = cut.withColumn("group_no", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)))
-    schema = ", ".join(f"`{c}` {k}" for c, k in cut.dtypes) + ", sequence_id long, offset long"
+    made = pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids)
+    names = made.columns
+    # Stored with the pieces, so that a piece keeps its number however often it is read.
+    cut = materialise(made.withColumn("piece_no", F.monotonically_increasing_id()), "pieces")
+    full = cut.where(F.col("length") == capacity).select(*names, (F.lit(FULL) + F.col("piece_no")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = cut.where(F.col("length") < capacity)
+    groups = max(1, -(-short.count() // group))
+    dealt = short.select("piece_no", "length", "ids_crc32", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)).alias("group_no"))
 
     def one(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.sort_by([("length", "ascending"), ("ids_crc32", "ascending"), ("piece_no", "ascending")])
         bins, offset = place(rows["length"].to_numpy(), capacity)
         no = rows["group_no"][0].as_py()
-        rows = rows.drop_columns("group_no")
-        return rows.append_column("sequence_id", pa.array((no << 32) + bins)).append_column("offset", pa.array(offset))
+        return pa.table({"piece_no": rows["piece_no"], "sequence_id": pa.array((no << 32) + bins), "offset": pa.array(offset)})
 
-    return dealt.groupBy("group_no").applyInArrow(one, schema)
+    placed = dealt.groupBy("group_no").applyInArrow(one, "piece_no long, sequence_id long, offset long")
+    return short.join(placed, "piece_no").select(*names, "sequence_id", "offset").unionByName(full)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,6 +83,20 @@ def test_pack_round_trip(spark):
         assert len(own) == (1 if len(w) <= 64 else -(-len(w) // 64))
 
 
+def test_full_pieces_stay_out_of_the_groups(spark):
+    books = [(k, " ".join(["the thing"] * 1600)) for k in range(40)] + [(k % 3, "the thing") for k in range(3)] * 2
+    df = spark.createDataFrame(books, "doc_id long, text string").repartition(3)
+    rows = packing.pack(df, PATH, capacity=64, keep_ids=True, group=16).collect()
+    full = [r for r in rows if r.length == 64]
+    assert len(full) >= 40 * 49 and len({r.sequence_id for r in full}) == len(full) and {r.offset for r in full} == {0}
+    lengths = [len(packing.Encoder(PATH)([t])[0]) // 4 + 1 for _, t in books]
+    pieces_are_whole(rows, lengths, 64)
+    short = [r.sequence_id for r in rows if r.length < 64]
+    assert {r.sequence_id for r in full}.isdisjoint(short)
+    # What a group was given is bounded by short pieces alone.
+    assert max(Counter(r.sequence_id >> 32 for r in rows if r.sequence_id < 1 << 62 or r.length < 64).values()) <= 3 * 16
+
+
 def test_pack_awkward_rows(spark):
     rows = packing.pack(awkward(spark), PATH).collect()
     assert {r.length for r in rows if r.doc_id in (1, 2)} == {1}
