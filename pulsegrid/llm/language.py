@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import scan, table
 
-#: Length of the vectors; training documents of a language; languages told apart, the most frequent ones.
-SIZE, PER_LANGUAGE, LANGUAGES = 4096, 400, 64
+#: Length of the vectors; training documents of a language; of all languages together, unless that leaves a language fewer than FEWEST.
+SIZE, PER_LANGUAGE, IN_ALL, FEWEST = 4096, 400, 25_600, 16
 #: Bytes whose n-grams are counted at a time.
 STRIDE = 1 << 20
 
@@ -61,14 +61,17 @@ def fit_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int =
     x = np.c_[x, np.ones(len(x), x.dtype)]
     y = y.astype(x.dtype)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    w = v = np.zeros(x.shape[1], x.dtype)
+    # Weights stay sums of rows: with fewer rows than weights, the rows' shares in them are found instead, from the rows' products.
+    few = len(x) < x.shape[1]
+    score = (x @ x.T).__matmul__ if few else x.__matmul__
+    w = v = np.zeros(len(x) if few else x.shape[1], x.dtype)
     # Unit vectors and a one: the loss bends by 4 at most.
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - ((-2 * share * y * slack) @ x + ridge * v) / (4 + ridge)
+        pull = -2 * share * y * np.maximum(0, 1 - y * score(v))
+        new = v - ((pull if few else pull @ x) + ridge * v) / (4 + ridge)
         v = new + x.dtype.type(k / (k + 3)) * (new - w)
         w = new
-    return w
+    return w @ x if few else w
 
 
 class Model:
@@ -135,19 +138,22 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the documents with a language whose id is not held out.
 
-    Reads PER_LANGUAGE documents at most of each of the LANGUAGES most frequent languages, by the order of
-    a hash of the id; without any the model answers ``und``.
+    Every language with a labelled document is learned, from PER_LANGUAGE documents at most, or fewer where
+    there are so many languages that they would be more than IN_ALL, by the order of a hash of the id; without
+    any the model answers ``und``.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    counts = own.groupBy("lang").count()
+    languages = counts.count()
     if not languages:
         return Model([], np.zeros((0, SIZE)), np.zeros(0, np.int64))
+    each = max(FEWEST, min(PER_LANGUAGE, IN_ALL // languages))
     # About twice the documents that are kept of each language, so that the last step has few rows.
-    share = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2.0 * PER_LANGUAGE / r["count"] + 1e-9))]), F.col("lang"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * each) / F.col("count") + F.lit(1e-9)).alias("share")
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    some = own.where(F.col("lang").isin(languages) & (draw < share))
+    # One row for each language: without the hint, the texts of a large language would be one task.
+    some = own.join(F.broadcast(counts.select("lang", share)), "lang").where(draw < F.col("share"))
 
     def start():
         def one(part, texts):
@@ -158,7 +164,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = scan(some.withColumn("draw", draw), ["text", "lang", "draw"], "text", "lang string, draw double, x binary", start).where("x is not null")
     # Bounded: languages times the documents of each.
     order = Window.partitionBy("lang").orderBy("draw", "x")
-    kept = rows.withColumn("no", F.row_number().over(order)).where(F.col("no") <= PER_LANGUAGE).select("lang", "x").collect()
+    kept = rows.withColumn("no", F.row_number().over(order)).where(F.col("no") <= each).select("lang", "x").collect()
     x = np.stack([np.frombuffer(r["x"], "<f4") for r in kept]) if kept else np.zeros((0, SIZE), np.float32)
     seen = sorted({r["lang"] for r in kept})
     return Model(seen, x, np.array([seen.index(r["lang"]) for r in kept], np.int64))

@@ -103,6 +103,18 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    # Seventy languages with an alphabet each, the last ones rarer than all others.
+    monkeypatch.setattr(G, "IN_ALL", 1400)
+    rng = random.Random(6)
+    sounds = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(70)]
+    rows = [(lang * 100 + k, " ".join(sounds[lang] for _ in range(rng.randint(3, 9))), f"x{lang:02d}") for lang in range(70) for k in range(30 if lang < 65 else 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = G.learn(frame)
+    assert model.languages == [f"x{lang:02d}" for lang in range(70)]
+    assert all(model.predict(text)[0] == lang for _, text, lang in rows[-40:])
+
+
 def test_language_awkward_rows(spark):
     got = G.learn(awkward(spark)).classify(awkward(spark)).collect()
     assert len(got) == 9 and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
@@ -125,3 +137,12 @@ def test_machine_separates(share):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     w = G.fit_machine(x.astype(np.float32), y)
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
+
+
+def test_machine_of_few_rows_is_the_same():
+    rng = np.random.default_rng(1)
+    y = np.where(rng.random(60) < 0.3, 1.0, -1.0)
+    x = rng.normal(size=(60, 40)) + y[:, None]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # Columns of zeros change nothing but which way is taken.
+    assert np.allclose(G.fit_machine(x, y)[[*range(40), -1]], G.fit_machine(np.c_[x, np.zeros((60, 40))], y)[[*range(40), -1]], atol=1e-9)
