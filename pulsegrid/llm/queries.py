@@ -39,7 +39,8 @@ def tokenizer() -> str:
 
 @query("op1_url_templates", url_templates.judge_sql(URL_RULES))
 def op1(spark, sf_dir):
-    return url_templates.judge(read(spark, sf_dir, "pages"), URL_RULES)
+    # To the leaves; the SQL has four levels, which says the same where no path is deeper.
+    return url_templates.judge(read(spark, sf_dir, "pages"), URL_RULES, depth=None)
 
 
 LINE_SQL = f"""WITH doc AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),

@@ -8,12 +8,14 @@ when its smoothed share of blocked labels is above one half.  Only DataFrame fun
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels of the tree where a depth is asked for; what lies deeper is one wildcard then.
 DEPTH = 4
 #: A parent with at least KIDS distinct segments, more than one in SPREAD of its paths, is variable; a literal needs SEEN paths.
 KIDS, SPREAD, SEEN = 8, 5, 5
@@ -52,19 +54,27 @@ def _similar(a: str, n: str, pool_a: str, pool_n: str) -> Column:
     return F.pow(a * m - p * n, 2) <= DEVIATE2 * n * p * (m - p)
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """Adds ``template`` to rows ``(host, path, label, ...)``; label is 1 (block), 0 (allow) or null."""
+def templates(urls: DataFrame, depth: int | None = DEPTH) -> DataFrame:
+    """Adds ``template`` to rows ``(host, path, label, ...)``; label is 1 (block), 0 (allow) or null.
+
+    Without a ``depth`` all levels are learned, as long as some branch has the paths for a literal.
+    """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     nodes = urls.withColumn("segments", segments).withColumn("template", F.lit(""))
     nodes = nodes.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int"))
     nodes = materialise(nodes, "urls")
     deepest = nodes.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(deepest, DEPTH)):
+    done = []
+    for level in range(deepest if depth is None else min(deepest, depth)):
         here = nodes.withColumn("segment", F.get("segments", F.lit(level)))
         ends = (F.size("segments") == level + 1).cast("long")
         child = here.where("segment is not null").groupBy("host", "template", "segment").agg(
             F.count("*").alias("n"), F.sum(ends).alias("e"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("b"), F.count("label").alias("l"))
         child = materialise(child, "branches")
+        if level >= DEPTH and (child.groupBy("host", "template").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) < SEEN:
+            # Branches only get smaller, so no literal can follow on any level.
+            nodes = nodes.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - level)))
+            break
         parent = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("paths"))
         parent = parent.where(~((F.col("kids") >= KIDS) & (SPREAD * F.col("kids") >= F.col("paths")))).select("host", "template")
         literal = child.where(F.col("n") >= SEEN).join(parent, ["host", "template"]).withColumn("labelled", F.col("l") > 0)
@@ -76,15 +86,20 @@ def templates(urls: DataFrame) -> DataFrame:
         after = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*"))))
         nodes = here.join(chosen, ["host", "template", "segment", "part"], "left").withColumn("template", after).select(*nodes.columns)
         nodes = materialise(nodes, "level")
-    deeper = F.when(F.size("segments") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return nodes.withColumn("template", deeper).drop("segments")
+        # Paths that end here are not written again.
+        done.append(nodes.where(F.size("segments") <= level + 1))
+        nodes = nodes.where(F.size("segments") > level + 1)
+    nodes = functools.reduce(DataFrame.unionByName, done, nodes)
+    if depth is not None:
+        nodes = nodes.withColumn("template", F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    return nodes.drop("segments")
 
 
-def judge(urls: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url", label: Column | None = None) -> DataFrame:
+def judge(urls: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url", label: Column | None = None, depth: int | None = DEPTH) -> DataFrame:
     """``(id, host, path, rule, verdict, template, block_share)`` of every row.
 
     ``label`` (1 block, 0 allow, null unknown) is an expression over the input's columns; without it
-    the verdicts of the rules are the labels.  Null or malformed URLs have empty host and path and
+    the verdicts of the rules are the labels.  ``depth`` None learns the tree to its leaves.  Null or malformed URLs have empty host and path and
     no rule; they are allowed.  Null ids and repeated rows stay; no row gives no row.
     """
     host, path = split_url(F.col(url_col))
@@ -93,7 +108,7 @@ def judge(urls: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str =
     own = own.withColumn("rule", rule).withColumn("ruled", verdict)
     by_rule = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("int"))
     own = own.withColumn("label", F.coalesce("given", by_rule)).drop("given")
-    tree = templates(own)
+    tree = templates(own, depth)
     share = (F.coalesce(F.sum("label"), F.lit(0)) + WEIGHT * PRIOR) / (F.count("label") + WEIGHT)
     pure = tree.groupBy("host", "template").agg(share.alias("block_share"), F.count("label").alias("labels"))
     pure = pure.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))

@@ -64,6 +64,21 @@ def test_templates_equal_sql(spark, depth):
     assert compare(U.judge(df, RULES).toPandas(), duckdb.sql(U.judge_sql(RULES)).df()) is None
 
 
+def test_deep_paths_are_learned(spark):
+    rows = [(i, f"http://a.test/2024/05/12/shop/{'spam' if i % 2 else 'good'}/{i * 7}", i % 2) for i in range(40)]
+    got = U.judge(df := spark.createDataFrame(rows, "page_id long, url string, bad int"), (), label=df["bad"], depth=None).collect()
+    assert {(r.template, r.verdict) for r in got} == {("/{l}/{l}/{l}/{l}/spam/*", "block"), ("/{l}/{l}/{l}/{l}/good/*", "allow")}
+
+
+def test_all_levels_equal_sql(spark):
+    rng = random.Random(6)
+    rows = [(i, "http://" + rng.choice(["a.net", "example.com"]) + "/" + "/".join(rng.choice(["en", "de", str(rng.randint(0, 90))]) if k > 3 else "x" for k in range(rng.randint(0, 9)))) for i in range(400)]
+    rows += [(1000, "http://deep.test/" + "/".join("abcdefghijklmnop"))]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    pages = df.toPandas()  # noqa: F841  read by name below
+    assert compare(U.judge(df, RULES, depth=None).toPandas(), duckdb.sql(U.judge_sql(RULES, depth=16)).df()) is None
+
+
 def test_url_rows(spark):
     from pyspark.sql import functions as F
 
