@@ -1,8 +1,8 @@
 """Quality rules of documents, and lines that recur across the documents of a host.
 
 A line, normalised and hashed, is common on a host when more than a share of its distinct texts, and
-more than a number of them, hold it.  Common lines are removed; a document of which too little is
-left is rejected.  Exact copies count once, so that a copied document does not make its own lines common.
+more than a number of them, hold it.  ``clean`` removes common lines from the texts; a document of which
+too little is left is rejected (``judge``).  Exact copies count once, so that a copied document does not make its own lines common.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -88,6 +88,25 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return scan(own, ["id", "host", "text"], "text", f"id {kind}, host string, content long, {BASE}, lines array<struct<line:long,words:long>>", start)
 
 
+def common_lines(base: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """``(host, content, line, words)`` of the lines of each distinct text that are common on its host."""
+    lines = base.select("host", "content", F.explode("lines").alias("x")).select("host", "content", "x.line", "x.words").groupBy("host", "content", "line").agg(F.first("words").alias("words"))
+    lines = materialise(lines, "lines")
+    size = base.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
+    common = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    common = common.join(size, "host").where(F.col("n") > share * F.col("host_docs")).select("host", "line")
+    common = common.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return lines.withColumn("part", F.pmod(F.col("content"), F.lit(PARTS)).cast("int")).join(common, ["host", "line", "part"])
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _kept(left: float) -> Column:
+    return ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= left * F.col("n_words"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
     """``(id, base figures, base_failed, n_common_words, kept)`` of every row.
 
@@ -95,16 +114,47 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     null ids and repeated rows stay, each judged like its copies; no row gives no row.
     """
     base = materialise(base_rules(docs, id_col, text_col, host_col), "line-rules")
-    lines = base.select("host", "content", F.explode("lines").alias("x")).select("host", "content", "x.line", "x.words").groupBy("host", "content", "line").agg(F.first("words").alias("words"))
-    lines = materialise(lines, "lines")
-    size = base.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    common = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    common = common.join(size, "host").where(F.col("n") > share * F.col("host_docs")).select("host", "line")
-    common = common.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    gone = lines.withColumn("part", F.pmod(F.col("content"), F.lit(PARTS)).cast("int")).join(common, ["host", "line", "part"])
-    gone = gone.groupBy("host", "content").agg(F.sum("words").alias("n_common_words"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    gone = common_lines(base, least, share).groupBy("host", "content").agg(F.sum("words").alias("n_common_words"))
     out = base.drop("lines").join(gone, ["host", "content"], "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)))
-    out = out.withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= left * F.col("n_words"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", kept.alias("kept"))
+    out = out.withColumn("base_failed", _failed())
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", _kept(left).alias("kept"))
+
+
+def without(text: str, gone: set[int]) -> str:
+    """The text without the lines whose normalised hash is in ``gone``."""
+    kept = [line for line in text.encode().split(b"\n") if not (own := line.split()) or xxhash.xxh3_64_intdigest(normal_line(own)) - (1 << 63) not in gone]
+    return b"\n".join(kept).decode()
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
+    """``(id, text, n_common_words, kept)`` of every row: its text without the common lines, their words, and the verdict of ``judge``.
+
+    Null text stays null; null ids and repeated rows stay; rejected documents stay too, with ``kept`` false.
+    """
+    base = materialise(base_rules(docs, id_col, text_col, host_col), "line-rules")
+    gone = common_lines(base, least, share).groupBy("host", "content").agg(F.sum("words").alias("n_common_words"), F.collect_list("line").alias("gone"))
+    gone = materialise(gone, "common-lines")
+    # Figures and lines belong to a text on a host, so one row of each is met by all its copies.
+    one_each = base.groupBy("host", "content").agg(*[F.first(c).alias(c) for c in ("n_words", "n_repeat_words")])
+    one_each = one_each.join(gone, ["host", "content"], "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0))).withColumn("base_failed", _failed())
+    one_each = one_each.select("host", "content", "n_common_words", _kept(left).alias("kept"), "gone")
+
+    def key():
+        def one(part, texts):
+            content = pa.array([xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts], pa.int64())
+            return table(id=part.column("id"), host=part.column("host"), content=content, text=part.column("text"))
+
+        return one
+
+    def start():
+        def one(part, texts):
+            lines, known = part.column("gone").to_pylist(), part.column("text").is_valid().to_pylist()
+            new = [(without(t, set(g)) if g else t) if k else None for t, g, k in zip(texts, lines, known, strict=True)]
+            return table(**{id_col: part.column("id"), text_col: pa.array(new, pa.string())}, n_common_words=part.column("n_common_words"), kept=part.column("kept"))
+
+        return one
+
+    kind = dict(docs.dtypes)[id_col]
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    keyed = scan(own, ["id", "host", "text"], "text", f"id {kind}, host string, content long, text string", key)
+    return scan(keyed.join(one_each, ["host", "content"]), ["id", "text", "n_common_words", "kept", "gone"], "text", f"`{id_col}` {kind}, `{text_col}` string, n_common_words long, kept boolean", start)

@@ -69,6 +69,11 @@ def op2(spark, sf_dir):
     return line_rules.judge(read(spark, sf_dir, "documents"))
 
 
+@query("op2_clean_texts")
+def op2_texts(spark, sf_dir):
+    return line_rules.clean(read(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def op3(spark, sf_dir):
     from pyspark.sql import functions as F

@@ -124,3 +124,20 @@ def test_depleted_documents_go_and_copies_do_not_count(spark):
     assert all(got[i].kept and got[i].n_common_words == 60 for i in range(60))
     assert not any(got[100 + i].kept for i in range(5)) and all(got[200 + i].kept for i in range(90))
     assert R.judge(awkward(spark)).count() == 9 and R.judge(empty(spark)).count() == 0
+
+
+def test_common_lines_leave_the_texts(spark):
+    rng = random.Random(10)
+    # Letters, as digits are the same in a normalised line.
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30))
+    ends = [line() for _ in range(40)]
+    footer = line()
+    own = [f"{line()}\n\n{line()}\n" for _ in range(40)]
+    rows = [(i, f"{t}{footer.upper() if i % 2 else footer}\n{ends[i]}", "h") for i, t in enumerate(own)] + [(50, f"{footer}\nfew", "h"), (50, f"{footer}\nfew", "h"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in R.clean(df).collect()}
+    assert all(got[i].text == t + ends[i] and got[i].n_common_words == 30 and got[i].kept for i, t in enumerate(own))
+    assert got[50].text == "few" and not got[50].kept and got[None].text is None and R.clean(df).count() == 43
+    judged = sorted((str(r.doc_id), r.n_common_words, r.kept) for r in R.judge(df).collect())
+    assert judged == sorted((str(r.doc_id), r.n_common_words, r.kept) for r in R.clean(df).collect())
+    assert R.clean(awkward(spark)).count() == 9 and R.clean(empty(spark)).count() == 0
