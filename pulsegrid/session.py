@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -40,9 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="pulsegrid-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="pulsegrid-")
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -56,3 +60,18 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/pulsegrid/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote and that nothing reads any more.
+
+    Only for frames that ``materialise`` returned, and only when every frame made from them has been written itself.
+    """
+    spark = df.sparkSession
+    top = f"{shared_dir(spark).rstrip('/')}/pulsegrid/"
+    files = df.inputFiles()
+    if files:
+        folder = files[0].rpartition("/")[0]
+        name = folder.rpartition("/")[2]
+        path = spark._jvm.org.apache.hadoop.fs.Path(top + name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
