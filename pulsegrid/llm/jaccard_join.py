@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import LOWER, mix, slices, table
+from .components import components
 
 WIDTH, PERCENT = 5, 75
 #: Segments beyond the H + 1 that must be spent, as a share and a number.
@@ -581,26 +582,6 @@ def allowed(total: np.ndarray, percent: int) -> np.ndarray:
     return total - 2 * -(-percent * total // (100 + percent))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(class, root)`` of every class with an edge ``(a, b)``: the least class of its component.
-
-    Alternates large and small stars until nothing changes; each round is written to the shared folder.
-    """
-    now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            return now.select(F.col("a").alias("class"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("class"), F.col("b").alias("root")).distinct())
-        before = mark
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-
-
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``(a, b, margin)`` that sizes and sketches do not rule out (no similar pair is lost)."""
     side = lambda x: reps.select(F.col("class").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))

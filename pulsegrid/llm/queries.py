@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language, license_scan, line_rules, packing, secret_scan, token_counts, toxicity, url_templates
+from . import centroids, decontamination, jaccard_join, language, license_scan, line_rules, packing, secret_scan, simhash, spellings, token_counts, toxicity, url_templates
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,21 @@ def op10(spark, sf_dir):
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op11_simhash")
+def op11(spark, sf_dir):
+    return simhash.link(read(spark, sf_dir, "documents"))
+
+
+@query("op12_centroids", centroids.cluster_sql())
+def op12(spark, sf_dir):
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spellings", spellings.group_sql())
+def op13(spark, sf_dir):
+    return spellings.group_spellings(read(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
