@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +27,25 @@ def slices(batch: pa.RecordBatch, text: str, step: int = STEP_CHARS) -> Iterator
         start = stop
 
 
+def bounded_batches(spark, limit: str = "8m") -> None:
+    """Arrow batches of at most ``limit`` bytes for this session, unless it has a limit of its own.
+
+    By default a batch is bounded by its rows alone; ten thousand long texts take hundreds of megabytes, in the JVM and again in the worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, limit)
+
+
+def tidy(*caches: dict) -> None:
+    """Give memory back at the end of a task: workers live on and would hold it beside the next stage's."""
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scan(df: DataFrame, cols: list[str], text: str, schema: str, fn: Callable[[], Callable]) -> DataFrame:
     """``fn()`` runs once in each task and gives a function ``(rows, texts) -> RecordBatch or None``."""
 
@@ -35,7 +56,10 @@ def scan(df: DataFrame, cols: list[str], text: str, schema: str, fn: Callable[[]
                 out = one(part, texts)
                 if out is not None:
                     yield out
+        del one
+        tidy()
 
+    bounded_batches(df.sparkSession)
     return df.select(*cols).mapInArrow(run, schema)
 
 

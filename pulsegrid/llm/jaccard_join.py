@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import LOWER, mix, slices, table
+from .common import LOWER, bounded_batches, mix, slices, table, tidy
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -38,15 +38,15 @@ LIGHT = 1 << 19
 #: A set whose missing units exceed this share of its free segments looks up shared subsets as they are, the smallest first.
 DENSE = 0.25
 #: Members of a group that meet the lookups in one block.
-BLOCK = 4096
+BLOCK = 2048
 #: Members in one step from which a subset goes on as a star.
 HOT = 48
 #: Index entries of a bucket and of a step; members in a row.
-BUCKET, STEP, ROW = 800_000, 500_000, 1024
+BUCKET, STEP, ROW = 600_000, 500_000, 1024
 #: Least bytes of the sketch that rules out most pairs.
 SKETCH = 128
 #: Words whose hashes a worker remembers, and bytes of text that it takes apart at a time.
-CACHE, TEXTS = 150_000, 1 << 19
+CACHE, TEXTS = 100_000, 1 << 19
 
 U64 = np.uint64
 _TURNS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -56,7 +56,9 @@ class Words(dict):
     """64-bit hashes of words, kept as met."""
 
     def __missing__(self, w: bytes) -> int:
-        self[w] = h = xxhash.xxh3_64_intdigest(w)
+        h = xxhash.xxh3_64_intdigest(w)
+        if len(w) <= 64:  # the cache is bounded in bytes, too
+            self[w] = h
         return h
 
 
@@ -202,7 +204,7 @@ def digest(members: np.ndarray) -> int:
     return int(mix(members.astype(U64)).sum(dtype=U64).view(np.int64))
 
 
-def sketches(flat: np.ndarray, bounds: np.ndarray, at_once: int = 1 << 23) -> list[bytes]:
+def sketches(flat: np.ndarray, bounds: np.ndarray, at_once: int = 1 << 20) -> list[bytes]:
     """A bit string for each set, with a bit or more for each shingle: every shingle flips one bit.
 
     Lengths are powers of two, so that a longer one folds onto a shorter one.
@@ -262,6 +264,7 @@ class Filter:
                 own = batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
                 for part, texts in slices(own, "text", TEXTS):
                     yield fn(part.column("id"), texts)
+            tidy(words_cache())
 
         return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(self.bits)).alias("at")).mapInArrow(run, schema)
 
@@ -270,6 +273,19 @@ class Filter:
 ENTRIES = "bucket int, keys binary, owners binary, classes binary, sizes binary, hot binary, stars binary, sets binary, docs binary"
 
 
+def squeezed(values: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bytes, byte by byte in planes, so that bytes that hardly vary take little room."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(planes).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes, width: int) -> np.ndarray:
+    planes = pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel().astype(U64)
+
+
 class Packer:
     """Index entries of a step: sorted by key at the end, and cut into a row for each bucket."""
 
@@ -326,9 +342,11 @@ class Packer:
             seen[o >> 1] = True
             used = np.flatnonzero(seen)
             at = (np.cumsum(seen) - 1)[o >> 1]
-            packed = (k & U64(0xFFFFFFFF)).astype("<u4").tobytes() + (k >> U64(32)).astype(np.uint8).tobytes()
+            order = np.argsort(k, kind="stable")
+            k, at, o = k[order], at[order], o[order]
+            packed = squeezed(np.diff(k, prepend=U64(0)), 5)
             here = low_bits(hot_keys[hot_bucket == b]).astype("<u8").tobytes()
-            out.append((b, packed, (2 * at + (o & 1)).astype("<u2").tobytes(), classes[used].astype("<i8").tobytes(), sizes[used].astype("<u4").tobytes(), here, b"", b"", b""))
+            out.append((b, packed, squeezed((2 * at + (o & 1)).astype(U64), 2), classes[used].astype("<i8").tobytes(), sizes[used].astype("<u4").tobytes(), here, b"", b"", b""))
         if stars:
             out.append((int(hot_keys[0] % U64(self.buckets)), *[b""] * 5, np.concatenate(stars).astype("<i8").tobytes(), b"", b""))
         for key, members in groups:
@@ -409,6 +427,8 @@ def entry_rows(docs: DataFrame, width: int, percent: int, buckets: int, hot: int
                 yield entry_batch([((int(cls[0]) + no) % buckets, *[b""] * 7, packed_rows(rows))])
         if out := pack.rows(hot):
             yield entry_batch(out)
+        del pack, met
+        tidy(words_cache())
 
     return docs.select("id", "text").mapInArrow(run, ENTRIES)
 
@@ -429,9 +449,8 @@ def unpack(rows: pa.Table, probes: bool = False) -> tuple[np.ndarray, np.ndarray
     for k, o, c, n, h in zip(*(rows[x].to_pylist() for x in ("keys", "owners", "classes", "sizes", "hot")), strict=True):
         if not k:
             continue
-        count = len(k) // 5
-        keys.append(np.frombuffer(k, "<u4", count).astype(U64) | (np.frombuffer(k, np.uint8, count, 4 * count).astype(U64) << U64(32)))
-        owner = np.frombuffer(o, "<u2").astype(np.int64)
+        keys.append(np.cumsum(unsqueezed(k, 5), dtype=U64))
+        owner = unsqueezed(o, 2).astype(np.int64)
         classes.append(np.frombuffer(c, "<i8")[owner >> 1])
         sizes.append(np.frombuffer(n, "<u4").astype(np.int64)[owner >> 1])
         marks.append(owner & 1)
@@ -703,22 +722,22 @@ def deletion_rows(docs: DataFrame, lists: DataFrame, near: DataFrame, width: int
 
 
 def meet_probes(rows: pa.Table) -> pa.Table:
-    """Pairs of a probe and an index entry with the same key."""
-    keys, classes, sizes, marks, _ = unpack(rows, probes=True)
-    pk, pc, pn = keys[marks], classes[marks], sizes[marks]
-    ik, ic, im = keys[~marks], classes[~marks], sizes[~marks]
-    low, high = np.searchsorted(ik, pk), np.searchsorted(ik, pk, side="right")
-    out = []
-    # Probes in runs, so that their pairs take bounded memory.
-    for at in range(0, len(pk), 4096):
-        w = (high - low)[at : at + 4096]
-        who = np.repeat(np.arange(at, at + len(w)), w)
-        to = np.repeat(low[at : at + 4096], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        ok = (pc[who] != ic[to]) & (100 * np.minimum(pn[who], im[to]) >= PERCENT_FLOOR * np.maximum(pn[who], im[to]))
-        a, b = pc[who[ok]], ic[to[ok]]
-        out.append(np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0))
-    p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": p[:, 0], "b": p[:, 1]})
+    """Groups (kind 2 of FOUND) of the probes and index entries of each key: probes are marked as their own."""
+    bucket = rows["bucket"][0].as_py()
+    keys, classes, _, marks, _ = unpack(rows, probes=True)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    out: list[tuple] = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        own, n = classes[a:b], marks[a:b].astype(np.int64)
+        if not n.any() or n.all() or (own == own[0]).all():
+            continue
+        group = np.c_[own, n]
+        name, key = digest(group[:, 0] * 2 + group[:, 1]), (bucket << 40) | int(keys[a])
+        for at in range(0, len(group), ROW):
+            cut = group[at : at + ROW]
+            out.append((2, name, key, digest(cut[:, 0] * 2 + cut[:, 1]), 0, cut.tobytes()))
+    kinds = [pa.int32()] + [pa.int64()] * 4 + [pa.binary()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 # --- the join --------------------------------------------------------------------------------------
@@ -734,6 +753,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     if not PERCENT_FLOOR <= percent < 100:
         raise ValueError(f"percent must be from {PERCENT_FLOOR} to 99")
     kind = dict(docs.dtypes)[id_col]
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Words are rarely shorter than five characters with their space; the estimate only sizes the buckets.
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -755,9 +775,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     own = materialise(join_by_set(own, mixed), "mixed")
     few = own.where(F.col("load") <= light).join(reps.select("class", "n", "sketch"), "class")
     near = close_pairs(few, percent)
-    extra = shared_lookups(docs, reps, own.where(F.col("load") > light), found, width, percent, buckets)
+    extra, more = shared_lookups(docs, reps, own.where(F.col("load") > light), found, links, roots, width, percent, buckets)
     if extra is not None:
         near = near.unionByName(extra)
+    if more is not None:
+        links = links.unionByName(more)
+        roots = components(links)
     near = materialise(near.groupBy("a", "b").agg(F.first("margin").alias("margin")), "near")
 
     # One pair for each two components first, the most likely; then those that are still apart.
@@ -790,11 +813,12 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(ra != rb).select("a", "b", "margin", F.least(ra, rb).alias("ca"), F.greatest(ra, rb).alias("cb"))
 
 
-def shared_lookups(docs: DataFrame, reps: DataFrame, heavy: DataFrame, found: DataFrame, width: int, percent: int, buckets: int) -> DataFrame | None:
-    """Plausible pairs of the sets whose free segments (filled, and not shared by too many) are fewer than the units to spend.
+def shared_lookups(docs: DataFrame, reps: DataFrame, heavy: DataFrame, found: DataFrame, links: DataFrame, roots: DataFrame, width: int, percent: int, buckets: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """``(pairs, links)`` of the sets whose free segments (filled, and not shared by too many) are fewer than the units to spend.
 
     Where few are missing, free segments are spent twice; where many are, the set belongs to a dense family, and
-    its smallest shared subsets are looked up as they are.  None if no set misses a unit.
+    its smallest shared subsets are looked up as they are.  Members of a group are linked to one of its lookups first; only
+    those that are still of different components become plausible pairs.  None if no set misses a unit.
     """
     shared = heavy.where("own").groupBy("class").agg(F.sum("keys").alias("shared"))
     need = F.expr(f"(2 * n * {100 - percent}) div {100 + percent} + 1")
@@ -804,31 +828,48 @@ def shared_lookups(docs: DataFrame, reps: DataFrame, heavy: DataFrame, found: Da
     short = short.withColumn("twice", F.when(sparse, F.col("missing")).otherwise(F.col("lacking"))).withColumn("once", F.col("missing") - F.col("twice"))
     short = materialise(short.select("class", "rep", "twice", "once"), "short")
     if not short.head(1):
-        return None
+        return None, None
     order = Window.partitionBy("class").orderBy("size", "set")
     mine = heavy.where("own").join(short.where("once > 0").select("class", "once"), "class")
     # A group of several keys is worth as many units.
     mine = mine.withColumn("before", F.sum("keys").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("keys")).where("before < once")
     mine = materialise(mine.select("set", "class", "comp"), "lookups")
-    # Lookups and members of a large group meet in blocks.
-    blocks = mine.groupBy("set").agg(F.ceil(F.count("*") / BLOCK).alias("i")).join(heavy.groupBy("set").agg(F.ceil(F.count("*") / BLOCK).alias("j")), "set")
-    blocks = materialise(blocks, "lookup-blocks")
+    near = close_pairs(in_blocks(mine, heavy).join(reps.select("class", "n", "sketch"), "class"), percent)
+    twice = short.where("twice > 0").select("class", "rep", F.col("twice").alias("missing"))
+    if not twice.head(1):
+        return near, None
+    groups = materialise(spent_twice(docs, reps, twice, found, heavy, width, percent, buckets).select("set", "class", "own"), "probed")
+    apart = mixed_groups(groups, roots)
+    lead = apart.groupBy("set").agg(F.min(F.when(F.col("own"), F.col("class"))).alias("lead"))
+    stars = apart.join(lead, "set").where("class <> lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b"))
+    more = verified(plausible(stars, reps, percent), reps, docs, width, percent)
+    apart = mixed_groups(groups, components(links.unionByName(more)))
+    met = in_blocks(apart.where("own"), apart)
+    return near.unionByName(close_pairs(met.join(reps.select("class", "n", "sketch"), "class"), percent)), more
+
+
+def in_blocks(mine: DataFrame, every: DataFrame) -> DataFrame:
+    """Groups ``(set, class, comp, own)`` in which each of ``mine`` (own) meets ``every`` member of its set, a block of both at a time."""
+    size = lambda rows, name: rows.groupBy("set").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    blocks = materialise(size(mine, "i").join(size(every, "j"), "set"), "lookup-blocks")
 
     def dealt(rows: DataFrame, own: str, other: str, probe: bool) -> DataFrame:
         at = rows.join(blocks, "set").withColumn("at", F.pmod(F.xxhash64("class"), F.col(own))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
         first, second = ("at", "to") if probe else ("to", "at")
         return at.select(F.xxhash64("set", first, second).alias("set"), "class", "comp", F.lit(probe).alias("own"))
 
-    met = dealt(mine, "i", "j", True).unionByName(dealt(heavy.select("set", "class", "comp"), "j", "i", False))
-    near = close_pairs(met.join(reps.select("class", "n", "sketch"), "class"), percent)
-    twice = short.where("twice > 0").select("class", "rep", F.col("twice").alias("missing"))
-    if twice.head(1):
-        near = near.unionByName(plausible(spent_twice(docs, reps, twice, found, heavy, width, percent, buckets), reps, percent))
-    return near
+    return dealt(mine, "i", "j", True).unionByName(dealt(every, "j", "i", False))
+
+
+def mixed_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members ``(set, class, comp, own)`` of the groups that reach over components."""
+    own = materialise(groups.join(roots, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root"), "probed-of")
+    mixed = own.groupBy("set").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("set")
+    return join_by_set(own, mixed)
 
 
 def spent_twice(docs: DataFrame, reps: DataFrame, short: DataFrame, found: DataFrame, heavy: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """Candidates of the sets that miss units: as many of their free segments as units are missing are spent twice.
+    """Groups ``(set, class, own)`` of the sets that miss units (own) and those they may be similar to: as many of their free segments as units are missing are spent twice.
 
     Cheapest first: segments of two or more shingles, then the lowest numbers, as the index pays for a segment once.
     """
@@ -846,4 +887,4 @@ def spent_twice(docs: DataFrame, reps: DataFrame, short: DataFrame, found: DataF
     spans = [(bands.edge(b - 1), bands.edge(b + 1)) for b in sorted(used)]
     near = reps.where(functools.reduce(lambda x, y: x | y, [(F.col("n") >= a) & (F.col("n") < b) for a, b in spans])) if spans else reps.limit(0)
     entries = deletion_rows(docs, lists, near.select(F.col("rep").alias("id")), width, percent, buckets, used)
-    return entries.groupBy("bucket").applyInArrow(meet_probes, "a long, b long")
+    return members(entries.groupBy("bucket").applyInArrow(meet_probes, FOUND))

@@ -28,8 +28,8 @@ LEXICON, LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 400, 3, 2.0, 18.0
 STEMS, FUZZY_LEN = (4, 5, 6), 5
 #: Words on each side that are read as a hit's context.
 CONTEXT = 6
-#: Words whose hits a worker remembers.
-CACHE = 1_000_000
+#: Words whose hits a worker remembers, none of more than CACHED characters.
+CACHE, CACHED = 200_000, 40
 THRESHOLD = 0.7
 
 # Marks around words; words that report speech; words that address someone.
@@ -142,7 +142,7 @@ class Scorer:
             if len(self.seen) > CACHE:
                 self.seen, self.hits = set(), {}
                 new = own
-            self.seen |= new
+            self.seen.update(w for w in new if len(w) <= CACHED)
             for w in new:
                 found = self.walk.classify(w.strip(EDGES))
                 if found:
