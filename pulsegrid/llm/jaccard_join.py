@@ -381,7 +381,7 @@ def star(classes: np.ndarray, sizes: np.ndarray, lead: int, rest: np.ndarray) ->
 PERCENT_FLOOR = 50
 
 
-_DOC = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("filled", pa.int64()), ("sketch", pa.binary())])
+_DOC = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("filled", pa.int64()), ("sketch", pa.binary()), ("hash", pa.int64())])
 
 
 def entry_rows(docs: DataFrame, width: int, percent: int, buckets: int, hot: int = HOT) -> DataFrame:
@@ -422,7 +422,7 @@ def entry_rows(docs: DataFrame, width: int, percent: int, buckets: int, hot: int
                 place = np.cumsum(fresh) - 1
                 pack.add(cls[fresh], n[fresh], np.concatenate(keys), place[np.concatenate(owners)], np.concatenate(marks))
                 sk = sketches(flat, bounds)
-                rows = pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(np.where(n > 0, cls, 0)), pa.array(filled, pa.int64()), pa.array(sk, pa.binary())], schema=_DOC)
+                rows = pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(np.where(n > 0, cls, 0)), pa.array(filled, pa.int64()), pa.array(sk, pa.binary()), part.column("hash")], schema=_DOC)
                 no += 1
                 yield entry_batch([((int(cls[0]) + no) % buckets, *[b""] * 7, packed_rows(rows))])
         if out := pack.rows(hot):
@@ -430,7 +430,7 @@ def entry_rows(docs: DataFrame, width: int, percent: int, buckets: int, hot: int
         del pack, met
         tidy(words_cache())
 
-    return docs.select("id", "text").mapInArrow(run, ENTRIES)
+    return docs.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, ENTRIES)
 
 
 def packed_rows(rows: pa.RecordBatch) -> bytes:
@@ -476,11 +476,11 @@ def unpack(rows: pa.Table, probes: bool = False) -> tuple[np.ndarray, np.ndarray
     return keys[once], classes[once], sizes[once], marks[once] == 1, hot
 
 
-FOUND = "kind int, a long, b long, chunk long, filled long, members binary"
+FOUND = "kind int, a long, b long, chunk long, filled long, members binary, hash long"
 
 
 def meet(rows: pa.Table) -> pa.Table:
-    """What a bucket finds.  Kind 0: a set's row (id ``a``, class ``b``, size ``chunk``, ``filled``, sketch).  Kind 1: star pairs ``a < b``.  Kind 2: a group of three or more: name ``a``, key ``b``, members (class, own)."""
+    """What a bucket finds.  Kind 0: a set's row (id ``a``, class ``b``, size ``chunk``, ``filled``, sketch, ``hash`` of its text).  Kind 1: star pairs ``a < b``.  Kind 2: a group of three or more: name ``a``, key ``b``, members (class, own)."""
     bucket = rows["bucket"][0].as_py()
     names = [c.split()[0] for c in FOUND.split(", ")]
     keys, classes, sizes, marks, hot = unpack(rows)
@@ -489,12 +489,12 @@ def meet(rows: pa.Table) -> pa.Table:
     for x in rows["sets"].to_pylist():
         if x:
             own = np.frombuffer(x, "<i8").reshape(-1, 2)
-            out.append((2, digest(own[:1, 0]), int(own[0, 0]), digest(own[1:, 0]), 0, own[1:].tobytes()))
+            out.append((2, digest(own[:1, 0]), int(own[0, 0]), digest(own[1:, 0]), 0, own[1:].tobytes(), None))
     got = []
     for x in rows["docs"].to_pylist():
         if x:
             d = pa.ipc.open_stream(x).read_all()
-            got.append(pa.Table.from_arrays([pa.array(np.zeros(len(d), np.int32)), d["id"], d["class"], d["n"], d["filled"], d["sketch"]], names=names))
+            got.append(pa.Table.from_arrays([pa.array(np.zeros(len(d), np.int32)), d["id"], d["class"], d["n"], d["filled"], d["sketch"], d["hash"]], names=names))
     if len(keys):
         new = np.r_[True, keys[1:] != keys[:-1]]
         first = np.flatnonzero(new)
@@ -515,12 +515,12 @@ def meet(rows: pa.Table) -> pa.Table:
             name = digest(np.array([key])) if h else digest(members[:, 0] * 2 + members[:, 1])
             for at in range(0, w, ROW):
                 cut = members[at : at + ROW]
-                out.append((2, name, key, digest(cut[:, 0]), 0, cut.tobytes()))
-    kinds = [pa.int32()] + [pa.int64()] * 4 + [pa.binary()]
+                out.append((2, name, key, digest(cut[:, 0]), 0, cut.tobytes(), None))
+    kinds = [pa.int32()] + [pa.int64()] * 4 + [pa.binary(), pa.int64()]
     if out:
         got.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names))
     if pairs and len(p := np.unique(np.concatenate(pairs), axis=0)):
-        got.append(pa.Table.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.binary())], names=names))
+        got.append(pa.Table.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), *[pa.nulls(len(p), k) for k in kinds[3:]]], names=names))
     return pa.concat_tables(got) if got else pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
 
 
@@ -735,20 +735,22 @@ def meet_probes(rows: pa.Table) -> pa.Table:
         name, key = digest(group[:, 0] * 2 + group[:, 1]), (bucket << 40) | int(keys[a])
         for at in range(0, len(group), ROW):
             cut = group[at : at + ROW]
-            out.append((2, name, key, digest(cut[:, 0] * 2 + cut[:, 1]), 0, cut.tobytes()))
-    kinds = [pa.int32()] + [pa.int64()] * 4 + [pa.binary()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
+            out.append((2, name, key, digest(cut[:, 0] * 2 + cut[:, 1]), 0, cut.tobytes(), None))
+    kinds = [pa.int32()] + [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 # --- the join --------------------------------------------------------------------------------------
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bucket: int = BUCKET, light: int = LIGHT, hot: int = HOT) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bucket: int = BUCKET, light: int = LIGHT, hot: int = HOT, detail: bool = False) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row.
 
     ``component_id`` is the smallest id reachable over pairs of sets with a Jaccard similarity of ``percent``
     hundredths or more.  Null, empty and blank texts have no shingle and are linked with nothing; equal texts are
-    linked; rows with a null id get a null component and link nothing; no row gives no row.
+    linked; rows with a null id get a null component and link nothing; no row gives no row.  With ``detail`` two
+    columns follow, for ids that stand for several texts: ``text_hash``, Spark's ``xxhash64`` of the text, and ``group_id``, which
+    tells components of the same smallest id apart (null where nothing is linked by right).
     """
     if not PERCENT_FLOOR <= percent < 100:
         raise ValueError(f"percent must be from {PERCENT_FLOOR} to 99")
@@ -760,7 +762,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     buckets = max(1, -(-chars // (5 * bucket)))
     packed = entry_rows(docs, width, percent, buckets, hot)
     found = materialise(packed.groupBy("bucket").applyInArrow(meet, FOUND), "groups")
-    rows = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("class"), F.col("chunk").alias("n"), "filled", F.col("members").alias("sketch"))
+    rows = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("class"), F.col("chunk").alias("n"), "filled", F.col("members").alias("sketch"), "hash")
     real = rows.where("id is not null and n > 0")
     reps = real.groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("filled").alias("filled"), F.first("sketch").alias("sketch"))
     reps = materialise(reps, "classes")
@@ -794,9 +796,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     roots = components(links)
     named_by = reps.select("class", "rep").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named_by.groupBy("root").agg(F.min("rep").alias("component"))
-    of = named_by.join(least, "root").select("class", "component")
+    of = named_by.join(least, "root").select("class", "component", "root")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
-    return rows.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of, "class", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
+    out = rows.select("id", "n", "hash", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of, "class", "left")
+    more = [F.col("hash").alias("text_hash"), F.when(F.col("id").isNotNull(), F.col("root")).alias("group_id")] if detail else []
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), *more)
 
 
 def join_by_set(own: DataFrame, mixed: DataFrame) -> DataFrame:

@@ -70,3 +70,15 @@ def test_stages_equal_brute_force(spark, folder):
 def test_run_is_all_stages(spark, folder):
     rows = P.run(spark, folder)
     assert rows.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(rows.columns)
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white grey")
+    rows = [(5, a, "s1"), (5, b, "s1"), (3, a, "s1"), (5, c, "s2"), (7, b + " eight", "s1"), (8, c, "s3"), (8, c, "s2"), (9, None, "s1"), (9, None, "s1"), (None, a, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' as _no", "'x' as _text", "'x' as text_hash", "'x' as `a.b`", "'x' as stays", "'x' as rows")
+    got = P.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and set(got.select("_no", "_text", "text_hash", "`a.b`", "stays", "rows").distinct().collect()[0]) == {"x"}
+    keep = [(3, a, "s1"), (5, b, "s1"), (5, c, "s2"), (7, b + " eight", "s1"), (9, None, "s1"), (9, None, "s1"), (None, a, "s1")]
+    # 4 of 4 shingles of b and 3 of 4 of its longer copy: 75 in a hundred
+    keep = [r for r in keep if r[0] != 7]
+    assert sorted(map(str, got.select("doc_id", "text", "source").collect())) == sorted(str(r) for r in spark.createDataFrame(keep, "doc_id long, text string, source string").collect())
