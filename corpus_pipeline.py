@@ -5,7 +5,7 @@ Every stage works on all that the one before kept; all but the last return the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontamination, jaccard_join, packing, secret_scan, toxicity
@@ -22,15 +22,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once if its row is repeated.
+    """Of each group of linked rows the one with the smallest id stays (of equal ids the one of the smaller text hash), once if its row is repeated.
 
-    Documents without a word, or without an id, are linked with nothing and stay.
+    Rows are told apart by id and text: an id that stands for several texts loses only the linked ones.  Rows without a
+    word, or without an id, are linked with nothing and stay; no row gives no row; columns may have any names.
     """
-    links = jaccard_join.link(docs).where("n_shingles > 0 and doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(links, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("source"))
-    named = left.where("doc_id is not null").withColumn("_no", first).where("_no = 1 or coalesce(text, '') not rlike '[^ \\\\t-\\\\r]'")
-    return named.drop("_no").unionByName(left.where("doc_id is null")).select(*docs.columns)
+    found = materialise(jaccard_join.link(docs, detail=True).select("doc_id", "text_hash", "group_id").where("group_id is not null"), "near-duplicates")
+    groups = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("stays"), F.count("*").alias("rows")).where("rows > 1")
+    others = F.struct("doc_id", "text_hash") != F.col("stays")
+    gone = found.join(groups, "group_id").where(others).select("doc_id", "text_hash").distinct()
+    repeated = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "text_hash")
+    # Only keys of rows travel; a text is shuffled where its row is repeated, or where the keys are too many to broadcast.
+    key = _unused(docs, "text_hash")
+    hashed = docs.withColumn(key, F.xxhash64("text"))
+    named = lambda keys: keys.withColumnRenamed("text_hash", key)
+    left = hashed.join(named(gone), ["doc_id", key], "left_anti")
+    once = left.join(named(repeated), ["doc_id", key], "left_anti").select(*map(quoted, docs.columns))
+    again = left.join(named(repeated), ["doc_id", key], "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*map(quoted, docs.columns)), "source").alias(key + "_row"))
+    return once.unionByName(again.select(*[F.col(key + "_row").getField(c).alias(c) for c in docs.columns]))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return name
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
