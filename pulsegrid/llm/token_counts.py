@@ -10,6 +10,7 @@ of lower rank, so this ends where one-by-one merging ends.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 
 import numpy as np
@@ -21,6 +22,8 @@ from . import pretokens
 from .common import scan, table
 
 NONE = np.iinfo(np.int32).max
+#: Bytes from which a piece is merged by itself, and is not kept in the cache.
+LONG = 256
 
 
 class Merges:
@@ -49,6 +52,13 @@ class Merges:
     def counts(self, pieces: list[str]) -> np.ndarray:
         """Symbols left of each (non-empty) piece."""
         raw = [p.encode() for p in pieces]
+        long = [k for k, r in enumerate(raw) if len(r) > LONG]
+        if long:
+            out = np.zeros(len(raw), np.int64)
+            short = [k for k, r in enumerate(raw) if len(r) <= LONG]
+            out[short] = self.counts([pieces[k] for k in short]) if short else 0
+            out[long] = [self.count_long(raw[k]) for k in long]
+            return out
         size = np.array([len(r) for r in raw], np.int64)
         out = size.copy()
         ids = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
@@ -75,6 +85,63 @@ class Merges:
         return out
 
 
+    def count_long(self, raw: bytes) -> int:
+        """Symbols left of one long piece.
+
+        The places of its pairs wait by rank; the lowest rank is merged at all its places at once, and only the
+        pairs beside them are ranked anew.  These rank higher, as a symbol is made before it is paired.
+        """
+        ids = self.byte[np.frombuffer(raw, np.uint8)]
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        now = self.pair_ranks(ids, np.arange(n) == n - 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[now[at] != NONE]
+            rank = now[at]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edge = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1], True]) if len(at) else [0]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                r = int(rank[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(at[a:b])
+
+        wait(np.arange(n))
+        left = n
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[now[at] == rank]
+            if not len(at):
+                continue
+            # Places that overlap form a chain; every second one of a chain is a merge.
+            new = np.r_[True, after[at[:-1]] != at[1:]]
+            first = np.flatnonzero(new)
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))) % 2 == 0]
+            gone = after[at]
+            ids[at] = self.made[rank]
+            now[gone] = NONE
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            left -= len(at)
+            beside = before[at]
+            pair = np.unique(np.r_[at, beside[beside >= 0]])
+            ends = after[pair] >= n
+            now[pair[ends]] = NONE
+            pair = pair[~ends]
+            key = (ids[pair] << 32) | ids[after[pair]]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            now[pair] = np.where(self.keys[k] == key, self.ranks[k], NONE)
+            wait(pair)
+        return left
+
+
 class Counter:
     """Counts the tokens of texts; a cache keeps the chunks met before."""
 
@@ -134,6 +201,11 @@ class Counter:
                 out[k] += sum(map(self.known.__getitem__, pretokens.PIECES.findall(text)))
             else:
                 out[k] += (self.known[cut[0]] if cut[0] else 0) + sum(map(self.heads.__getitem__, cut[1:]))
+        # The cache is bounded in bytes, too: long strings don't stay.
+        for s in [s for s in whole if len(s) > LONG]:
+            del self.known[s]
+        for s in [s for s in new if len(s) > LONG]:
+            del self.heads[s]
         return out
 
 
