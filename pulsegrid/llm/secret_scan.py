@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import functools
 import hashlib
 import itertools
@@ -31,8 +32,10 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PREFIXES = {"access": ("AKIA",), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "npm": ("npm_",), "jwt": ("eyJ",), "private_key": ("-----BEGIN ",)}
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 TAGGED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+# A header of three dotted parts; the first two begin as an object does.
+JWT_PART, JWT_START = re.compile(r"[A-Za-z0-9_-]+"), "eyJ"
+# A private key: its first line, a body of these letters, and the nearest last line.
+PEM_FIRST, PEM_BODY, PEM_LAST = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"), re.compile(r"[A-Za-z0-9+/=\s:,-]*"), re.compile(r"(?=(-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----))")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ASSIGN_LEN, ACCESS_LEN, HEX_LEN = 6, 20, 24
 
@@ -98,13 +101,53 @@ def hex_runs(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class Stretches:
+    """Where the run of a pattern's letters around a place ends; no run is read twice, however many places ask."""
+
+    def __init__(self, text: str, pattern: re.Pattern):
+        self.text, self.pattern, self.starts, self.ends = text, pattern, [], []
+
+    def end(self, at: int) -> int:
+        """End of the run at ``at``; ``at`` itself if no letter stands there."""
+        k = bisect.bisect_right(self.starts, at) - 1
+        if k >= 0 and at < self.ends[k]:
+            return self.ends[k]
+        m = self.pattern.match(self.text, at)
+        if not m or m.end() == at:
+            return at
+        self.starts.insert(k + 1, at)
+        self.ends.insert(k + 1, m.end())
+        return m.end()
+
+
+def web_token(text: str, start: int, parts: Stretches) -> tuple[int, int]:
+    """``(end of the header, end)`` of the token at ``start``; the end is 0 if there is none, nor any that begins inside the header."""
+    n = len(JWT_START)
+    first = parts.end(start)
+    second = parts.end(first + 1)
+    third = parts.end(second + 1)
+    good = first > start + n and text.startswith("." + JWT_START, first) and second > first + 1 + n and text.startswith(".", second) and third > second + 1
+    return first, third if good else 0
+
+
+def private_key(text: str, start: int, bodies: Stretches, last: list[tuple[int, int]]) -> int | None:
+    """End of the key whose first line is at ``start``; ``last`` are the spans of all last lines."""
+    m = PEM_FIRST.match(text, start)
+    if not m:
+        return None
+    k = bisect.bisect_left(last, (m.end(), 0))
+    return last[k][1] if k < len(last) and last[k][0] <= max(m.end(), bodies.end(m.end())) else None
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, by start, then kind as listed; non-overlapping within a kind."""
     out = [("hex", s, e) for s, e in hex_runs(text)]
     done = dict.fromkeys(KINDS, 0)
+    parts, bodies, last = Stretches(text, JWT_PART), Stretches(text, PEM_BODY), None
     for start, kind in sorted((stop + 1 - size, kind) for stop, (kind, size) in automaton().iter(text)):
         if start < done[kind]:
             continue
+        end = None
         if kind == "assign":
             m = ASSIGN.match(text, start)
             good = m and len(m[2]) >= ASSIGN_LEN
@@ -115,14 +158,18 @@ def find(text: str) -> list[tuple[str, int, int]]:
             m = None if start and (text[start - 1].isalnum() or text[start - 1] == "_") else TAGGED.match(text, start)
             good = m and checksum(m[1]) == m[2]
         elif kind == "jwt":
-            m = JWT.match(text, start)
-            good = m and _header(m[1])
+            header, end = web_token(text, start, parts)
+            m = good = end and _header(text[start:header])
+            done[kind] = end or header
         else:
-            good = m = PEM.match(text, start)
+            if last is None:
+                last = [m.span(1) for m in PEM_LAST.finditer(text)]
+            good = m = end = private_key(text, start, bodies, last)
         if m:
-            done[kind] = m.end()
+            end = end or m.end()
+            done[kind] = end
         if good:
-            out.append((kind, start, m.end()))
+            out.append((kind, start, end))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
