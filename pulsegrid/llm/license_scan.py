@@ -206,12 +206,17 @@ def detect(low: str) -> list[tuple[int, int, int, str]]:
 
 
 def suppress(found: set[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Detections that don't lie inside one of higher priority, or of the same and longer."""
+    """Detections that don't lie inside one of higher priority, or of the same and longer.
+
+    One sweep by start, the longer first: a detection is covered if one of its priority or a higher one that began before reaches as far.
+    """
     kept: list[tuple[int, int, int, str]] = []
-    for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+    reach: dict[int, int] = {}
+    for d in sorted(found, key=lambda d: (d[0], -d[1], -d[2], d[3])):
+        if not any(end >= d[1] for priority, end in reach.items() if priority >= d[2]):
             kept.append(d)
-    return sorted(kept)
+            reach[d[2]] = d[1] if d[1] > reach.get(d[2], 0) else reach[d[2]]
+    return kept
 
 
 # Words are runs of digits, letters and all that is not ASCII.
