@@ -165,22 +165,33 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, steps: int
     From the least filled bin: a move into the tightest bin with room, else the one-for-one
     exchange that fills another bin most, else two documents for one.  All of them raise the sum
     of squared fills, so the search ends; ``steps`` bounds it besides.  ``pairs`` is how many of a bin's
-    longest documents are tried two at a time.  The result is a packing whatever the bounds.
+    longest documents are tried two at a time.  Of bins with equal lengths in them one is tried: what helps
+    none of them helps no other.  The result is a packing whatever the bounds.
     """
     bins = bins.copy()
     fill = np.bincount(bins, sizes).astype(np.int64)
     least = -(-int(sizes.sum()) // capacity)
-    stuck: set[int] = set()
+    members: list[set[int]] = [set() for _ in fill]
+    for k, b in enumerate(bins.tolist()):
+        members[b].add(k)
+    stuck, hopeless = np.zeros(len(fill), bool), set()
     open_bins = int((fill > 0).sum())
+
+    def held(b: int) -> tuple[int, ...]:
+        return tuple(sorted(sizes[list(members[b])].tolist()))
+
     while steps > 0 and open_bins > least:
-        under = [b for b in np.flatnonzero((fill > 0) & (fill < capacity)).tolist() if b not in stuck]
-        if not under:
+        under = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if not len(under):
             break
-        low = min(under, key=lambda b: fill[b])
+        low = int(under[np.argmin(fill[under])])
+        if held(low) in hopeless:
+            stuck[low] = True
+            continue
         changed = True
         while changed and fill[low] and steps > 0:
             changed, steps = False, steps - 1
-            own = np.flatnonzero(bins == low)
+            own = np.array(sorted(members[low]), np.int64)
             own = own[np.argsort(-sizes[own], kind="stable")]
             free = capacity - fill
             free[low] = -1
@@ -194,6 +205,8 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, steps: int
                     fill[low] -= sizes[a]
                     fill[to] += sizes[a]
                     bins[a], changed = to, True
+                    members[low].remove(a)
+                    members[to].add(a)
                     break
             if changed:
                 continue
@@ -212,11 +225,15 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, steps: int
                 fill[to] += best
                 fill[low] -= best
                 bins[give], bins[take], changed = to, low, True
+                members[low] = (members[low] - set(give)) | {take}
+                members[to] = (members[to] | set(give)) - {take}
         if fill[low]:
-            stuck.add(low)
+            stuck[low] = True
+            hopeless.add(held(low))
         else:
             open_bins -= 1
-            stuck.clear()
+            stuck[:] = False
+            hopeless.clear()
     return bins
 
 
@@ -234,8 +251,8 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, group: int = GROUP) -> DataFrame:
     """Pieces of all documents (see ``pieces``) with ``(sequence_id, offset)``.
 
-    Null texts are empty documents; repeated rows are packed as often as they occur; null ids stay
-    null; an empty table gives no rows.  Other columns are not read.
+    Null texts are empty documents; repeated rows are packed as often as they occur, and are dealt over the groups like
+    any others; null ids stay null; an empty table gives no rows.  Other columns are not read.
     """
     made = pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids)
     names = made.columns
@@ -244,7 +261,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     full = cut.where(F.col("length") == capacity).select(*names, (F.lit(FULL) + F.col("piece_no")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = cut.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group))
-    dealt = short.select("piece_no", "length", "ids_crc32", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)).alias("group_no"))
+    dealt = short.select("piece_no", "length", "ids_crc32", F.pmod(F.xxhash64("piece_no"), F.lit(groups)).alias("group_no"))
 
     def one(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "ascending"), ("ids_crc32", "ascending"), ("piece_no", "ascending")])
