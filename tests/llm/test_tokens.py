@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -113,3 +114,31 @@ def test_local_search_only_improves(low, high):
     assert len(set(better.tolist())) <= len(set(first.tolist()))
     if low == 500:
         assert len(set(better.tolist())) < len(set(first.tolist()))
+
+
+def test_long_words_equal_the_library():
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    long = ["a" * 3000, "ab" * 700, "the" * 2000, "é" * 999, "日本" * 400, "=" * 3000, "aaab" * 300 + "b" * 301, "x " + "".join(rng.choices("etaoin", k=20_000)) + " yes"]
+    long += ["".join(rng.choices(letters, k=k)) for k in (255, 256, 257, 258, 5000)]
+    want = [len(e.ids) for e in tokenizers.Tokenizer.from_file(PATH).encode_batch(long, add_special_tokens=False)]
+    counter = token_counts.Counter(PATH)
+    assert counter(long) == want
+    assert max(map(len, [*counter.known, *counter.heads])) <= token_counts.LONG + 1
+
+
+def test_a_word_of_two_million_letters():
+    word = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz", k=2_000_000))
+    start = time.time()
+    n = token_counts.Counter(PATH)([word])[0]
+    assert time.time() - start < 30 and 1_000_000 < n < 1_400_000
+    assert token_counts.Counter(PATH)(["a" * 2_000_000]) == [500_000]
+
+
+def test_equal_pieces_are_packed_in_time(spark):
+    start = time.time()
+    bins = packing.local_search(np.full(8192, 700), packing.best_fit(np.full(8192, 700), 2048), 2048)
+    assert len(set(bins.tolist())) == 4096 and time.time() - start < 5
+    rows = spark.range(200_000).selectExpr("7L as doc_id", "'same text' as text")
+    got = packing.pack(rows, PATH).groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").toPandas()
+    assert got.n.max() <= 2048 and got.n.sum() == 600_000 and len(got) <= -(-600_000 // 2048) + 25
