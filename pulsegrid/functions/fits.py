@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 EPSILON, ALPHA = 1.35, 1e-4  # fixed values of the robust loss
@@ -47,15 +49,103 @@ def robust_step(sums: np.ndarray, sigma: float) -> tuple[float, float, float]:
     return slope, cept, sigma
 
 
-def margin_step(sums: np.ndarray) -> tuple[float, float]:
-    """Minimiser of the quadratic that touches the margin loss from above."""
-    s, sz, szz, st, szt = sums
-    det = (1.0 + szz) * s - sz * sz
-    return (szt * s - sz * st) / det, ((1.0 + szz) * st - sz * szt) / det
+@dataclass(frozen=True)
+class Decided:
+    """Edge points above and below every line that may be the best, and the difference of their feature sums."""
+
+    above: int = 0
+    below: int = 0
+    pull: float = 0.0
+
+
+def ranked(value: np.ndarray, count: np.ndarray, rank: float) -> float:
+    """The value of a rank, from 1, among values that occur ``count`` times."""
+    order = np.argsort(value, kind="stable")
+    total = np.cumsum(count[order])
+    return float(value[order[min(int(np.searchsorted(total, rank - 0.25)), len(order) - 1)]])
+
+
+def middles(low: np.ndarray, high: np.ndarray, count: np.ndarray, rest: Decided) -> tuple[float, float]:
+    """The lower median of ``low`` and the upper one of ``high``, with the decided points outside."""
+    half = (count.sum() + rest.above + rest.below) / 2
+    return ranked(low, count, half - rest.below), ranked(high, count, half - rest.below + 1)
+
+
+def margin_line(z, r, count, rest: Decided, mid: float, span: tuple[float, float]) -> tuple[float, float]:
+    """``(slope, intercept)`` of the linear support vector fit on edge points with residuals ``r`` about slope ``mid``.
+
+    The objective is convex in the slope; its derivative is followed by bisection within ``span``.  Points on the
+    line balance the signs of the others.
+    """
+
+    def look(slope):
+        e = r - (slope - mid) * z
+        c = sum(middles(e, e, count, rest)) / 2
+        d = e - c
+        tied = np.abs(d) <= 1e-12 * (1 + abs(c))
+        sign = np.where(tied, 0.0, np.sign(d)) * count
+        on = count[tied].sum()
+        free = np.clip(-(sign.sum() + rest.above - rest.below) / on, -1, 1) if on else 0.0
+        pull = float(sign @ z) + rest.pull + free * float(count[tied] @ z[tied])
+        return c, slope - SVR_C / 2 * pull
+
+    low, high = span
+    for _ in range(200):
+        at = (low + high) / 2
+        if not low < at < high:
+            break
+        low, high = (low, at) if look(at)[1] > 0 else (at, high)
+    slope = (low + high) / 2
+    return slope, look(slope)[0]
+
+
+def margin_region(m, sz, sr, z0, z1, r0, r1, rest: Decided, mid: float, old: tuple[float, float, float, float]) -> tuple[float, float, float, float, int]:
+    """``(low, high, c_low, c_high, open)``: where the best slope and its intercepts lie for sure, and the points that this leaves open.
+
+    ``m, sz, sr`` are numbers and sums of the cells of open points, ``z0 .. r1`` their extents, ``r`` about slope ``mid``.
+    """
+    far = m * np.maximum(np.abs(z0), np.abs(z1))
+
+    def extent(slope):
+        a, b = (slope - mid) * z0, (slope - mid) * z1
+        return r0 - np.maximum(a, b), r1 - np.minimum(a, b)
+
+    def side(slope) -> int:
+        """1 if the best slope is surely not above, -1 if surely not below, 0 if not known."""
+        lo, hi = extent(slope)
+        c_lo, c_hi = middles(lo, hi, m, rest)
+        below, above = middles(hi, lo, m, rest)
+        if below < above:
+            # Half of the points end below where the others begin: any intercept between is a median, and none is in doubt.
+            c_lo = c_hi = (below + above) / 2
+        up, down = lo > c_hi, hi < c_lo
+        pull, slack = rest.pull + sz[up].sum() - sz[down].sum(), far[~(up | down)].sum() * (1 + 1e-9)
+        if slope - SVR_C / 2 * (pull + slack) > 0:
+            return 1
+        return -1 if slope - SVR_C / 2 * (pull - slack) < 0 else 0
+
+    guess, _ = margin_line(sz / m, sr / m, m, rest, mid, old[:2])
 
+    def bound(to: float, sign: int) -> float:
+        """The nearest slope to the guess, on the way to ``to``, that is proven to be a bound."""
+        step = 1e-9 * (1 + abs(guess))
+        last = guess
+        while abs(step) < abs(to - guess):
+            at = guess + sign * step
+            if side(at) == sign:
+                for _ in range(12):
+                    half = (last + at) / 2
+                    last, at = (last, half) if side(half) == sign else (half, at)
+                return at
+            last, step = at, step * 2
+        return to
 
-# Smoothing widths of the rounds for large groups.
-WIDTHS = tuple(max(10.0 ** (-k / 15), 1e-5) for k in range(100))
+    low, high = bound(old[0], -1), bound(old[1], 1)
+    (a0, a1), (b0, b1) = extent(low), extent(high)
+    c_lo, c_hi = middles(np.minimum(a0, b0), np.maximum(a1, b1), m, rest)
+    c_lo, c_hi = max(c_lo, old[2]), min(c_hi, old[3])
+    shut = (np.minimum(a0, b0) > c_hi) | (np.maximum(a1, b1) < c_lo)
+    return low, high, c_lo, c_hi, int(m[~shut].sum())
 
 
 def svr_predict(fit, x) -> np.ndarray:
@@ -77,20 +167,24 @@ def boost(x, y, w):
     """
     point, at = np.unique(x, return_inverse=True)
     weight = np.bincount(at, w)
-    target = np.bincount(at, w * y) / weight
+    return boosted(point, point, np.bincount(at, w * y) / weight, weight)
+
+
+def boosted(first, last, target, weight):
+    """``boost`` on points in order, which reach from ``first`` to ``last``."""
     total = np.cumsum(np.concatenate([[0.0], weight]))
     base = float(np.average(target, weights=weight))
-    fitted = np.full(len(point), base)
+    fitted = np.full(len(first), base)
     for _ in range(TREES):
         run = np.cumsum(np.concatenate([[0.0], weight * (target - fitted)]))
-        edges = [0, len(point)]
+        edges = [0, len(first)]
         for _ in range(DEPTH):
             edges = _cut_all(run, total, edges)
         e = np.array(edges)
         leaf = (run[e[1:]] - run[e[:-1]]) / (total[e[1:]] - total[e[:-1]])
         fitted += RATE * np.repeat(leaf, np.diff(e))
     change = np.flatnonzero(np.abs(np.diff(fitted)) > 1e-12)
-    return (point[change] + point[change + 1]) / 2, fitted[np.concatenate([change, [len(point) - 1]])]
+    return (last[change] + first[change + 1]) / 2, fitted[np.concatenate([change, [len(first) - 1]])]
 
 
 def _cut_all(run, total, edges) -> list[int]:
@@ -127,20 +221,82 @@ def kernel_basis(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return centres, vectors[:, keep] / np.sqrt(size[keep])
 
 
-def kernel_sums(z, t, c, centres, basis, weights, width) -> np.ndarray:
-    """Normal-equation sums of one majorising step of the margin loss: the matrix
-    of the features and the constant, bordered by the target column."""
-    phi = np.concatenate([np.exp(-((z[:, None] - centres[None, :]) ** 2)) @ basis, np.ones((len(z), 1))], axis=1)
-    fit = phi @ weights
-    total = np.zeros((phi.shape[1], phi.shape[1] + 1))
-    for edge in (SVR_EPS, -SVR_EPS):
-        e = t + edge
-        v = SVR_C / 2 * c / np.sqrt((e - fit) ** 2 + width * width)
-        total += (phi * v[:, None]).T @ np.concatenate([phi, e[:, None]], axis=1)
-    return total
+def kernel_features(z: np.ndarray, centres: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    return np.exp(-((z[:, None] - centres[None, :]) ** 2)) @ basis
+
+
+#: Gap of the two problems, relative to the objective, at which a fit is done, and beyond which it has not settled.
+GAP, SETTLED = 1e-9, 1e-3
+
+
+def margin_dual(phi: np.ndarray, t: np.ndarray, c: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, float, float]:
+    """``(weights, bias, gap)`` of the margin loss ``|w|^2 / 2 + C sum c max(0, |t - phi w - b| - eps)``.
 
+    An interior-point method on the dual: two variables a row (one for each edge) between 0 and ``C c``, whose
+    signed sum is zero.  The quadratic form has the rank of the features, so a step costs rows times features
+    squared.  The gap between the primal and the dual objective bounds the error; it is relative to the primal's size.
+    """
+    n, k = phi.shape
+    sign = np.repeat([1.0, -1.0], n)
+    price = SVR_EPS - sign * np.tile(t, 2)
+    top = np.tile(SVR_C * c, 2)
+    a = top / 2
+    rest = top - a
+    lower, upper, bias = np.ones(2 * n), np.ones(2 * n), 0.0
+    best = (np.zeros(k), 0.0, np.inf)
+
+    def both(v):
+        return v[:n] - v[n:]
+
+    for _ in range(rounds):
+        w = both(a) @ phi
+        fit = phi @ w
+        off = np.maximum(np.abs(t - fit - bias) - SVR_EPS, 0.0)
+        primal, dual = w @ w / 2 + SVR_C * float(c @ off), -(w @ w / 2 + price @ a) - bias * float(sign @ a)
+        gap = abs(primal - dual) / (1e-9 + abs(primal))
+        if gap < best[2]:
+            best = (w, bias, gap)
+        if gap < GAP:
+            break
+        stay = sign * np.tile(fit + bias, 2) + price - lower + upper
+        mu = float(a @ lower + rest @ upper) / (4 * n)
+        bend = lower / a + upper / rest
+        inner = phi.T @ (phi * (1 / bend[:n] + 1 / bend[n:])[:, None]) + np.eye(k)
+        root = np.linalg.cholesky(inner)
+
+        def solved(v, bend=bend, root=root):
+            u = v / bend
+            x = np.linalg.solve(root.T, np.linalg.solve(root, both(u) @ phi))
+            return u - sign * np.tile(phi @ x, 2) / bend
 
-def kernel_step(total: np.ndarray) -> np.ndarray:
-    ridge = np.eye(len(total))
-    ridge[-1, -1] = 0.0
-    return np.linalg.solve(total[:, :-1] + ridge, total[:, -1])
+        unit = solved(sign)
+
+        def move(to_low, to_high, solved=solved, unit=unit, stay=stay):
+            """The step at which the products of the bounds' distances and prices become as given."""
+            v = -stay + to_low / a - lower - (to_high / rest - upper)
+            free = solved(v)
+            step_bias = float(sign @ free + sign @ a) / float(sign @ unit)
+            step = free - step_bias * unit
+            return step, step_bias, to_low / a - lower - lower / a * step, to_high / rest - upper + upper / rest * step
+
+        def room(step, low, high):
+            short = [1.0]
+            for x, d in ((a, step), (rest, -step), (lower, low), (upper, high)):
+                down = d < 0
+                if down.any():
+                    short.append(float((x[down] / -d[down]).min()))
+            return min(short)
+
+        # First a step to the border, to see how far it goes; then one towards the centre, corrected by its products.
+        s0, _, l0, u0 = move(np.zeros(2 * n), np.zeros(2 * n))
+        far = room(s0, l0, u0)
+        after = float((a + far * s0) @ (lower + far * l0) + (rest - far * s0) @ (upper + far * u0)) / (4 * n)
+        aim = mu * (after / mu) ** 3
+        step, step_bias, low, high = move(aim - s0 * l0, aim + s0 * u0)
+        far = min(1.0, 0.995 * room(step, low, high))
+        if not np.isfinite(far) or far < 1e-12:
+            break
+        a, lower, upper, bias = a + far * step, lower + far * low, upper + far * high, bias + far * step_bias
+        rest = np.maximum(top - a, 1e-14 * top)
+        a = np.maximum(a, 1e-14 * top)
+    return best

@@ -18,7 +18,8 @@ from ..functions import fits
 from ..functions.scalars import clip, pair_label, safe_ratio
 from ..session import materialise
 from .features import per_pair
-from .points import fields, fit_steps, huber, margin_line, predict_parts, radial, solve_cells
+from .margin import fit_margin_lines
+from .points import fields, fit_steps, huber, predict_parts, radial, solve_cells
 from .quantiles import exact_quantiles
 from .segments import SEG, dense_index, join_stats, with_segment
 
@@ -131,8 +132,8 @@ def fit_huber(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fit_svr_line(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Linear support vector calibrations ``spo2 = a - b r`` of all groups at once: ``(keys, a, b, converged)``."""
-    return solve_cells(rows.select(*keys, "x", "y", F.lit(1.0).alias("w")), keys, "a double, b double, converged boolean", margin_line)
+    """Linear support vector calibrations ``spo2 = a - b r`` of all groups at once, exact: ``(keys, a, b, converged)``."""
+    return fit_margin_lines(rows.select(*keys, "x", "y").dropna(), keys)
 
 
 def fit_ransac(rows: DataFrame, keys: Sequence[str], order: str = "row", seed: int = 42, trials: int = 100) -> DataFrame:
@@ -247,10 +248,10 @@ def cv_lines(train: DataFrame, test: DataFrame, keys: Sequence[str], models: Seq
 
 
 def fit_shape(rows: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
-    """``(keys, params)`` of a model that is not a polynomial."""
+    """``(keys, params, converged)`` of a model that is not a polynomial."""
     if model == "gbr":
         return fit_steps(rows, keys)
-    return solve_cells(rows, keys, "params array<double>", radial)
+    return solve_cells(rows, keys, "params array<double>, converged boolean", radial)
 
 
 def cv_shapes(train: DataFrame, test: DataFrame, keys: Sequence[str], model: str) -> DataFrame:

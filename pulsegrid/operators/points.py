@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fits
 from ..session import materialise
-from .segments import SEGMENT_ROWS, join_stats
+from .segments import SEGMENT_ROWS, dense_index, join_stats
 
 #: Cells per unit: rows closer than about a hundredth of a deviation on both axes share one.
 GRAIN = 96
@@ -34,12 +34,20 @@ def cell_sums(rows: DataFrame, keys: Sequence[str], grain: int = GRAIN) -> DataF
     """``(keys, mx, sd, my, cell sums)`` of rows ``(keys, x, y, w)``; about the groups' means."""
     keys = list(keys)
     scale = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0)
-    stats = rows.groupBy(*keys).agg(F.avg("x").alias("mx"), scale("x").alias("sd"), F.avg("y").alias("my"), scale("y").alias("_sy"))
+
+    def middle(c):
+        """Scale of the grid: half the width of the middle two thirds, which an outlier does not stretch."""
+        cut = F.percentile_approx(c, [1 / 6, 5 / 6], 1000)
+        return F.when(cut[1] > cut[0], (cut[1] - cut[0]) / 2).otherwise(scale(c))
+
+    stats = rows.groupBy(*keys).agg(
+        F.avg("x").alias("mx"), scale("x").alias("sd"), F.avg("y").alias("my"), (scale("x") / middle("x")).alias("_fx"), middle("y").alias("_sy")
+    )
     z, t, w = (F.col("x") - F.col("mx")) / F.col("sd"), F.col("y") - F.col("my"), F.col("w")
     at = lambda v: F.floor(F.asinh(v) * grain)
     terms = {"w": w, "wz": w * z, "wt": w * t, "wzz": w * z * z, "wzt": w * z * t, "wtt": w * t * t, "c": F.lit(1.0), "cz": z, "ct": t}
     return join_stats(rows.select(*keys, "x", "y", "w"), stats, keys).groupBy(
-        *keys, "mx", "sd", "my", at(z).alias("_z"), at(t / F.col("_sy")).alias("_t")
+        *keys, "mx", "sd", "my", at(z * F.col("_fx")).alias("_z"), at(t / F.col("_sy")).alias("_t")
     ).agg(*[F.sum(v).alias(f"s_{n}") for n, v in terms.items()])
 
 
@@ -78,56 +86,46 @@ def huber(s: dict, mx: float, sd: float, my: float, rounds: int = 500) -> dict:
     return {"p0": my + cept - slope * mx / sd, "p1": slope / sd, "p2": 0.0, "converged": done}
 
 
-def margin_line(s: dict, mx: float, sd: float, my: float) -> dict:
-    """Linear support vector fit, unweighted: ``spo2 = a - b r``."""
-    z, t, c = s["cz"] / s["c"], s["ct"] / s["c"], s["c"]
-    slope = cept = 0.0
-    move = np.inf
-    for width in fits.WIDTHS:
-        total = np.zeros(5)
-        for edge in (fits.SVR_EPS, -fits.SVR_EPS):
-            e = t + edge
-            w = c * fits.SVR_C / 2 / np.sqrt((e - slope * z - cept) ** 2 + width * width)
-            total += [w.sum(), (w * z).sum(), (w * z * z).sum(), (w * e).sum(), (w * e * z).sum()]
-        new = fits.margin_step(total)
-        move, (slope, cept) = max(abs(new[0] - slope), abs(new[1] - cept)), new
-    return {"a": my + cept - slope * mx / sd, "b": -slope / sd, "converged": bool(move < 1e-3)}
-
-
 def radial(s: dict, mx: float, sd: float, my: float) -> dict:
-    """Radial support vector fit in the exact basis of its kernel: ``[mean, sd, bias, gamma, centres, coefficients]``."""
+    """Radial support vector fit in the exact basis of its kernel: ``[mean, sd, bias, gamma, centres, coefficients]``.
+
+    ``converged``: the gap between the two problems of the fit is under a thousandth of its objective.
+    """
     z, t, c = s["cz"] / s["c"], s["ct"] / s["c"], s["w"]
     centres, basis = fits.kernel_basis(np.unique(np.floor(z / fits.CELL)))
-    weights = np.zeros(basis.shape[1] + 1)
-    for width in fits.WIDTHS:
-        weights = fits.kernel_step(fits.kernel_sums(z, t, c, centres, basis, weights, width))
-    return {"params": [mx, sd, my + weights[-1], 1.0, *centres, *(basis @ weights[:-1])]}
+    weights, bias, gap = fits.margin_dual(fits.kernel_features(z, centres, basis), t, c)
+    return {"params": [mx, sd, my + bias, 1.0, *centres, *(basis @ weights)], "converged": bool(gap < fits.SETTLED)}
 
 
-#: Bins of the feature, between a fit's least and largest value, on which trees are grown.
+#: Points of a group on which trees are grown: its distinct feature values, or as many runs of them by rank.
 BINS = 1 << 18
 
 
 def fit_steps(rows: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFrame:
-    """``(keys, params)``: boosted trees as one step function, ``[breaks, values]``.
+    """``(keys, params, converged)``: boosted trees as one step function, ``[breaks, values]``.
 
-    On one feature a tree is a partition of the line, so only the bins' sums of
-    weight and target matter; they are the points on which all trees are grown.
+    On one feature a tree is a partition of the line, so only sums of weight and target of equal feature values
+    matter; of more than ``bins`` distinct values, neighbours by rank share a point.  An outlier so takes one point
+    and moves no other.
     """
     keys = list(keys)
-    span = rows.groupBy(*keys).agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
-    at = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("_a"), F.col("_b") - F.col("_a")) * bins), F.lit(0))
     w: Column = F.col("w")
-    sums = join_stats(rows.select(*keys, "x", "y", "w"), span, keys).groupBy(*keys, at.alias("_at")).agg(
-        F.sum(w).alias("sw"), F.sum(w * F.col("x")).alias("sx"), F.sum(w * F.col("y")).alias("sy")
-    )
+    points = rows.groupBy(*keys, "x").agg(F.sum(w).alias("sw"), F.sum(w * F.col("y")).alias("sy"))
+    points = materialise(points, "tree-points")
+    # Ranks by a sketch's bounds, which part the values of a group into buckets of about equal size.
+    shares = [k / 64 for k in range(1, 64)]
+    stats = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.percentile_approx("x", shares, 1000).alias("_cuts"))
+    tagged = join_stats(points, stats, keys).withColumn("_run", F.size(F.filter("_cuts", lambda b: b <= F.col("x")))).drop("_cuts")
+    ranked = dense_index(tagged, keys, "x", "_rank", bucket=F.col("_run"))
+    at = F.floor(F.col("_rank") * F.least(F.col("_d"), F.lit(bins)) / F.col("_d"))
+    sums = ranked.groupBy(*keys, at.alias("_at")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.sum("sw").alias("sw"), F.sum("sy").alias("sy"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_at")
-        breaks, values = fits.boost((g.sx / g.sw).to_numpy(), (g.sy / g.sw).to_numpy(), g.sw.to_numpy())
-        return pd.DataFrame({**{k: g[k].iloc[:1].to_numpy() for k in keys}, "params": [[*breaks, *values]]})
+        breaks, values = fits.boosted(g.x0.to_numpy(), g.x1.to_numpy(), (g.sy / g.sw).to_numpy(), g.sw.to_numpy())
+        return pd.DataFrame({**{k: g[k].iloc[:1].to_numpy() for k in keys}, "params": [[*breaks, *values]], "converged": [True]})
 
-    return sums.groupBy(*keys).applyInPandas(run, f"{fields(rows, keys)}, params array<double>")
+    return sums.groupBy(*keys).applyInPandas(run, f"{fields(rows, keys)}, params array<double>, converged boolean")
 
 
 def predict_parts(test: DataFrame, params: DataFrame, keys: Sequence[str], predict: Callable[[np.ndarray, np.ndarray], np.ndarray], part_rows: int = SEGMENT_ROWS) -> DataFrame:
