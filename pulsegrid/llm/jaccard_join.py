@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, remove
 from .common import LOWER, bounded_batches, mix, slices, table, tidy
 from .components import components
 
@@ -254,6 +254,12 @@ class Filter:
             part = np.frombuffer(bytes(r["bits"]), np.uint8)
             self.map[(r["b"] - 1) * len(part) : r["b"] * len(part)] = part
 
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        """Which of the 64-bit ids may have been asked for."""
+        raw = np.ascontiguousarray(ids, "<i8").view(np.uint8).reshape(-1, 8)
+        at = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in raw], U64).view(np.int64) % self.bits
+        return (self.map[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
     def scan(self, docs: DataFrame, schema: str, fn) -> DataFrame:
         """``fn(ids, texts)`` over the rows ``(id, text)`` that pass; ``fn`` makes a batch."""
         bitmap = self.map
@@ -286,6 +292,15 @@ def unsqueezed(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(U64)
 
 
+#: Steps of a size's code for each doubling; how far the codes of similar sizes may be apart (a half, and the rounding of both).
+CODE_STEPS, CODE_REACH = 8, 9
+
+
+def size_code(sizes: np.ndarray) -> np.ndarray:
+    """Sizes in one byte, for ruling out pairs; rounded, so that a comparison must allow for it."""
+    return np.minimum(np.round(CODE_STEPS * np.log2(np.maximum(sizes, 1))), 255).astype(np.uint8)
+
+
 class Packer:
     """Index entries of a step: sorted by key at the end, and cut into a row for each bucket."""
 
@@ -346,7 +361,7 @@ class Packer:
             k, at, o = k[order], at[order], o[order]
             packed = squeezed(np.diff(k, prepend=U64(0)), 5)
             here = low_bits(hot_keys[hot_bucket == b]).astype("<u8").tobytes()
-            out.append((b, packed, squeezed((2 * at + (o & 1)).astype(U64), 2), classes[used].astype("<i8").tobytes(), sizes[used].astype("<u4").tobytes(), here, b"", b"", b""))
+            out.append((b, packed, squeezed((2 * at + (o & 1)).astype(U64), 2), classes[used].astype("<i8").tobytes(), size_code(sizes[used]).tobytes(), here, b"", b"", b""))
         if stars:
             out.append((int(hot_keys[0] % U64(self.buckets)), *[b""] * 5, np.concatenate(stars).astype("<i8").tobytes(), b"", b""))
         for key, members in groups:
@@ -441,7 +456,7 @@ def packed_rows(rows: pa.RecordBatch) -> bytes:
 
 
 def unpack(rows: pa.Table, probes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(keys, classes, sizes, marks, hot keys)`` of the keys that more than one entry of a bucket has, or that are hot; by key, then class.
+    """``(keys, classes, size codes, marks, hot keys)`` of the keys that more than one entry of a bucket has, or that are hot; by key, then class.
 
     A class that several steps met counts once; with ``probes`` its marked entries count apart.
     """
@@ -452,7 +467,7 @@ def unpack(rows: pa.Table, probes: bool = False) -> tuple[np.ndarray, np.ndarray
         keys.append(np.cumsum(unsqueezed(k, 5), dtype=U64))
         owner = unsqueezed(o, 2).astype(np.int64)
         classes.append(np.frombuffer(c, "<i8")[owner >> 1])
-        sizes.append(np.frombuffer(n, "<u4").astype(np.int64)[owner >> 1])
+        sizes.append(np.frombuffer(n, np.uint8).astype(np.int64)[owner >> 1])
         marks.append(owner & 1)
         hot.append(np.frombuffer(h, "<u8"))
     keys, classes, sizes, marks = map(np.concatenate, (keys, classes, sizes, marks))
@@ -502,12 +517,12 @@ def meet(rows: pa.Table) -> pa.Table:
         is_hot = np.isin(keys[first], hot)
         own = np.add.reduceat(marks.astype(np.int64), first) > 0
         two = first[own & (width == 2) & ~is_hot]
-        two = two[100 * np.minimum(sizes[two], sizes[two + 1]) >= PERCENT_FLOOR * np.maximum(sizes[two], sizes[two + 1])]
+        two = two[np.abs(sizes[two] - sizes[two + 1]) <= CODE_REACH]
         pairs.append(np.c_[classes[two], classes[two + 1]])
         for a, w, h in zip(*(x[own & ((width > 2) | is_hot)].tolist() for x in (first, width, is_hot)), strict=True):
             c, n, m = classes[a : a + w], sizes[a : a + w], marks[a : a + w]
             lead = leader(c, m)
-            ok = (c != c[lead]) & (100 * np.minimum(n, n[lead]) >= PERCENT_FLOOR * np.maximum(n, n[lead]))
+            ok = (c != c[lead]) & (np.abs(n - n[lead]) <= CODE_REACH)
             pairs.append(np.c_[np.minimum(c[lead], c[ok]), np.maximum(c[lead], c[ok])])
             members = np.c_[c, m.astype(np.int64)]
             key = (bucket << 40) | int(keys[a])
@@ -545,12 +560,19 @@ def members(found: DataFrame) -> DataFrame:
 PAIRS = "a long, b long, margin long"
 
 
-def close_pairs(groups: DataFrame, percent: int) -> DataFrame:
+def close_pairs(groups: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """Pairs of different components that sizes and sketches allow, one of them in its own band, from groups ``(set, class, comp, own, n, sketch)``.
 
-    ``margin`` says by how many shingles the sketches differ less than they may.
+    ``margin`` says by how many shingles the sketches differ less than they may.  With ``best`` a group gives one pair, that of
+    the largest margin, for each two components.
     """
 
+    def best_of(p, ka, kb):
+        low, high = np.minimum(ka, kb), np.maximum(ka, kb)
+        order = np.lexsort((-p[:, 2], high, low))
+        low, high = low[order], high[order]
+        return p[order[np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])][: len(order)]]]
+
     def pairs_of(c, k, o, n, x):
         # Members of the largest component meet only the others.
         kinds, of, size = np.unique(k, return_inverse=True, return_counts=True)
@@ -566,7 +588,8 @@ def close_pairs(groups: DataFrame, percent: int) -> DataFrame:
             a, b = a[ok], b[ok]
             margin = allowed(n[a] + n[b], percent) - np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64)
             a, b, margin = a[margin >= 0], b[margin >= 0], margin[margin >= 0]
-            yield np.c_[np.minimum(c[a], c[b]), np.maximum(c[a], c[b]), margin]
+            p = np.c_[np.minimum(c[a], c[b]), np.maximum(c[a], c[b]), margin]
+            yield best_of(p, k[a], k[b]) if best else p
 
     def run(batches):
         rest = None
@@ -627,15 +650,17 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
     pairs = materialise(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = materialise(wanted.join(reps.select("class", F.col("rep").alias("id")), "class"), "wanted")
+    classes = Filter(wanted.select(F.col("class").alias("id")))
 
     def sets(ids, texts):
         flat, bounds = sets_of(texts, width)
-        raw = [flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        return table(id=ids, **{"class": classes_of(flat, bounds)}, shingles=pa.array(raw, pa.binary()))
+        own = classes_of(flat, bounds)
+        # An id that several texts share stands for the one of a wanted class; of a class any document will do.
+        keep = np.flatnonzero(classes.holds(own) & (np.diff(bounds) > 0))
+        raw = [flat[bounds[k] : bounds[k + 1]].tobytes() for k in keep.tolist()]
+        return table(**{"class": own[keep]}, shingles=pa.array(raw, pa.binary()))
 
-    # An id that several texts share stands for the one of the wanted class.
-    sets = Filter(wanted).scan(docs, "id long, class long, shingles binary", sets).join(wanted, ["id", "class"]).dropDuplicates(["class"])
-    sets = materialise(sets.select("class", "shingles"), "sets")
+    sets = materialise(Filter(wanted.select("id")).scan(docs, "class long, shingles binary", sets).dropDuplicates(["class"]), "sets")
     side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias("s" + x))
 
     def run(batches):
@@ -649,7 +674,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
+    links = materialise(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
+    for read in (sets, wanted, pairs):
+        remove(read)
+    return links
 
 
 # --- units spent twice: one-deletion neighbourhoods -----------------------------------------------
@@ -771,28 +799,29 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     roots = components(links)
 
     own = members(found).join(roots, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
-    own = materialise(own, "members")
+    every = own = materialise(own, "members")
     parts = own.groupBy("set", "comp").agg(F.count("*").alias("c")).groupBy("set").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inner"))
     mixed = parts.withColumn("load", (F.col("size") * F.col("size") - F.col("inner")) / 2).where("load > 0").select("set", "size", "load")
     own = materialise(join_by_set(own, mixed), "mixed")
-    few = own.where(F.col("load") <= light).join(reps.select("class", "n", "sketch"), "class")
-    near = close_pairs(few, percent)
-    extra, more = shared_lookups(docs, reps, own.where(F.col("load") > light), found, links, roots, width, percent, buckets)
+    cand = own.where(F.col("load") <= light).select("set", "class", "own")
+    extra = shared_lookups(docs, reps, own.where(F.col("load") > light), found, roots, width, percent, buckets)
     if extra is not None:
-        near = near.unionByName(extra)
-    if more is not None:
-        links = links.unionByName(more)
-        roots = components(links)
-    near = materialise(near.groupBy("a", "b").agg(F.first("margin").alias("margin")), "near")
-
-    # One pair for each two components first, the most likely; then those that are still apart.
-    apart = between(near, roots)
-    first = apart.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "margin").alias("p")).select("p.a", "p.b")
+        cand = cand.unionByName(extra)
+    cand = materialise(cand, "candidates")
+    remove(every)
+    remove(own)
+    sketched = lambda groups: groups.join(reps.select("class", "n", "sketch"), "class")
+
+    # One pair for each two components first, the most likely; then all that are still apart.
+    near = materialise(close_pairs(sketched(mixed_groups(cand, roots)), percent, best=True), "near")
+    first = between(near, roots).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "margin").alias("p")).select("p.a", "p.b")
     first = materialise(first, "first")
     links = links.unionByName(verified(first, reps, docs, width, percent))
     roots = components(links)
-    later = between(near, roots).select("a", "b").join(first, ["a", "b"], "left_anti")
+    later = close_pairs(sketched(mixed_groups(cand, roots)), percent).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(later, reps, docs, width, percent))
+    for read in (cand, near, first):
+        remove(read)
     roots = components(links)
     named_by = reps.select("class", "rep").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named_by.groupBy("root").agg(F.min("rep").alias("component"))
@@ -817,12 +846,11 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(ra != rb).select("a", "b", "margin", F.least(ra, rb).alias("ca"), F.greatest(ra, rb).alias("cb"))
 
 
-def shared_lookups(docs: DataFrame, reps: DataFrame, heavy: DataFrame, found: DataFrame, links: DataFrame, roots: DataFrame, width: int, percent: int, buckets: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """``(pairs, links)`` of the sets whose free segments (filled, and not shared by too many) are fewer than the units to spend.
+def shared_lookups(docs: DataFrame, reps: DataFrame, heavy: DataFrame, found: DataFrame, roots: DataFrame, width: int, percent: int, buckets: int) -> DataFrame | None:
+    """Groups ``(set, class, own)`` of the sets whose free segments (filled, and not shared by too many) are fewer than the units to spend.
 
     Where few are missing, free segments are spent twice; where many are, the set belongs to a dense family, and
-    its smallest shared subsets are looked up as they are.  Members of a group are linked to one of its lookups first; only
-    those that are still of different components become plausible pairs.  None if no set misses a unit.
+    its smallest shared subsets are looked up as they are.  None if no set misses a unit.
     """
     shared = heavy.where("own").groupBy("class").agg(F.sum("keys").alias("shared"))
     need = F.expr(f"(2 * n * {100 - percent}) div {100 + percent} + 1")
@@ -832,35 +860,30 @@ def shared_lookups(docs: DataFrame, reps: DataFrame, heavy: DataFrame, found: Da
     short = short.withColumn("twice", F.when(sparse, F.col("missing")).otherwise(F.col("lacking"))).withColumn("once", F.col("missing") - F.col("twice"))
     short = materialise(short.select("class", "rep", "twice", "once"), "short")
     if not short.head(1):
-        return None, None
+        return None
     order = Window.partitionBy("class").orderBy("size", "set")
     mine = heavy.where("own").join(short.where("once > 0").select("class", "once"), "class")
     # A group of several keys is worth as many units.
     mine = mine.withColumn("before", F.sum("keys").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("keys")).where("before < once")
     mine = materialise(mine.select("set", "class", "comp"), "lookups")
-    near = close_pairs(in_blocks(mine, heavy).join(reps.select("class", "n", "sketch"), "class"), percent)
+    met = in_blocks(mine, heavy)
     twice = short.where("twice > 0").select("class", "rep", F.col("twice").alias("missing"))
-    if not twice.head(1):
-        return near, None
-    groups = materialise(spent_twice(docs, reps, twice, found, heavy, width, percent, buckets).select("set", "class", "own"), "probed")
-    apart = mixed_groups(groups, roots)
-    lead = apart.groupBy("set").agg(F.min(F.when(F.col("own"), F.col("class"))).alias("lead"))
-    stars = apart.join(lead, "set").where("class <> lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b"))
-    more = verified(plausible(stars, reps, percent), reps, docs, width, percent)
-    apart = mixed_groups(groups, components(links.unionByName(more)))
-    met = in_blocks(apart.where("own"), apart)
-    return near.unionByName(close_pairs(met.join(reps.select("class", "n", "sketch"), "class"), percent)), more
+    if twice.head(1):
+        groups = materialise(spent_twice(docs, reps, twice, found, heavy, width, percent, buckets).select("set", "class", "own"), "probed")
+        apart = mixed_groups(groups, roots)
+        met = met.unionByName(in_blocks(apart.where("own"), apart))
+    return met
 
 
 def in_blocks(mine: DataFrame, every: DataFrame) -> DataFrame:
-    """Groups ``(set, class, comp, own)`` in which each of ``mine`` (own) meets ``every`` member of its set, a block of both at a time."""
+    """Groups ``(set, class, own)`` in which each of ``mine`` (own) meets ``every`` member of its set, a block of both at a time."""
     size = lambda rows, name: rows.groupBy("set").agg(F.ceil(F.count("*") / BLOCK).alias(name))
     blocks = materialise(size(mine, "i").join(size(every, "j"), "set"), "lookup-blocks")
 
     def dealt(rows: DataFrame, own: str, other: str, probe: bool) -> DataFrame:
         at = rows.join(blocks, "set").withColumn("at", F.pmod(F.xxhash64("class"), F.col(own))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
         first, second = ("at", "to") if probe else ("to", "at")
-        return at.select(F.xxhash64("set", first, second).alias("set"), "class", "comp", F.lit(probe).alias("own"))
+        return at.select(F.xxhash64("set", first, second).alias("set"), "class", F.lit(probe).alias("own"))
 
     return dealt(mine, "i", "j", True).unionByName(dealt(every, "j", "i", False))
 
