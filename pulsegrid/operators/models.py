@@ -6,7 +6,7 @@ numbers the windows of a session in time order, ``n`` is their count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,36 @@ ROBUST = ("huber", "ransac")
 KERNEL = ("svr_rbf", "gbr")
 
 
+@dataclass(frozen=True)
+class Kind:
+    """A calibration model: how it is fitted, and what its parameters give for a feature.
+
+    ``fit(rows, keys)`` takes rows ``(keys, x, y, w)``, with ``row`` in a group's order, and gives a row
+    ``(keys, params array<double>, converged boolean)`` for each group of any size.  ``predict(params, x)`` works on arrays;
+    without it the parameters are a polynomial's, which needs no Python.
+    """
+
+    name: str
+    fit: Callable[[DataFrame, Sequence[str]], DataFrame]
+    predict: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+
+KINDS: dict[str, Kind] = {}
+
+
+def register(kind: Kind) -> Kind:
+    """Make a model known to validation, selection, training and prediction under its name."""
+    KINDS[kind.name] = kind
+    return kind
+
+
+def known(names: Sequence[str]) -> list[Kind]:
+    unknown = sorted(set(names) - set(KINDS))
+    if unknown:
+        raise ValueError(f"unknown models: {unknown}")
+    return [KINDS[n] for n in names]
+
+
 def channel_quality(channels: Column, name: Column) -> Column:
     return F.get(F.filter(channels, lambda c: c["channel"] == name), F.lit(0))["sqi"]
 
@@ -234,19 +264,6 @@ def fold_rows(rows: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:
     return train, blocked.where("block > 0").withColumnRenamed("block", "fold")
 
 
-def cv_lines(train: DataFrame, test: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
-    """Out-of-fold predictions of the robust lines."""
-    by = [*keys, "combo", "fold"]
-    params = None
-    for m in models:
-        one = {"huber": fit_huber, "ransac": fit_ransac}[m](train, by).select(*by, "model", "p0", "p1", "p2")
-        params = one if params is None else params.unionByName(one)
-    every = test.withColumn("model", F.explode(F.array(*map(F.lit, models))))
-    return every.join(params, [*by, "model"], "left").select(
-        *keys, "combo", "model", "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), poly_value(F.col("x")).alias("y_pred")
-    )
-
-
 def fit_shape(rows: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     """``(keys, params, converged)`` of a model that is not a polynomial."""
     if model == "gbr":
@@ -254,12 +271,46 @@ def fit_shape(rows: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     return solve_cells(rows, keys, "params array<double>, converged boolean", radial)
 
 
-def cv_shapes(train: DataFrame, test: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
-    """Out-of-fold predictions of radial fits or boosted trees."""
+def poly_params(fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    settled = F.col("converged") if "converged" in fitted.columns else F.lit(True)
+    return fitted.select(*keys, F.array("p0", "p1", "p2").alias("params"), settled.alias("converged"))
+
+
+def radial_value(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    half = (len(p) - 4) // 2
+    return fits.svr_predict((p[0], p[1], p[2], p[4 : 4 + half], p[4 + half :], p[3]), x)
+
+
+def step_value(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    half = len(p) // 2
+    return fits.step_predict((p[:half], p[half:]), x)
+
+
+for _name in CLOSED:
+    register(Kind(_name, lambda rows, keys, m=_name: poly_params(fit_closed(rows, keys, [m]), keys)))
+register(Kind("huber", lambda rows, keys: poly_params(fit_huber(rows, keys), keys)))
+register(Kind("ransac", lambda rows, keys: poly_params(fit_ransac(rows, keys), keys)))
+register(Kind("svr_rbf", lambda rows, keys: fit_shape(rows, keys, "svr_rbf"), radial_value))
+register(Kind("gbr", lambda rows, keys: fit_shape(rows, keys, "gbr"), step_value))
+
+
+def poly_of(params: Column, x: Column) -> Column:
+    return F.get(params, F.lit(0)) + F.get(params, F.lit(1)) * x + F.get(params, F.lit(2)) * x * x
+
+
+def predicted(rows: DataFrame, params: DataFrame, keys: Sequence[str], kind: Kind) -> DataFrame:
+    """``rows`` with ``f``, the value of their group's parameters ``(keys, params)`` at ``x``; null without parameters."""
+    if kind.predict:
+        return predict_parts(rows, params.select(*keys, "params"), keys, kind.predict)
+    return join_stats(rows, params.select(*keys, "params"), keys, "left").withColumn("f", poly_of(F.col("params"), F.col("x"))).drop("params")
+
+
+def cv_kind(train: DataFrame, test: DataFrame, keys: Sequence[str], kind: Kind) -> DataFrame:
+    """Out-of-fold predictions of one model."""
     by = [*keys, "combo", "fold"]
-    params = fit_shape(train.select(*by, "x", "y", "w"), by, model)
-    pred = predict_parts(test.select(*by, "x", "row", "time_center", "motion", "y"), params, by, lambda p, x: _unpack_predict(model, p, x))
-    return pred.select(*keys, "combo", F.lit(model).alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred"))
+    params = kind.fit(train.select(*by, "row", "x", "y", "w"), by)
+    pred = predicted(test.select(*by, "x", "row", "time_center", "motion", "y"), params, by, kind)
+    return pred.select(*keys, "combo", F.lit(kind.name).alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred"))
 
 
 def cross_validate(rows: DataFrame, keys: Sequence[str], folds: int = 5, models: Sequence[str] = (*CLOSED, *ROBUST, *KERNEL)) -> DataFrame:
@@ -269,18 +320,14 @@ def cross_validate(rows: DataFrame, keys: Sequence[str], folds: int = 5, models:
     groups of every size.  Sessions with fewer windows than ``folds + 1`` have no
     test rows; ``plans.calibration.outcomes`` names them.
     """
-    unknown = set(models) - {*CLOSED, *ROBUST, *KERNEL}
-    if unknown:
-        raise ValueError(f"unknown models: {sorted(unknown)}")
+    kinds = known(models)
     rows = rows.where(F.col("n") > folds)
     parts = []
     if closed := [m for m in models if m in CLOSED]:
         parts.append(cv_closed(rows, keys, folds, closed))
-    if any(m not in CLOSED for m in models):
+    if others := [k for k in kinds if k.name not in CLOSED]:
         train, test = fold_rows(rows, folds)
-        if robust := [m for m in models if m in ROBUST]:
-            parts.append(cv_lines(train, test, keys, robust))
-        parts += [cv_shapes(train, test, keys, m) for m in models if m in KERNEL]
+        parts += [cv_kind(train, test, keys, k) for k in others]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -324,9 +371,10 @@ def cv_summary(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     return metrics.groupBy(*keys, "combo", "model").agg(*aggs)
 
 
-def best_models(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key the pair and model with the lowest mean RMSE (name order on ties)."""
-    rank = F.struct("RMSE_mean", "combo", "model")
+def best_models(summary: DataFrame, keys: Sequence[str], digits: int | None = None) -> DataFrame:
+    """Per key the pair and model with the lowest mean RMSE (name order on ties, which ``digits`` decimals decide if given)."""
+    order = F.col("RMSE_mean") if digits is None else F.round("RMSE_mean", digits)
+    rank = F.struct(order.alias("_r"), "combo", "model", "RMSE_mean")
     best = summary.where(F.col("RMSE_mean").isNotNull()).groupBy(*keys).agg(F.min(rank).alias("_b"))
     return best.select(*keys, "_b.combo", "_b.model", F.col("_b.RMSE_mean").alias("cv_rmse"))
 
@@ -344,14 +392,15 @@ class TrainedModel:
     cv_rmse: float
 
     def predict(self, x: Column) -> Column:
-        if self.model not in KERNEL:
+        (kind,) = known([self.model])
+        if not kind.predict:
             a, b, c = self.params
             return F.lit(a) + F.lit(b) * x + F.lit(c) * x * x
-        kind, p = self.model, np.array(self.params)
+        value, p = kind.predict, np.array(self.params)
 
         @F.pandas_udf("double")
         def run(s: pd.Series) -> pd.Series:
-            return pd.Series(_unpack_predict(kind, p, s.to_numpy(float)), index=s.index)
+            return pd.Series(value(p, s.to_numpy(float)), index=s.index)
 
         return F.when(x.isNotNull(), run(x))
 
@@ -370,11 +419,7 @@ MODEL_SCHEMA = "combo string, model string, params array<double>, train_rmse dou
 
 
 def _unpack_predict(kind: str, p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if kind == "svr_rbf":
-        half = (len(p) - 4) // 2
-        return fits.svr_predict((p[0], p[1], p[2], p[4 : 4 + half], p[4 + half :], p[3]), x)
-    half = len(p) // 2
-    return fits.step_predict((p[:half], p[half:]), x)
+    return KINDS[kind].predict(p, x)
 
 
 def train(rows: DataFrame, combo: str, model: str, cv_rmse: float, weighted: bool = False) -> TrainedModel:
@@ -388,18 +433,11 @@ def train(rows: DataFrame, combo: str, model: str, cv_rmse: float, weighted: boo
     count = mine.count()
     if count < 5:
         raise RuntimeError(f"only {count} valid windows for '{combo}'")
-    grouped = mine.withColumn("_g", F.lit("all"))
-    if model in KERNEL:
-        params = tuple(fit_shape(grouped, ["_g"], model).first().params)
-    else:
-        if model == "ransac":
-            # numbers for drawing pairs: any order does, a hash spreads the numbering
-            hashed = grouped.drop("row").withColumn("_h", F.xxhash64("time_center", "x", "y"))
-            numbered = dense_index(hashed, ["_g"], "_h", "row", bucket=F.shiftright("_h", 48))
-            r = fit_ransac(numbered, ["_g"]).first()
-        else:
-            r = (fit_huber(grouped, ["_g"]) if model == "huber" else fit_closed(grouped, ["_g"], [model])).first()
-        params = (r.p0, r.p1, r.p2)
+    (kind,) = known([model])
+    # Numbers for an order of all rows: any order does, a hash spreads the numbering.
+    hashed = mine.drop("row").withColumn("_g", F.lit("all")).withColumn("_h", F.xxhash64("time_center", "x", "y"))
+    grouped = dense_index(hashed, ["_g"], "_h", "row", bucket=F.shiftright("_h", 48)) if model == "ransac" else hashed.withColumn("row", F.col("_h"))
+    params = tuple(kind.fit(grouped.select("_g", "row", "x", "y", "w"), ["_g"]).first().params)
     trained = TrainedModel(combo, model, params, 0.0, float(cv_rmse))
     err = F.col("y") - trained.predict(F.col("x"))
     rmse = mine.agg(F.sqrt(F.avg(err * err))).first()[0]
@@ -415,3 +453,60 @@ def apply_model(trained: TrainedModel, rows: DataFrame, keys: Sequence[str]) ->
         .select(*keys, "time_center", F.col("y").alias("spo2_reference"), pred.alias("spo2_estimated"))
         .withColumn("residual", F.col("spo2_estimated") - F.col("spo2_reference"))
     )
+
+
+# ---- selection for many groups ---------------------------------------------------------
+
+def kinds_in(table: DataFrame) -> list[Kind]:
+    """The models that a table names: as many rows as there are kinds at most."""
+    return known([r["model"] for r in table.select("model").where("model is not null").distinct().orderBy("model").collect()])
+
+
+def fit_selected(rows: DataFrame, best: DataFrame, keys: Sequence[str], weighted: bool = False) -> DataFrame:
+    """A model table ``(keys, combo, model, params, converged, train_rmse, cv_rmse)``: each group's best pair and model, fitted on all its rows.
+
+    ``rows`` are samples, ``best`` is ``best_models``' choice; all groups of a kind are fitted in one job.  Groups
+    without a choice, or without rows of its pair, have no row.  Weights count only if ``weighted``.
+    """
+    keys = list(keys)
+    best = materialise(best.select(*keys, "combo", "model", "cv_rmse"), "best")
+    chosen = best.select(*keys, F.col("combo").alias("_combo"), "model")
+    mine = join_stats(rows, chosen, keys).where("combo = _combo and x is not null and y is not null")
+    mine = materialise(mine.select(*keys, "combo", "model", "row", "x", "y", (F.col("w") if weighted else F.lit(1.0)).alias("w")), "chosen-rows")
+    table = None
+    for kind in kinds_in(best):
+        one = kind.fit(mine.where(F.col("model") == kind.name).select(*keys, "row", "x", "y", "w"), keys).select(*keys, F.lit(kind.name).alias("model"), "params", "converged")
+        table = one if table is None else table.unionByName(one)
+    if table is None:
+        table = best.limit(0).select(*keys, "model", F.array().cast("array<double>").alias("params"), F.lit(True).alias("converged"))
+    table = materialise(table.join(best, [*keys, "model"]), "models")
+    error = F.col("f") - F.col("y")
+    fit = apply_table(table, mine, keys).groupBy(*keys).agg(F.sqrt(F.avg(error * error)).alias("train_rmse"))
+    return table.join(fit, keys, "left").select(*keys, "combo", "model", "params", "converged", "train_rmse", "cv_rmse")
+
+
+def apply_table(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` of a pair that their group's model reads, with ``f``: its value at ``x``.
+
+    ``keys`` name the model in both; a group of rows may use the model of another subject by carrying its name.
+    """
+    keys = list(keys)
+    names = [c for c in rows.columns if c != "model"]
+    read = table.select(*keys, F.col("combo").alias("_combo"), "model")
+    mine = join_stats(rows.select(*names), read, keys).where("combo = _combo").drop("_combo")
+    out = None
+    for kind in kinds_in(table):
+        own = table.where(F.col("model") == kind.name)
+        one = predicted(mine.where(F.col("model") == kind.name), own, keys, kind).select(*names, "model", "f")
+        out = one if out is None else out.unionByName(one)
+    return rows.limit(0).select(*names, F.lit("").alias("model"), F.lit(0.0).alias("f")) if out is None else out
+
+
+def transfer(table: DataFrame, rows: DataFrame, keys: Sequence[str], subject: Sequence[str]) -> DataFrame:
+    """Predictions of a model table for other recordings: reference, estimate, residual, and the model's validation error.
+
+    ``subject`` names the model in the table and, in ``rows``, whose model a recording reads.
+    """
+    read = rows.dropna(subset=["x", "y", "time_center"]).select(*dict.fromkeys([*keys, *subject]), "combo", "time_center", "x", "y")
+    pred = join_stats(apply_table(table, read, subject), table.select(*subject, "cv_rmse"), subject)
+    return pred.select(*keys, "time_center", F.col("y").alias("spo2_reference"), F.col("f").alias("spo2_estimated"), (F.col("f") - F.col("y")).alias("residual"), "cv_rmse")

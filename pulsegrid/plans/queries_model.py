@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from ..operators.filtering import Band, Canceller
 from ..operators.motion import Movement
 from ..operators.smoothing import Baseline
 from ..operators.windows import Span
-from ..functions import filters
+from ..functions import filters, fits
 from ..functions.scalars import pair_label
 from ..operators import features, filtering, models, motion, spectra, splits
 from ..operators.segments import dense_index, join_stats
 from ..session import materialise
+from ..config import PAIRS_MAIN
 from . import calibration, dataset, views
 from .registry import K, SIG, query, r6, recording, rounded, sq, sql_windows, table
 
@@ -59,6 +62,38 @@ def sql_zero_phase(col: str, flt, level: str) -> str:
 {sql_recursion('fw', '-p', flt, 'zp', level)}"""
 
 
+def sections(flt: filters.Filter) -> list[filters.Filter]:
+    """The filter as a cascade of first and second orders, each with conjugate poles and, where it passes a level, unit gain there."""
+    poles = sorted(flt.poles, key=lambda p: (abs(p), p.real, p.imag))
+    zeros = sorted(np.real(np.array(flt.zeros)).tolist())
+    real, upper = [p for p in poles if abs(p.imag) < 1e-14], [p for p in poles if p.imag >= 1e-14]
+    groups = [(p, p.conjugate()) for p in upper] + [tuple(real[k : k + 2]) for k in range(0, len(real), 2)]
+    out, gain = [], flt.gain
+    for k, g in enumerate(groups):
+        own = [zeros.pop(0) if j % 2 == 0 else zeros.pop() for j in range(len(g))]
+        level = abs(np.prod([1 - z for z in own]))
+        size = float(np.real(np.prod([1 - p for p in g]))) / level if level > 1e-9 else 1.0
+        size = gain if k == len(groups) - 1 else size
+        gain /= size
+        out.append(filters.Filter(tuple(own), tuple(g), size))
+    return out
+
+
+def sql_cascade(src: str, order_by: str, flt, name: str, level: str | None) -> str:
+    """``sql_recursion`` section by section: polynomials of high order would lose most digits."""
+    parts = sections(flt)
+    names = [f"{name}_s{k}" for k in range(len(parts) - 1)] + [name]
+    return ",\n".join(sql_recursion(a, order_by, f, b, level) for a, f, b in zip([src, *names], parts, names))
+
+
+def sql_zero_cascade(col: str, flt, level: str, tag: str) -> str:
+    """CTE ``zp<tag>(session_id, p, x)``: ``sql_zero_phase`` by sections."""
+    plain = sql_zero_phase(col, flt, level)
+    ext = plain[: plain.index(",\nfw_u AS")]
+    ext = re.sub(r"\bext\b", f"ext{tag}", ext)
+    return f"{ext},\n{sql_cascade(f'ext{tag}', 'p', flt, f'fw{tag}', level)},\n{sql_cascade(f'fw{tag}', '-p', flt, f'zp{tag}', level)}"
+
+
 BAND2 = filters.butterworth(2, 0.5, 5.0, 50.0)
 LOW2 = filters.butterworth(2, None, 1.0, 50.0)
 
@@ -75,7 +110,11 @@ def lowpass(spark, sf):
     return out.select("session_id", "sample_idx", r6("f", "ir")).where("ir is not null")
 
 
-@query("bandpass_order5")
+BAND5 = filters.butterworth(5, 0.5, 5.0, 50.0)
+
+
+@query("bandpass_order5", f"""WITH RECURSIVE {SIG}, {sql_zero_cascade('red', BAND5, '0e0', 'r')}, {sql_zero_cascade('ir', BAND5, '0e0', 'i')}
+SELECT session_id, i AS sample_idx, {sq('zpr.x', 'red')}, {sq('zpi.x', 'ir')} FROM sig LEFT JOIN zpr ON zpr.session_id = sig.session_id AND zpr.p = i LEFT JOIN zpi ON zpi.session_id = sig.session_id AND zpi.p = i""".replace("SELECT session_id, i AS sample_idx", "SELECT sig.session_id, i AS sample_idx"))
 def bandpass_order5(spark, sf):
     out = filtering.zero_phase(recording(spark, sf, "red", "ir"), K, {"red": "red", "ir": "ir"}, 50.0, 0.5, 5.0, 5)
     return rounded(out.drop("event_id"), "red", "ir")
@@ -91,13 +130,12 @@ for _name, _args in (("causal_lowpass", (None, 0.5)), ("causal_bandpass", (0.5,
     query(_name, f"WITH RECURSIVE {SIG}, src AS (SELECT session_id, i AS p, red AS x FROM sig), {sql_recursion('src', 'p', _flt, 'lf', None)} SELECT session_id, p AS sample_idx, {sq('x', 'red')} FROM lf")(_causal)
 
 
-@query("motion_energy", f"WITH RECURSIVE {SIG.replace('spo2', 'spo2', 1)}, sigm AS (SELECT session_id, i, sqrt(accx ** 2 + accy ** 2 + accz ** 2) AS m FROM sig), {sql_zero_phase('m', filters.butterworth(4, 0.5, 10.0, 50.0), '0e0').replace('sig ', 'sigm ')} SELECT session_id, p AS sample_idx, round((abs(x))::DOUBLE, 4) + 0 AS motion_energy FROM zp JOIN cnt USING (session_id) WHERE p >= 0 AND p < n")
+@query("motion_energy", f"WITH RECURSIVE {SIG}, sigm AS (SELECT session_id, i, sqrt(accx ** 2 + accy ** 2 + accz ** 2) AS m FROM sig), {sql_zero_cascade('m', filters.butterworth(4, 0.5, 10.0, 50.0), '0e0', 'm').replace('sig ', 'sigm ')} SELECT session_id, p AS sample_idx, {sq('abs(x)', 'motion_energy')} FROM zpm JOIN cnt USING (session_id) WHERE p >= 0 AND p < n")
 def motion_energy(spark, sf):
     sig = recording(spark, sf, "accx", "accy", "accz")
     mag = sig.withColumn("m", motion.magnitude(F.col("accx"), F.col("accy"), F.col("accz")))
-    # four decimals: the check's plain recursion carries rounding of about 1e-8
     out = motion.motion_energy(mag, K, "m", 50.0).where("motion_energy is not null")
-    return out.select("session_id", "sample_idx", (F.round("motion_energy", 4) + F.lit(0.0)).alias("motion_energy"))
+    return out.select("session_id", "sample_idx", r6("motion_energy", "motion_energy"))
 
 
 # ---- adaptive filters ---------------------------------------------------------------
@@ -282,21 +320,27 @@ def quality_vector(spark, sf):
     return q.select("vec_id", *[r6(F.col(f"q.{n}"), n) for n in spectra.QUALITY], spectra.passes(F.col("q"), spectra.LIMITS).alias("strict"), spectra.passes(F.col("q")).alias("accepted"))
 
 
-@query("ratio_windows")
-def ratio_windows(spark, sf):
-    sig = recording(spark, sf, "red", "ir")
-    return rounded(spectra.ratio_windows(sig, K, "red", "ir", 8, 4, 0.5, 3.0, 4), "r")
-
-
-_WIN_FLT = filters.butterworth(2, 0.5, 3.0, 8.0)
-_WIN = f"""{SIG.replace('sig AS (', 'sig0 AS (', 1).replace('cnt AS (SELECT session_id, count(*) AS n FROM sig ', 'cnt0 AS (SELECT session_id, count(*) AS n FROM sig0 ')},
+_WIN_FLT, _WIN_FLT4 = filters.butterworth(2, 0.5, 3.0, 8.0), filters.butterworth(4, 0.5, 3.0, 8.0)
+_WIN_ROWS = f"""{SIG.replace('sig AS (', 'sig0 AS (', 1).replace('cnt AS (SELECT session_id, count(*) AS n FROM sig ', 'cnt0 AS (SELECT session_id, count(*) AS n FROM sig0 ')},
 wk AS (SELECT session_id, unnest(range(0, n // 8 - 5)) AS k FROM cnt0 WHERE n // 8 > 5),
 sig AS (SELECT s.session_id * 1000 + k AS session_id, s.i - k * 8 AS i, red, ir FROM wk JOIN sig0 s ON s.session_id = wk.session_id AND s.i >= k * 8 AND s.i < k * 8 + 32),
-cnt AS (SELECT session_id, count(*) AS n FROM sig GROUP BY 1),
+cnt AS (SELECT session_id, count(*) AS n FROM sig GROUP BY 1)"""
+_WIN_STATS = """dcs AS (SELECT session_id, avg(red) AS dr, avg(ir) AS di FROM sig GROUP BY 1),
+acs AS (SELECT session_id, stddev_pop(zp.x) AS ar, stddev_pop(zq.x) AS ai FROM zp JOIN zq USING (session_id, p) WHERE p >= 0 AND p < 32 GROUP BY 1)"""
+_WIN = f"""{_WIN_ROWS},
 {sql_zero_phase('red', _WIN_FLT, '0e0')},
 {sql_zero_phase('ir', _WIN_FLT, '0e0').replace('ext', 'exu').replace('fw', 'fx').replace('zp', 'zq')},
-dcs AS (SELECT session_id, avg(red) AS dr, avg(ir) AS di FROM sig GROUP BY 1),
-acs AS (SELECT session_id, stddev_pop(zp.x) AS ar, stddev_pop(zq.x) AS ai FROM zp JOIN zq USING (session_id, p) WHERE p >= 0 AND p < 32 GROUP BY 1)"""
+{_WIN_STATS}"""
+_WIN4 = f"""{_WIN_ROWS},
+{sql_zero_cascade('red', _WIN_FLT4, '0e0', 'a')},
+{sql_zero_cascade('ir', _WIN_FLT4, '0e0', 'b')},
+{_WIN_STATS.replace('zp', 'zpa').replace('zq', 'zpb')}"""
+
+
+@query("ratio_windows", f"WITH RECURSIVE {_WIN4} SELECT session_id // 1000 AS session_id, session_id % 1000 AS sec_idx, {sq('(ar / dr) / (ai / di)', 'r')} FROM dcs JOIN acs USING (session_id)")
+def ratio_windows(spark, sf):
+    sig = recording(spark, sf, "red", "ir")
+    return rounded(spectra.ratio_windows(sig, K, "red", "ir", 8, 4, 0.5, 3.0, 4), "r")
 
 
 @query("ratio_windows_order2", f"WITH RECURSIVE {_WIN} SELECT session_id // 1000 AS session_id, session_id % 1000 AS sec_idx, {sq('(ar / dr) / (ai / di)', 'r')} FROM dcs JOIN acs USING (session_id)")
@@ -319,26 +363,32 @@ SMP = """smp AS (SELECT session_id, combo, i AS row, n, time AS time_center, CAS
   SELECT *, 'red_ir' AS combo, red / ir AS x FROM sig UNION ALL SELECT *, 'green_blue', green / blue FROM sig) JOIN cnt USING (session_id))"""
 
 
-def _samples(spark, sf, *combos):
+# All pairs; a ratio to nothing is no sample.
+SMP_ALL = """smp AS (SELECT session_id, combo, i AS row, n, time AS time_center, CAST(event_id % 5 = 0 AS INTEGER) AS motion, x, spo2 AS y, greatest(0.05, ((event_id * 11) % 100) / 100e0) AS w FROM (
+  """ + " UNION ALL ".join(f"SELECT *, '{a}_{b}' AS combo, {a} / {b} AS x FROM sig WHERE {b} <> 0" for a, b in PAIRS_MAIN) + ") JOIN cnt USING (session_id))"
+
+
+def _samples(spark, sf, *combos, pairs=(("red", "ir"), ("green", "blue"))):
     sig = recording(spark, sf, "red", "ir", "green", "blue", "spo2", "time")
     n = sig.groupBy(*K).agg(F.count("*").alias("n"))
-    pairs = [p for p in (("red", "ir"), ("green", "blue")) if not combos or "_".join(p) in combos]
-    long = F.array(*[F.struct(pair_label(F.lit(a), F.lit(b)).alias("combo"), (F.col(a) / F.col(b)).alias("x")) for a, b in pairs])
+    pairs = [p for p in pairs if not combos or "_".join(p) in combos]
+    long = F.filter(F.array(*[F.struct(pair_label(F.lit(a), F.lit(b)).alias("combo"), F.try_divide(F.col(a), F.col(b)).alias("x")) for a, b in pairs]), lambda p: p["x"].isNotNull())
     return join_stats(sig, n, K).select(
         *K, F.col("sample_idx").alias("row"), "n", F.col("time").alias("time_center"), (F.col("event_id") % 5 == 0).cast("int").alias("motion"),
         F.inline(long), F.col("spo2").alias("y"), F.greatest(F.lit(0.05), (F.col("event_id") * 11 % 100) / 100).alias("w"),
     )
 
 
-def sql_fits(src: str, by: str, w: str = "w") -> str:
-    """CTE ``fit(by, model, p0, p1, p2)`` of the closed-form models."""
-    return f"""mo AS (SELECT {by}, sum({w}) AS s0, sum({w} * x) / sum({w}) AS mx, sum({w} * y) / sum({w}) AS my, stddev_pop(x) AS sd FROM {src} GROUP BY {by}),
+def sql_fits(src: str, by: str, w: str = "w", tag: str = "") -> str:
+    """CTE ``fit(by, model, p0, p1, p2)`` of the closed-form models; ``tag`` ends the names."""
+    text = f"""mo AS (SELECT {by}, sum({w}) AS s0, sum({w} * x) / sum({w}) AS mx, sum({w} * y) / sum({w}) AS my, stddev_pop(x) AS sd FROM {src} GROUP BY {by}),
 cv AS (SELECT {by}, any_value(mx) AS mx, any_value(my) AS my, any_value(sd) AS sd, sum({w} * (x - mx) ** 2) / any_value(s0) AS vu, sum({w} * (x - mx) * (y - my)) / any_value(s0) AS cuv,
   sum({w} * (x - mx) ** 3) / any_value(s0) AS c12, sum({w} * (x - mx) ** 4) / any_value(s0) AS m4, sum({w} * (x - mx) ** 2 * (y - my)) / any_value(s0) AS c2v FROM {src} JOIN mo USING ({by}) GROUP BY {by}),
 qd AS (SELECT *, (cuv * (m4 - vu * vu) - c2v * c12) / (vu * (m4 - vu * vu) - c12 * c12) AS q1, (c2v * vu - cuv * c12) / (vu * (m4 - vu * vu) - c12 * c12) AS q2, cuv / vu AS b,
   sign(cuv) * greatest(abs(cuv / sd) - 0.5, 0) / (vu / sd ** 2 + 0.5) / sd AS eb FROM cv),
 fit AS (SELECT {by}, 'linear' AS model, my - b * mx AS p0, b AS p1, 0e0 AS p2 FROM qd UNION ALL SELECT {by}, 'elasticnet', my - eb * mx, eb, 0e0 FROM qd
   UNION ALL SELECT {by}, 'quadratic', my - q1 * mx + q2 * (mx * mx - vu), q1 - 2 * q2 * mx, q2 FROM qd)"""
+    return re.sub(r"\b(mo|cv|qd|fit)\b", rf"\1{tag}", text)
 
 
 for _name, _model, _w in (("ols_fit", "linear", False), ("weighted_ols", "linear", True), ("quadratic_fit", "quadratic", True), ("elasticnet_1d", "elasticnet", True)):
@@ -467,50 +517,61 @@ def motion_view(spark, sf):
 
 # ---- training and transfer --------------------------------------------------------------------
 
-TRANSFER = f"""trn AS (SELECT *, 1 AS g FROM smp WHERE combo = 'red_ir' AND session_id % 2 = 0), {sql_fits('trn', 'g', '1')},
-tp AS (SELECT session_id, row, time_center, y AS spo2_reference, p0 + p1 * x + p2 * x * x AS spo2_estimated FROM smp, fit WHERE combo = 'red_ir' AND session_id % 2 = 1 AND model = 'quadratic')"""
+# Each session's best pair and model of all, fitted again on its rows; every odd session reads the model of the one before.
+TRAINED = f"""{SMP_ALL}, {CV}, {METRICS}, {SUMMARY}, {BEST.replace("ORDER BY RMSE_mean,", "ORDER BY round(RMSE_mean, 9),")},
+trn AS (SELECT session_id, x, y FROM smp JOIN best USING (session_id, combo)), {sql_fits('trn', 'session_id', '1', '_t')},
+trained AS (SELECT b.session_id, combo, b.model, p0, p1, p2, cv_rmse FROM best b JOIN fit_t f ON f.session_id = b.session_id AND f.model = b.model)"""
+TRANSFER = f"""{TRAINED},
+tp AS (SELECT o.session_id, row, time_center, y AS spo2_reference, p0 + p1 * x + p2 * x * x AS spo2_estimated, cv_rmse FROM smp o JOIN trained t ON t.session_id = o.session_id - 1 AND t.combo = o.combo WHERE o.session_id % 2 = 1)"""
+
+
+def _trained(rows):
+    """The model table of all sessions in ``rows``."""
+    summary = models.cv_summary(models.fold_metrics(models.cross_validate(rows, K, 5, models.CLOSED), K, by_motion=False), K)
+    return models.fit_selected(rows, models.best_models(summary, K, digits=9), K)
 
 
 def _transfer(spark, sf):
-    rows = _samples(spark, sf, "red_ir")
-    trained = models.train(rows.where("session_id % 2 = 0"), "red_ir", "quadratic", 1.25)
-    return trained, models.apply_model(trained, rows.where("session_id % 2 = 1"), K)
+    rows = materialise(_samples(spark, sf, pairs=PAIRS_MAIN), "samples")
+    trained = _trained(rows.where("session_id % 2 = 0")).withColumnRenamed("session_id", "subject")
+    new = rows.where("session_id % 2 = 1").withColumn("subject", F.col("session_id") - 1)
+    return models.transfer(trained, new, K, ["subject"])
 
 
-@query("train_best", f"WITH {SIG}, {SMP}, {TRANSFER} SELECT 'red_ir' AS combo, 'quadratic' AS model, {sq('any_value(p0)', 'p0')}, {sq('any_value(p1)', 'p1')}, {sq('any_value(p2)', 'p2')}, {sq('sqrt(avg((y - p0 - p1 * x - p2 * x * x) ** 2))', 'train_rmse')} FROM trn, fit WHERE model = 'quadratic'")
+@query("train_best", f"WITH {SIG}, {TRAINED} SELECT session_id, combo, model, {sq('any_value(p0)', 'p0')}, {sq('any_value(p1)', 'p1')}, {sq('any_value(p2)', 'p2')}, {sq('sqrt(avg((y - p0 - p1 * x - p2 * x * x) ** 2))', 'train_rmse')}, {sq('any_value(cv_rmse)', 'cv_rmse')} FROM trn JOIN trained USING (session_id) GROUP BY 1, 2, 3")
 def train_best(spark, sf):
-    t = models.train(_samples(spark, sf, "red_ir").where("session_id % 2 = 0"), "red_ir", "quadratic", 1.25).to_table(spark)
-    return t.select("combo", "model", *[r6(F.col("params")[i], f"p{i}") for i in range(3)], r6("train_rmse", "train_rmse"))
+    t = _trained(materialise(_samples(spark, sf, pairs=PAIRS_MAIN), "samples"))
+    return t.select("session_id", "combo", "model", *[r6(F.col("params")[i], f"p{i}") for i in range(3)], r6("train_rmse", "train_rmse"), r6("cv_rmse", "cv_rmse"))
 
 
-@query("transfer_apply", f"WITH {SIG}, {SMP}, {TRANSFER} SELECT session_id, {sq('time_center', 'time_center')}, {sq('spo2_reference', 'spo2_reference')}, {sq('spo2_estimated', 'spo2_estimated')}, {sq('spo2_estimated - spo2_reference', 'residual')} FROM tp")
+@query("transfer_apply", f"WITH {SIG}, {TRANSFER} SELECT session_id, {sq('time_center', 'time_center')}, {sq('spo2_reference', 'spo2_reference')}, {sq('spo2_estimated', 'spo2_estimated')}, {sq('spo2_estimated - spo2_reference', 'residual')} FROM tp")
 def transfer_apply(spark, sf):
-    return rounded(_transfer(spark, sf)[1], "time_center", "spo2_reference", "spo2_estimated", "residual")
+    return rounded(_transfer(spark, sf).drop("cv_rmse"), "time_center", "spo2_reference", "spo2_estimated", "residual")
 
 
-@query("transfer_metrics", f"WITH {SIG}, {SMP}, {TRANSFER}, t2 AS (SELECT session_id, spo2_reference AS y_true, spo2_estimated AS y_pred FROM tp), m AS (SELECT session_id, {sql_metrics()} FROM t2 GROUP BY 1) SELECT session_id, {', '.join(sq(m, m) for m in models.METRICS)} FROM m")
+@query("transfer_metrics", f"WITH {SIG}, {TRANSFER}, t2 AS (SELECT session_id, spo2_reference AS y_true, spo2_estimated AS y_pred FROM tp), m AS (SELECT session_id, {sql_metrics()} FROM t2 GROUP BY 1) SELECT session_id, {', '.join(sq(m, m) for m in models.METRICS)} FROM m")
 def transfer_metrics(spark, sf):
-    return rounded(views.transfer_metrics(_transfer(spark, sf)[1], K), *models.METRICS)
+    return rounded(views.transfer_metrics(_transfer(spark, sf), K), *models.METRICS)
 
 
-@query("bland_altman", f"""WITH {SIG}, {SMP}, {TRANSFER}, d AS (SELECT *, spo2_estimated - spo2_reference AS d FROM tp)
+@query("bland_altman", f"""WITH {SIG}, {TRANSFER}, d AS (SELECT *, spo2_estimated - spo2_reference AS d FROM tp)
 SELECT session_id, {sq('time_center', 'time_center')}, {sq('(spo2_estimated + spo2_reference) / 2', 'mean')}, {sq('d', 'diff')}, {sq('avg(d) OVER v', 'bias')}, {sq('avg(d) OVER v + 1.96 * stddev_samp(d) OVER v', 'loa_high')}, {sq('avg(d) OVER v - 1.96 * stddev_samp(d) OVER v', 'loa_low')}
 FROM d WINDOW v AS (PARTITION BY session_id)""")
 def bland_altman(spark, sf):
-    return rounded(views.bland_altman(_transfer(spark, sf)[1], K), "time_center", "mean", "diff", "bias", "loa_high", "loa_low")
+    return rounded(views.bland_altman(_transfer(spark, sf), K), "time_center", "mean", "diff", "bias", "loa_high", "loa_low")
 
 
-@query("error_summary", f"""WITH {SIG}, {SMP}, {TRANSFER}, t2 AS (SELECT session_id, spo2_reference AS y_true, spo2_estimated AS y_pred FROM tp), m AS (SELECT session_id, {sql_metrics()} FROM t2 GROUP BY 1)
-SELECT session_id, ord, measure, {sq('value', 'value')}, 1.25::DOUBLE AS cv_rmse FROM (SELECT session_id, 0 AS ord, 'RMSE' AS measure, RMSE AS value FROM m UNION ALL SELECT session_id, 1, 'MAE', MAE FROM m UNION ALL SELECT session_id, 2, 'abs_Bias', abs(Bias) FROM m UNION ALL SELECT session_id, 3, 'SD_error', SD_error FROM m)""")
+@query("error_summary", f"""WITH {SIG}, {TRANSFER}, t2 AS (SELECT session_id, spo2_reference AS y_true, spo2_estimated AS y_pred FROM tp), m AS (SELECT session_id, {sql_metrics()} FROM t2 GROUP BY 1)
+SELECT session_id, ord, measure, {sq('value', 'value')}, {sq('cv_rmse', 'cv_rmse')} FROM (SELECT session_id, any_value(cv_rmse) AS cv_rmse FROM tp GROUP BY 1) JOIN (SELECT session_id, 0 AS ord, 'RMSE' AS measure, RMSE AS value FROM m UNION ALL SELECT session_id, 1, 'MAE', MAE FROM m UNION ALL SELECT session_id, 2, 'abs_Bias', abs(Bias) FROM m UNION ALL SELECT session_id, 3, 'SD_error', SD_error FROM m) USING (session_id)""")
 def error_summary(spark, sf):
-    trained, pred = _transfer(spark, sf)
-    return rounded(views.error_summary(pred, K, trained.cv_rmse), "value")
+    pred = _transfer(spark, sf)
+    return rounded(views.error_summary(pred, K, pred.groupBy(*K).agg(F.first("cv_rmse").alias("cv_rmse"))), "value", "cv_rmse")
 
 
-@query("error_hist", f"""WITH {SIG}, {SMP}, {TRANSFER}, e AS (SELECT session_id, spo2_estimated - spo2_reference AS e FROM tp), s AS (SELECT session_id, min(e) AS a, max(e) AS z, stddev_pop(e) AS spread FROM e GROUP BY 1)
+@query("error_hist", f"""WITH {SIG}, {TRANSFER}, e AS (SELECT session_id, spo2_estimated - spo2_reference AS e FROM tp), s AS (SELECT session_id, min(e) AS a, max(e) AS z, stddev_pop(e) AS spread FROM e GROUP BY 1)
 SELECT session_id, bin, {sq('any_value(a + bin * ((z - a) / 30))', 'low')}, count(*) AS count, {sq('any_value(spread)', 'spread')} FROM (SELECT *, CAST(least(floor((e - a) / ((z - a) / 30)), 29) AS INTEGER) AS bin FROM e JOIN s USING (session_id)) GROUP BY 1, 2""")
 def error_hist(spark, sf):
-    return rounded(views.error_histogram(_transfer(spark, sf)[1], K, F.col("residual")), "low", "spread")
+    return rounded(views.error_histogram(_transfer(spark, sf), K, F.col("residual")), "low", "spread")
 
 
 # ---- splits -----------------------------------------------------------------------------------
@@ -558,7 +619,24 @@ def ransac_fit(spark, sf):
     return rounded(models.fit_ransac(_samples(spark, sf), [*K, "combo"]), "p0", "p1", "p2")
 
 
-@query("svr_line_fit")
+def sql_margin_line(src: str, by: str) -> str:
+    """CTE ``line(by, a, b)`` of the linear support-vector fit of ``src(by, x, y)``: bisection of the derivative over the slope."""
+    c, eps = f"{fits.SVR_C}e0", f"{fits.SVR_EPS}e0"
+    return f"""std AS (SELECT {by}, avg(x) AS mx, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd, avg(y) AS my, count(*) AS n FROM {src} GROUP BY {by}),
+edge AS (SELECT {by}, (x - mx) / sd AS z, y - my + u.e AS e FROM {src} JOIN std USING ({by}), unnest([{eps}, -{eps}]) AS u(e)),
+half AS (
+  SELECT {by}, -{c} * n - 1 AS lo, {c} * n + 1 AS hi, 0 AS k FROM std
+  UNION ALL
+  SELECT {by}, CASE WHEN g > 0 THEN lo ELSE mid END, CASE WHEN g > 0 THEN mid ELSE hi END, k + 1 FROM (
+    SELECT {by}, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, any_value(k) AS k,
+      any_value(mid) - {c} / 2 * (sum(CASE WHEN on_it THEN 0 ELSE sign(d) * z END) + greatest(-1, least(1, coalesce(-sum(CASE WHEN on_it THEN 0 ELSE sign(d) END) / nullif(count(*) FILTER (WHERE on_it), 0), 0))) * coalesce(sum(z) FILTER (WHERE on_it), 0)) AS g
+    FROM (SELECT *, abs(d) <= 1e-12 * (1 + abs(m)) AS on_it FROM (SELECT *, r - m AS d FROM (SELECT *, median(r) OVER (PARTITION BY {by}) AS m FROM (
+      SELECT h.*, z, e - mid * z AS r FROM (SELECT *, (lo + hi) / 2 AS mid FROM half WHERE k < 62) h JOIN edge USING ({by})))))
+    GROUP BY {by})),
+line AS (SELECT {by}, any_value(my) + median(e - (lo + hi) / 2 * z) - any_value((lo + hi) / 2 * mx / sd) AS a, -any_value((lo + hi) / 2 / sd) AS b FROM half JOIN std USING ({by}) JOIN edge USING ({by}) WHERE k = 62 GROUP BY {by})"""
+
+
+@query("svr_line_fit", f"WITH RECURSIVE {SIG}, {SMP}, {sql_margin_line('smp', 'session_id, combo')} SELECT session_id, combo, {sq('a', 'a')}, {sq('b', 'b')}, true AS converged FROM line")
 def svr_line_fit(spark, sf):
     return rounded(models.fit_svr_line(_samples(spark, sf), [*K, "combo"]), "a", "b")
 

@@ -66,14 +66,15 @@ def transfer_metrics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pred.groupBy(*keys).agg(*metric_columns(F.col("spo2_reference"), F.col("spo2_estimated")))
 
 
-def error_summary(pred: DataFrame, keys: Sequence[str], cv_rmse: float) -> DataFrame:
-    """RMSE, MAE, absolute bias and deviation, one row each, beside the training RMSE."""
+def error_summary(pred: DataFrame, keys: Sequence[str], cv_rmse: float | DataFrame) -> DataFrame:
+    """RMSE, MAE, absolute bias and deviation, one row each, beside the training RMSE: one for all, or a table ``(keys, cv_rmse)``."""
     m = transfer_metrics(pred, keys)
     rows = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(n).alias("measure"), v.alias("value"))
         for i, (n, v) in enumerate([("RMSE", F.col("RMSE")), ("MAE", F.col("MAE")), ("abs_Bias", F.abs("Bias")), ("SD_error", F.col("SD_error"))])
     ])
-    return m.select(*keys, F.inline(rows)).withColumn("cv_rmse", F.lit(float(cv_rmse)))
+    out = m.select(*keys, F.inline(rows))
+    return out.join(cv_rmse, list(keys), "left") if isinstance(cv_rmse, DataFrame) else out.withColumn("cv_rmse", F.lit(float(cv_rmse)))
 
 
 def error_histogram(errors: DataFrame, keys: Sequence[str], error: Column, bins: int = 30) -> DataFrame:
