@@ -68,53 +68,75 @@ def magnitude_share(x, fs):
         return mag[:, inside].sum(axis=1) / mag.sum(axis=1)
 
 
+def pulse_peaks(x: np.ndarray, min_gap: float) -> np.ndarray:
+    """Mask of the peaks of all windows at once: local maxima (plateau middles); where two are closer than
+    ``min_gap`` samples the higher survives, the later one on equal height.
+
+    In each round every window accepts its highest open peak and closes what is near it, so there are as many rounds
+    as a window has peaks at most.
+    """
+    rows, n = x.shape
+    open_at = np.zeros(x.shape, bool)
+    if n > 2:
+        rise = np.diff(x, axis=1)
+        # The sign of the last change before each place, and of the next one after it, reach over plateaus.
+        at = np.arange(n - 1)
+        last = np.maximum.accumulate(np.where(rise != 0, at, -1), axis=1)
+        first = np.minimum.accumulate(np.where(rise != 0, at, n)[:, ::-1], axis=1)[:, ::-1]
+        row = np.arange(rows)[:, None]
+        start, stop = last[:, :-1] + 1, first[:, 1:]  # of the plateau that holds places 1 .. n - 2
+        inner = np.arange(1, n - 1)[None, :]
+        up = (last[:, :-1] >= 0) & (rise[row, np.maximum(last[:, :-1], 0)] > 0)
+        down = (stop < n) & (rise[row, np.minimum(stop, n - 2)] < 0)
+        open_at[:, 1:-1] = up & down & (inner == (start + np.minimum(stop, n - 1)) // 2)
+    kept = np.zeros(x.shape, bool)
+    place, gap = np.arange(n), np.ceil(min_gap)
+    todo = np.flatnonzero(open_at.any(axis=1))
+    while len(todo):
+        high = np.where(open_at[todo], x[todo], -np.inf)
+        top = n - 1 - np.argmax(high[:, ::-1], axis=1)
+        kept[todo, top] = True
+        open_at[todo] &= np.abs(place[None, :] - top[:, None]) >= gap
+        open_at[todo, top] = False
+        todo = todo[open_at[todo].any(axis=1)]
+    return kept
+
+
 def find_pulse_peaks(x: np.ndarray, min_gap: float) -> np.ndarray:
-    """Local maxima (plateau middles); where two are closer than ``min_gap`` samples
-    the higher survives, the later one on equal height."""
-    change = np.flatnonzero(np.diff(x)) + 1
-    starts = np.concatenate([[0], change])
-    ends = np.concatenate([change, [len(x)]]) - 1
-    level = x[starts]
-    peak = np.zeros(len(level), bool)
-    if len(level) > 2:
-        peak[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
-    pos = (starts[peak] + ends[peak]) // 2
-    gap = np.ceil(min_gap)
-    keep = np.ones(len(pos), bool)
-    for j in np.argsort(x[pos], kind="stable")[::-1]:
-        if keep[j]:
-            near = np.abs(pos - pos[j]) < gap
-            near[j] = False
-            keep &= ~near
-    return pos[keep]
+    """Places of the peaks of one window."""
+    return np.flatnonzero(pulse_peaks(np.asarray(x, float)[None, :], min_gap)[0])
 
 
 def heart_rate(x: np.ndarray, fs: float) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    for i, row in enumerate(x):
-        peaks = find_pulse_peaks(row, fs * 0.4)
-        if len(peaks) >= 2:
-            out[i] = 60.0 / np.mean(np.diff(peaks) / fs)
-    return out
+    kept = pulse_peaks(x, fs * 0.4)
+    count = kept.sum(axis=1)
+    first, last = kept.argmax(axis=1), x.shape[1] - 1 - kept[:, ::-1].argmax(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(count >= 2, 60.0 * fs * (count - 1) / (last - first), np.nan)
 
 
 def pulse_consistency(x: np.ndarray, fs: float) -> np.ndarray:
     """Mean correlation of inner pulses with their mean shape; 0 with under 3 peaks.
 
     A pulse cut by the window edge has no full shape and is left out."""
-    out = np.zeros(len(x))
-    half = int(0.6 * fs) // 2
-    for i, row in enumerate(x):
-        peaks = find_pulse_peaks(row, fs * 0.4)
-        if len(peaks) < 3:
-            continue
-        shapes = np.array([row[p - half : p + half] for p in peaks[1:-1] if p >= half and p + half <= len(row)])
-        if len(shapes) == 0:
-            out[i] = np.nan
-            continue
-        mean = shapes.mean(axis=0) - shapes.mean()
-        dev = shapes - shapes.mean(axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            corr = dev @ mean / np.sqrt((dev**2).sum(axis=1) * (mean**2).sum())
-        out[i] = corr.mean()
+    kept = pulse_peaks(x, fs * 0.4)
+    half, enough = int(0.6 * fs) // 2, kept.sum(axis=1) >= 3
+    order = np.cumsum(kept, axis=1)
+    inner = kept & (order > 1) & (order < order[:, -1:]) & enough[:, None]
+    row, at = np.nonzero(inner)
+    whole = (at >= half) & (at + half <= x.shape[1])
+    row, at = row[whole], at[whole]
+    out = np.where(enough, np.nan, 0.0)
+    if not len(row):
+        return out
+    shapes = x[row[:, None], at[:, None] + np.arange(-half, half)[None, :]]
+    edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    count = np.diff(np.r_[edge, len(row)])
+    mean = np.add.reduceat(shapes, edge, axis=0) / count[:, None]
+    mean -= mean.mean(axis=1, keepdims=True)
+    own = np.repeat(mean, count, axis=0)
+    dev = shapes - shapes.mean(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        corr = (dev * own).sum(axis=1) / np.sqrt((dev**2).sum(axis=1) * (own**2).sum(axis=1))
+    out[row[edge]] = np.add.reduceat(corr, edge) / count
     return out

@@ -19,9 +19,10 @@ def _by_length(series: pd.Series, fn) -> np.ndarray:
     """Apply a (windows, samples) function to a series of arrays of any lengths."""
     out = np.full(len(series), np.nan)
     lengths = series.map(lambda v: -1 if v is None else len(v)).to_numpy()
+    values = series.to_numpy()
     for n in np.unique(lengths[lengths > 0]):
         at = np.flatnonzero(lengths == n)
-        x = np.stack([np.asarray(series.iloc[i], dtype=float) for i in at])
+        x = np.concatenate(values[at]).astype(float).reshape(len(at), n)
         whole = np.isfinite(x).all(axis=1)
         if whole.any():
             out[at[whole]] = fn(x[whole])

@@ -304,18 +304,48 @@ for _name, (_metric, _expr) in _SPECTRA.items():
     query(_name, f"""WITH {DFT}, s AS (SELECT *, sum(p) OVER (PARTITION BY vec_id) AS s, CASE WHEN b < 32 THEN (p + lead(p) OVER (PARTITION BY vec_id ORDER BY b)) / 2 END AS t FROM psd)
 SELECT vec_id, {sq(_expr, 'v')} FROM s GROUP BY vec_id""")(_spectrum)
 
-for _name, _metric in (("heart_rate", "heart_rate"), ("pulse_consistency", "consistency")):
+def sql_pulses(fs: float, half: int, tag: str = "") -> str:
+    """CTEs ``beats(vec_id, kept)``, peaks by greedy suppression, and ``shape(vec_id, c)``, the mean correlation of inner pulses."""
+    gap = int(np.ceil(fs * 0.4))
+    return f"""lev AS (SELECT vec_id, j, embedding[j + 1]::DOUBLE AS x, lag(embedding[j + 1]) OVER w AS a, lead(embedding[j + 1]) OVER w AS b FROM embeddings, unnest(range(0, 64)) AS u(j) WINDOW w AS (PARTITION BY vec_id ORDER BY j)),
+cand AS (SELECT vec_id, list_reverse_sort(list({{'h': x, 'p': j}}) FILTER (WHERE x > a AND x > b)) AS todo FROM lev GROUP BY 1),
+greedy AS (SELECT vec_id, coalesce(todo, []) AS todo, []::BIGINT[] AS kept FROM cand
+  UNION ALL SELECT vec_id, list_filter(todo[2:], lambda q: abs(q.p - todo[1].p) >= {gap}), list_append(kept, todo[1].p) FROM greedy WHERE len(todo) > 0),
+beats AS (SELECT vec_id, list_sort(kept) AS kept FROM greedy WHERE len(todo) = 0),
+inner_p AS (SELECT vec_id, unnest(kept[2:-2]) AS p FROM beats WHERE len(kept) >= 3),
+pulse AS (SELECT vec_id, p, j, embedding[p - {half} + j + 1]::DOUBLE AS v FROM inner_p JOIN embeddings USING (vec_id), unnest(range(0, {2 * half})) AS u(j) WHERE p >= {half} AND p + {half} <= 64),
+form AS (SELECT vec_id, p, j, v - avg(v) OVER (PARTITION BY vec_id, p) AS d, avg(v) OVER (PARTITION BY vec_id, j) - avg(v) OVER (PARTITION BY vec_id) AS m FROM pulse),
+shape AS (SELECT vec_id, avg(c) AS c FROM (SELECT vec_id, p, sum(d * m) / sqrt(sum(d * d) * sum(m * m)) AS c FROM form GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_RATE = "CASE WHEN len(kept) >= 2 THEN 60e0 / ((kept[-1] - kept[1]) / (len(kept) - 1) / {fs}e0) END"
+_CONSISTENCY = "CASE WHEN len(kept) < 3 THEN 0e0 ELSE c END"
+for _name, _metric, _expr in (("heart_rate", "heart_rate", _RATE.format(fs=20)), ("pulse_consistency", "consistency", _CONSISTENCY)):
 
     def _morph(spark, sf, m=_metric):
         return table(spark, sf, "embeddings").select("vec_id", r6(spectra.metric(m, F.col("embedding"), 20.0), "v"))
 
-    query(_name)(_morph)
+    query(_name, f"WITH RECURSIVE {sql_pulses(20.0, 6)} SELECT vec_id, {sq(_expr, 'v')} FROM beats LEFT JOIN shape USING (vec_id)")(_morph)
 
 
-@query("quality_vector")
+_MOMENT = {k: f"list_avg(list_transform(x, lambda v: (v - m) ** {k}))" for k in (2, 3, 4)}
+_Q = {
+    "perfusion": "s / (m + 10)", "skewness": f"{_MOMENT[3]} / {_MOMENT[2]} ** 1.5e0", "kurtosis": f"{_MOMENT[4]} / {_MOMENT[2]} ** 2 - 3", "snr": "snr", "entropy": "ent",
+    "relative_power": "rel", "heart_rate": _RATE.format(fs=50), "consistency": _CONSISTENCY, "sqi": "share",
+}
+_STRICT = " AND ".join(
+    f"coalesce({' AND '.join([f'{n} >= {low}'] * (low is not None) + [f'{n} <= {high}'] * (high is not None))}, {str(n != 'heart_rate').lower()})" for n, (low, high) in spectra.LIMITS.items()
+)
+
+
+@query("quality_vector", f"""WITH RECURSIVE {DFT}, {sql_pulses(50.0, 15)},
+spec AS (SELECT vec_id, {_SPECTRA['snr'][1]} AS snr, {_SPECTRA['relative_power'][1]} AS rel, {_SPECTRA['spectral_entropy'][1]} AS ent, {_SPECTRA['spectral_sqi_array'][1]} AS share FROM (SELECT *, sum(p) OVER (PARTITION BY vec_id) AS s FROM psd) GROUP BY 1),
+vec AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), st AS (SELECT vec_id, x, list_avg(x) AS m, list_stddev_pop(x) AS s FROM vec),
+q AS (SELECT vec_id, {', '.join(f'{e} AS {n}' for n, e in _Q.items())} FROM st JOIN spec USING (vec_id) JOIN beats USING (vec_id) LEFT JOIN shape USING (vec_id))
+SELECT vec_id, {', '.join(sq(n, n) for n in _Q)}, {_STRICT} AS strict, true AS accepted FROM q""")
 def quality_vector(spark, sf):
     e = table(spark, sf, "embeddings")
-    raw = F.transform("embedding", lambda v: v + 10.0)
+    raw = F.transform("embedding", lambda v: v.cast("double") + 10.0)
     q = e.select("vec_id", spectra.quality_vector(raw, F.col("embedding"), 50.0).alias("q"))
     return q.select("vec_id", *[r6(F.col(f"q.{n}"), n) for n in spectra.QUALITY], spectra.passes(F.col("q"), spectra.LIMITS).alias("strict"), spectra.passes(F.col("q")).alias("accepted"))
 
