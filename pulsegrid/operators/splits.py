@@ -52,17 +52,20 @@ def block_shuffle(
 
     ``rank`` is an integer that orders the blocks and may use ``_block``; a 64-bit
     hash gives a random order.  Only block numbers are ranked (one row per block,
-    in buckets of the rank's high bits), rows are moved by a join.
+    in buckets between quantiles of the rank, equal ranks by block), rows are moved by a join.
     """
     tagged = (
         with_length(df, keys, idx)
         .withColumn("_block", F.expr(f"`{idx}` div {block}"))
         .where(F.col("_block") < F.expr(f"_n div {block}"))
     )
-    blocks = dense_index(
-        tagged.select(*keys, "_block").distinct().withColumn("_r", rank.cast("bigint")).withColumn("_o", F.struct("_r", "_block")),
-        keys, "_o", "_to", bucket=F.shiftright("_r", 48),
-    ).select(*keys, "_block", "_to")
+    ranks = tagged.select(*keys, "_block").distinct().withColumn("_r", rank.cast("bigint"))
+    cuts = ranks.groupBy(*keys).agg(F.percentile_approx("_r", [k / 64 for k in range(1, 64)], 1000).alias("_cuts"))
+    ranks = join_stats(ranks, cuts, keys).withColumn("_run", F.size(F.filter("_cuts", lambda c: c <= F.col("_r"))))
+    # A rank that many blocks share is the least of its bucket; its blocks are parted by their numbers.
+    low = F.get("_cuts", F.col("_run") - 1)
+    bucket = F.struct("_run", F.when(F.col("_r") == low, F.expr("_block div 65536")).otherwise(F.lit(1 << 62)).alias("_at"))
+    blocks = dense_index(ranks.withColumn("_o", F.struct("_r", "_block")), keys, "_o", "_to", bucket=bucket).select(*keys, "_block", "_to")
     return (
         tagged.join(blocks, [*keys, "_block"])
         .withColumn(out, F.col("_to") * block + F.col(idx) % block)

@@ -49,7 +49,7 @@ def paired_samples(
 
 
 def fit_dataset(pairs: DataFrame, block: int = 10, seed: int = 42) -> DataFrame:
-    """One line ``spo2 = a - b r`` over all records: a row ``(a, b)``.
+    """One line ``spo2 = a - b r`` over all records: a row ``(a, b, converged)``.
 
     Rows are numbered over all records, dealt in shuffled blocks (the rest of an
     incomplete block is left out) and fitted together.
@@ -62,7 +62,7 @@ def fit_dataset(pairs: DataFrame, block: int = 10, seed: int = 42) -> DataFrame:
     )
     dealt = block_shuffle(numbered.select("_g", "row", "r", "spo2"), ["_g"], block, F.xxhash64("_block", F.lit(seed)))
     rows = materialise(dealt.select("_g", F.col("r").alias("x"), F.col("spo2").alias("y")), "dealt")
-    return materialise(fit_svr_line(rows, ["_g"]).select("a", "b"), "line")
+    return materialise(fit_svr_line(rows, ["_g"]).select("a", "b", "converged"), "line")
 
 
 def validate_dataset(
