@@ -77,8 +77,8 @@ def test_cross_validation_and_metrics(table):
             for m, want in (("linear", p[0] + p[1] * x[te]), ("huber", a + b * x[te]), ("gbr", fits.step_predict(step, x[te]))):
                 mine = got[(got.session_id == s) & (got.combo == c) & (got.fold == f) & (got.model == m)].sort_values("row")
                 assert mine.row.tolist() == te.tolist()
-                # robust lines come from cells of rows, trees from bins
-                assert np.allclose(mine.y_pred, want, atol=1e-8 if m == "linear" else 0.02 if m == "huber" else 0.3)
+                # robust lines come from cells of rows; trees stand on the distinct values
+                assert np.allclose(mine.y_pred, want, atol=1e-8 if m == "linear" else 0.02 if m == "huber" else 1e-6)
     summary = models.cv_summary(models.fold_metrics(pred, K), K)
     best = {r.session_id: r for r in models.best_models(summary, K).collect()}
     table2 = summary.toPandas()
@@ -114,9 +114,9 @@ def test_one_algorithm_at_every_size(spark):
     assert margin_loss(margin["few"].a, -margin["few"].b, x, y) <= margin_loss(*ref.svr_line(x, y), x, y) * (1 + 1e-3)
     curves = {r.session_id: np.asarray(r.params) for r in models.fit_shape(df, K, "svr_rbf").collect()}
     want = fits.svr_predict(ref.svr(x, y, w, "rbf"), t)
-    assert np.abs(models._unpack_predict("svr_rbf", curves["few"], t) - want).max() < 0.1
+    assert np.abs(models._unpack_predict("svr_rbf", curves["few"], t) - want).max() < 0.02
     steps = {r.session_id: np.asarray(r.params) for r in models.fit_shape(df, K, "gbr").collect()}
-    assert np.sqrt(np.mean((models._unpack_predict("gbr", steps["few"], x) - fits.step_predict(fits.boost(x, y, w), x)) ** 2)) < 0.05
+    assert np.sqrt(np.mean((models._unpack_predict("gbr", steps["few"], x) - fits.step_predict(fits.boost(x, y, w), x)) ** 2)) < 1e-6
     for got, kind in ((curves, "svr_rbf"), (steps, "gbr")):
         assert np.abs(models._unpack_predict(kind, got["many"], t) - (110 - 25 * t)).mean() < 4
 
@@ -227,10 +227,10 @@ def test_train_store_apply(spark, table, name):
             fn, near = (lambda t: a + b * t), 0.02
         elif name == "svr_rbf":
             fit = ref.svr(x, y, w, "rbf")
-            fn, near = (lambda t: fits.svr_predict(fit, t)), 0.3
+            fn, near = (lambda t: fits.svr_predict(fit, t)), 0.02
         else:
             fit = fits.boost(x, y, w)
-            fn, near = (lambda t: fits.step_predict(fit, t)), 0.3
+            fn, near = (lambda t: fits.step_predict(fit, t)), 1e-6
         assert np.abs(out.spo2_estimated - fn(new.x.to_numpy())).median() <= near
         assert np.isclose(trained.train_rmse, np.sqrt(((fn(x) - y) ** 2).mean()), atol=near)
     assert np.allclose(out.residual, out.spo2_estimated - new.y.to_numpy())
