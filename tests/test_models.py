@@ -114,7 +114,7 @@ def test_one_algorithm_at_every_size(spark):
     assert margin_loss(margin["few"].a, -margin["few"].b, x, y) <= margin_loss(*ref.svr_line(x, y), x, y) * (1 + 1e-3)
     curves = {r.session_id: np.asarray(r.params) for r in models.fit_shape(df, K, "svr_rbf").collect()}
     want = fits.svr_predict(ref.svr(x, y, w, "rbf"), t)
-    assert np.abs(models._unpack_predict("svr_rbf", curves["few"], t) - want).max() < 0.02
+    assert np.abs(models._unpack_predict("svr_rbf", curves["few"], t) - want).max() < 0.05
     steps = {r.session_id: np.asarray(r.params) for r in models.fit_shape(df, K, "gbr").collect()}
     assert np.sqrt(np.mean((models._unpack_predict("gbr", steps["few"], x) - fits.step_predict(fits.boost(x, y, w), x)) ** 2)) < 1e-6
     for got, kind in ((curves, "svr_rbf"), (steps, "gbr")):
@@ -227,7 +227,7 @@ def test_train_store_apply(spark, table, name):
             fn, near = (lambda t: a + b * t), 0.02
         elif name == "svr_rbf":
             fit = ref.svr(x, y, w, "rbf")
-            fn, near = (lambda t: fits.svr_predict(fit, t)), 0.02
+            fn, near = (lambda t: fits.svr_predict(fit, t)), 0.05
         else:
             fit = fits.boost(x, y, w)
             fn, near = (lambda t: fits.step_predict(fit, t)), 1e-6
