@@ -154,7 +154,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """The rows, all columns, of the documents that hold no item."""
+    """The rows, all columns of any names, of the documents that hold no item.
+
+    Null and empty texts hold none; null and empty items are held by none; ids are not read, repeated rows stay or go
+    together; no item leaves the rows as they are, no row gives no row.
+    """
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     for items in blocks(benchmark, item_col, item_text_col, block):
 

@@ -205,7 +205,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with every secret in the text replaced by its kind; null text stays null."""
+    """The same rows and columns, with every secret in the text replaced by its kind.
+
+    Null text stays null and empty text empty; ids are not read, repeated rows stay; no row gives no row.
+    """
 
     def start():
         def one(part, texts):

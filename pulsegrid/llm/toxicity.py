@@ -258,11 +258,17 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``(id, score)`` of every row; null and empty texts get the score of a text without hits."""
+        """``(id, score)`` of every row; null and empty texts get the score of a text without hits.
+
+        Null ids and repeated rows stay; no row gives no row.  Other columns are not read.
+        """
         return score_rows(docs, id_col, text_col, lambda: Scorer(self.lexicon), self.weights, [id_col])
 
     def reject(self, docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-        """The rows, all columns, that score under the threshold."""
+        """The rows, all columns of any names, that score under the threshold.
+
+        Null and empty texts count as texts without hits; null ids stay, repeated rows stay or go together; no row gives no row.
+        """
         model = self
 
         def start():
