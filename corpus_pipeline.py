@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go; null and empty texts count as texts without hits, null ids and repeated rows are judged like any."""
     return toxicity.learn(docs, read(spark, sf_dir, "labels")).reject(docs)
 
 
@@ -53,17 +53,17 @@ def _unused(docs: DataFrame, name: str) -> str:
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, and no item leaves all."""
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by their kind; ``n_chars`` follows."""
+    """Secrets in the texts are replaced by their kind; ``n_chars`` follows.  Null texts stay, with a null ``n_chars``."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row for each piece, with its ids and its place."""
+    """Token sequences: a row for each piece, with its ids and its place.  Null texts are empty documents; repeated rows are packed as often as they occur."""
     return packing.pack(docs, tokenizer(), keep_ids=True)
 
 
