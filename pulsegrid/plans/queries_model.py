@@ -734,7 +734,18 @@ def calibration_run(spark, sf):
     return rounded(summary.select("session_id", "combo", "model", "RMSE_mean", "MAE_mean", "Bias_mean"), "RMSE_mean", "MAE_mean", "Bias_mean")
 
 
-@query("legacy_ratios")
+_LEGACY = {"b": filters.butterworth(5, 0.5, 5.0, 50.0), "l": filters.butterworth(5, None, 0.5, 50.0)}
+_LEGACY_CTES = ", ".join(
+    [f"in_{c} AS (SELECT session_id, i AS p, {c} AS x FROM sig)" for c in ("red", "ir", "green")]
+    + [sql_cascade(f"in_{c}", "p", flt, f"{k}_{c}", None) for c in ("red", "ir", "green") for k, flt in _LEGACY.items()]
+)
+_LEGACY_RATIO = {c: f"stddev_pop(b_{c}.x) / nullif(avg(l_{c}.x), 0)" for c in ("red", "ir", "green")}
+
+
+@query("legacy_ratios", f"""WITH RECURSIVE {SIG}, {_LEGACY_CTES}, {sql_windows(20, 5, 1)},
+rel AS (SELECT win.session_id, k, {', '.join(f'{e} AS {c}' for c, e in _LEGACY_RATIO.items())} FROM win
+  {' '.join(f'JOIN {k}_{c} ON {k}_{c}.session_id = win.session_id AND {k}_{c}.p = win.i' for c in ('red', 'ir', 'green') for k in 'bl')} GROUP BY 1, 2)
+SELECT session_id, k AS window_id, {sq('red / nullif(ir, 0)', 'r_red_ir')}, {sq('green / nullif(ir, 0)', 'r_green_ir')} FROM rel""")
 def legacy_ratios(spark, sf):
     sig = recording(spark, sf, "red", "ir", "green")
     out = dataset.legacy_ratios(sig.select(*K, "sample_idx", "red", "ir", "green"), K, [("red", "ir"), ("green", "ir")], 20, 5, 50.0)
