@@ -172,34 +172,84 @@ def boost(x, y, w):
 
 def boosted(first, last, target, weight):
     """``boost`` on points in order, which reach from ``first`` to ``last``."""
-    total = np.cumsum(np.concatenate([[0.0], weight]))
-    base = float(np.average(target, weights=weight))
-    fitted = np.full(len(first), base)
+    return boosted_groups(first, last, target, weight, np.array([0, len(first)]))[0]
+
+
+#: Points (with what fills up the shorter groups) on which trees are grown together: as many as stay in a core's memory.
+TOGETHER = 1 << 14
+
+
+def boosted_groups(first, last, target, weight, bounds) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``boosted`` of each group of points between ``bounds``; groups of like size are grown together."""
+    size = np.diff(bounds)
+    out: list = [None] * len(size)
+    order = np.argsort(-size, kind="stable")
+    at = 0
+    while at < len(order):
+        part = order[at : at + max(1, TOGETHER // int(size[order[at]]))]
+        at += len(part)
+        rows = np.concatenate([np.arange(bounds[g], bounds[g + 1]) for g in part])
+        ends = np.concatenate([[0], np.cumsum(size[part])])
+        fitted = _grown(target[rows], weight[rows], ends)
+        for k, g in enumerate(part):
+            value, a = fitted[ends[k] : ends[k + 1]], bounds[g]
+            change = np.flatnonzero(np.abs(np.diff(value)) > 1e-12)
+            out[g] = (last[a + change] + first[a + change + 1]) / 2, value[np.append(change, len(value) - 1)]
+    return out
+
+
+def _grown(target, weight, ends) -> np.ndarray:
+    """The trees' value at each point of groups that follow each other, the longest first."""
+    size = np.diff(ends)
+    # Running sums are taken by group, on rows filled up to equal length, so that no group's digits depend on another.
+    slot = np.arange(len(target)) + np.repeat(np.arange(len(size)) * size[0] - ends[:-1], size)
+    wide = np.zeros((len(size), int(size[0])))
+
+    def running(v):
+        wide.ravel()[slot] = v
+        return np.cumsum(wide, axis=1).ravel()[slot]
+
+    def before(sums):
+        out = np.empty_like(sums)
+        out[1:] = sums[:-1]
+        out[ends[:-1]] = 0.0
+        return out
+
+    total = running(weight)
+    total0 = before(total)
+    base = [np.average(target[a:b], weights=weight[a:b]) for a, b in zip(ends, ends[1:])]
+    fitted = np.repeat(base, size)
     for _ in range(TREES):
-        run = np.cumsum(np.concatenate([[0.0], weight * (target - fitted)]))
-        edges = [0, len(first)]
+        run = running(weight * (target - fitted))
+        run0 = before(run)
+        start = ends[:-1]
         for _ in range(DEPTH):
-            edges = _cut_all(run, total, edges)
-        e = np.array(edges)
-        leaf = (run[e[1:]] - run[e[:-1]]) / (total[e[1:]] - total[e[:-1]])
-        fitted += RATE * np.repeat(leaf, np.diff(e))
-    change = np.flatnonzero(np.abs(np.diff(fitted)) > 1e-12)
-    return (last[change] + first[change + 1]) / 2, fitted[np.concatenate([change, [len(first) - 1]])]
-
-
-def _cut_all(run, total, edges) -> list[int]:
-    """Cut every part at its best place: largest weighted gap of the two means.
-
-    ``run`` and ``total`` are running sums of residual and weight."""
-    out = [edges[0]]
-    for a, b in zip(edges, edges[1:]):
-        if b - a >= 2:
-            wl, sl = total[a + 1 : b] - total[a], run[a + 1 : b] - run[a]
-            wr, sr = total[b] - total[a] - wl, run[b] - run[a] - sl
-            gap = wr * sl - wl * sr
-            out.append(a + 1 + int(np.argmax(gap * gap / (wl * wr))))
-        out.append(b)
-    return out
+            start = _cut_all(run, run0, total, total0, start)
+        end = np.append(start[1:], len(target)) - 1
+        leaf = (run[end] - run0[start]) / (total[end] - total0[start])
+        fitted += RATE * np.repeat(leaf, end - start + 1)
+    return fitted
+
+
+def _cut_all(run, run0, total, total0, start) -> np.ndarray:
+    """Cut every part at its best place, the first of equal ones: largest weighted gap of the two means.
+
+    ``run`` and ``total`` are running sums of residual and weight, ``run0`` and ``total0`` those before a point."""
+    count = np.diff(np.append(start, len(run)))
+    end = start + count - 1
+    w0, s0 = total0[start], run0[start]
+    wl, sl = total0 - np.repeat(w0, count), run0 - np.repeat(s0, count)
+    wr, sr = np.repeat(total[end] - w0, count) - wl, np.repeat(run[end] - s0, count) - sl
+    gap = wr * sl - wl * sr
+    gap *= gap
+    both = wl * wr
+    both[start] = 1.0
+    gap /= both
+    gap[start] = -1.0  # a part of one point has no other place
+    best = np.flatnonzero(gap == np.repeat(np.maximum.reduceat(gap, start), count))
+    part = np.searchsorted(start, best, side="right")
+    best = best[np.append(True, part[1:] != part[:-1])]
+    return np.union1d(start, best)
 
 
 def step_predict(fit, x) -> np.ndarray:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fits
 from ..session import materialise
+from .groups import fields, over_groups
 from .segments import SEGMENT_ROWS, dense_index, join_stats
 
 #: Cells per unit: rows closer than about a hundredth of a deviation on both axes share one.
@@ -26,10 +27,6 @@ GRAIN = 96
 SUMS = ("w", "wz", "wt", "wzz", "wzt", "wtt", "c", "cz", "ct")
 
 
-def fields(df: DataFrame, names: Sequence[str]) -> str:
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-
-
 def cell_sums(rows: DataFrame, keys: Sequence[str], grain: int = GRAIN) -> DataFrame:
     """``(keys, mx, sd, my, cell sums)`` of rows ``(keys, x, y, w)``; about the groups' means."""
     keys = list(keys)
@@ -55,13 +52,13 @@ def solve_cells(rows: DataFrame, keys: Sequence[str], schema: str, solve: Callab
     """``(keys, schema)``: ``solve(sums, mx, sd, my)`` for each group, on its cells in a fixed order."""
     keys = list(keys)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_z", "_t"])
-        one = g.iloc[:1]
-        got = solve({n: g[f"s_{n}"].to_numpy(float) for n in SUMS}, float(one.mx.iloc[0]), float(one.sd.iloc[0]), float(one.my.iloc[0]))
-        return pd.DataFrame({**{k: one[k].to_numpy() for k in keys}, **{n: [v] for n, v in got.items()}})
+    def run(c, bounds):
+        got = [
+            solve({n: c[f"s_{n}"][a:b] for n in SUMS}, float(c["mx"][a]), float(c["sd"][a]), float(c["my"][a])) for a, b in zip(bounds, bounds[1:])
+        ]
+        return {n: [g[n] for g in got] for n in got[0]}
 
-    return cell_sums(rows, keys).groupBy(*keys).applyInPandas(run, f"{fields(rows, keys)}, {schema}")
+    return over_groups(cell_sums(rows, keys), keys, ["_z", "_t"], schema, run)
 
 
 def huber(s: dict, mx: float, sd: float, my: float, rounds: int = 500) -> dict:
@@ -112,34 +109,44 @@ def fit_steps(rows: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFra
     w: Column = F.col("w")
     points = rows.groupBy(*keys, "x").agg(F.sum(w).alias("sw"), F.sum(w * F.col("y")).alias("sy"))
     points = materialise(points, "tree-points")
-    # Ranks by a sketch's bounds, which part the values of a group into buckets of about equal size.
-    shares = [k / 64 for k in range(1, 64)]
-    stats = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.percentile_approx("x", shares, 1000).alias("_cuts"))
-    tagged = join_stats(points, stats, keys).withColumn("_run", F.size(F.filter("_cuts", lambda b: b <= F.col("x")))).drop("_cuts")
-    ranked = dense_index(tagged, keys, "x", "_rank", bucket=F.col("_run"))
-    at = F.floor(F.col("_rank") * F.least(F.col("_d"), F.lit(bins)) / F.col("_d"))
-    sums = ranked.groupBy(*keys, at.alias("_at")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.sum("sw").alias("sw"), F.sum("sy").alias("sy"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_at")
-        breaks, values = fits.boosted(g.x0.to_numpy(), g.x1.to_numpy(), (g.sy / g.sw).to_numpy(), g.sw.to_numpy())
-        return pd.DataFrame({**{k: g[k].iloc[:1].to_numpy() for k in keys}, "params": [[*breaks, *values]], "converged": [True]})
-
-    return sums.groupBy(*keys).applyInPandas(run, f"{fields(rows, keys)}, params array<double>, converged boolean")
+    stats = materialise(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")), "tree-sizes")
+    large = stats.where(F.col("_d") > bins)
+    sums = points.withColumn("x1", F.col("x")).withColumnRenamed("x", "x0")
+    if large.head(1):
+        # Ranks by a sketch's bounds, which part the values of a group into buckets of about equal size.
+        mine = join_stats(points, large, keys)
+        cuts = mine.groupBy(*keys).agg(F.percentile_approx("x", [k / 64 for k in range(1, 64)], 1000).alias("_cuts"))
+        tagged = join_stats(mine, cuts, keys).withColumn("_run", F.size(F.filter("_cuts", lambda b: b <= F.col("x")))).drop("_cuts")
+        ranked = dense_index(tagged, keys, "x", "_rank", bucket=F.col("_run"))
+        at = F.floor(F.col("_rank") * F.lit(bins) / F.col("_d"))
+        runs = ranked.groupBy(*keys, at.alias("_at")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.sum("sw").alias("sw"), F.sum("sy").alias("sy"))
+        small = join_stats(sums, stats.where(F.col("_d") <= bins), keys).drop("_d")
+        sums = small.unionByName(runs.drop("_at"))
+
+    def solve(c, bounds):
+        steps = fits.boosted_groups(c["x0"], c["x1"], c["sy"] / c["sw"], c["sw"], bounds)
+        return {"params": [np.concatenate(s) for s in steps], "converged": [True] * len(steps)}
+
+    return over_groups(sums, keys, ["x0"], "params array<double>, converged boolean", solve)
 
 
 def predict_parts(test: DataFrame, params: DataFrame, keys: Sequence[str], predict: Callable[[np.ndarray, np.ndarray], np.ndarray], part_rows: int = SEGMENT_ROWS) -> DataFrame:
     """``test`` rows with ``f = predict(params, x)``; parts of a group go separately."""
     keys, names = list(keys), test.columns
+    rest = [n for n in names if n not in keys]
     sizes = test.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
-    salt = F.pmod(F.xxhash64(*[c for c in names if c not in keys]), F.col("_parts"))
+    salt = F.pmod(F.xxhash64(*rest), F.col("_parts"))
     rows = join_stats(test, sizes, keys).withColumn("_salt", salt).drop("_parts")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
     spread = materialise(sizes.withColumn("_salt", every).drop("_parts").join(params, keys), "parts")
+    # A part's rows become one row, so that its parameters are read once and Python sees arrays only.
+    lists = rows.groupBy(*keys, "_salt").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
 
-    def run(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        f = predict(np.asarray(s.params.iloc[0]), g.x.to_numpy(float)) if len(g) and len(s) else np.full(len(g), np.nan)
-        return g[names].assign(f=f)
+    @F.pandas_udf("array<double>")
+    def run(params: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([np.full(len(v), np.nan) if p is None else predict(p, v.astype(float)) for p, v in zip(params, x)], dtype=object)
 
-    out = rows.groupBy(*keys, "_salt").cogroup(spread.groupBy(*keys, "_salt")).applyInPandas(run, f"{fields(test, names)}, f double")
+    value = run("params", F.col("_rows.x"))
+    out = lists.join(spread, [*keys, "_salt"], "left").select(*keys, F.inline(F.arrays_zip(F.col("_rows"), value.alias("f"))))
+    out = out.select(*keys, *[F.col(f"_rows.{n}").alias(n) for n in rest], "f").select(*names, "f")
     return out.withColumn("f", F.when(~F.isnan("f"), F.col("f")))

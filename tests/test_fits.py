@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import fits, spectral
-from pulsegrid.operators import models
+from pulsegrid.operators import groups, models
 from pulsegrid.operators.margin import fit_margin_lines
 from pulsegrid.operators.points import fit_steps
 
@@ -178,3 +178,26 @@ def test_pulse_peaks_of_many_windows():
         x = g.normal(size=(10, 40)) if k % 2 else g.integers(0, 4, (10, 40)).astype(float)
         mask = spectral.pulse_peaks(x, 3.5)
         assert [np.flatnonzero(m).tolist() for m in mask] == [slow(r, 3.5) for r in x]
+
+
+def test_trees_of_many_groups_are_those_of_each(spark):
+    g = np.random.default_rng(5)
+    sizes = [*g.integers(1, 60, 70), 700]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    x = np.concatenate([np.sort(g.random(n)) for n in sizes])
+    y, w = g.normal(size=len(x)), g.uniform(0.05, 1, len(x))
+    for (a, b), got in zip(zip(bounds, bounds[1:]), fits.boosted_groups(x, x, y, w, bounds)):
+        alone = fits.boosted(x[a:b], x[a:b], y[a:b], w[a:b])
+        assert np.array_equal(got[0], alone[0]) and np.array_equal(got[1], alone[1])
+
+
+def test_whole_groups_over_batches(spark):
+    df = spark.range(3000).selectExpr("concat('k', id * id % 37) as k", "id * 7919 % 3001 as v", "if(id % 5 = 0, null, 1) as n")
+    got = groups.over_groups(
+        df, ["k"], ["v"], "s double, up boolean, c long", lambda c, b: {
+            "s": np.add.reduceat(c["v"], b[:-1]), "up": [bool((np.diff(c["v"][i:j]) > 0).all()) for i, j in zip(b, b[1:])], "c": np.diff(b),
+        }, held=64,
+    ).toPandas().set_index("k")
+    want = df.toPandas().groupby("k").v.agg(["sum", "count"])
+    assert got.up.all() and len(got) == len(want)
+    assert (got.s == want["sum"]).all() and (got.c == want["count"]).all()
