@@ -279,6 +279,15 @@ def kernel_features(z: np.ndarray, centres: np.ndarray, basis: np.ndarray) -> np
 GAP, SETTLED = 1e-9, 1e-3
 
 
+def lower_root(inner: np.ndarray) -> np.ndarray:
+    """A root of a matrix whose eigenvalues are 1 and more, also where rounding beside very large ones has lost the small."""
+    try:
+        return np.linalg.cholesky(inner)
+    except np.linalg.LinAlgError:
+        size, vectors = np.linalg.eigh(inner)
+        return vectors * np.sqrt(np.maximum(size, 1.0))
+
+
 def margin_dual(phi: np.ndarray, t: np.ndarray, c: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, float, float]:
     """``(weights, bias, gap)`` of the margin loss ``|w|^2 / 2 + C sum c max(0, |t - phi w - b| - eps)``.
 
@@ -312,7 +321,9 @@ def margin_dual(phi: np.ndarray, t: np.ndarray, c: np.ndarray, rounds: int = 80)
         mu = float(a @ lower + rest @ upper) / (4 * n)
         bend = lower / a + upper / rest
         inner = phi.T @ (phi * (1 / bend[:n] + 1 / bend[n:])[:, None]) + np.eye(k)
-        root = np.linalg.cholesky(inner)
+        if not np.isfinite(inner).all():
+            break
+        root = lower_root(inner)
 
         def solved(v, bend=bend, root=root):
             u = v / bend
