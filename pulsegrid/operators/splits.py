@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,8 +75,11 @@ def block_shuffle(
 
 
 def head_tail_split(df: DataFrame, keys: Sequence[str], share: float, idx: str = "row", out: str = "part") -> DataFrame:
-    """First ``int(n * share)`` rows train, the rows after the next one test."""
-    cut = F.floor(F.col("_n") * F.lit(share))
+    """First ``int(n * share)`` rows train, the rows after the next one test.
+
+    The share is taken as the decimal it is written as: 0.7 of 90 rows are 63, though the product of doubles is less.
+    """
+    cut = F.floor(F.col("_n") * F.lit(Decimal(repr(share))))
     part = F.when(F.col(idx) < cut, "train").when(F.col(idx) > cut, "test")
     return with_length(df, keys, idx).withColumn(out, part).where(F.col(out).isNotNull()).drop("_n")
 

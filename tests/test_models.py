@@ -267,3 +267,9 @@ def test_splits(spark):
             b, a = np.polyfit(g.x.to_numpy()[idx], g.y.to_numpy()[idx], 1)
             ab.append((a, -b))
         assert np.allclose([got[s].a, got[s].b], np.mean(ab, axis=0))
+
+
+def test_head_tail_cut_is_the_decimal_share(spark):
+    df = spark.range(90).selectExpr("1L as session_id", "id as row")
+    got = splits.head_tail_split(df, K, 0.7).toPandas()
+    assert (got.part == "train").sum() == 63 and 63 not in set(got.row)
