@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,6 +150,7 @@ def mark_spikes(
     The samples are staged once because three rounds of statistics read them.
     """
     half = (kernel + 1 - kernel % 2) // 2
+    rest = float(1 - Decimal(repr(saturation)))
     local = {}
     for c in cols:
         local[f"{c}_base"] = zero_edge_median(c, half)
@@ -157,7 +159,7 @@ def mark_spikes(
     resid = {c: F.col(c) - F.col(f"{c}_base") for c in cols}
     first = {}
     for c in cols:
-        first[f"_x_{c}"] = (F.col(c), [1.0 - saturation, saturation])
+        first[f"_x_{c}"] = (F.col(c), [rest, saturation])
         first[f"_mr_{c}"] = (resid[c], [0.5])
         first[f"_md_{c}"] = (F.col(f"_d_{c}"), [0.5])
     # one row per session, read by three later branches

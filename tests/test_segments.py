@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -84,3 +86,15 @@ def test_join_stats_deals_a_key_over_parts(spark):
     assert out.count() == 1000 and out.columns == ["k", "id", "v", "m"]
     assert out.where("k = 0").select("m").distinct().count() == 1
     assert segments.join_stats(df, stats.where("k = 1"), ["k"], "left").where("m is null").count() == 500
+
+
+def test_quantiles_have_the_last_digit_of_a_fused_product(spark):
+    g = np.random.default_rng(4)
+    lo = np.round(g.uniform(0, 99, 4000), 2)
+    pdf = pd.DataFrame({"a": lo, "z": np.where(np.arange(4000) % 2, lo, np.round(lo + g.uniform(0, 9, 4000), 2)), "d": g.integers(1, 999, 4000) / 1000})
+    got = spark.createDataFrame(pdf).select("a", "z", "d", quantiles.between(F.col("a"), F.col("z"), F.col("d")).alias("v")).toPandas()
+
+    def fused(a, z, d):
+        return float(Fraction(a) * Fraction(1 - d) + Fraction(z * d))
+
+    assert [fused(*r) for r in zip(got.a, got.z, got.d)] == got.v.tolist()
