@@ -189,7 +189,8 @@ def fit_ransac(rows: DataFrame, keys: Sequence[str], order: str = "row", seed: i
         F.struct(F.lit("i").alias("end"), first.alias("_row")), F.struct(F.lit("j").alias("end"), second.alias("_row"))
     )))
     pick = lambda e, c: F.max(F.when(F.col("end") == e, F.col(c)))
-    drawn = ends.join(numbered, [*keys, "_row"]).groupBy(*keys, "trial").agg(
+    # The planner takes the drawn numbers for as small as the groups they are made of, and would send them to all tasks through the driver.
+    drawn = ends.hint("merge").join(numbered, [*keys, "_row"]).groupBy(*keys, "trial").agg(
         pick("i", "x").alias("xi"), pick("i", "y").alias("yi"), pick("j", "x").alias("xj"), pick("j", "y").alias("yj"),
         F.avg("y").alias("ym"),
     )
@@ -306,11 +307,12 @@ def predicted(rows: DataFrame, params: DataFrame, keys: Sequence[str], kind: Kin
 
 
 def cv_kind(train: DataFrame, test: DataFrame, keys: Sequence[str], kind: Kind) -> DataFrame:
-    """Out-of-fold predictions of one model."""
+    """Out-of-fold predictions of one model, written: plans of several models together fill the driver's memory."""
     by = [*keys, "combo", "fold"]
-    params = kind.fit(train.select(*by, "row", "x", "y", "w"), by)
+    params = materialise(kind.fit(train.select(*by, "row", "x", "y", "w"), by), "fold-models")
     pred = predicted(test.select(*by, "x", "row", "time_center", "motion", "y"), params, by, kind)
-    return pred.select(*keys, "combo", F.lit(kind.name).alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred"))
+    pred = pred.select(*keys, "combo", F.lit(kind.name).alias("model"), "fold", "row", "time_center", "motion", F.col("y").alias("y_true"), F.col("f").alias("y_pred"))
+    return materialise(pred, "fold-predictions")
 
 
 def cross_validate(rows: DataFrame, keys: Sequence[str], folds: int = 5, models: Sequence[str] = (*CLOSED, *ROBUST, *KERNEL)) -> DataFrame:

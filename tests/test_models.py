@@ -273,3 +273,11 @@ def test_head_tail_cut_is_the_decimal_share(spark):
     df = spark.range(90).selectExpr("1L as session_id", "id as row")
     got = splits.head_tail_split(df, K, 0.7).toPandas()
     assert (got.part == "train").sum() == 63 and 63 not in set(got.row)
+
+
+def test_drawn_rows_do_not_go_through_the_driver(spark, table, monkeypatch):
+    hints = []
+    plain = type(table[1]).hint
+    monkeypatch.setattr(type(table[1]), "hint", lambda self, name, *a: (hints.append(name), plain(self, name, *a))[1])
+    models.fit_ransac(table[1], ["session_id", "combo"])
+    assert "merge" in hints
