@@ -6,7 +6,7 @@ numbers the windows of a session in time order, ``n`` is their count.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from .features import per_pair
 from .margin import fit_margin_lines
 from .points import fields, fit_steps, huber, predict_parts, radial, solve_cells
 from .quantiles import exact_quantiles
-from .segments import SEG, dense_index, join_stats, with_segment
+from .segments import SEG, dense_index, join_segments, join_stats, with_segment
 
 CLOSED = ("linear", "quadratic", "elasticnet")
 ROBUST = ("huber", "ransac")
@@ -100,17 +100,18 @@ def moments(rows: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFram
     The sums add up, so they serve any union of groups of the same ``keys``.
     """
     centre = rows.groupBy(*keys).agg(F.avg("x").alias("x0"), F.avg("y").alias("y0"))
+    return power_sums(join_stats(rows, centre, keys), list(dict.fromkeys([*keys, *by])))
+
+
+def power_sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The sums of rows that carry their centre ``x0, y0``."""
     u, v, w = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("w")
     terms = [w, w * u, w * v, w * u * u, w * u * v, w * u * u * u, w * u * u * u * u, w * u * u * v, F.lit(1.0), u, u * u]
-    return (
-        join_stats(rows, centre, keys)
-        .groupBy(*dict.fromkeys([*keys, *by]), "x0", "y0")
-        .agg(*[F.sum(t).alias(m) for m, t in zip(MOMENTS, terms)])
-    )
+    return rows.groupBy(*by, "x0", "y0").agg(*[F.sum(t).alias(m) for m, t in zip(MOMENTS, terms)])
 
 
-def solve_closed(sums: DataFrame, models: Sequence[str] = CLOSED) -> DataFrame:
-    """One row per group and model with ``p0 + p1 x + p2 x^2``."""
+def closed_forms(models: Sequence[str] = CLOSED) -> list[list[Column]]:
+    """For each model ``p0, p1, p2`` as they follow from a row of sums."""
     s0 = F.col("s0")
     mu, mv = F.col("sx") / s0, F.col("sy") / s0
     m2 = F.col("sxx") / s0
@@ -138,10 +139,13 @@ def solve_closed(sums: DataFrame, models: Sequence[str] = CLOSED) -> DataFrame:
 
     zero = F.lit(0.0)
     forms = {"linear": poly(slope, zero), "quadratic": poly(q1, q2), "elasticnet": poly(shrunk, zero)}
-    rows = F.array(*[
-        F.struct(F.lit(m).alias("model"), *[e.alias(f"p{i}") for i, e in enumerate(forms[m])]) for m in models
-    ])
+    return [[e.alias(f"p{i}") for i, e in enumerate(forms[m])] for m in models]
+
+
+def solve_closed(sums: DataFrame, models: Sequence[str] = CLOSED) -> DataFrame:
+    """One row per group and model with ``p0 + p1 x + p2 x^2``."""
     rest = [c for c in sums.columns if c not in (*MOMENTS, "x0", "y0")]
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), *p) for m, p in zip(models, closed_forms(models))])
     return sums.select(*rest, F.inline(rows))
 
 
@@ -381,6 +385,46 @@ def best_models(summary: DataFrame, keys: Sequence[str], digits: int | None = No
     return best.select(*keys, "_b.combo", "_b.model", F.col("_b.RMSE_mean").alias("cv_rmse"))
 
 
+# ---- many pairs at once ----------------------------------------------------------------
+
+# A wide row ``(keys, row, n, y, w, ...)`` is a sample of all pairs; ``ratios`` gives the feature of each pair by name.  Only wide rows
+# travel; they become a row for each pair where they meet what is known of their session, and are added up at once.
+
+def validate_pairs(rows: DataFrame, ratios: Mapping[str, Column], keys: Sequence[str], folds: int = 5, models: Sequence[str] = CLOSED) -> DataFrame:
+    """``(keys, combo, model, RMSE_mean)`` of the closed-form models of all pairs, as ``cv_summary`` has it after ``cross_validate``."""
+    keys, xs = list(keys), list(ratios.values())
+    blocked = add_blocks(rows.where(F.col("n") > folds), folds)
+    centre = blocked.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.array(*[F.avg(x) for x in xs]).alias("_x0"), F.array(*[F.avg(F.when(x.isNotNull(), F.col("y"))) for x in xs]).alias("_y0")
+    )
+    pairs = F.array(*[F.struct(F.lit(i).alias("_pair"), x.alias("x"), F.col("_x0")[i].alias("x0"), F.col("_y0")[i].alias("y0")) for i, x in enumerate(xs)])
+    train = join_segments(blocked.where(F.col("block") < folds), centre, keys, "row", "n").select(*keys, "n", "block", "y", "w", F.inline(pairs)).where("x is not null")
+    train = train.withColumn("fold", F.explode(F.sequence(F.col("block") + 1, F.lit(folds))))
+    forms = F.array(*[F.struct(*p) for p in closed_forms(models)])
+    solved = power_sums(train, [*keys, "n", "fold", "_pair"]).select(*keys, "n", "fold", F.struct("_pair", forms.alias("_forms")).alias("_fit"))
+    fitted = solved.groupBy(*keys, "n", "fold").agg(F.collect_list("_fit").alias("_fits"))
+    test = blocked.where("block > 0").withColumnRenamed("block", "fold")
+    met = join_segments(test, fitted, [*keys, "fold"], "row", "n").select(*keys, "fold", "y", F.array(*xs).alias("_xs"), F.inline("_fits"))
+    met = met.withColumn("x", F.get("_xs", F.col("_pair")))
+
+    def error(k: int) -> Column:
+        p, x = F.col("_forms")[k], F.col("x")
+        return p["p0"] + p["p1"] * x + p["p2"] * x * x - F.col("y")
+
+    by_fold = met.groupBy(*keys, "_pair", "fold").agg(*[F.sqrt(F.avg(error(k) * error(k))).alias(m) for k, m in enumerate(models)])
+    means = by_fold.groupBy(*keys, "_pair").agg(*[F.avg(m).alias(m) for m in models])
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("RMSE_mean")) for m in models])
+    return means.select(*keys, F.array(*map(F.lit, ratios))[F.col("_pair")].alias("combo"), F.inline(each))
+
+
+def pick_pairs(rows: DataFrame, ratios: Mapping[str, Column], chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Samples ``(.., combo, x)`` of the pair that ``chosen (keys, combo)`` names for each session; without one it has none."""
+    keys = list(keys)
+    sizes = rows.groupBy(*keys).agg(F.max("n").alias("n"))
+    mine = join_segments(rows, chosen.select(*keys, "combo").join(sizes, keys), keys, "row", "n")
+    return mine.withColumn("x", F.coalesce(*[F.when(F.col("combo") == c, x) for c, x in ratios.items()])).where("x is not null")
+
+
 # ---- training and transfer -------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -494,12 +538,14 @@ def apply_table(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataF
     """
     keys = list(keys)
     names = [c for c in rows.columns if c != "model"]
-    read = table.select(*keys, F.col("combo").alias("_combo"), "model")
+    read = table.select(*keys, F.col("combo").alias("_combo"), "model", "params")
     mine = join_stats(rows.select(*names), read, keys).where("combo = _combo").drop("_combo")
-    out = None
-    for kind in kinds_in(table):
+    kinds, out = kinds_in(table), None
+    if plain := [k.name for k in kinds if not k.predict]:
+        out = mine.where(F.col("model").isin(plain)).select(*names, "model", poly_of(F.col("params"), F.col("x")).alias("f"))
+    for kind in (k for k in kinds if k.predict):
         own = table.where(F.col("model") == kind.name)
-        one = predicted(mine.where(F.col("model") == kind.name), own, keys, kind).select(*names, "model", "f")
+        one = predicted(mine.where(F.col("model") == kind.name).drop("params"), own, keys, kind).select(*names, "model", "f")
         out = one if out is None else out.unionByName(one)
     return rows.limit(0).select(*names, F.lit("").alias("model"), F.lit(0.0).alias("f")) if out is None else out
 

@@ -32,12 +32,14 @@ def dense_index(
     out: str = "sample_idx",
     bucket: Column | None = None,
     bucket_span: int = 1 << 20,
+    total: str | None = None,
 ) -> DataFrame:
     """Number rows 0, 1, 2, ... per key by ``order`` without a per-key window.
 
     Rows are counted per (key, bucket of ``order``); the running total of those
     counts is the offset of the bucket, and ``row_number`` runs inside a bucket.
     ``bucket`` must not decrease along ``order``; the default suits integers.
+    ``total`` names a column for the number of the key's rows.
     """
     b = F.expr(f"`{order}` div {bucket_span}") if bucket is None else bucket
     tagged = df.withColumn("_bucket", b)
@@ -46,7 +48,9 @@ def dense_index(
     offsets = (
         tagged.groupBy(*part)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumns({
+            "_offset": F.coalesce(F.sum("_n").over(before), F.lit(0)), **({total: F.sum("_n").over(Window.partitionBy(*keys))} if total else {}),
+        })
         .drop("_n")
     )
     inside = Window.partitionBy(*part).orderBy(order)
@@ -79,6 +83,16 @@ def with_segment(df: DataFrame, idx: str = "sample_idx", size: int = SEGMENT_ROW
     return df.withColumn(SEG, F.expr(f"cast(`{idx}` div {size} as bigint)"))
 
 
+def join_segments(df: DataFrame, stats: DataFrame, keys: Sequence[str], idx: str, count: str, size: int = SEGMENT_ROWS) -> DataFrame:
+    """``df`` with the columns of ``stats``, which has one row per key and the key's number of rows as ``count``.
+
+    ``df`` is numbered by ``idx``.  Each segment of it meets one copy of its key's row: a small key has one copy, where
+    ``join_stats`` makes the same number for all.
+    """
+    spread = stats.withColumn(SEG, F.explode(F.expr(f"sequence(0L, cast((`{count}` - 1) div {size} as bigint))"))).drop(count)
+    return with_segment(df, idx, size).join(spread, [*keys, SEG]).drop(SEG)
+
+
 def with_halo(
     df: DataFrame, idx: str = "sample_idx", size: int = SEGMENT_ROWS, left: int = 0, right: int = 0
 ) -> DataFrame:

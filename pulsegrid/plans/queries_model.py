@@ -14,7 +14,6 @@ from ..operators.motion import Movement
 from ..operators.smoothing import Baseline
 from ..operators.windows import Span
 from ..functions import filters, fits
-from ..functions.scalars import pair_label
 from ..operators import features, filtering, models, motion, spectra, splits
 from ..operators.segments import dense_index, join_stats
 from ..session import materialise
@@ -399,13 +398,20 @@ SMP_ALL = """smp AS (SELECT session_id, combo, i AS row, n, time AS time_center,
 
 
 def _samples(spark, sf, *combos, pairs=(("red", "ir"), ("green", "blue"))):
-    sig = recording(spark, sf, "red", "ir", "green", "blue", "spo2", "time")
-    n = sig.groupBy(*K).agg(F.count("*").alias("n"))
     pairs = [p for p in pairs if not combos or "_".join(p) in combos]
-    long = F.filter(F.array(*[F.struct(pair_label(F.lit(a), F.lit(b)).alias("combo"), F.try_divide(F.col(a), F.col(b)).alias("x")) for a, b in pairs]), lambda p: p["x"].isNotNull())
-    return join_stats(sig, n, K).select(
+    long = F.filter(F.array(*[F.struct(F.lit(c).alias("combo"), x.alias("x")) for c, x in _ratios(pairs).items()]), lambda p: p["x"].isNotNull())
+    return _wide_samples(spark, sf).select(*K, "row", "n", "time_center", "motion", F.inline(long), "y", "w")
+
+
+def _ratios(pairs=PAIRS_MAIN):
+    return {f"{a}_{b}": F.try_divide(F.col(a), F.col(b)) for a, b in pairs}
+
+
+def _wide_samples(spark, sf):
+    sig = recording(spark, sf, "red", "ir", "green", "blue", "spo2", "time", "n")
+    return sig.select(
         *K, F.col("sample_idx").alias("row"), "n", F.col("time").alias("time_center"), (F.col("event_id") % 5 == 0).cast("int").alias("motion"),
-        F.inline(long), F.col("spo2").alias("y"), F.greatest(F.lit(0.05), (F.col("event_id") * 11 % 100) / 100).alias("w"),
+        "red", "ir", "green", "blue", F.col("spo2").alias("y"), F.greatest(F.lit(0.05), (F.col("event_id") * 11 % 100) / 100).alias("w"),
     )
 
 
@@ -556,21 +562,21 @@ tp AS (SELECT o.session_id, row, time_center, y AS spo2_reference, p0 + p1 * x +
 
 
 def _trained(rows):
-    """The model table of all sessions in ``rows``."""
-    summary = models.cv_summary(models.fold_metrics(models.cross_validate(rows, K, 5, models.CLOSED), K, by_motion=False), K)
-    return models.fit_selected(rows, models.best_models(summary, K, digits=9), K)
+    """The model table of all sessions in the wide ``rows``."""
+    best = materialise(models.best_models(models.validate_pairs(rows, _ratios(), K, 5, models.CLOSED), K, digits=9), "best")
+    return models.fit_selected(models.pick_pairs(rows, _ratios(), best, K), best, K)
 
 
 def _transfer(spark, sf):
-    rows = materialise(_samples(spark, sf, pairs=PAIRS_MAIN), "samples")
-    trained = _trained(rows.where("session_id % 2 = 0")).withColumnRenamed("session_id", "subject")
-    new = rows.where("session_id % 2 = 1").withColumn("subject", F.col("session_id") - 1)
-    return models.transfer(trained, new, K, ["subject"])
+    rows = materialise(_wide_samples(spark, sf), "samples")
+    trained = materialise(_trained(rows.where("session_id % 2 = 0")), "trained")
+    new = models.pick_pairs(rows.where("session_id % 2 = 1"), _ratios(), trained.withColumn("session_id", F.col("session_id") + 1), K)
+    return models.transfer(trained.withColumnRenamed("session_id", "subject"), new.withColumn("subject", F.col("session_id") - 1), K, ["subject"])
 
 
 @query("train_best", f"WITH {SIG}, {TRAINED} SELECT session_id, combo, model, {sq('any_value(p0)', 'p0')}, {sq('any_value(p1)', 'p1')}, {sq('any_value(p2)', 'p2')}, {sq('sqrt(avg((y - p0 - p1 * x - p2 * x * x) ** 2))', 'train_rmse')}, {sq('any_value(cv_rmse)', 'cv_rmse')} FROM trn JOIN trained USING (session_id) GROUP BY 1, 2, 3")
 def train_best(spark, sf):
-    t = _trained(materialise(_samples(spark, sf, pairs=PAIRS_MAIN), "samples"))
+    t = _trained(materialise(_wide_samples(spark, sf), "samples"))
     return t.select("session_id", "combo", "model", *[r6(F.col("params")[i], f"p{i}") for i in range(3)], r6("train_rmse", "train_rmse"), r6("cv_rmse", "cv_rmse"))
 
 

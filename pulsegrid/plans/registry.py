@@ -55,13 +55,13 @@ CHANNELS = {
 
 
 def recording(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """``(session_id, sample_idx, event_id, cols)`` of all events."""
+    """``(session_id, sample_idx, event_id, cols)`` of all events; ``n`` is the session's number of them."""
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), "event_id",
         *(["ts"] if "ts" in cols else []),
         *[F.expr(CHANNELS[c]).alias(c) for c in cols if c in CHANNELS],
     )
-    out = dense_index(ev, K, "event_id")
+    out = dense_index(ev, K, "event_id", total="n" if "n" in cols else None)
     if "time" in cols:
         out = out.withColumn("time", F.col("sample_idx") / F.lit(50.0))
     if "clock" in cols:

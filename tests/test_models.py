@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import fits
-from pulsegrid.operators import models, points, splits
+from pulsegrid.operators import models, points, segments, splits
 
 from . import reference_fits as ref
 
@@ -281,3 +281,34 @@ def test_drawn_rows_do_not_go_through_the_driver(spark, table, monkeypatch):
     monkeypatch.setattr(type(table[1]), "hint", lambda self, name, *a: (hints.append(name), plain(self, name, *a))[1])
     models.fit_ransac(table[1], ["session_id", "combo"])
     assert "merge" in hints
+
+
+def test_pairs_of_wide_rows(spark):
+    """Wide rows give the errors and samples that a row for each pair gives, whatever the sizes of the sessions and the places of missing ratios."""
+    g = np.random.default_rng(3)
+    pdf = pd.concat([pd.DataFrame({"session_id": s, "row": np.arange(n), "n": n, "a": g.uniform(1, 9, n), "b": g.integers(0, 4, n) * 1.0}) for s, n in ((1, 300), (2, 41), (3, 5), (4, 60))])
+    pdf["y"], pdf["w"] = 110 - 3 * pdf.a + g.normal(size=len(pdf)), g.uniform(0.05, 1, len(pdf))
+    pdf = pdf.assign(time_center=pdf.row * 1.0, motion=0)
+    ratios = {"a_b": F.try_divide(F.col("a"), F.col("b")), "b_a": F.try_divide(F.col("b"), F.col("a"))}
+    wide = spark.createDataFrame(pdf).repartition(3)
+    long = wide.select("session_id", "row", "n", "time_center", "motion", "y", "w", F.inline(F.array(*[F.struct(F.lit(c).alias("combo"), x.alias("x")) for c, x in ratios.items()]))).where("x is not null")
+    want = models.cv_summary(models.fold_metrics(models.cross_validate(long, K, 5, models.CLOSED), K, by_motion=False), K)
+    by = ["session_id", "combo", "model"]
+    got = models.validate_pairs(wide, ratios, K).where("RMSE_mean is not null").toPandas().sort_values(by).reset_index(drop=True)
+    want = want.where("RMSE_mean is not null").select(*by, "RMSE_mean").toPandas().sort_values(by).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-7)
+    assert set(got.session_id) == {1, 2, 4}
+    best = models.best_models(models.validate_pairs(wide, ratios, K), K)
+    mine = models.pick_pairs(wide, ratios, best, K).select("session_id", "row", "combo", "x").orderBy("session_id", "row").toPandas()
+    same = long.join(best.select("session_id", "combo"), ["session_id", "combo"]).select("session_id", "row", "combo", "x").orderBy("session_id", "row").toPandas()
+    pd.testing.assert_frame_equal(mine, same)
+
+
+def test_segments_meet_their_statistics(spark):
+    """A key's row is copied once for each of its segments, not a fixed number of times."""
+    rows = spark.createDataFrame([(s, i) for s, n in ((1, 25), (2, 10), (3, 1)) for i in range(n)], "session_id int, row int")
+    stats = rows.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("row").alias("total"))
+    met = segments.join_segments(rows, stats, K, "row", "n", 10)
+    assert {(r.session_id, r["count"], r.total) for r in met.groupBy("session_id", "total").count().collect()} == {(1, 25, 300), (2, 10, 45), (3, 1, 0)}
+    numbered = segments.dense_index(rows, K, "row", "at", total="n").where("at <> row or n <> case session_id when 1 then 25 when 2 then 10 else 1 end")
+    assert numbered.count() == 0
