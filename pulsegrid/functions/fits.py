@@ -99,6 +99,58 @@ def margin_line(z, r, count, rest: Decided, mid: float, span: tuple[float, float
     return slope, look(slope)[0]
 
 
+def margin_lines(z, r, count, bounds, above, below, pull, mid, low, high) -> tuple[np.ndarray, np.ndarray]:
+    """``margin_line`` of many groups: ``bounds[g]`` to ``bounds[g + 1]`` are the points of group ``g``, the others have a value for each group."""
+    size = np.diff(bounds)
+    slope, cept = np.empty(len(size)), np.empty(len(size))
+    order = np.argsort(size, kind="stable")
+    # Groups of about the same size are rows of one array, filled up at the end.
+    cuts = np.flatnonzero(np.diff(np.ceil(np.log(size[order]) / np.log(1.2)))) + 1
+    for part in np.split(order, cuts):
+        if not len(part):
+            continue
+        at = bounds[:-1][part][:, None] + np.arange(size[part].max())
+        real = np.arange(at.shape[1]) < size[part][:, None]
+        at = np.where(real, at, 0)
+        one = [np.where(real, z[at], 0.0), np.where(real, r[at], np.inf), np.where(real, count[at], 0.0)]
+        slope[part], cept[part] = _margin_rows(*one, *(v[part] for v in (size, above, below, pull, mid, low, high)))
+    return slope, cept
+
+
+def _margin_rows(z, r, count, size, above, below, pull, mid, low, high) -> tuple[np.ndarray, np.ndarray]:
+    def look(slope, z, r, count, size, above, below, pull, mid):
+        e = r - (slope - mid)[:, None] * z
+        by = np.argsort(e, axis=1)
+        total = np.cumsum(np.take_along_axis(count, by, 1), axis=1)
+        half = (total[:, -1] + above + below) / 2 - below
+        e_by = np.take_along_axis(e, by, 1)
+        c = sum(np.take_along_axis(e_by, np.minimum((total < (k - 0.25)[:, None]).sum(axis=1), size - 1)[:, None], 1)[:, 0] for k in (half, half + 1)) / 2
+        d = e - c[:, None]
+        tied = np.abs(d) <= (1e-12 * (1 + np.abs(c)))[:, None]
+        sign = np.where(tied, 0.0, np.sign(d)) * count
+        on = np.where(tied, count, 0.0)
+        held = on.sum(axis=1)
+        free = np.where(held > 0, np.clip(-(sign.sum(axis=1) + above - below) / np.where(held > 0, held, 1.0), -1, 1), 0.0)
+        return c, slope - SVR_C / 2 * ((sign * z).sum(axis=1) + pull + free * (on * z).sum(axis=1))
+
+    low, high = low.astype(float), high.astype(float)
+    every = (z, r, count, size, above, below, pull, mid)
+    todo, own = np.arange(len(size)), every
+    for _ in range(200):
+        at = (low[todo] + high[todo]) / 2
+        going = (low[todo] < at) & (at < high[todo])
+        if not going.any():
+            break
+        if 2 * going.sum() < len(going):
+            todo, at, own = todo[going], at[going], tuple(v[going] for v in own)
+            going = going[going]
+        down = look(at, *own)[1] > 0
+        high[todo] = np.where(going & down, at, high[todo])
+        low[todo] = np.where(going & ~down, at, low[todo])
+    slope = (low + high) / 2
+    return slope, look(slope, *every)[0]
+
+
 def margin_region(m, sz, sr, z0, z1, r0, r1, rest: Decided, mid: float, old: tuple[float, float, float, float]) -> tuple[float, float, float, float, int]:
     """``(low, high, c_low, c_high, open)``: where the best slope and its intercepts lie for sure, and the points that this leaves open.
 

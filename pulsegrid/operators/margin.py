@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fits
 from ..session import materialise
+from .groups import fields, over_groups
 from .segments import join_stats
 
 #: Open points (two for each row) of a group that one task solves.
@@ -35,10 +36,6 @@ ROUNDS = 12
 REGION = "n long, spread double, low double, high double, c_low double, c_high double, open long, stuck boolean"
 
 
-def fields(df: DataFrame, names: Sequence[str]) -> str:
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-
-
 def scaled(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``(keys, z, t)`` of rows ``(keys, x, y)``, and ``(keys, n, mx, sd, my, sy)``."""
     deviation = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0)
@@ -117,12 +114,15 @@ def fit_margin_lines(rows: DataFrame, keys: Sequence[str], open_points: int = OP
     crowd = last.where("cls = 0").groupBy(*keys).agg((F.count(F.lit(1)) > open_points).alias("crowd"))
     last = last.join(region.select(*keys, "low", "high"), keys).join(stats.drop("n"), keys).join(crowd, keys)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        one = g.iloc[0]
-        inside, rest = decided(g)
-        mid = (one.low + one.high) / 2
-        slope, cept = fits.margin_line(inside.z0.to_numpy(float), inside.r0.to_numpy(float), inside.m.to_numpy(float), rest, mid, (one.low, one.high))
-        return pd.DataFrame({**{k: [one[k]] for k in keys}, "a": [one.my + cept - slope * one.mx / one.sd], "b": [-slope / one.sd], "converged": [not one.crowd]})
+    def solve(c, bounds):
+        first, inside = bounds[:-1], c["cls"] == 0
+        total = lambda v, of: np.add.reduceat(np.where(of, v, 0.0), first)
+        up, down = c["cls"] == 1, c["cls"] == -1
+        rest = total(c["m"], up), total(c["m"], down), total(c["sz"], up) - total(c["sz"], down)
+        own = np.concatenate([[0], np.cumsum(total(1.0, inside))]).astype(int)
+        low, high, mx, sd, my = (c[k][first] for k in ("low", "high", "mx", "sd", "my"))
+        slope, cept = fits.margin_lines(*(c[k][inside].astype(float) for k in ("z0", "r0", "m")), own, *rest, (low + high) / 2, low, high)
+        return {"a": my + cept - slope * mx / sd, "b": -slope / sd, "converged": ~c["crowd"][first].astype(bool)}
 
     # Only a group whose points can't be told apart has more of them than a task should hold; points within a ten-thousandth go together there.
     near = last.where("crowd and cls = 0").groupBy(*keys, "cls", F.round("z0", 4), F.round("r0", 4), "low", "high", "crowd", "mx", "sd", "my").agg(
@@ -130,4 +130,4 @@ def fit_margin_lines(rows: DataFrame, keys: Sequence[str], open_points: int = OP
     ).withColumn("sz", F.col("z0") * F.col("m"))
     need = [*keys, "cls", "m", "sz", "z0", "r0", "low", "high", "crowd", "mx", "sd", "my"]
     solved = last.where("not (crowd and cls = 0)").select(*need).unionByName(near.select(*need))
-    return solved.groupBy(*keys).applyInPandas(run, f"{fields(rows, keys)}, a double, b double, converged boolean")
+    return over_groups(solved, keys, ["r0", "z0"], "a double, b double, converged boolean", solve)

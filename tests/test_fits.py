@@ -224,3 +224,18 @@ def test_radial_fit_where_rounding_breaks_the_root(monkeypatch):
     monkeypatch.setattr(np.linalg, "cholesky", refuse)
     again = fits.margin_dual(phi, t, np.ones(60))
     assert again[2] < fits.GAP and np.allclose(phi @ plain[0] + plain[1], phi @ again[0] + again[1], atol=1e-5)
+
+
+def test_margin_lines_of_many_groups_at_once():
+    """Groups of any sizes together have the line that each has alone, with weighted, tied and decided points."""
+    g = np.random.default_rng(8)
+    size = np.array([2, 134, 3, 140, 134, 1000, 1, 60, 7])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    z, count = g.normal(size=bounds[-1]).round(1), g.integers(1, 4, bounds[-1]).astype(float)
+    r = (2 * z + g.normal(size=len(z))).round(1)
+    above, below, pull = g.integers(0, 5, len(size)), g.integers(0, 5, len(size)), g.normal(size=len(size))
+    mid, top = g.normal(size=len(size)), 100.0 * size + 1
+    slope, cept = fits.margin_lines(z, r, count, bounds, above, below, pull, mid, -top, top)
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        rest = fits.Decided(int(above[k]), int(below[k]), float(pull[k]))
+        np.testing.assert_allclose((slope[k], cept[k]), fits.margin_line(z[a:b], r[a:b], count[a:b], rest, mid[k], (-top[k], top[k])), rtol=1e-9, atol=1e-9)
