@@ -118,13 +118,22 @@ def margin_lines(z, r, count, bounds, above, below, pull, mid, low, high) -> tup
 
 
 def _margin_rows(z, r, count, size, above, below, pull, mid, low, high) -> tuple[np.ndarray, np.ndarray]:
+    single = bool((count <= 1).all() and (count.sum(axis=1) == size).all())
+
+    def middle(e, count, size, above, below):
+        if single:  # values alone sort several times faster
+            e_by, half = np.sort(e, axis=1), (size + above + below) / 2 - below
+            place = lambda k: np.maximum(np.ceil(k - 0.25).astype(int) - 1, 0)
+        else:
+            by = np.argsort(e, axis=1)
+            total = np.cumsum(np.take_along_axis(count, by, 1), axis=1)
+            e_by, half = np.take_along_axis(e, by, 1), (total[:, -1] + above + below) / 2 - below
+            place = lambda k: (total < (k - 0.25)[:, None]).sum(axis=1)
+        return sum(np.take_along_axis(e_by, np.minimum(place(k), size - 1)[:, None], 1)[:, 0] for k in (half, half + 1)) / 2
+
     def look(slope, z, r, count, size, above, below, pull, mid):
         e = r - (slope - mid)[:, None] * z
-        by = np.argsort(e, axis=1)
-        total = np.cumsum(np.take_along_axis(count, by, 1), axis=1)
-        half = (total[:, -1] + above + below) / 2 - below
-        e_by = np.take_along_axis(e, by, 1)
-        c = sum(np.take_along_axis(e_by, np.minimum((total < (k - 0.25)[:, None]).sum(axis=1), size - 1)[:, None], 1)[:, 0] for k in (half, half + 1)) / 2
+        c = middle(e, count, size, above, below)
         d = e - c[:, None]
         tied = np.abs(d) <= (1e-12 * (1 + np.abs(c)))[:, None]
         sign = np.where(tied, 0.0, np.sign(d)) * count

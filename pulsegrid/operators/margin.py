@@ -9,7 +9,7 @@ Each round adds the points that are still open up in the cells of a grid around
 extent of each cell.  From the extents follow bounds of the median and of the derivative for any slope, and so a
 proven interval of slopes and intercepts.  It shrinks with the cells, and with it the band of open points, until they
 fit in one task, where they are solved as they are.  Nothing is approximate: a cell only decides what its extent
-proves.  Groups that are small from the start need no round.
+proves.  Groups that are small from the start need no round: they go to their task as plain rows.
 """
 
 from __future__ import annotations
@@ -90,9 +90,47 @@ def narrowed(region: DataFrame, rows: DataFrame, keys: Sequence[str], k: int) ->
     return cells.groupBy(*keys).applyInPandas(run, f"{fields(region, keys)}, {REGION}")
 
 
+LINE = "a double, b double, converged boolean"
+
+
+def small_lines(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The lines of groups whose rows fit in one task."""
+
+    def solve(c, bounds):
+        first, n = bounds[:-1], np.diff(bounds)
+        group = np.repeat(np.arange(len(n)), n)
+        mean = lambda v: np.add.reduceat(v, first) / n
+        x, y = c["x"].astype(float), c["y"].astype(float)
+        # About the group's first row, so that a constant feature deviates by exactly nothing.
+        x0, y0 = x[first], y[first]
+        x, y = x - x0[group], y - y0[group]
+        mx, my = mean(x), mean(y)
+        x -= mx[group]
+        sd = np.sqrt(mean(x * x))
+        sd = np.where(sd > 0, sd, 1.0)
+        z, r = np.repeat(x / sd[group], 2), np.repeat(y - my[group], 2) + np.tile([fits.SVR_EPS, -fits.SVR_EPS], len(y))
+        none, top = np.zeros(len(n)), fits.SVR_C * n + 1.0
+        slope, cept = fits.margin_lines(z, r, np.ones(len(z)), 2 * bounds, none, none, none, none, -top, top)
+        return {"a": y0 + my + cept - slope * (x0 + mx) / sd, "b": -slope / sd, "converged": np.ones(len(n), bool)}
+
+    return over_groups(rows.select(*keys, "x", "y"), keys, [], LINE, solve)
+
+
 def fit_margin_lines(rows: DataFrame, keys: Sequence[str], open_points: int = OPEN) -> DataFrame:
     """``(keys, a, b, converged)`` of the lines ``y = a - b x`` of rows ``(keys, x, y)`` without nulls."""
     keys = list(keys)
+    rows = materialise(rows.select(*keys, "x", "y"), "margin-input")
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(2 * F.col("n") > open_points)
+    large = materialise(large.select(*keys), "margin-large")
+    if not large.head(1):
+        return small_lines(rows, keys)
+    small = small_lines(rows.join(large, keys, "left_anti"), keys)
+    return small.unionByName(large_lines(rows.join(large, keys, "left_semi"), keys, open_points))
+
+
+def large_lines(rows: DataFrame, keys: Sequence[str], open_points: int = OPEN) -> DataFrame:
+    """The lines of groups of any size."""
+    keys = list(keys)
     rows, stats = scaled(rows, keys)
     # At first nothing is known: slopes up to where the penalty alone outweighs all rows, intercepts within all residuals.
     top = F.lit(fits.SVR_C) * F.col("n") + 1.0  # the derivative's sum is at most C n, as |z| averages at most 1
@@ -130,4 +168,4 @@ def fit_margin_lines(rows: DataFrame, keys: Sequence[str], open_points: int = OP
     ).withColumn("sz", F.col("z0") * F.col("m"))
     need = [*keys, "cls", "m", "sz", "z0", "r0", "low", "high", "crowd", "mx", "sd", "my"]
     solved = last.where("not (crowd and cls = 0)").select(*need).unionByName(near.select(*need))
-    return over_groups(solved, keys, ["r0", "z0"], "a double, b double, converged boolean", solve)
+    return over_groups(solved, keys, ["r0", "z0"], LINE, solve)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import fits, spectral
-from pulsegrid.operators import groups, models
+from pulsegrid.operators import groups, margin, models
 from pulsegrid.operators.margin import fit_margin_lines
 from pulsegrid.operators.points import fit_steps
 
@@ -50,6 +50,21 @@ def test_margin_line_of_a_large_group(spark, noise):
     lines(pdf, {r.g: r for r in fit_margin_lines(spark.createDataFrame(pdf), ["g"]).collect()})
 
 
+def test_small_groups_are_solved_as_they_are(spark, monkeypatch):
+    """Beside a large group, too; a constant feature has no slope."""
+    large = []
+    monkeypatch.setattr(margin, "scaled", lambda rows, keys, f=margin.scaled: large.append({r.g for r in rows.select("g").distinct().collect()}) or f(rows, keys))
+    frames = [pd.DataFrame({"g": k, "x": law(n, k, 0.3)[0], "y": law(n, k, 0.3)[1]}) for k, n in enumerate([1, 3, 80, 100, 101, 400])]
+    pdf = pd.concat([*frames, pd.DataFrame({"g": 9, "x": 0.1, "y": np.arange(7.0)})])
+    df = spark.createDataFrame(pdf)
+    few = {r.g: r for r in fit_margin_lines(df.where("g <> 4 and g <> 5"), ["g"], 200).collect()}
+    assert not large
+    every = {r.g: r for r in fit_margin_lines(df, ["g"], 200).collect()}
+    assert large == [{4, 5}] and set(every) == set(pdf.g) and all(few[g] == every[g] for g in few)
+    lines(pdf[pdf.g != 9], every)
+    assert every[9].a == 3.0 and abs(every[9].b) < 1e-12
+
+
 def test_regions_hold_the_best_line():
     for seed in range(12):
         x, y, _ = law(400, seed, (0.05, 0.5, 3.0)[seed % 3])
