@@ -43,6 +43,8 @@ BLOCK = 2048
 HOT = 48
 #: Index entries of a bucket and of a step; members in a row.
 BUCKET, STEP, ROW = 600_000, 500_000, 1024
+#: Bits of a key that travel beside its bucket.  Some tens of a bucket's keys meet by chance, which only makes candidates.
+TRAVEL = 32
 #: Least bytes of the sketch that rules out most pairs.
 SKETCH = 128
 #: Words whose hashes a worker remembers, and bytes of text that it takes apart at a time.
@@ -190,13 +192,13 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def named(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The name of a key: its bucket over the 40 bits that travel."""
-    return (bucket_of(keys, buckets) << 40) | low_bits(keys).astype(np.int64)
+    """The name of a key: its bucket over the bits that travel."""
+    return (bucket_of(keys, buckets) << TRAVEL) | low_bits(keys).astype(np.int64)
 
 
 def low_bits(keys: np.ndarray) -> np.ndarray:
-    """The 40 bits of a key that travel; the bucket stands for most of the others."""
-    return (keys >> U64(16)) & U64((1 << 40) - 1)
+    """The bits of a key that travel, beside those that decide the bucket."""
+    return (keys >> U64(16)) & U64((1 << TRAVEL) - 1)
 
 
 def digest(members: np.ndarray) -> int:
@@ -359,7 +361,7 @@ class Packer:
             at = (np.cumsum(seen) - 1)[o >> 1]
             order = np.argsort(k, kind="stable")
             k, at, o = k[order], at[order], o[order]
-            packed = squeezed(np.diff(k, prepend=U64(0)), 5)
+            packed = squeezed(np.diff(k, prepend=U64(0)), TRAVEL // 8)
             here = low_bits(hot_keys[hot_bucket == b]).astype("<u8").tobytes()
             out.append((b, packed, squeezed((2 * at + (o & 1)).astype(U64), 2), classes[used].astype("<i8").tobytes(), size_code(sizes[used]).tobytes(), here, b"", b"", b""))
         if stars:
@@ -464,7 +466,7 @@ def unpack(rows: pa.Table, probes: bool = False) -> tuple[np.ndarray, np.ndarray
     for k, o, c, n, h in zip(*(rows[x].to_pylist() for x in ("keys", "owners", "classes", "sizes", "hot")), strict=True):
         if not k:
             continue
-        keys.append(np.cumsum(unsqueezed(k, 5), dtype=U64))
+        keys.append(np.cumsum(unsqueezed(k, TRAVEL // 8), dtype=U64))
         owner = unsqueezed(o, 2).astype(np.int64)
         classes.append(np.frombuffer(c, "<i8")[owner >> 1])
         sizes.append(np.frombuffer(n, np.uint8).astype(np.int64)[owner >> 1])
@@ -525,7 +527,7 @@ def meet(rows: pa.Table) -> pa.Table:
             ok = (c != c[lead]) & (np.abs(n - n[lead]) <= CODE_REACH)
             pairs.append(np.c_[np.minimum(c[lead], c[ok]), np.maximum(c[lead], c[ok])])
             members = np.c_[c, m.astype(np.int64)]
-            key = (bucket << 40) | int(keys[a])
+            key = (bucket << TRAVEL) | int(keys[a])
             # Equal groups of several keys are one set; a hot key's group is in several parts, so the key names it.
             name = digest(np.array([key])) if h else digest(members[:, 0] * 2 + members[:, 1])
             for at in range(0, w, ROW):
@@ -558,13 +560,15 @@ def members(found: DataFrame) -> DataFrame:
 
 
 PAIRS = "a long, b long, margin long"
+#: In place of a margin: a group has more pairs than it gave.
+MORE = -1
 
 
 def close_pairs(groups: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """Pairs of different components that sizes and sketches allow, one of them in its own band, from groups ``(set, class, comp, own, n, sketch)``.
 
     ``margin`` says by how many shingles the sketches differ less than they may.  With ``best`` a group gives one pair, that of
-    the largest margin, for each two components.
+    the largest margin, for each two components, and a row ``(set, 0, MORE)`` if it has other pairs.
     """
 
     def best_of(p, ka, kb):
@@ -573,7 +577,7 @@ def close_pairs(groups: DataFrame, percent: int, best: bool = False) -> DataFram
         low, high = low[order], high[order]
         return p[order[np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])][: len(order)]]]
 
-    def pairs_of(c, k, o, n, x):
+    def pairs_of(name, c, k, o, n, x):
         # Members of the largest component meet only the others.
         kinds, of, size = np.unique(k, return_inverse=True, return_counts=True)
         rest = np.flatnonzero(of != np.argmax(size))
@@ -589,7 +593,11 @@ def close_pairs(groups: DataFrame, percent: int, best: bool = False) -> DataFram
             margin = allowed(n[a] + n[b], percent) - np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64)
             a, b, margin = a[margin >= 0], b[margin >= 0], margin[margin >= 0]
             p = np.c_[np.minimum(c[a], c[b]), np.maximum(c[a], c[b]), margin]
-            yield best_of(p, k[a], k[b]) if best else p
+            if best:
+                every, p = len(p), best_of(p, k[a], k[b])
+                if every > len(p):
+                    yield np.array([[name, 0, MORE]])
+            yield p
 
     def run(batches):
         rest = None
@@ -603,7 +611,7 @@ def close_pairs(groups: DataFrame, percent: int, best: bool = False) -> DataFram
             o = rows.column("own").to_numpy(zero_copy_only=False)
             x, out = rows.column("sketch").to_pylist(), []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                out += pairs_of(c[a:b], k[a:b], o[a:b], n[a:b], folded(x[a:b], min(map(len, x[a:b]))))
+                out += pairs_of(name[a], c[a:b], k[a:b], o[a:b], n[a:b], folded(x[a:b], min(map(len, x[a:b]))))
             p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
             return table(a=p[:, 0], b=p[:, 1], margin=p[:, 2]), rows.slice(int(edge[-1]))
 
@@ -660,7 +668,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
         raw = [flat[bounds[k] : bounds[k + 1]].tobytes() for k in keep.tolist()]
         return table(**{"class": own[keep]}, shingles=pa.array(raw, pa.binary()))
 
-    sets = materialise(Filter(wanted.select("id")).scan(docs, "class long, shingles binary", sets).dropDuplicates(["class"]), "sets")
+    # Not written: both joins take them from the exchange that leaves one of each class.
+    sets = Filter(wanted.select("id")).scan(docs, "class long, shingles binary", sets).dropDuplicates(["class"])
     side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias("s" + x))
 
     def run(batches):
@@ -675,7 +684,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = materialise(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
-    for read in (sets, wanted, pairs):
+    for read in (wanted, pairs):
         remove(read)
     return links
 
@@ -760,7 +769,7 @@ def meet_probes(rows: pa.Table) -> pa.Table:
         if not n.any() or n.all() or (own == own[0]).all():
             continue
         group = np.c_[own, n]
-        name, key = digest(group[:, 0] * 2 + group[:, 1]), (bucket << 40) | int(keys[a])
+        name, key = digest(group[:, 0] * 2 + group[:, 1]), (bucket << TRAVEL) | int(keys[a])
         for at in range(0, len(group), ROW):
             cut = group[at : at + ROW]
             out.append((2, name, key, digest(cut[:, 0] * 2 + cut[:, 1]), 0, cut.tobytes(), None))
@@ -814,11 +823,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     # One pair for each two components first, the most likely; then all that are still apart.
     near = materialise(close_pairs(sketched(mixed_groups(cand, roots)), percent, best=True), "near")
-    first = between(near, roots).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "margin").alias("p")).select("p.a", "p.b")
+    best = near.where(F.col("margin") != MORE)
+    first = between(best, roots).groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "margin").alias("p")).select("p.a", "p.b")
     first = materialise(first, "first")
     links = links.unionByName(verified(first, reps, docs, width, percent))
     roots = components(links)
-    later = close_pairs(sketched(mixed_groups(cand, roots)), percent).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    # Components only grow, so a group that gave all its pairs has no others now.
+    more = near.where(F.col("margin") == MORE).select(F.col("a").alias("set")).distinct()
+    later = close_pairs(sketched(mixed_groups(cand.join(more, "set", "left_semi"), roots)), percent)
+    later = later.unionByName(between(best, roots).select(*later.columns)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(later, reps, docs, width, percent))
     for read in (cand, near, first):
         remove(read)
@@ -828,8 +841,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     of = named_by.join(least, "root").select("class", "component", "root")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     out = rows.select("id", "n", "hash", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of, "class", "left")
-    more = [F.col("hash").alias("text_hash"), F.when(F.col("id").isNotNull(), F.col("root")).alias("group_id")] if detail else []
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), *more)
+    extras = [F.col("hash").alias("text_hash"), F.when(F.col("id").isNotNull(), F.col("root")).alias("group_id")] if detail else []
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), *extras)
 
 
 def join_by_set(own: DataFrame, mixed: DataFrame) -> DataFrame:

@@ -73,3 +73,13 @@ def test_bands_hold_every_partner():
         least = -(-75 * n // 100)
         assert bands.of(n) - bands.of(least) <= 1
         assert bands.segments(bands.of(n)) > J.most_different(n)
+
+
+def test_a_group_says_whether_it_has_more_pairs(spark):
+    """Only such a group is looked at again once its components have grown."""
+    rows = [(1, 1, 1), (1, 2, 2), (2, 3, 3), (2, 4, 3), (2, 5, 5)]
+    groups = spark.createDataFrame([(*r, True, 40, bytes(J.SKETCH)) for r in rows], "set long, class long, comp long, own boolean, n long, sketch binary")
+    got = {(r.a, r.b) for r in J.close_pairs(groups, 75, best=True).where("margin >= 0").collect()}
+    assert len(got) == 2 and (1, 2) in got and got < {(1, 2), (3, 5), (4, 5)}
+    assert [r.a for r in J.close_pairs(groups, 75, best=True).where(f"margin = {J.MORE}").collect()] == [2]
+    assert {(r.a, r.b) for r in J.close_pairs(groups, 75).collect()} == {(1, 2), (3, 5), (4, 5)}
