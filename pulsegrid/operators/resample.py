@@ -102,11 +102,16 @@ def resample_sparse(
     )
     wide_grid = grid.join(F.broadcast(df.sparkSession.createDataFrame([(c,) for c in cols], "channel string")))
     done = resample_linear(long, [*keys, "channel"], ["v"], wide_grid, fs, "_t", idx, size)
-    values = done.groupBy(*keys, "grid_idx").agg(
-        *[F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in cols]
-    )
-    points = grid_points(grid.where("n_grid > 0"), keys, "0L", "(n_grid - 1)", spread=True)
-    return points.select(*keys, "grid_idx", grid_time(fs).alias("time")).join(values, [*keys, "grid_idx"], "left")
+    if len(cols) == 1:
+        values = done.select(*keys, "grid_idx", "time", F.col("v").alias(cols[0]))
+    else:
+        values = done.groupBy(*keys, "grid_idx").agg(
+            F.max("time").alias("time"), *[F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in cols]
+        )
+    # A column with two samples or more has a value at every point, so only where none has are the points made apart.
+    served = long.groupBy(*keys, "channel").agg(F.min("_t").alias("_a"), F.max("_t").alias("_z")).where("_a < _z").select(*keys).distinct()
+    bare = grid_points(grid.where("n_grid > 0").join(served, list(keys), "left_anti"), keys, "0L", "(n_grid - 1)", spread=True)
+    return values.unionByName(bare.select(*keys, "grid_idx", grid_time(fs).alias("time"), *[F.lit(None).cast("double").alias(c) for c in cols]))
 
 
 def shift_grid(

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -137,6 +139,21 @@ def test_resample_linear_and_sparse(spark, size):
             assert np.allclose(out.z, lerp_extend(g.time[ok].to_numpy(), g.z[ok].to_numpy(), at), atol=1e-8)
 
 
+def test_sparse_columns_fill_the_grid_without_dealing_its_points(spark):
+    rows = [("a", 0, 0.0, 1.0, None), ("a", 1, 0.1, 2.0, 5.0), ("one", 0, 0.0, 3.0, None), ("none", 0, 0.0, None, None), ("z", 0, 0.0, None, 1.0), ("z", 1, 1.0, None, 2.0)]
+    df = spark.createDataFrame(rows, "session_id string, sample_idx long, time double, x double, z double")
+    grid = spark.createDataFrame([(s, 0.0, n) for s, n in (("a", 4), ("one", 2), ("none", 3), ("z", 2), ("empty", 0))], "session_id string, t0 double, n_grid long")
+    out = resample.resample_sparse(df, K, ["x"], grid, 10.0)
+    assert "grid_idx" not in "".join(re.findall(r"hashpartitioning\([^)]*", out._jdf.queryExecution().toString()))
+    got = sorted((r.session_id, r.grid_idx, round(r.time, 6), r.x and round(r.x, 6)) for r in out.collect())
+    assert got == [
+        *[("a", k, k / 10, 1.0 + k) for k in range(4)], *[("none", k, k / 10, None) for k in range(3)], *[("one", k, k / 10, None) for k in range(2)],
+        *[("z", k, k / 10, None) for k in range(2)],
+    ]
+    both = sorted((r.session_id, r.grid_idx, r.x, r.z and round(r.z, 6)) for r in resample.resample_sparse(df, K, ["x", "z"], grid, 10.0).collect() if r.session_id in ("z", "none"))
+    assert both == [*[("none", k, None, None) for k in range(3)], ("z", 0, None, 1.0), ("z", 1, None, 1.1)]
+
+
 @pytest.mark.parametrize("size", [50, 5000])
 def test_lag_and_shift(spark, size):
     base = np.random.default_rng(0).normal(size=500)
