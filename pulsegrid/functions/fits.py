@@ -22,7 +22,13 @@ def scaling(x: np.ndarray) -> tuple[float, float]:
 
 def robust_step(sums: np.ndarray, sigma: float) -> tuple[float, float, float]:
     """New ``(slope, intercept, sigma)`` of the Huber loss with its scale, for a
-    fixed split into near and far rows.
+    fixed split into near and far rows; see ``robust_steps``."""
+    slope, cept, scale = robust_steps(np.asarray(sums, float)[:, None], np.array([float(sigma)]))
+    return float(slope[0]), float(cept[0]), float(scale[0])
+
+
+def robust_steps(sums: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``robust_step`` of many groups, one in each column.
 
     ``sums`` over near rows: w, wz, wy, wzz, wzy, wyy; over far rows: w,
     w*sign*z, w*sign; last the weight of all rows.  With the split fixed the
@@ -30,25 +36,112 @@ def robust_step(sums: np.ndarray, sigma: float) -> tuple[float, float, float]:
     the two are alternated until they agree; no further look at the rows.
     """
     s, sz, sy, szz, szy, syy, far, far_z, far_1, total = sums
-    slope = cept = 0.0
+    slope, cept, sigma = np.zeros(len(sigma)), np.zeros(len(sigma)), sigma.copy()
+    room = total - EPSILON**2 * far
+    going = np.ones(len(sigma), bool)
     for _ in range(200):
         a11, a12, a22 = szz + ALPHA * sigma, sz, s
         b1, b2 = szy + EPSILON * sigma * far_z, sy + EPSILON * sigma * far_1
         det = a11 * a22 - a12 * a12
-        if not det > 0:
+        going &= det > 0
+        if not going.any():
             break
-        slope, cept = (b1 * a22 - b2 * a12) / det, (a11 * b2 - a12 * b1) / det
+        safe = np.where(going, det, 1.0)
+        slope = np.where(going, (b1 * a22 - b2 * a12) / safe, slope)
+        cept = np.where(going, (a11 * b2 - a12 * b1) / safe, cept)
         rest = syy - 2 * slope * szy - 2 * cept * sy + slope**2 * szz + 2 * slope * cept * sz + cept**2 * s
-        room = total - EPSILON**2 * far
-        new = np.sqrt(max(rest, 0.0) / room) if room > 0 else sigma
-        new = max(new, 1e-10)
-        done = abs(new - sigma) <= 1e-13 * max(1.0, sigma)
-        sigma = new
-        if done:
-            break
+        new = np.where(room > 0, np.sqrt(np.maximum(rest, 0.0) / np.where(room > 0, room, 1.0)), sigma)
+        new = np.maximum(new, 1e-10)
+        done = np.abs(new - sigma) <= 1e-13 * np.maximum(1.0, sigma)
+        sigma = np.where(going, new, sigma)
+        going &= ~done
     return slope, cept, sigma
 
 
+def hash_int(value: np.ndarray | int, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of an integer column after columns whose hash is ``seed``, as 64-bit words."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seed.astype(np.uint64) + p5 + np.uint64(4)) ^ (np.asarray(value).astype(np.uint64) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def medians(v: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The middle of each group, or half way between the two middle ones."""
+    n = np.diff(bounds)
+    by = v[np.lexsort((v, np.repeat(np.arange(len(n)), n)))]
+    low, high = by[bounds[:-1] + (n - 1) // 2], by[bounds[:-1] + n // 2]
+    return np.where(n % 2 == 1, low, low * 0.5 + high * 0.5)
+
+
+#: Values of rows under drawn lines that are looked at together: about as many as stay in a core's memory.
+LOOKS = 1 << 17
+
+
+def consensus_lines(x: np.ndarray, y: np.ndarray, w: np.ndarray, bounds: np.ndarray, salt: np.ndarray, seed: int, trials: int) -> np.ndarray:
+    """``p0, p1`` of the consensus line of each group of rows in order, NaN where there is none.
+
+    ``trials`` pairs of a group are drawn by hashes over its ``salt``, the hash of its keys; the line of a pair that most rows agree with
+    (then the best fitting, then the first) is fitted again to those rows.
+    """
+    n = np.diff(bounds)
+    first, group = bounds[:-1], np.repeat(np.arange(len(n)), n)
+    limit = medians(np.abs(y - medians(y, bounds)[group]), bounds)
+    place = hash_int(np.arange(trials)[None, :], salt[:, None])
+    draw = [hash_int(seed * 10 + s, place).view(np.int64) for s in (0, 1)]
+    out = np.full((len(n), 2), np.nan)
+    some = np.flatnonzero(n >= 2)
+    order, at = some[np.argsort(-n[some], kind="stable")], 0
+    while at < len(order):
+        part = order[at : at + max(1, LOOKS // int(n[order[at]] * trials))]
+        at += len(part)
+        m = n[part][:, None]
+        i = draw[0][part] % m
+        j = (i + 1 + draw[1][part] % (m - 1)) % m
+        real = np.arange(int(m.max())) < m
+        here = np.where(real, first[part][:, None] + np.arange(real.shape[1]), 0)
+        px, py, pw = (np.where(real, v[here], 0.0) for v in (x, y, w))
+        xi, yi, xj, yj = (np.take_along_axis(v, k, 1) for k in (i, j) for v in (px, py))
+        same = xi == xj
+        slope = np.where(same, 0.0, (yj - yi) / np.where(same, 1.0, xj - xi))
+        cept = np.where(same, (yi + yj) / 2, yi - slope * xi)
+        most = limit[part][:, None]
+        e = py[:, None, :] - cept[:, :, None] - slope[:, :, None] * px[:, None, :]
+        ok = (np.abs(e) <= most[:, :, None]) & real[:, None, :]
+        agree = ok.sum(axis=2)
+        as_number = ok.astype(float)
+        e *= as_number
+        sse = np.einsum("gtn,gtn->gt", e, e)
+        sy, syy = (np.matmul(as_number, v[:, :, None])[:, :, 0] for v in (py, py * py))
+        spread = syy - sy * sy / np.maximum(agree, 1)
+        score = np.where(spread > 0, 1 - sse / np.where(spread > 0, spread, 1.0), -np.inf)
+        score = np.where(agree == agree.max(axis=1, keepdims=True), np.maximum(score, -1e308), -np.inf)
+        best = score.argmax(axis=1)
+        inside = ok[np.arange(len(part)), best]
+        out[part] = weighted_lines(px, py, np.where(inside, pw, 0.0), inside)
+    return out
+
+
+def weighted_lines(x: np.ndarray, y: np.ndarray, w: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """``p0, p1`` of the weighted line of the rows ``inside`` of each row of arrays; NaN without rows or where they share one ``x``."""
+    count = inside.sum(axis=1)
+    some = np.maximum(count, 1)
+    total = lambda v: np.where(inside, v, 0.0).sum(axis=1)
+    # About one of the rows, so that an equal feature deviates by exactly nothing.
+    x1, y1 = (np.take_along_axis(v, inside.argmax(axis=1)[:, None], 1) for v in (x, y))
+    u, v = x - x1, y - y1
+    mu, mv = total(u) / some, total(v) / some
+    u, v = u - mu[:, None], v - mv[:, None]
+    s0 = total(w)
+    with np.errstate(all="ignore"):
+        du, dv = total(w * u) / s0, total(w * v) / s0
+        wide = total(w * u * u) / s0 - du * du
+        slope = (total(w * u * v) / s0 - du * dv) / np.where(wide == 0, np.nan, wide)
+    return np.stack([y1[:, 0] + mv + dv - slope * du - slope * (x1[:, 0] + mu), slope], axis=1)
+
+
 @dataclass(frozen=True)
 class Decided:
     """Edge points above and below every line that may be the best, and the difference of their feature sums."""
@@ -310,7 +403,9 @@ def _cut_all(run, run0, total, total0, start) -> np.ndarray:
     best = np.flatnonzero(gap == np.repeat(np.maximum.reduceat(gap, start), count))
     part = np.searchsorted(start, best, side="right")
     best = best[np.append(True, part[1:] != part[:-1])]
-    return np.union1d(start, best)
+    cut = np.zeros(len(run), bool)
+    cut[start] = cut[best] = True
+    return np.flatnonzero(cut)
 
 
 def step_predict(fit, x) -> np.ndarray:
@@ -422,3 +517,13 @@ def margin_dual(phi: np.ndarray, t: np.ndarray, c: np.ndarray, rounds: int = 80)
         rest = np.maximum(top - a, 1e-14 * top)
         a = np.maximum(a, 1e-14 * top)
     return best
+
+
+def radial_groups(z: np.ndarray, t: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+    """``(centres, coefficients, bias, gap)`` of the radial support-vector fit of each group of scaled points."""
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        centres, basis = kernel_basis(np.unique(np.floor(z[a:b] / CELL)))
+        weights, bias, gap = margin_dual(kernel_features(z[a:b], centres, basis), t[a:b], c[a:b])
+        out.append((centres, basis @ weights, bias, gap))
+    return out

@@ -75,6 +75,34 @@ def over_groups(
             cols += [pa.array(got[n], target.field(n).type) for n in made]
             yield from pa.Table.from_arrays(cols, schema=target).to_batches(max_chunksize=4096)
 
+    return together(rows, keys, order).mapInArrow(run, kind)
+
+
+def together(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of a group in one task, one after the other in ``order``."""
     # As many tasks as the session has for a shuffle: their work is in the rows' arithmetic, not in their bytes.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
+
+
+def map_groups(
+    rows: DataFrame, keys: Sequence[str], read: Sequence[str], passed: Sequence[str], made: Sequence[str],
+    solve: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]], held: int = HELD,
+) -> DataFrame:
+    """``(passed, made)`` of the rows that ``solve(columns, bounds)`` keeps, with the doubles it gives them by name; NaN becomes null.
+
+    ``rows`` are ``together`` by ``keys``; ``read`` names the columns, as in ``over_groups``.
+    """
+    kind = T.StructType([*(rows.schema[n] for n in passed), *(T.StructField(n, T.DoubleType()) for n in made)])
+    target = to_arrow_schema(kind)
+    keys, passed = list(keys), list(passed)
+
+    def run(batches):
+        for table, bounds in whole_groups(batches, keys, held):
+            keep, values = solve({n: table.column(n).to_numpy() for n in read}, bounds)
+            cols = [c.combine_chunks() for c in table.select(passed).filter(pa.array(keep)).columns]
+            cols = [c.cast(target.field(n).type) for n, c in zip(passed, cols)]
+            cols += [pa.array(values[n], pa.float64(), from_pandas=True) for n in made]
+            yield from pa.Table.from_arrays(cols, schema=target).to_batches(max_chunksize=4096)
+
+    return rows.mapInArrow(run, kind)

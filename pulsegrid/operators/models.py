@@ -18,8 +18,9 @@ from ..functions import fits
 from ..functions.scalars import clip, pair_label, safe_ratio
 from ..session import materialise
 from .features import per_pair
+from .groups import map_groups, together
 from .margin import fit_margin_lines
-from .points import fields, fit_steps, huber, predict_parts, radial, solve_cells
+from .points import cells_of, fields, fit_steps, huber, predict_parts, radial, solve_cells, steps_of
 from .quantiles import exact_quantiles
 from .segments import SEG, dense_index, join_segments, join_stats, with_segment
 
@@ -34,12 +35,15 @@ class Kind:
 
     ``fit(rows, keys)`` takes rows ``(keys, x, y, w)``, with ``row`` in a group's order, and gives a row
     ``(keys, params array<double>, converged boolean)`` for each group of any size.  ``predict(params, x)`` works on arrays;
-    without it the parameters are a polynomial's, which needs no Python.
+    without it the parameters are a polynomial's, which needs no Python.  ``solve(x, y, w, bounds, salt)`` may give the
+    parameters of the same fit for groups in memory: ``bounds[g]`` to ``bounds[g + 1]`` are the rows of group ``g`` in order,
+    ``salt`` is the hash of its keys; NaN stands for parameters that are not there.
     """
 
     name: str
     fit: Callable[[DataFrame, Sequence[str]], DataFrame]
     predict: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    solve: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Sequence[np.ndarray]] | None = None
 
 
 KINDS: dict[str, Kind] = {}
@@ -105,9 +109,13 @@ def moments(rows: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFram
 
 def power_sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """The sums of rows that carry their centre ``x0, y0``."""
+    return rows.groupBy(*by, "x0", "y0").agg(*[F.sum(t).alias(m) for m, t in zip(MOMENTS, power_terms())])
+
+
+def power_terms() -> list[Column]:
+    """What a row adds to the sums."""
     u, v, w = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("w")
-    terms = [w, w * u, w * v, w * u * u, w * u * v, w * u * u * u, w * u * u * u * u, w * u * u * v, F.lit(1.0), u, u * u]
-    return rows.groupBy(*by, "x0", "y0").agg(*[F.sum(t).alias(m) for m, t in zip(MOMENTS, terms)])
+    return [w, w * u, w * v, w * u * u, w * u * v, w * u * u * u, w * u * u * u * u, w * u * u * v, F.lit(1.0), u, u * u]
 
 
 def closed_forms(models: Sequence[str] = CLOSED) -> list[list[Column]]:
@@ -170,7 +178,10 @@ def fit_svr_line(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return fit_margin_lines(rows.select(*keys, "x", "y").dropna(), keys)
 
 
-def fit_ransac(rows: DataFrame, keys: Sequence[str], order: str = "row", seed: int = 42, trials: int = 100) -> DataFrame:
+SEED, TRIALS = 42, 100  # of the draws
+
+
+def fit_ransac(rows: DataFrame, keys: Sequence[str], order: str = "row", seed: int = SEED, trials: int = TRIALS) -> DataFrame:
     """Consensus lines of all groups at once.
 
     The rows of a group are numbered by ``order``; ``trials`` pairs are drawn by
@@ -262,9 +273,8 @@ def cv_closed(rows: DataFrame, keys: Sequence[str], folds: int = 5, models: Sequ
     )
 
 
-def fold_rows(rows: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:
+def fold_rows(blocked: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:
     """Training and test rows of all folds; a block trains every later fold, so it is there at most ``folds`` times."""
-    blocked = materialise(add_blocks(rows, folds), "blocks")
     train = blocked.where(F.col("block") < folds).withColumn("fold", F.explode(F.sequence(F.col("block") + 1, F.lit(folds))))
     return train, blocked.where("block > 0").withColumnRenamed("block", "fold")
 
@@ -293,10 +303,27 @@ def step_value(p: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 for _name in CLOSED:
     register(Kind(_name, lambda rows, keys, m=_name: poly_params(fit_closed(rows, keys, [m]), keys)))
-register(Kind("huber", lambda rows, keys: poly_params(fit_huber(rows, keys), keys)))
-register(Kind("ransac", lambda rows, keys: poly_params(fit_ransac(rows, keys), keys)))
-register(Kind("svr_rbf", lambda rows, keys: fit_shape(rows, keys, "svr_rbf"), radial_value))
-register(Kind("gbr", lambda rows, keys: fit_shape(rows, keys, "gbr"), step_value))
+def solve_huber(x, y, w, bounds, salt) -> np.ndarray:
+    got = huber(cells_of(x, y, w, bounds))
+    return np.stack([got["p0"], got["p1"], got["p2"]], axis=1)
+
+
+def solve_ransac(x, y, w, bounds, salt) -> np.ndarray:
+    return np.pad(fits.consensus_lines(x, y, w, bounds, salt, SEED, TRIALS), ((0, 0), (0, 1)))
+
+
+def solve_radial(x, y, w, bounds, salt) -> list[np.ndarray]:
+    return radial(cells_of(x, y, w, bounds))["params"]
+
+
+def solve_steps(x, y, w, bounds, salt) -> list[np.ndarray]:
+    return steps_of(x, y, w, bounds)
+
+
+register(Kind("huber", lambda rows, keys: poly_params(fit_huber(rows, keys), keys), solve=solve_huber))
+register(Kind("ransac", lambda rows, keys: poly_params(fit_ransac(rows, keys), keys), solve=solve_ransac))
+register(Kind("svr_rbf", lambda rows, keys: fit_shape(rows, keys, "svr_rbf"), radial_value, solve_radial))
+register(Kind("gbr", lambda rows, keys: fit_shape(rows, keys, "gbr"), step_value, solve_steps))
 
 
 def poly_of(params: Column, x: Column) -> Column:
@@ -319,21 +346,104 @@ def cv_kind(train: DataFrame, test: DataFrame, keys: Sequence[str], kind: Kind)
     return materialise(pred, "fold-predictions")
 
 
+#: Windows of a session up to which its folds are made, fitted and predicted in one task.
+HELD_ROWS = 1 << 14
+#: Rows of small sessions that are fitted together.
+HELD_TOGETHER = 1 << 17
+
+
+def split_sessions(blocked: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of sessions that one task holds and of those that are too long or lack a number (none: None)."""
+    keys = list(keys)
+    number = lambda c: F.coalesce(F.abs(c) < 1e300, F.lit(False))
+    plain = (F.col("n") <= HELD_ROWS) & number("x") & number("y") & number("w") & (F.col("w") > 0)
+    apart = materialise(blocked.where(~plain).select(*keys).distinct(), "apart")
+    if not apart.head(1):
+        return blocked, None
+    return blocked.join(apart, keys, "left_anti"), blocked.join(apart, keys, "left_semi")
+
+
+def closed_held(blocked: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """``cv_closed`` of sessions that one task holds: rows meet the sums of the blocks before theirs without a join."""
+    by = [*keys, "combo"]
+    rows = blocked.select(*by, "block", "row", "time_center", "motion", "x", "y", "w").dropna(subset=[*by, "block"])
+    every = Window.partitionBy(*by)
+    ordered = every.orderBy("block")
+    before = ordered.rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"x0": F.avg("x").over(every), "y0": F.avg("y").over(every)})
+    sums = {m: F.sum(t).over(before) for m, t in zip(MOMENTS, power_terms())}
+    # As in ``cv_closed``, a fold's model goes with the last block that trains it: without rows in it there is none.
+    met = rows.withColumns({**sums, "_last": F.count(F.lit(1)).over(ordered.rangeBetween(-1, -1))}).where("block > 0 and _last > 0")
+    forms = F.array(*[F.struct(F.lit(m).alias("model"), *p) for m, p in zip(models, closed_forms(models))])
+    fitted = met.select(*by, "block", "row", "time_center", "motion", "x", "y", F.inline(forms))
+    return fitted.select(
+        *by, "model", F.col("block").alias("fold"), "row", "time_center", "motion", F.col("y").alias("y_true"), poly_value(F.col("x")).alias("y_pred")
+    )
+
+
+def cv_held(blocked: DataFrame, keys: Sequence[str], folds: int, kinds: Sequence[Kind]) -> DataFrame:
+    """Out-of-fold predictions of ``kinds`` that fit rows in memory, for sessions that one task holds; written.
+
+    The rows of a session and pair meet in one task once, for all folds and models.
+    """
+    by = [*keys, "combo"]
+    rows = together(blocked.select(*by, "block", "row", "time_center", "motion", "x", "y", "w").dropna(subset=[*by, "block"]), by, ["block", "row"])
+    made = [f"f{k}" for k in range(len(kinds))]
+
+    def solve(c, bounds):
+        block, x, y, w = c["block"], *(c[n].astype(float) for n in ("x", "y", "w"))
+        size = np.diff(bounds)
+        group = np.repeat(np.arange(len(size)), size)
+        # Rows of a group come by block: what trains a fold is the group's start, what it tests follows.
+        ends = np.stack([bounds[:-1] + np.bincount(group, block < f, len(size)).astype(int) for f in range(1, folds + 2)], axis=1)
+        many = (ends[:, :-1] - bounds[:-1, None]).ravel()
+        fitted = np.flatnonzero(many > 0)  # group times folds plus fold, without those that have nothing to train on
+        own = np.concatenate([[0], np.cumsum(many[fitted])])
+        at = np.arange(own[-1]) - np.repeat(own[:-1] - bounds[fitted // folds], many[fitted])
+        salt = fits.hash_int(fitted % folds + 1, c["_salt"][bounds[fitted // folds]])
+        tests = [(ends[g, f], ends[g, f + 1]) for g, f in zip(fitted // folds, fitted % folds)]
+        values = {}
+        for name, kind in zip(made, kinds):
+            f = np.full(len(x), np.nan)
+            for p, (a, b) in zip(kind.solve(x[at], y[at], w[at], own, salt), tests):
+                f[a:b] = kind.predict(p, x[a:b]) if kind.predict else p[0] + p[1] * x[a:b] + p[2] * x[a:b] * x[a:b]
+            values[name] = f[block > 0]
+        return block > 0, values
+
+    salted = rows.withColumn("_salt", F.xxhash64(*by))
+    read = ["block", "x", "y", "w", "_salt"]
+    pred = map_groups(salted, by, read, [*by, "block", "row", "time_center", "motion", "y"], made, solve, HELD_TOGETHER)
+    pred = materialise(pred, "fold-predictions")
+    each = F.array(*[F.struct(F.lit(k.name).alias("model"), F.col(n).alias("y_pred")) for n, k in zip(made, kinds)])
+    pred = pred.select(*by, F.col("block").alias("fold"), "row", "time_center", "motion", F.col("y").alias("y_true"), F.inline(each))
+    return pred.select(*by, "model", "fold", "row", "time_center", "motion", "y_true", "y_pred")
+
+
 def cross_validate(rows: DataFrame, keys: Sequence[str], folds: int = 5, models: Sequence[str] = (*CLOSED, *ROBUST, *KERNEL)) -> DataFrame:
     """Out-of-fold predictions of all models, one row per window, pair and model.
 
-    Every model has one algorithm, an aggregation over the training rows, for
-    groups of every size.  Sessions with fewer windows than ``folds + 1`` have no
-    test rows; ``plans.calibration.outcomes`` names them.
+    Every model has one algorithm for groups of every size.  Sessions that one task holds go there once; of
+    others the training rows are added up for each fold and model.  Sessions with fewer windows than
+    ``folds + 1`` have no test rows; ``plans.calibration.outcomes`` names them.
     """
     kinds = known(models)
     rows = rows.where(F.col("n") > folds)
-    parts = []
-    if closed := [m for m in models if m in CLOSED]:
-        parts.append(cv_closed(rows, keys, folds, closed))
-    if others := [k for k in kinds if k.name not in CLOSED]:
-        train, test = fold_rows(rows, folds)
-        parts += [cv_kind(train, test, keys, k) for k in others]
+    others = [k for k in kinds if k.name not in CLOSED]
+    closed = [m for m in models if m in CLOSED]
+    if not others:
+        return cv_closed(rows, keys, folds, closed)
+    blocked = materialise(add_blocks(rows, folds), "blocks")
+    here, apart = split_sessions(blocked, keys)
+    held, parts = [k for k in others if k.solve], []
+    if closed:
+        parts.append(closed_held(here, keys, closed))
+    if closed and apart is not None:
+        parts.append(cv_closed(apart.drop("block"), keys, folds, closed))
+    if held:
+        parts.append(cv_held(here, keys, folds, held))
+    if held and apart is not None:
+        parts += [cv_kind(*fold_rows(apart, folds), keys, k) for k in held]
+    parts += [cv_kind(*fold_rows(blocked, folds), keys, k) for k in others if not k.solve]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -11,6 +11,7 @@ large, takes this way.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,50 +49,102 @@ def cell_sums(rows: DataFrame, keys: Sequence[str], grain: int = GRAIN) -> DataF
     ).agg(*[F.sum(v).alias(f"s_{n}") for n, v in terms.items()])
 
 
-def solve_cells(rows: DataFrame, keys: Sequence[str], schema: str, solve: Callable[[dict[str, np.ndarray], float, float, float], dict]) -> DataFrame:
-    """``(keys, schema)``: ``solve(sums, mx, sd, my)`` for each group, on its cells in a fixed order."""
+@dataclass(frozen=True)
+class Cells:
+    """Cell sums by name of groups that follow each other: ``bounds[g]`` to ``bounds[g + 1]`` is group ``g``, which has one ``mx, sd, my``."""
+
+    sums: dict[str, np.ndarray]
+    bounds: np.ndarray
+    mx: np.ndarray
+    sd: np.ndarray
+    my: np.ndarray
+
+
+def solve_cells(rows: DataFrame, keys: Sequence[str], schema: str, solve: Callable[[Cells], dict[str, Sequence]]) -> DataFrame:
+    """``(keys, schema)``: what ``solve`` gives for each group, on its cells in a fixed order."""
     keys = list(keys)
 
     def run(c, bounds):
-        got = [
-            solve({n: c[f"s_{n}"][a:b] for n in SUMS}, float(c["mx"][a]), float(c["sd"][a]), float(c["my"][a])) for a, b in zip(bounds, bounds[1:])
-        ]
-        return {n: [g[n] for g in got] for n in got[0]}
+        sums = {n: c[f"s_{n}"].astype(float) for n in SUMS}
+        return solve(Cells(sums, bounds, *(c[n][bounds[:-1]].astype(float) for n in ("mx", "sd", "my"))))
 
     return over_groups(cell_sums(rows, keys), keys, ["_z", "_t"], schema, run)
 
 
-def huber(s: dict, mx: float, sd: float, my: float, rounds: int = 500) -> dict:
-    """Robust line; a cell counts as near or far by its mean."""
+def cells_of(x: np.ndarray, y: np.ndarray, w: np.ndarray, bounds: np.ndarray, grain: int = GRAIN) -> Cells:
+    """``cell_sums`` of rows in memory: group ``g`` is the rows ``bounds[g]`` to ``bounds[g + 1]``, at least one."""
+    first, n = bounds[:-1], np.diff(bounds)
+    group = np.repeat(np.arange(len(n)), n)
+
+    def middles(v):
+        """Mean, deviation and scale of the grid; about the first row, so that a constant deviates by exactly nothing."""
+        off = v - v[first][group]
+        mean = np.add.reduceat(off, first) / n
+        off = off - mean[group]
+        sd = np.sqrt(np.add.reduceat(off * off, first) / n)
+        sd = np.where(sd > 0, sd, 1.0)
+        by = np.lexsort((off, group))
+        low, high = (off[by[first + np.maximum(np.ceil(p * n).astype(int), 1) - 1]] for p in (1 / 6, 5 / 6))
+        return v[first] + mean, off, sd, np.where(high > low, (high - low) / 2, sd)
+
+    (mx, z, sd, sx), (my, t, _, sy) = middles(x), middles(y)
+    z = z / sd[group]
+    at = [np.floor(np.arcsinh(v) * grain) for v in (z * (sd / sx)[group], t / sy[group])]
+    by = np.lexsort((at[1], at[0], group))
+    new = np.ones(len(by), bool)
+    new[1:] = np.logical_or.reduce([v[by[1:]] != v[by[:-1]] for v in (group, *at)])
+    cell = np.flatnonzero(new)
+    w, z, t = w[by], z[by], t[by]
+    terms = {"w": w, "wz": w * z, "wt": w * t, "wzz": w * z * z, "wzt": w * z * t, "wtt": w * t * t, "c": np.ones(len(w)), "cz": z, "ct": t}
+    sums = {m: np.add.reduceat(v, cell) for m, v in terms.items()}
+    return Cells(sums, np.append(np.searchsorted(cell, first), len(cell)), mx, sd, my)
+
+
+def huber(c: Cells, rounds: int = 500) -> dict:
+    """Robust lines; a cell counts as near or far by its mean."""
+    names = ("w", "wz", "wt", "wzz", "wzt", "wtt")
+    s, bounds = {n: c.sums[n] for n in names}, c.bounds
     z, t = s["wz"] / s["w"], s["wt"] / s["w"]
-    spread = np.sqrt(s["wtt"].sum() / s["w"].sum())
-    slope, cept, sigma = 0.0, 0.0, max(10 * float(spread), 1e-6)
-    done = False
+    total = lambda v, bounds: np.add.reduceat(v, bounds[:-1])
+    whole = total(s["w"], bounds)
+    size = len(c.mx)
+    line = np.zeros((3, size))
+    line[2] = np.maximum(10 * np.sqrt(total(s["wtt"], bounds) / whole), 1e-6)
+    settled = np.zeros(size, bool)
+    todo = np.arange(size)
     for k in range(rounds):
+        slope, cept, sigma = (np.repeat(v, np.diff(bounds)) for v in line[:, todo])
         r = t - slope * z - cept
         near = np.abs(r) <= fits.EPSILON * sigma
-        far = np.sign(r[~near])
-        sums = [s[n][near].sum() for n in ("w", "wz", "wt", "wzz", "wzt", "wtt")]
-        sums += [s["w"][~near].sum(), (far * s["wz"][~near]).sum(), (far * s["w"][~near]).sum(), s["w"].sum()]
-        new = fits.robust_step(np.array(sums), sigma)
-        done = max(abs(new[0] - slope), abs(new[1] - cept), abs(new[2] - sigma)) < 1e-10
-        if done:
-            break
+        far = np.where(near, 0.0, np.sign(r))
+        parts = [np.where(near, s[n], 0.0) for n in names] + [np.where(near, 0.0, s["w"]), far * s["wz"], far * s["w"]]
+        new = np.array(fits.robust_steps(np.array([*(total(v, bounds) for v in parts), whole]), line[2, todo]))
+        moved = np.abs(new - line[:, todo])
+        done = np.fmax(np.maximum(moved[0], moved[1]), moved[2]) < 1e-10
+        settled[todo[done]] = True
         # plain steps settle in a few rounds; if not, shorter ones end a cycle
         blend = 1.0 if k < 30 else 0.5 if k < 100 else 0.1
-        slope, cept, sigma = (o + blend * (n - o) for o, n in zip((slope, cept, sigma), new))
-    return {"p0": my + cept - slope * mx / sd, "p1": slope / sd, "p2": 0.0, "converged": done}
+        line[:, todo[~done]] += blend * (new - line[:, todo])[:, ~done]
+        if done.all():
+            break
+        if done.any():
+            mine = np.repeat(~done, np.diff(bounds))
+            z, t, s = z[mine], t[mine], {n: v[mine] for n, v in s.items()}
+            bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[~done])])
+            todo, whole = todo[~done], whole[~done]
+    slope, cept, _ = line
+    return {"p0": c.my + cept - slope * c.mx / c.sd, "p1": slope / c.sd, "p2": np.zeros(size), "converged": settled}
 
 
-def radial(s: dict, mx: float, sd: float, my: float) -> dict:
-    """Radial support vector fit in the exact basis of its kernel: ``[mean, sd, bias, gamma, centres, coefficients]``.
+def radial(c: Cells) -> dict:
+    """Radial support vector fits in the exact basis of their kernel: ``[mean, sd, bias, gamma, centres, coefficients]``.
 
     ``converged``: the gap between the two problems of the fit is under a thousandth of its objective.
     """
-    z, t, c = s["cz"] / s["c"], s["ct"] / s["c"], s["w"]
-    centres, basis = fits.kernel_basis(np.unique(np.floor(z / fits.CELL)))
-    weights, bias, gap = fits.margin_dual(fits.kernel_features(z, centres, basis), t, c)
-    return {"params": [mx, sd, my + bias, 1.0, *centres, *(basis @ weights)], "converged": bool(gap < fits.SETTLED)}
+    s = c.sums
+    got = fits.radial_groups(s["cz"] / s["c"], s["ct"] / s["c"], s["w"], c.bounds)
+    params = [np.concatenate([[mx, sd, my + bias, 1.0], centres, beta]) for (centres, beta, bias, _), mx, sd, my in zip(got, c.mx, c.sd, c.my)]
+    return {"params": params, "converged": [gap < fits.SETTLED for *_, gap in got]}
 
 
 #: Points of a group on which trees are grown: its distinct feature values, or as many runs of them by rank.
@@ -130,6 +183,19 @@ def fit_steps(rows: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFra
     return over_groups(sums, keys, ["x0"], "params array<double>, converged boolean", solve)
 
 
+def steps_of(x: np.ndarray, y: np.ndarray, w: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """``fit_steps``' parameters of groups of at most ``BINS`` rows in memory."""
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    by = np.lexsort((x, group))
+    x, w, wy = x[by], w[by], (w * y)[by]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (group[1:] != group[:-1])
+    at = np.flatnonzero(new)
+    weight = np.add.reduceat(w, at)
+    ends = np.append(np.searchsorted(at, bounds[:-1]), len(at))
+    return [np.concatenate(s) for s in fits.boosted_groups(x[at], x[at], np.add.reduceat(wy, at) / weight, weight, ends)]
+
+
 def predict_parts(test: DataFrame, params: DataFrame, keys: Sequence[str], predict: Callable[[np.ndarray, np.ndarray], np.ndarray], part_rows: int = SEGMENT_ROWS) -> DataFrame:
     """``test`` rows with ``f = predict(params, x)``; parts of a group go separately."""
     keys, names = list(keys), test.columns
