@@ -421,10 +421,48 @@ def kernel_basis(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     orthonormal features; a Gaussian kernel on a line needs no more of them than
     its spectrum holds."""
     wide = np.unique((np.asarray(cells)[:, None] + np.arange(-3, 4)[None, :]).ravel())
-    centres = (wide + 0.5) * CELL
-    size, vectors = np.linalg.eigh(np.exp(-((centres[:, None] - centres[None, :]) ** 2)))
+    return (wide + 0.5) * CELL, kernel_map(wide - wide[0])
+
+
+def kernel_map(at: np.ndarray) -> np.ndarray:
+    """The map of a basis, which depends on the distances of its cells only."""
+    at = at * CELL
+    size, vectors = np.linalg.eigh(np.exp(-((at[:, None] - at[None, :]) ** 2)))
     keep = size > 1e-9 * size[-1]
-    return centres, vectors[:, keep] / np.sqrt(size[keep])
+    return vectors[:, keep] / np.sqrt(size[keep])
+
+
+#: Cells between the ends of a group up to which its basis is looked up among those of the others.
+SPAN = 256
+
+
+def kernel_bases(cells: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``kernel_basis`` of each group; groups whose cells lie alike share the map."""
+    first = bounds[:-1]
+    low = np.minimum.reduceat(cells, first)
+    reach = np.maximum.reduceat(cells, first) - low
+    near = np.flatnonzero(reach <= SPAN)
+    out = [None if r <= SPAN else kernel_basis(np.unique(cells[a:b])) for r, a, b in zip(reach, bounds, bounds[1:])]
+    if not len(near):
+        return out
+    width = int(reach[near].max()) + 1
+    place = np.full(len(first), -1)
+    place[near] = np.arange(len(near))
+    row = np.repeat(place, np.diff(bounds))
+    held = row >= 0
+    seen = np.zeros((len(near), width + 6), bool)
+    at = (cells - np.repeat(low, np.diff(bounds)))[held].astype(int)
+    for k in range(7):
+        seen[row[held], at + k] = True
+    alike, which = np.unique(np.packbits(seen, axis=1), axis=0, return_inverse=True)
+    maps = []
+    for bits in alike:
+        cell = np.flatnonzero(np.unpackbits(bits))
+        maps.append((cell, kernel_map((cell - cell[0]).astype(float))))
+    for g, k in zip(near, which.ravel()):
+        cell, basis = maps[k]
+        out[g] = (low[g] - 3 + cell + 0.5) * CELL, basis
+    return out
 
 
 def kernel_features(z: np.ndarray, centres: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -444,86 +482,172 @@ def lower_root(inner: np.ndarray) -> np.ndarray:
         return vectors * np.sqrt(np.maximum(size, 1.0))
 
 
+def lower_inverses(root: np.ndarray) -> np.ndarray:
+    """The inverse of each lower triangular matrix; many small ones at once are several times faster than one by one."""
+    count, size, _ = root.shape
+    half = size // 2
+    if size > 5 and size == 2 * half:
+        both = lower_inverses(np.concatenate([root[:, :half, :half], root[:, half:, half:]]))
+        out = np.zeros_like(root)
+        out[:, :half, :half], out[:, half:, half:] = low, high = both[:count], both[count:]
+        out[:, half:, :half] = -np.matmul(high, np.matmul(root[:, half:, :half], low))
+        return out
+    root = np.ascontiguousarray(root.transpose(1, 2, 0))
+    out = np.zeros_like(root)
+    for i in range(size):
+        out[i, i] = 1 / root[i, i]
+        if i:
+            out[i, :i] = -(root[i, :i, None] * out[:i, :i]).sum(axis=0) * out[i, i]
+    return np.ascontiguousarray(out.transpose(2, 0, 1))
+
+
+def root_inverses(inner: np.ndarray) -> np.ndarray:
+    """The inverse of a root of each matrix; see ``lower_root``."""
+    failed = []
+    try:
+        root = np.linalg.cholesky(inner)
+    except np.linalg.LinAlgError:
+        root = np.empty_like(inner)
+        for g, one in enumerate(inner):
+            try:
+                root[g] = np.linalg.cholesky(one)
+            except np.linalg.LinAlgError:
+                root[g] = np.eye(len(one))
+                failed.append(g)
+    out = lower_inverses(root)
+    for g in failed:
+        out[g] = np.linalg.inv(lower_root(inner[g]))
+    return out
+
+
 def margin_dual(phi: np.ndarray, t: np.ndarray, c: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, float, float]:
-    """``(weights, bias, gap)`` of the margin loss ``|w|^2 / 2 + C sum c max(0, |t - phi w - b| - eps)``.
+    """``margin_duals`` of one group."""
+    weights, bias, gap = margin_duals(phi[None], t[None], c[None], np.ones((1, len(t)), bool), rounds)
+    return weights[0], float(bias[0]), float(gap[0])
+
+
+def margin_duals(phi: np.ndarray, t: np.ndarray, c: np.ndarray, live: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(weights, bias, gap)`` of the margin loss ``|w|^2 / 2 + C sum c max(0, |t - phi w - b| - eps)`` of many groups.
 
     An interior-point method on the dual: two variables a row (one for each edge) between 0 and ``C c``, whose
     signed sum is zero.  The quadratic form has the rank of the features, so a step costs rows times features
     squared.  The gap between the primal and the dual objective bounds the error; it is relative to the primal's size.
+
+    Groups are filled up to the same number of rows and features: rows that are not ``live`` have no features, target
+    or weight, and no part in any sum; features without values get no weight.  A group's steps do not depend on the others.
     """
-    n, k = phi.shape
-    sign = np.repeat([1.0, -1.0], n)
-    price = SVR_EPS - sign * np.tile(t, 2)
-    top = np.tile(SVR_C * c, 2)
-    a = top / 2
+    size, _, k = phi.shape
+    best_w, best_bias, best_gap = np.zeros((size, k)), np.zeros(size), np.full(size, np.inf)
+    sign = np.array([1.0, -1.0])[:, None, None]
+    todo, going, bias = np.arange(size), np.ones(size, bool), np.zeros(size)
+    on = live.astype(float)
+    price = (SVR_EPS - sign * t) * on
+    top = np.where(live, SVR_C * c, 2.0)
+    a = np.stack([top / 2, top / 2])
     rest = top - a
-    lower, upper, bias = np.ones(2 * n), np.ones(2 * n), 0.0
-    best = (np.zeros(k), 0.0, np.inf)
-
-    def both(v):
-        return v[:n] - v[n:]
-
-    for _ in range(rounds):
-        w = both(a) @ phi
-        fit = phi @ w
-        off = np.maximum(np.abs(t - fit - bias) - SVR_EPS, 0.0)
-        primal, dual = w @ w / 2 + SVR_C * float(c @ off), -(w @ w / 2 + price @ a) - bias * float(sign @ a)
-        gap = abs(primal - dual) / (1e-9 + abs(primal))
-        if gap < best[2]:
-            best = (w, bias, gap)
-        if gap < GAP:
-            break
-        stay = sign * np.tile(fit + bias, 2) + price - lower + upper
-        mu = float(a @ lower + rest @ upper) / (4 * n)
-        bend = lower / a + upper / rest
-        inner = phi.T @ (phi * (1 / bend[:n] + 1 / bend[n:])[:, None]) + np.eye(k)
-        if not np.isfinite(inner).all():
-            break
-        root = lower_root(inner)
-
-        def solved(v, bend=bend, root=root):
-            u = v / bend
-            x = np.linalg.solve(root.T, np.linalg.solve(root, both(u) @ phi))
-            return u - sign * np.tile(phi @ x, 2) / bend
-
-        unit = solved(sign)
-
-        def move(to_low, to_high, solved=solved, unit=unit, stay=stay):
-            """The step at which the products of the bounds' distances and prices become as given."""
-            v = -stay + to_low / a - lower - (to_high / rest - upper)
-            free = solved(v)
-            step_bias = float(sign @ free + sign @ a) / float(sign @ unit)
-            step = free - step_bias * unit
-            return step, step_bias, to_low / a - lower - lower / a * step, to_high / rest - upper + upper / rest * step
-
-        def room(step, low, high):
-            short = [1.0]
-            for x, d in ((a, step), (rest, -step), (lower, low), (upper, high)):
-                down = d < 0
-                if down.any():
-                    short.append(float((x[down] / -d[down]).min()))
-            return min(short)
-
-        # First a step to the border, to see how far it goes; then one towards the centre, corrected by its products.
-        s0, _, l0, u0 = move(np.zeros(2 * n), np.zeros(2 * n))
-        far = room(s0, l0, u0)
-        after = float((a + far * s0) @ (lower + far * l0) + (rest - far * s0) @ (upper + far * u0)) / (4 * n)
-        aim = mu * (after / mu) ** 3
-        step, step_bias, low, high = move(aim - s0 * l0, aim + s0 * u0)
-        far = min(1.0, 0.995 * room(step, low, high))
-        if not np.isfinite(far) or far < 1e-12:
-            break
-        a, lower, upper, bias = a + far * step, lower + far * low, upper + far * high, bias + far * step_bias
-        rest = np.maximum(top - a, 1e-14 * top)
-        a = np.maximum(a, 1e-14 * top)
-    return best
+    lower, upper = np.ones(a.shape), np.ones(a.shape)
+    whole = lambda v: v.sum(axis=2).sum(axis=0)
+    both = lambda v: v[0] - v[1]
+    least = lambda *v: np.maximum.reduce([x.max(axis=2).max(axis=0) for x in v])
+    on_rows = lambda x: np.matmul(phi, x[:, :, None])[:, :, 0]
+    on_features = lambda v: np.matmul(v[:, None, :], phi)[:, 0]
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            pull = both(a)
+            w = on_features(pull)
+            fit = on_rows(w)
+            off = np.maximum(np.abs(t - fit - bias[:, None]) - SVR_EPS, 0.0)
+            half = (w * w).sum(axis=1) / 2
+            primal = half + SVR_C * (c * off).sum(axis=1)
+            dual = -(half + whole(price * a)) - bias * pull.sum(axis=1)
+            gap = np.abs(primal - dual) / (1e-9 + np.abs(primal))
+            better = going & (gap < best_gap[todo])
+            at = todo[better]
+            best_w[at], best_bias[at], best_gap[at] = w[better], bias[better], gap[better]
+            going &= ~(gap < GAP)
+            if not going.any():
+                break
+            if 4 * going.sum() <= 3 * len(going):
+                todo, phi, t, c, on, fit, bias = (v[going] for v in (todo, phi, t, c, on, fit, bias))
+                top = top[going]
+                price, a, rest, lower, upper = (v[:, going] for v in (price, a, rest, lower, upper))
+                going = going[going]
+            stay = sign * (fit + bias[:, None]) + price - lower + upper
+            number = 4 * on.sum(axis=1)
+            mu = whole((a * lower + rest * upper) * on) / number
+            to_a, to_rest = lower / a, upper / rest
+            give = on / (to_a + to_rest)
+            scaled = give[0] + give[1]
+            inner = np.matmul(phi.transpose(0, 2, 1), phi * scaled[:, :, None]) + np.eye(k)
+            going &= np.isfinite(inner).all(axis=(1, 2))
+            if not going.any():
+                break
+            if not going.all():
+                inner[~going] = np.eye(k)
+            back = root_inverses(inner)
+
+            def solved(u, back=back, give=give):
+                """``u`` are the values over their bends."""
+                x = np.matmul(back, on_features(both(u))[:, :, None])
+                return u - sign * give * on_rows(np.matmul(back.transpose(0, 2, 1), x)[:, :, 0])
+
+            unit = solved(sign * give)
+            per_bias = both(unit).sum(axis=1)
+
+            def move(to_low, to_high, solved=solved, unit=unit, per_bias=per_bias, stay=stay, give=give, to_a=to_a, to_rest=to_rest):
+                """The step at which the products of the bounds' distances and prices become as given."""
+                at_low, at_high = to_low / a - lower, to_high / rest - upper
+                free = solved((at_low - at_high - stay) * give)
+                step_bias = (both(free).sum(axis=1) + both(a).sum(axis=1)) / per_bias
+                step = free - step_bias[:, None] * unit
+                return step, step_bias, (at_low - to_a * step) * on, (at_high + to_rest * step) * on
+
+            # First a step to the border, to see how far it goes; then one towards the centre, corrected by its products.
+            s0, _, l0, u0 = move(0.0, 0.0)
+            down, up = s0 / a, s0 / rest  # the prices change by as much, so that their shares follow
+            most = np.maximum(least(-down, up), 1 + np.maximum(least(down), least(-up)))
+            far = 1 / np.maximum(most, 1.0)[:, None]
+            after = whole(((a + far * s0) * (lower + far * l0) + (rest - far * s0) * (upper + far * u0)) * on) / number
+            aim = (mu * (after / mu) ** 3)[:, None]
+            step, step_bias, low, high = move(aim - s0 * l0, aim + s0 * u0)
+            far = np.minimum(1.0, 0.995 / np.maximum(least(-step / a, step / rest, -low / lower, -high / upper), 1.0))
+            going &= np.isfinite(far) & (far >= 1e-12)
+            bias = bias + far * step_bias
+            far = far[:, None]
+            a, lower, upper = a + far * step, lower + far * low, upper + far * high
+            rest = np.maximum(top - a, 1e-14 * top)
+            a = np.maximum(a, 1e-14 * top)
+    return best_w, best_bias, best_gap
+
+
+#: Numbers in the features of groups that are solved together: about as many as stay in a core's memory.
+FEATURES = 1 << 17
 
 
 def radial_groups(z: np.ndarray, t: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
-    """``(centres, coefficients, bias, gap)`` of the radial support-vector fit of each group of scaled points."""
-    out = []
-    for a, b in zip(bounds, bounds[1:]):
-        centres, basis = kernel_basis(np.unique(np.floor(z[a:b] / CELL)))
-        weights, bias, gap = margin_dual(kernel_features(z[a:b], centres, basis), t[a:b], c[a:b])
-        out.append((centres, basis @ weights, bias, gap))
+    """``(centres, coefficients, bias, gap)`` of the radial support-vector fit of each group of scaled points; groups of like size are solved together."""
+    size = np.diff(bounds)
+    bases = kernel_bases(np.floor(z / CELL), bounds)
+    rank = np.array([basis.shape[1] for _, basis in bases])
+    out: list = [None] * len(size)
+    # Filled up to one of eight sizes in each doubling, which a group's own size decides, so that none's digits depend on the others.
+    step = np.maximum(1, 1 << np.maximum(np.log2(size).astype(int) - 3, 0))
+    tall, wide = -(-size // step) * step, -(-rank // 4) * 4
+    order = np.lexsort((wide, tall))
+    kinds = np.flatnonzero((np.diff(tall[order]) != 0) | (np.diff(wide[order]) != 0)) + 1
+    chunks = []
+    for same in np.split(order, kinds):
+        most = max(1, FEATURES // int(tall[same[0]] * wide[same[0]]))
+        chunks += np.split(same, range(most, len(same), most))
+    for part in chunks:
+        n, k = int(tall[part[0]]), int(wide[part[0]])
+        real = np.arange(n) < size[part][:, None]
+        here = np.where(real, bounds[:-1][part][:, None] + np.arange(n), 0)
+        phi = np.zeros((len(part), n, k))
+        for row, g in zip(phi, part):
+            row[: size[g], : rank[g]] = kernel_features(z[bounds[g] : bounds[g + 1]], *bases[g])
+        w, bias, gap = margin_duals(phi, np.where(real, t[here], 0.0), np.where(real, c[here], 0.0), real)
+        for j, g in enumerate(part):
+            centres, basis = bases[g]
+            out[g] = centres, basis @ w[j, : rank[g]], float(bias[j]), float(gap[j])
     return out

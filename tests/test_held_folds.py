@@ -2,11 +2,14 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import fits
 from pulsegrid.operators import models, points
 
+from . import reference_fits as ref
+
 K = ["session_id"]
 ALL = (*models.CLOSED, *models.ROBUST, *models.KERNEL)
 ORDER = ["session_id", "combo", "model", "fold", "row", "y_true"]
@@ -94,6 +97,33 @@ def some_groups(sizes, seed=2):
     return x, np.sin(2 * x) * 3 + g.normal(size=len(x)), g.uniform(0.05, 1, len(x)), bounds
 
 
+def test_radial_fits_of_many_groups_take_steps_together(monkeypatch):
+    z, t, c, bounds = some_groups(np.random.default_rng(4).integers(1, 60, 300))
+    roots = []
+    plain = np.linalg.cholesky
+    monkeypatch.setattr(np.linalg, "cholesky", lambda m: (roots.append(1), plain(m))[1])
+    cells = points.Cells({"w": c, "cz": z, "ct": t, "c": np.ones(len(z))}, bounds, np.zeros(300), np.ones(300), np.zeros(300))
+    got = points.radial(cells)
+    assert len(roots) < 300 * 10  # a root for each step of each group would be some 5000
+    assert all(got["converged"])
+    for k in range(0, 300, 20):
+        a, b = bounds[k], bounds[k + 1]
+        alone = fits.radial_groups(z[a:b], t[a:b], c[a:b], np.array([0, b - a]))[0]
+        assert np.array_equal(np.concatenate([alone[0], alone[1]]), got["params"][k][4:]) and alone[2] == got["params"][k][2]
+        if b - a > 8:
+            mean, sd = fits.scaling(z[a:b])
+            fit = ref.svr((z[a:b] - mean) / sd, t[a:b], c[a:b], "rbf", tol=1e-5)
+            own = fits.radial_groups((z[a:b] - mean) / sd, t[a:b], c[a:b], np.array([0, b - a]))[0]
+            near = np.linspace(-1, 1, 9)
+            assert np.abs(fits.svr_predict((0, 1, own[2], own[0], own[1], 1.0), near) - fits.svr_predict(fit, near)).max() < 1e-2
+
+
+@pytest.mark.parametrize("size", [1, 5, 30, 90])
+def test_inverses_of_many_triangular_matrices(size):
+    root = np.tril(np.random.default_rng(size).normal(size=(20, size, size))) + 3 * size**0.5 * np.eye(size)
+    np.testing.assert_allclose(fits.lower_inverses(root) @ root, np.broadcast_to(np.eye(size), root.shape), atol=1e-9)
+
+
 def test_cells_of_rows_in_memory_are_those_of_a_table(spark):
     x, y, w, bounds = some_groups([40, 1, 75, 12])
     x[:40] = 2.5  # a feature without spread
