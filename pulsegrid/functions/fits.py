@@ -501,8 +501,8 @@ def lower_inverses(root: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.transpose(2, 0, 1))
 
 
-def root_inverses(inner: np.ndarray) -> np.ndarray:
-    """The inverse of a root of each matrix; see ``lower_root``."""
+def root_inverses(inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of a root of each matrix, and 1 where the root is the matrix's own, 0 where rounding broke it; see ``lower_root``."""
     failed = []
     try:
         root = np.linalg.cholesky(inner)
@@ -515,9 +515,10 @@ def root_inverses(inner: np.ndarray) -> np.ndarray:
                 root[g] = np.eye(len(one))
                 failed.append(g)
     out = lower_inverses(root)
+    own = np.ones((len(inner), 1, 1))
     for g in failed:
-        out[g] = np.linalg.inv(lower_root(inner[g]))
-    return out
+        out[g], own[g] = np.linalg.inv(lower_root(inner[g])), 0.0
+    return out, own
 
 
 def margin_dual(phi: np.ndarray, t: np.ndarray, c: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, float, float]:
@@ -584,12 +585,16 @@ def margin_duals(phi: np.ndarray, t: np.ndarray, c: np.ndarray, live: np.ndarray
                 break
             if not going.all():
                 inner[~going] = np.eye(k)
-            back = root_inverses(inner)
+            back, own = root_inverses(inner)
 
-            def solved(u, back=back, give=give):
+            def solved(u, inner=inner, back=back, own=own, give=give):
                 """``u`` are the values over their bends."""
-                x = np.matmul(back, on_features(both(u))[:, :, None])
-                return u - sign * give * on_rows(np.matmul(back.transpose(0, 2, 1), x)[:, :, 0])
+                across = back.transpose(0, 2, 1)
+                want = on_features(both(u))[:, :, None]
+                x = np.matmul(across, np.matmul(back, want))
+                # Once more for what rounding left, which a product with an inverse leaves more of than a solution.
+                x += own * np.matmul(across, np.matmul(back, want - np.matmul(inner, x)))
+                return u - sign * give * on_rows(x[:, :, 0])
 
             unit = solved(sign * give)
             per_bias = both(unit).sum(axis=1)
